@@ -1,2 +1,713 @@
-QUERIES = {}
-ORACLE = {}
+"""The registered queries of the policy engine, each with the same question in DuckDB SQL.
+
+Policies are written out as documents; tables of policies, tags, members and edges are derived
+from the given tables, so that every query grows with its input.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veilframe.functions.members import distinct_groups, groups_by_user
+from veilframe.model import Field, RuleSet, policy_from
+from veilframe.operators import checks, lineage, models_meta, registry, tags
+from veilframe.operators.apply import apply_rule_set, dynamic, principal_matrix, principals_frame
+from veilframe.sources.tables import read_csv, read_policies
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rules(transforms: dict | None = None, filters: list | None = None) -> RuleSet:
+    """A rule set of ``field: [(kind, settings, groups...)]`` and filters as in a document."""
+    listed = [{"field": f, "transforms": [{k: v, "principals": [{"group": g} for g in gs]} for k, v, *gs in ts]} for f, ts in (transforms or {}).items()]
+    return policy_from({"source": {"ref": "source"}, "rule_sets": [{"field_transforms": listed, "filters": filters or []}]}).rule_sets[0]
+
+
+def generic(*conditions) -> dict:
+    return {"generic_filter": {"conditions": [{"condition": c, "principals": [{"group": g} for g in gs]} for c, *gs in conditions]}}
+
+
+def retention(field: str, *periods) -> dict:
+    return {"retention_filter": {"field": {"name_parts": [field]}, "conditions": [{"principals": [{"group": g} for g in gs], **({} if d is None else {"period": {"days": d}})} for d, *gs in periods]}}
+
+
+def fields(*names: str) -> list[Field]:
+    return [Field(n) for n in names]
+
+
+@F.pandas_udf("int")
+def square(x: pd.Series) -> pd.Series:
+    return x * x
+
+
+ID, NULL = ("identity", {}), ("nullify", {})
+CUSTOMER = rules({"c_name": [(*ID, "sales"), ("regexp", {"regexp": "^(.*)#.*$", "replacement": "$1#****"})], "c_acctbal": [(*ID, "sales"), NULL]}, [generic(("true", "sales"), ("c_acctbal > 0",))])
+AS_OF = "2024-01-20 12:30:00"
+
+
+# --- projections
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders")
+def identity_closed_projection(spark, d):
+    return apply_rule_set(table(spark, d, "orders"), rules({"o_totalprice": [ID]}), set(), fields("o_orderkey", "O_CUSTKEY", "o_totalprice"))
+
+
+@query("select c_custkey, regexp_replace(c_name, '^(.*)#.*$', '\\1#****') c_name, c_nationkey, null::double c_acctbal, c_mktsegment from customer where c_acctbal > 0")
+def mask_fixed_nullify(spark, d):
+    return apply_rule_set(table(spark, d, "customer"), CUSTOMER, {"support"})
+
+
+@query("select c_custkey, '****' c_name, 0 c_nationkey, c_mktsegment from customer")
+def fixed_values(spark, d):
+    r = rules({"c_name": [(*ID, "sales"), ("fixed", {"value": "****"})], "c_nationkey": [(*ID, "sales"), ("fixed", {"value": "0000"})]})
+    return apply_rule_set(table(spark, d, "customer"), r, {"other"}, fields("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+@query("select p_partkey, regexp_extract(p_type, '^(\\w+)', 1) p_type, regexp_extract(p_brand, '[0-9]+', 0) p_brand from part")
+def regexp_extract_case(spark, d):
+    return apply_rule_set(table(spark, d, "part"), rules({"p_type": [("regexp", {"regexp": "^(\\w+)"})], "p_brand": [("regexp", {"regexp": "[0-9]+"})]}), set(), fields("p_partkey", "p_type", "p_brand"))
+
+
+@query("select c_custkey, regexp_replace(c_name, '^(.*)#0*(\\d+)$', '\\2/\\1', 'g') c_name from customer")
+def regexp_replace_backref(spark, d):
+    return apply_rule_set(table(spark, d, "customer"), rules({"c_name": [("regexp", {"regexp": "^(.*)#0*(\\d+)$", "replacement": "$2/$1"})]}), set(), fields("c_custkey", "c_name"))
+
+
+@query("select c_custkey, sha256(c_name) c_name from customer")
+def hash_string(spark, d):
+    return apply_rule_set(table(spark, d, "customer"), rules({"c_name": [("hash", {})]}), set(), fields("c_custkey", "c_name"))
+
+
+@query("select c_custkey, sha256('42:' || c_name) c_name from customer")
+def hash_string_seed(spark, d):
+    return apply_rule_set(table(spark, d, "customer"), rules({"c_name": [("hash", {"seed": 42})]}), set(), fields("c_custkey", "c_name"))
+
+
+@query(None)
+def hash_numeric(spark, d):
+    return apply_rule_set(table(spark, d, "orders"), rules({"o_custkey": [("hash", {"seed": 7})]}), set(), fields("o_orderkey", "o_custkey"))
+
+
+def _rounding(name: str, settings: dict, sql: str, field: str = "l_extendedprice") -> None:
+    def run(spark, d):
+        return apply_rule_set(table(spark, d, "lineitem"), rules({field: [("numeric_rounding", settings)]}), set(), fields("l_orderkey", "l_linenumber", field))
+
+    run.__name__ = name
+    query(f"select l_orderkey, l_linenumber, {sql} {field} from lineitem")(run)
+
+
+_rounding("round_ceil", {"ceil": {"divisor": 100}}, "ceil(l_extendedprice / 100.0::double) * 100.0::double")
+_rounding("round_floor", {"floor": {"divisor": -10}}, "floor(l_quantity / (-10.0)::double) * (-10.0)::double", "l_quantity")
+_rounding("round_precision", {"round": {"precision": -3}}, "round(l_extendedprice, -3)")
+_rounding("round_divisor", {"round": {"precision": 0, "divisor": 7}}, "round(l_quantity / 7.0::double, 0) * 7.0::double", "l_quantity")
+
+
+@query("select p_partkey, case when p_size > 25 then 'large' else 'small' end p_brand, p_size from part")
+def sql_statement_case(spark, d):
+    r = rules({"p_brand": [("sql_statement", {"statement": "CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END"})]})
+    return apply_rule_set(table(spark, d, "part"), r, set(), fields("p_partkey", "p_brand", "p_size"))
+
+
+@query("select p_partkey, p_size * p_size p_size from part")
+def udf_transform(spark, d):
+    spark.udf.register("policy_square", square)
+    return apply_rule_set(table(spark, d, "part"), rules({"p_size": [("sql_statement", {"statement": "policy_square(p_size)"})]}), set(), fields("p_partkey", "p_size"))
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then c_nationkey::varchar else '***' end c_nationkey from customer")
+def branch_types(spark, d):
+    """Branches of different types become text, for a caller of each row's own groups."""
+    df = table(spark, d, "customer").withColumn("groups", F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("even"))).otherwise(F.array().cast("array<string>")))
+    r = rules({"c_nationkey": [(*ID, "even"), ("sql_statement", {"statement": "'***'"})]})
+    return apply_rule_set(df, r, F.col("groups"), fields("c_custkey", "c_nationkey"))
+
+
+# --- filters
+
+
+@query("select o_orderkey, o_totalprice from orders where o_totalprice > 150000")
+def generic_filter_default(spark, d):
+    return apply_rule_set(table(spark, d, "orders"), rules(filters=[generic(("true", "audit"), ("o_totalprice > 150000",))]), {"sales"}, fields("o_orderkey", "o_totalprice"))
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_totalprice > 50000 and o_orderstatus <> 'F'")
+def filters_conjunction(spark, d):
+    r = rules(filters=[generic(("o_totalprice > 50000",)), generic(("true", "audit"), ("o_orderstatus <> 'F'",))])
+    return apply_rule_set(table(spark, d, "orders"), r, set(), fields("o_orderkey", "o_orderstatus"))
+
+
+@query("select o_orderkey from orders where case when o_orderstatus = 'O' then null else true end")
+def null_condition(spark, d):
+    return apply_rule_set(table(spark, d, "orders"), rules(filters=[generic(("CASE WHEN o_orderstatus = 'O' THEN NULL ELSE TRUE END",))]), set(), fields("o_orderkey"))
+
+
+@query(f"select event_id, event_type, value from events where ts + interval 10 day > timestamp '{AS_OF}'")
+def retention_by_principal(spark, d):
+    r = rules(filters=[retention("ts", (10, "marketing"), (None, "fraud"), (5,))])
+    return apply_rule_set(table(spark, d, "events"), r, {"marketing"}, fields("event_id", "event_type", "value"), as_of=AS_OF)
+
+
+@query("select o_orderkey, o_totalprice from orders")
+def retention_infinite(spark, d):
+    r = rules(filters=[retention("o_orderdate", (None, "fraud"), (0,))])
+    return apply_rule_set(table(spark, d, "orders"), r, {"fraud"}, fields("o_orderkey", "o_totalprice"), as_of=AS_OF)
+
+
+@query("select count(*) n from orders where o_orderdate + interval 0 day > timestamp '1996-01-01 00:00:00'")
+def retention_zero(spark, d):
+    r = rules(filters=[retention("o_orderdate", (0,))])
+    return apply_rule_set(table(spark, d, "orders"), r, set(), as_of="1996-01-01 00:00:00").agg(F.count("*").alias("n"))
+
+
+# --- detokenize
+
+
+def _detokenize(ref: str, token: str, value: str) -> dict:
+    return {"token_source_ref": ref, "token_field": {"name_parts": [token]}, "value_field": {"name_parts": [value]}}
+
+
+def _order_tokens(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderpriority")
+
+
+def _customer_tokens(spark, d, where: str = "true") -> DataFrame:
+    return table(spark, d, "customer").where(where).select(F.col("c_custkey").cast("string").alias("token"), F.col("c_name").alias("value"))
+
+
+@query("select o_orderkey, coalesce(c_name, o_custkey::varchar) o_custkey, o_orderpriority from orders left join customer on o_custkey = c_custkey")
+def detokenize_single(spark, d):
+    r = rules({"o_custkey": [("detokenize", _detokenize("tokens", "token", "value"), "fraud"), ID]})
+    return apply_rule_set(_order_tokens(spark, d), r, {"fraud"}, token_sources={"tokens": _customer_tokens(spark, d)})
+
+
+@query("select l_orderkey, l_linenumber, coalesce(p_name, l_partkey::varchar) l_partkey, coalesce(s_name, l_suppkey::varchar) l_suppkey from lineitem left join part on p_partkey = l_partkey left join supplier on s_suppkey = l_suppkey")
+def detokenize_two(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("l_partkey"), F.col("l_suppkey").cast("string").alias("l_suppkey"))
+    sources = {
+        "parts": table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("token"), F.col("p_name").alias("value")),
+        "suppliers": table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("token"), F.col("s_name").alias("value")),
+    }
+    r = rules({"l_partkey": [("detokenize", _detokenize("parts", "token", "value"))], "l_suppkey": [("detokenize", _detokenize("suppliers", "token", "value"))]})
+    return apply_rule_set(lines, r, set(), token_sources=sources)
+
+
+@query("select o_orderkey, coalesce(c_name, o_custkey::varchar) o_custkey, o_orderpriority from orders left join (select * from customer where c_custkey % 3 <> 0) on o_custkey = c_custkey")
+def detokenize_miss(spark, d):
+    r = rules({"o_custkey": [("detokenize", _detokenize("tokens", "token", "value"))]})
+    return apply_rule_set(_order_tokens(spark, d), r, set(), token_sources={"tokens": _customer_tokens(spark, d, "c_custkey % 3 <> 0")})
+
+
+@query("select o_orderkey, o_custkey::varchar o_custkey, o_orderpriority from orders")
+def detokenize_elided(spark, d):
+    """With unique tokens the join is left out for a caller who does not detokenize."""
+    r = rules({"o_custkey": [("detokenize", _detokenize("tokens", "token", "value"), "fraud"), ID]})
+    return apply_rule_set(_order_tokens(spark, d), r, {"sales"}, token_sources={"tokens": _customer_tokens(spark, d)}, unique_tokens=True)
+
+
+# --- aggregation transforms
+
+
+def _agg(name: str, tbl: str, names: tuple[str, ...], field: str, settings: dict, sql: str, filters: list | None = None, out=None) -> None:
+    def run(spark, d):
+        df = apply_rule_set(table(spark, d, tbl), rules({field: [("aggregation", settings)]}, filters), {"finance"}, fields(*names))
+        return df if out is None else df.withColumn(field, out(F.col(field)))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_two = lambda c: F.round(c, 2)
+_agg("agg_sum_total", "customer", ("c_custkey", "c_acctbal"), "c_acctbal", {"sum": {}}, "select c_custkey, round((select sum(c_acctbal) from customer), 2) c_acctbal from customer", out=_two)
+_agg("agg_sum_by", "lineitem", ("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", {"sum": {}, "partition_by": [{"name_parts": ["l_returnflag"]}]}, "select l_orderkey, l_linenumber, sum(l_quantity) over (partition by l_returnflag) l_quantity from lineitem")
+_agg("agg_avg_precision", "customer", ("c_custkey", "c_acctbal"), "c_acctbal", {"avg": {"precision": 0}, "partition_by": [{"name_parts": ["c_nationkey"]}]}, "select c_custkey, round(avg(c_acctbal) over (partition by c_nationkey), 0) c_acctbal from customer")
+_agg("agg_avg_cast", "part", ("p_partkey", "p_retailprice"), "p_retailprice", {"avg": {"cast_to": "int4", "precision": 3}, "partition_by": ["p_brand"]}, "select p_partkey, round(avg(trunc(p_retailprice)) over (partition by p_brand), 3) p_retailprice from part")
+_agg("agg_min_by", "customer", ("c_custkey", "c_acctbal"), "c_acctbal", {"min": {}, "partition_by": ["c_mktsegment", "c_nationkey"]}, "select c_custkey, min(c_acctbal) over (partition by c_mktsegment, c_nationkey) c_acctbal from customer")
+_agg("agg_max_by", "customer", ("c_custkey", "c_acctbal"), "c_acctbal", {"max": {}, "partition_by": ["c_mktsegment"]}, "select c_custkey, max(c_acctbal) over (partition by c_mktsegment) c_acctbal from customer")
+_agg("agg_after_filter", "orders", ("o_orderkey", "o_totalprice"), "o_totalprice", {"avg": {"precision": 1}, "partition_by": ["o_orderpriority"]}, "select o_orderkey, round(avg(o_totalprice) over (partition by o_orderpriority), 1) o_totalprice from orders where o_orderstatus = 'O'", [generic(("true", "audit"), ("o_orderstatus = 'O'",))])
+
+
+# --- members
+
+
+def _members(spark, d) -> DataFrame:
+    """user_groups(user, group): a customer is in the group of its segment, and in that of its nation."""
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_name").alias("user"), F.col("c_mktsegment").alias("group")).unionByName(c.select(F.col("c_name").alias("user"), F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("group")))
+
+
+@query("select distinct c_mktsegment \"group\" from customer union select distinct 'nation-' || c_nationkey from customer")
+def membership_groups(spark, d):
+    return distinct_groups(_members(spark, d))
+
+
+@query("select c_name principal, list_aggregate(list_sort([c_mktsegment, 'nation-' || c_nationkey]), 'string_agg', ',') \"groups\" from customer")
+def membership_join(spark, d):
+    return groups_by_user(_members(spark, d)).withColumn("groups", F.array_join("groups", ","))
+
+
+_MATRIX = rules({"c_name": [(*ID, "sales"), ("regexp", {"regexp": "#.*$", "replacement": "#***"}, "marketing"), ("fixed", {"value": "****"})], "c_acctbal": [("aggregation", {"avg": {"precision": 1}, "partition_by": ["c_nationkey"]}, "sales"), NULL]}, [generic(("true", "sales"), ("c_acctbal > 0", "marketing"), ("c_acctbal > 5000",))])
+_MATRIX_SQL = {
+    "sales": "select 'sales' principal, c_custkey, c_name, round(avg(c_acctbal) over (partition by c_nationkey), 1) c_acctbal from customer",
+    "marketing": "select 'marketing', c_custkey, regexp_replace(c_name, '#.*$', '#***'), null from customer where c_acctbal > 0",
+    "unmatched": "select 'unmatched', c_custkey, '****', null from customer where c_acctbal > 5000",
+}
+
+
+@query(" union all ".join(_MATRIX_SQL.values()))
+def principal_matrix_all(spark, d):
+    return principal_matrix(table(spark, d, "customer"), _MATRIX, fields=fields("c_custkey", "c_name", "c_acctbal"))
+
+
+@query(" union all ".join(_MATRIX_SQL[k] for k in ("sales", "unmatched")))
+def selected_principals(spark, d):
+    df = table(spark, d, "customer")
+    return principal_matrix(df, _MATRIX, F.broadcast(principals_frame(df, _MATRIX, ["sales", "unmatched"])), fields=fields("c_custkey", "c_name", "c_acctbal"))
+
+
+@query("""
+with u as (select c_name principal, [c_mktsegment, 'nation-' || c_nationkey] g from customer where c_acctbal > 9000)
+select principal, n_nationkey, case when list_contains(g, 'nation-' || n_nationkey) then n_name when list_contains(g, 'BUILDING') then upper(left(n_name, 1)) else '-' end n_name
+from nation, u where list_contains(g, 'BUILDING') or n_nationkey < 20""")
+def user_fanout(spark, d):
+    """Each user in several groups: the first entry that names one of them decides."""
+    heads = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_name").alias("user"))
+    who = groups_by_user(_members(spark, d).join(heads, "user", "left_semi"))
+    nations = table(spark, d, "nation")
+    first = [("sql_statement", {"statement": f"CASE WHEN n_nationkey = {n} THEN n_name WHEN array_contains(__groups, 'BUILDING') THEN upper(left(n_name, 1)) ELSE '-' END"}, f"nation-{n}") for n in range(25)]
+    r = rules({"n_name": [*first, ("sql_statement", {"statement": "'-'"})]}, [generic(("true", "BUILDING"), ("n_nationkey < 20",))])
+    return principal_matrix(nations, r, who, fields=fields("n_nationkey", "n_name"))
+
+
+@query("""
+select o_orderkey, case when exists (select 1 from customer where c_name = (select min(c_name) from customer) and c_mktsegment = 'BUILDING') then o_orderpriority else '-' end o_orderpriority from orders""")
+def dynamic_groups(spark, d):
+    """One frame that reads its user's groups when it runs."""
+    first = table(spark, d, "customer").agg(F.min("c_name").alias("who"))
+    own = _members(spark, d).join(F.broadcast(first), F.col("user") == F.col("who"), "left_semi").withColumn("user", F.lit("me"))
+    r = rules({"o_orderpriority": [(*ID, "BUILDING"), ("fixed", {"value": "-"})]})
+    return dynamic(table(spark, d, "orders"), r, own, "me", fields=fields("o_orderkey", "o_orderpriority"))
+
+
+# --- sources
+
+
+@query("select doc_id, quality, toxic::boolean toxic from labels")
+def csv_typed_scan(spark, d):
+    """Labels written as CSV in another column order, read back by name and type."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/veilframe-csv"
+    path = f"{base}/csv-{uuid.uuid4().hex}"
+    table(spark, d, "labels").select("toxic", F.lit("x").alias("unused"), "quality", "doc_id").write.option("header", True).csv(path)
+    return read_csv(spark, path, [Field("doc_id", "bigint"), Field("QUALITY", "int4"), Field("toxic", "boolean")]).withColumnRenamed("QUALITY", "quality")
+
+
+@query("select o_orderkey, o_orderstatus status, o_totalprice total from orders")
+def policy_rows_json(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.lit(1).alias("unknown"))).alias("policy"))
+    return read_policies(rows, "status string, total double").select("o_orderkey", "parsed.*")
+
+
+# --- tags
+
+
+def _fields(spark, d) -> DataFrame:
+    """fields(table, field, tags): each customer as a table with one field, tagged by its segment and nation."""
+    return table(spark, d, "customer").select(F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("table"), F.col("c_name").alias("field"), F.array(F.concat(F.lit("Seg "), F.lower("c_mktsegment")), F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"))).alias("tags"))
+
+
+def _transforms(spark, d) -> DataFrame:
+    """Global transforms: for each segment two entries and a default, for each nation an overlapping entry and a default."""
+    seg = table(spark, d, "customer").select("c_mktsegment").distinct()
+    nation = table(spark, d, "nation")
+    parts = [
+        seg.select(F.concat(F.lit("SEG_"), F.col("c_mktsegment")).alias("tag"), F.lit(0).alias("ord"), F.array(F.lit("admin"), F.lit("fraud")).alias("groups"), F.lit("identity").alias("transform")),
+        seg.select(F.concat(F.lit("SEG_"), F.col("c_mktsegment")), F.lit(1), F.array().cast("array<string>"), F.concat(F.lit("mask "), F.col("c_mktsegment"))),
+        nation.select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")), F.lit(0), F.array(F.lit("fraud"), F.lit("sales")), F.lit("hash")),
+        nation.select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")), F.lit(1), F.array(F.lit("fraud")), F.lit("round")),
+        nation.select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")), F.lit(2), F.array().cast("array<string>"), F.lit("nullify")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+_TAGS_SQL = """
+with f as (select 't' || c_nationkey t, c_name field, unnest(['Seg ' || lower(c_mktsegment), 'nation-' || c_nationkey]) tag, unnest([0, 1]) pos from customer),
+g as (select distinct 'SEG_' || c_mktsegment tag, 0 ord, ['admin', 'fraud'] gs, 'identity' tr from customer
+  union all select distinct 'SEG_' || c_mktsegment, 1, []::varchar[], 'mask ' || c_mktsegment from customer
+  union all select 'nation ' || n_nationkey, 0, ['fraud', 'sales'], 'hash' from nation
+  union all select 'nation ' || n_nationkey, 1, ['fraud'], 'round' from nation
+  union all select 'nation ' || n_nationkey, 2, []::varchar[], 'nullify' from nation)"""
+
+
+@query(_TAGS_SQL + " select t \"table\", field, pos tag_pos, ord, array_to_string(gs, ',') \"groups\", tr \"transform\" from f join g on lower(translate(f.tag, ' -', '__')) = lower(translate(g.tag, ' -', '__'))")
+def tag_match_loose(spark, d):
+    return tags.tag_transforms(_fields(spark, d), _transforms(spark, d)).withColumn("groups", F.array_join("groups", ","))
+
+
+@query("select c_custkey, n_name from customer join nation on c_name = n_name union all select c_custkey, c_mktsegment from customer")
+def tag_match_strict(spark, d):
+    """Strictly, only the same spelling matches: customers tagged by segment against segments in both cases."""
+    c = table(spark, d, "customer")
+    f = c.select(F.col("c_custkey").cast("string").alias("table"), F.lit("f").alias("field"), F.array("c_mktsegment").alias("tags"))
+    seg = c.select("c_mktsegment").distinct()
+    g = seg.select(F.col("c_mktsegment").alias("tag"), F.lit(0).alias("ord"), F.array().cast("array<string>").alias("groups"), F.col("c_mktsegment").alias("transform")).union(seg.select(F.lower("c_mktsegment"), F.lit(0), F.array().cast("array<string>"), F.lit("lower")))
+    return tags.tag_transforms(f, g, strict=True).select(F.col("table").cast("long").alias("c_custkey"), F.col("transform").alias("n_name"))
+
+
+_COMBINED_SQL = _TAGS_SQL + """,
+m as (select t, field, pos, ord, gs, tr from f join g on lower(translate(f.tag, ' -', '__')) = lower(translate(g.tag, ' -', '__'))),
+e as (select *, unnest(gs) grp from m), r as (select *, row_number() over (partition by t, field, grp order by pos, ord) k from e),
+a as (select t, field, pos, ord, string_agg(grp, ',' order by grp) gs, any_value(tr) tr, 0 z from r where k = 1 group by t, field, pos, ord),
+b as (select t, field, pos, ord, '' gs, tr, 1 z from (select *, row_number() over (partition by t, field order by pos, ord) k from m where len(gs) = 0) where k = 1),
+c as (select t, field, row_number() over (partition by t, field order by z, pos, ord) ord, gs, tr from (select * from a union all select * from b))"""
+
+
+@query(_COMBINED_SQL + " select t \"table\", field, ord, gs \"groups\", tr \"transform\" from c")
+def combine_transforms(spark, d):
+    return tags.combine(tags.tag_transforms(_fields(spark, d), _transforms(spark, d))).withColumn("groups", F.array_join("groups", ","))
+
+
+@query(_COMBINED_SQL + " select t \"table\", t || '_view' target, field, string_agg(ord || ':' || gs || ':' || tr, ';' order by ord) transforms from c group by t, field")
+def ruleset_from_tags(spark, d):
+    made = tags.rule_sets_from_tags(_fields(spark, d), _transforms(spark, d))
+    return made.withColumn("transforms", F.array_join(F.transform("transforms", lambda x: F.concat_ws(":", x["ord"].cast("string"), F.array_join(x["groups"], ","), x["transform"])), ";"))
+
+
+@query("""select c_custkey, array_to_string(list_transform(regexp_extract_all('a policy::' || c_mktsegment || ' b policy::"' || c_name || '" policy:no', 'policy::("[^"]+"|[A-Za-z0-9_-]+)', 1), lambda x: trim(x, '"')), '|') tags from customer""")
+def comment_tags(spark, d):
+    comment = F.concat(F.lit("a policy::"), "c_mktsegment", F.lit(' b policy::"'), "c_name", F.lit('" policy:no'))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(tags.comment_tags(comment), "|").alias("tags"))
+
+
+@query("select page_id, 'page/' || split_part(url, '/', 3) path from pages")
+def field_path(spark, d):
+    path = F.concat(F.lit("[version=2.0].[type=struct].page.[type=string]."), F.translate(F.split_part(F.col("url"), F.lit("/"), F.lit(3)), ".", "\x01"))
+    return table(spark, d, "pages").select("page_id", F.translate(F.array_join(tags.field_path(path), "/"), "\x01", ".").alias("path"))
+
+
+@query("select c_custkey id, r_name || '.' || n_name || '.' || c_name path from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey")
+def nested_parents(spark, d):
+    """Regions hold nations hold customers, as nested fields."""
+    region = table(spark, d, "region").select((F.col("r_regionkey") - 1000).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("r_name").alias("name"))
+    nation = table(spark, d, "nation").select((F.col("n_nationkey") - 500).cast("long"), (F.col("n_regionkey") - 1000).cast("long"), "n_name")
+    customer = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") - 500).cast("long"), "c_name")
+    return tags.parent_paths(region.union(nation).union(customer)).where("id >= 0").select("id", F.array_join("path", ".").alias("path"))
+
+
+@query("select c_mktsegment \"column\", string_agg(n, ',' order by n) tags from (select distinct c_mktsegment, 'n' || c_nationkey n from customer) group by 1")
+def tags_per_column(spark, d):
+    c = table(spark, d, "customer")
+    pairs = c.select(F.col("c_mktsegment").alias("column"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("tag")).distinct()
+    return tags.attach_tags(c.select(F.col("c_mktsegment").alias("column")).distinct(), pairs).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("select coalesce(a.r, b.r) \"ref\", coalesce(b.body, a.body) body from (select 'Seg-' || c_custkey r, 'old' body, 'seg_' || c_custkey k from customer where c_custkey % 2 = 0) a full join (select 'seg ' || c_custkey r, c_name body, 'seg_' || c_custkey k from customer where c_custkey % 3 = 0) b on a.k = b.k")
+def transform_upsert(spark, d):
+    c = table(spark, d, "customer")
+    key = lambda p: F.concat(F.lit(p), F.col("c_custkey").cast("string")).alias("ref")
+    return tags.upsert_transforms(c.where("c_custkey % 2 = 0").select(key("Seg-"), F.lit("old").alias("body")), c.where("c_custkey % 3 = 0").select(key("seg "), F.col("c_name").alias("body")))
+
+
+@query("select 'Seg-' || c_custkey \"ref\", c_name body from customer where c_custkey % 3 <> 0")
+def transform_delete(spark, d):
+    c = table(spark, d, "customer")
+    return tags.delete_transforms(c.select(F.concat(F.lit("Seg-"), F.col("c_custkey").cast("string")).alias("ref"), F.col("c_name").alias("body")), c.where("c_custkey % 3 = 0").select(F.concat(F.lit("SEG "), F.col("c_custkey").cast("string")).alias("ref")))
+
+
+@query("select c_nationkey, min(c_custkey) c_custkey from customer group by 1")
+def first_match(spark, d):
+    return tags.first_match(table(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
+
+
+@query("select event_type \"table\", count(*) n from events group by 1")
+def blueprint_fields(spark, d):
+    """Fields of the events table, joined with how often each type of event occurs; the schema is checked on the way."""
+    e = table(spark, d, "events")
+    fields_n = tags.blueprint(e, "events").where("field in ('event_id', 'ts', 'user_id', 'event_type', 'value', 'props')").count()
+    return e.groupBy(F.col("event_type").alias("table")).agg((F.count("*") * F.lit(fields_n) / 6).cast("long").alias("n"))
+
+
+# --- registry: orders as a log of policy versions (policy = customer, platform = priority)
+
+
+def _history(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    w = Window.partitionBy("id", "platform").orderBy("o_orderkey")
+    base = o.select(F.col("o_custkey").cast("string").alias("id"), F.substring("o_orderpriority", 1, 1).alias("platform"), "o_orderkey", F.col("o_orderstatus").alias("policy"))
+    v = base.withColumn("version", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("id", "platform")))
+    return v.select("id", "platform", "version", (F.col("version") == F.col("n")).alias("active"), F.lit(10).cast("long").alias("created_at"), F.lit(10).cast("long").alias("updated_at"), "policy")
+
+
+_HISTORY_SQL = """with h as (select o_custkey::varchar id, left(o_orderpriority, 1) platform, row_number() over (partition by o_custkey, left(o_orderpriority, 1) order by o_orderkey) version,
+count(*) over (partition by o_custkey, left(o_orderpriority, 1)) n, o_orderstatus policy from orders)"""
+
+
+@query(_HISTORY_SQL + " select id, platform, version, policy from h where version = n")
+def policy_latest(spark, d):
+    return registry.latest(_history(spark, d)).select("id", "platform", F.col("version").cast("long").alias("version"), "policy")
+
+
+@query(_HISTORY_SQL + """, i as (select c_custkey::varchar id, '1' platform, c_name policy from customer where c_custkey % 5 = 0),
+l as (select id, platform, max(version) v from h group by 1, 2)
+select id, platform, version, version = n and (id, platform) not in (select (id, platform) from i) active, 10::bigint created_at, policy from h
+union all select i.id, i.platform, coalesce(v, 0) + 1, true, case when v is null then 20 else 10 end, i.policy from i left join l using (id, platform)""")
+def policy_upsert(spark, d):
+    new = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.lit("1").alias("platform"), F.col("c_name").alias("policy"))
+    return registry.upsert(_history(spark, d), new, F.lit(20).cast("long")).select("id", "platform", F.col("version").cast("long").alias("version"), "active", "created_at", "policy")
+
+
+@query(_HISTORY_SQL + ", l as (select id, platform, max(version) v from h group by 1, 2) select id, platform, 1::bigint version, v::bigint stored from l where v <> 1")
+def policy_stale(spark, d):
+    given = _history(spark, d).select("id", "platform").distinct().withColumn("version", F.lit(1))
+    return registry.stale(_history(spark, d), given).select("id", "platform", F.col("version").cast("long").alias("version"), F.col("stored").cast("long").alias("stored"))
+
+
+@query(_HISTORY_SQL + " select id, platform, version from h where version = n order by id, platform, version limit 25 offset 10")
+def policy_page(spark, d):
+    return registry.active_page(_history(spark, d), 10, 25).select("id", "platform", F.col("version").cast("long").alias("version"))
+
+
+@query("select distinct c_mktsegment \"group\" from customer where c_mktsegment not in (select c_mktsegment from customer where c_custkey = 1) order by 1 limit 10")
+def group_page(spark, d):
+    c = table(spark, d, "customer")
+    groups = c.select(F.col("c_mktsegment").alias("group")).union(c.select(F.concat(F.lit("pg_"), "c_mktsegment"))).distinct()
+    return registry.group_page(groups, c.where("c_custkey = 1").select(F.col("c_mktsegment").alias("group")))
+
+
+# --- checks: orders as policies, lines as their entries
+
+
+def _entries(spark, d) -> DataFrame:
+    """entries(policy, rule_set, field, ord, kind, principals, value): a line is an entry of the field named by its flag."""
+    li = table(spark, d, "lineitem")
+    who = F.when(F.col("l_linenumber") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lower("l_returnflag"), F.concat(F.lit("G"), (F.col("l_quantity") % 4).cast("int").cast("string"))))
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "fixed").otherwise("identity")
+    value = F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("int").cast("string")).otherwise(F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")))
+    return li.select(F.col("l_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.concat(F.lit("F_"), "l_returnflag").alias("field"), F.col("l_linenumber").alias("ord"), kind.alias("kind"), who.alias("principals"), value.alias("value"))
+
+
+_ENTRIES_SQL = """with e as (select l_orderkey policy, 'F_' || l_returnflag field, l_linenumber ord, case when l_linenumber % 2 = 0 then 'fixed' else 'identity' end kind,
+case when l_linenumber % 3 = 0 then []::varchar[] else [lower(l_returnflag), 'G' || (l_quantity % 4)::int] end principals,
+case when l_quantity > 25 then (l_quantity::int)::varchar else 'q' || (l_quantity::int)::varchar end value from lineitem)"""
+
+
+def _policies(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("policy"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")).alias("source_ref"), F.when(F.col("o_orderkey") % 5 > 0, "spark").otherwise("").alias("platform"), F.substring("o_orderpriority", 3, 30).alias("title"), F.when(F.col("o_orderstatus") == "F", "DBT_SQL").otherwise("SQL_VIEW").alias("target_type"))
+
+
+@query("select o_orderkey policy, 'source_empty' rule, '' detail from orders where o_orderkey % 7 = 0")
+def check_source_empty(spark, d):
+    return checks.source_empty(_policies(spark, d))
+
+
+@query("select o_orderkey policy, 'platform_empty' rule, '' detail from orders where o_orderkey % 5 = 0 and o_orderstatus <> 'F'")
+def check_platform_empty(spark, d):
+    return checks.platform_empty(_policies(spark, d))
+
+
+@query("select o_orderkey policy, 'title_short' rule, substr(o_orderpriority, 3, 30) detail from orders where length(substr(o_orderpriority, 3, 30)) < 5")
+def check_title_short(spark, d):
+    return checks.title_short(_policies(spark, d), 5)
+
+
+@query(_ENTRIES_SQL + " select distinct policy, 'unknown_principal' rule, p detail from (select policy, unnest(principals) p from e) where upper(p) not in ('A', 'N', 'G1', 'G2')")
+def check_unknown_principal(spark, d):
+    flags = table(spark, d, "lineitem").select(F.lower("l_returnflag").alias("group")).distinct().where("group <> 'r'")
+    more = table(spark, d, "lineitem").select(F.concat(F.lit("g"), (F.col("l_quantity") % 4).cast("int").cast("string")).alias("group")).distinct().where("group in ('g1', 'g2')")
+    return checks.unknown_principal(_entries(spark, d), flags.union(more))
+
+
+def _check_fields(spark, d) -> DataFrame:
+    """Every policy knows two of the three fields; one is a number."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("policy"))
+    return o.select("policy", F.explode(F.array(F.struct(F.lit("f_a").alias("field"), F.lit("bigint").alias("type")), F.struct(F.lit("f_n").alias("field"), F.lit("string").alias("type")))).alias("x")).select("policy", "x.*")
+
+
+@query(_ENTRIES_SQL + " select distinct policy, 'unknown_field' rule, field detail from e where upper(field) = 'F_R'")
+def check_unknown_field(spark, d):
+    return checks.unknown_field(_entries(spark, d), _check_fields(spark, d))
+
+
+@query("select l_orderkey policy, 'duplicate_token_source' rule, l_returnflag detail from lineitem group by l_orderkey, l_returnflag having count(*) > 1")
+def check_duplicate_tokens(spark, d):
+    return checks.duplicate_tokens(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.col("l_returnflag").alias("token_source")))
+
+
+@query("select o_orderkey policy, 'no_transforms' rule, o_orderstatus detail from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
+def check_empty_transforms(spark, d):
+    lists = _entries(spark, d).where("field = 'F_R'").groupBy("policy").agg(F.collect_list("ord").alias("entries"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("policy"), F.col("o_orderstatus").alias("field"))
+    return checks.empty_transforms(o.join(lists, "policy", "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<int>"))))
+
+
+@query(_ENTRIES_SQL + " select policy, 'last_entry_not_default' rule, field detail from (select policy, field, arg_max(len(principals), ord) n from e group by 1, 2) where n > 0")
+def check_last_transform(spark, d):
+    return checks.last_has_principals(_entries(spark, d))
+
+
+@query(_ENTRIES_SQL + " select policy, 'several_defaults' rule, field detail from e where len(principals) = 0 group by policy, field having count(*) > 1")
+def check_several_defaults(spark, d):
+    return checks.several_defaults(_entries(spark, d))
+
+
+@query(_ENTRIES_SQL + " select policy, 'overlapping_principals' rule, upper(p) detail from (select policy, field, unnest(principals) p from e) group by policy, field, upper(p) having count(*) > 1")
+def check_overlapping_principals(spark, d):
+    return checks.overlapping_principals(_entries(spark, d))
+
+
+@query("select l_orderkey policy, 'field_twice' rule, 'F_' || l_returnflag detail from lineitem group by l_orderkey, l_returnflag having count(*) > 1")
+def check_field_twice(spark, d):
+    return checks.field_twice(_entries(spark, d).select("policy", "rule_set", "field"))
+
+
+@query(_ENTRIES_SQL + " select policy, 'last_condition_not_default' rule, field detail from (select policy, field, arg_max(len(principals), ord) n from e group by 1, 2) where n > 0")
+def check_last_condition(spark, d):
+    return checks.filter_last_has_principals(_entries(spark, d).withColumnRenamed("field", "filter"))
+
+
+@query("select l_orderkey policy, 'retention_twice' rule, l_linestatus detail from lineitem group by l_orderkey, l_linestatus having count(*) > 1")
+def check_retention_twice(spark, d):
+    return checks.retention_twice(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.col("l_linestatus").alias("field")))
+
+
+@query("select o_orderkey policy, 'filter_kind_missing' rule, o_orderpriority detail from orders where o_orderstatus = 'P'")
+def check_filter_kind(spark, d):
+    kind = F.when(F.col("o_orderstatus") == "F", "generic").when(F.col("o_orderstatus") == "O", "retention")
+    return checks.filter_kind_missing(table(spark, d, "orders").select(F.col("o_orderkey").alias("policy"), kind.alias("filter_kind"), F.col("o_orderpriority").alias("filter")))
+
+
+@query(_ENTRIES_SQL + " select policy, 'name_part_empty' rule, field || '.' detail from e where ord = 1 union all select policy, 'principal_empty', field || case when ord = 1 then '.' else '' end from e where value like 'q%'")
+def check_names_empty(spark, d):
+    e = _entries(spark, d).withColumn("field", F.when(F.col("ord") == 1, F.concat("field", F.lit("."))).otherwise(F.col("field")))
+    return checks.names_empty(e.withColumn("principals", F.when(F.col("value").startswith("q"), F.array(F.lit(""))).otherwise(F.col("principals"))))
+
+
+@query(_ENTRIES_SQL + " select policy, 'bad_fixed_value' rule, value detail from e where kind = 'fixed' and field = 'F_A' and value like 'q%'")
+def check_fixed_value(spark, d):
+    return checks.bad_fixed(_entries(spark, d), _check_fields(spark, d))
+
+
+# --- grants and lineage: customers feed nations feed regions
+
+
+def _edges(spark, d) -> DataFrame:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    return c.select(name("c", "c_custkey").alias("source_fqn"), name("n", "c_nationkey").alias("target_fqn"), F.col("c_mktsegment").alias("relation")).unionByName(n.select(name("n", "n_nationkey").alias("source_fqn"), name("r", "n_regionkey").alias("target_fqn"), F.lit("nation").alias("relation")))
+
+
+def _governed(spark, d) -> DataFrame:
+    """policies(source, targets): one for each nation of an even key; a target is a region."""
+    return table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source"), F.array(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).alias("targets"))
+
+
+_EDGES_SQL = """with e as (select 'c' || c_custkey s, 'n' || c_nationkey t, c_mktsegment rel from customer union all select 'n' || n_nationkey, 'r' || n_regionkey, 'nation' from nation),
+p as (select 'n' || n_nationkey s, 'r' || n_regionkey t from nation where n_nationkey % 2 = 0), m as (select s f from p union select t from p),
+x as (select t fqn, 'upstream' direction, s neighbour, rel from e where t in (select s from p) union all select s, 'downstream', t, rel from e where s in (select s from p))"""
+
+
+@query(_EDGES_SQL + " select f fqn from m")
+def managed_resources(spark, d):
+    return lineage.managed_resources(_governed(spark, d))
+
+
+@query(_EDGES_SQL + " select fqn, direction, neighbour, rel relation from x")
+def lineage_neighbours(spark, d):
+    return lineage.neighbours(_edges(spark, d), _governed(spark, d).select(F.col("source").alias("fqn")).distinct())
+
+
+@query(_EDGES_SQL + " select s source_fqn, t target_fqn, rel relation, s in (from m) source_managed, t in (from m) target_managed from e")
+def lineage_managed(spark, d):
+    return lineage.flagged(_edges(spark, d), lineage.managed_resources(_governed(spark, d)))
+
+
+@query(_EDGES_SQL + " select fqn, direction, neighbour, rel relation, neighbour in (from m) managed from x")
+def lineage_scan(spark, d):
+    return lineage.scan(_edges(spark, d), _governed(spark, d))
+
+
+@query(_EDGES_SQL + " select fqn, direction, neighbour, rel relation, false managed from x where neighbour not in (from m)")
+def lineage_gaps(spark, d):
+    return lineage.gaps(_edges(spark, d), _governed(spark, d))
+
+
+@query("select l_orderkey link, 'p' || l_partkey source_fqn, 's' || l_suppkey target_fqn, o_custkey process, c_name \"sql\" from lineitem left join orders on o_orderkey = l_orderkey left join customer on c_custkey = o_custkey and c_custkey % 2 = 0 where l_linenumber = 1")
+def lineage_relation(spark, d):
+    links = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("link"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source_fqn"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target_fqn"))
+    processes = table(spark, d, "orders").select(F.col("o_orderkey").alias("link"), F.col("o_custkey").alias("process"))
+    sql = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("process"), F.col("c_name").alias("sql"))
+    return lineage.with_relation(links, processes, sql)
+
+
+@query(_ENTRIES_SQL + " select distinct policy, p principal from (select policy, unnest(principals) p from e) union select o_orderkey, 'c-' || lower(o_orderstatus) from orders")
+def rule_set_principals(spark, d):
+    cond = table(spark, d, "orders").select(F.col("o_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.array(F.concat(F.lit("c-"), F.lower("o_orderstatus"))).alias("principals"))
+    return lineage.rule_set_principals(_entries(spark, d), cond).drop("rule_set")
+
+
+@query(_ENTRIES_SQL + " select distinct o_orderpriority target, 'SELECT' privilege, p principal from (select policy, unnest(principals) p from e) join orders on o_orderkey = policy")
+def grant_list(spark, d):
+    targets = table(spark, d, "orders").select(F.col("o_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.col("o_orderpriority").alias("target"))
+    principals = _entries(spark, d).select("policy", "rule_set", F.explode("principals").alias("principal"))
+    return lineage.grants(principals, targets)
+
+
+@query("select o_orderpriority reader, o_orderstatus reads from orders union select o_orderpriority, 'tok-' || l_returnflag from orders join lineitem on l_orderkey = o_orderkey")
+def access_dependencies(spark, d):
+    o = table(spark, d, "orders")
+    targets = o.select(F.col("o_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.col("o_orderpriority").alias("target"))
+    tokens = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.concat(F.lit("tok-"), "l_returnflag").alias("token_source"))
+    return lineage.access_dependencies(targets, tokens, o.select(F.col("o_orderkey").alias("policy"), F.col("o_orderstatus").alias("source")))
+
+
+# --- model metadata: a manifest for each nation, a model for each of its customers
+
+
+def _manifests(spark, d) -> DataFrame:
+    c = table(spark, d, "customer")
+    tr = F.array().cast("array<string>")
+    k = F.col("c_custkey") % 6
+    col_meta = F.struct((k != 1).alias("enabled"), F.lit(None).cast("boolean").alias("generated"), tr.alias("rule_sets"), F.when(k.isin(0, 1), F.array(F.lit("mask"))).otherwise(tr).alias("column_transforms"))
+    meta = F.struct(F.when(k == 2, True).when(k == 3, False).alias("enabled"), (k == 5).alias("generated"), F.when(k.isin(0, 3, 4, 5), F.array(F.lit("model"))).otherwise(tr).alias("rule_sets"), tr.alias("column_transforms"))
+    cols = F.map_from_arrays(F.array(F.lit("a")), F.array(F.struct(F.lit("a").alias("name"), col_meta.alias("meta"))))
+    node = F.struct(F.lit("db").alias("database"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("schema"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 11 == 0, "seed").otherwise("model").alias("resource_type"), F.array(F.lit("db"), F.col("c_name")).alias("fqn"), cols.alias("columns"), meta.alias("meta"))
+    each = c.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("model."), "c_name").alias("k"), node.alias("v")))).alias("nodes"))
+    return each.select(F.to_json(F.struct(F.struct(F.lit("spark").alias("adapter_type")).alias("metadata"), "nodes", F.lit(1).alias("unknown"))).alias("manifest"))
+
+
+@query("select 'db.n' || c_nationkey || '.' || c_name || '_view' target, c_custkey % 6 in (0, 2, 4) enabled from customer where c_custkey % 11 <> 0")
+def model_meta_enabled(spark, d):
+    m = models_meta.models(_manifests(spark, d))
+    target = models_meta.default_target(models_meta.full_name(F.col("database"), F.col("schema"), F.col("name")))
+    return m.select(target.alias("target"), models_meta.enabled(F.col("meta"), F.col("columns")).alias("enabled"))
+
+
+@query("select c_name, case when c_custkey % 6 = 0 then 'mask' when c_custkey % 6 in (3, 4, 5) then 'model' else '{}' end rules from customer where c_custkey % 11 <> 0")
+def model_meta_precedence(spark, d):
+    m = models_meta.models(_manifests(spark, d))
+    return m.select(F.col("name").alias("c_name"), F.array_join(models_meta.effective_rules(F.col("meta"), F.col("columns")), ",").alias("rules"))
+
