@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,15 @@ from .common import shared_dir, slices, written
 
 #: Unicode white space, as the tokenizers' own patterns take it, but for the plain space.
 _SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters, digits and white space below 256.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+#: The words of byte-level and of word-end files, for characters below 256.
+_SPACED = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_BARE = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+#: Bytes as these files write them: printable ones as themselves, the others from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+_BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(256)}
 #: Characters at which str.split() breaks and the tokenizers do not.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -28,14 +38,17 @@ class WordCache:
     A subclass says which words a text has (None: encode it whole) and what their ids are.
     """
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 1_000_000):
         self.most = most
         self.known: dict[str, int] = {}
         self.flat, self.start, self.size, self.seen = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+    def _plain(self, texts: list[str]) -> list:
         raise NotImplementedError
 
+    def _of_words(self, words: list[str]) -> list:
+        return self._plain(words)
+
     def _words(self, text: str) -> list[str] | None:
         raise NotImplementedError
 
@@ -52,13 +65,12 @@ class WordCache:
         self.seen = self.seen[keep] // 2
 
     def _learn(self, words: list[str]) -> None:
-        ids = self._plain(words)
-        for k, w in enumerate(words):
-            self.known[w] = len(self.size) + k
-        sizes = np.array([len(x) for x in ids], np.int64)
+        ids = self._of_words(words)
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, *ids])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum())])
         self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +82,7 @@ class WordCache:
         words = [w for ws in listed for w in ws]
         if len(self.known) > self.most:
             self._forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        new = list(set(words).difference(self.known))
         if new:
             self._learn(new)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -83,7 +95,7 @@ class WordCache:
         if alone:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i, whole in zip(alone, self._plain([texts[i] for i in alone]), strict=True):
-                parts[i] = whole
+                parts[i] = np.array(whole, np.int32)
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, counts
 
@@ -92,7 +104,9 @@ class WordEncoder(WordCache):
     """A tokenizers file whose pattern breaks texts into words before anything else.
 
     ``spaces``: words keep the one space before them (byte-level files); otherwise white space is
-    dropped and letters are folded (word-end files).
+    dropped and letters are folded (word-end files). Texts of characters below 256 are cut by the
+    same pattern here, and their words go to the file's model alone; others are cut at white
+    space, where every such pattern breaks, and their words go through the whole tokenizer.
     """
 
     def __init__(self, path: str, spaces: bool):
@@ -102,31 +116,48 @@ class WordEncoder(WordCache):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.spaces = spaces
+        self.model = Tokenizer(self.tok.model)
+        self.model.encode_special_tokens = True
+        self.spaces, self.cut = spaces, (_SPACED if spaces else _BARE).findall
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _of_words(self, words: list[str]) -> list[list[int]]:
+        alone = [_low(w) and self.cut(w) == [w] and (self.spaces or w == w.lower()) for w in words]
+        fast = iter(self.model.encode_batch_fast([w.translate(_BYTES) for w, a in zip(words, alone, strict=True) if a], add_special_tokens=False))
+        slow = iter(self._plain([w for w, a in zip(words, alone, strict=True) if not a]))
+        return [next(fast).ids if a else next(slow) for a in alone]
 
     def _words(self, text: str) -> list[str] | None:
+        if _low(text):
+            return self.cut(text if self.spaces else text.lower())
         if not self.spaces:
-            return None if _ODD.search(text) else text.lower().split() if text.isascii() else text.split()
+            return None if _ODD.search(text) else text.split()
         out = []
         for i, w in enumerate(text.split(" ")):
             if not w or w[0] in _SPACES or w[-1] in _SPACES:
                 return None
-            if "\n" in w:  # a single line break between other characters is a word of its own
-                parts = w.split("\n")
-                if any(not p or p[0] in _SPACES or p[-1] in _SPACES for p in parts):
-                    out.append(" " + w if i else w)
-                    continue
-                out.append(" " + parts[0] if i else parts[0])
+            first = " " + w if i else w
+            parts = first.split("\n")  # a single line break between other characters is a word of its own
+            if len(parts) > 1 and not any(not p or p[0] in _SPACES or p[-1] in _SPACES for p in (w.split("\n"))):
+                out.append(parts[0])
                 for p in parts[1:]:
                     out += ("\n", p)
             else:
-                out.append(" " + w if i else w)
+                out.append(first)
         return out
 
 
+def _low(text: str) -> bool:
+    """Are all characters below 256?"""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Positions start..start+size of all spans, one after the other."""
     ends = np.cumsum(size)

@@ -45,16 +45,25 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lex, self.root = lexicon, {}
+        #: Segments by place and length: a term within reach has one of its own intact, moved by the edits before it.
+        self.parts: dict[tuple[int, int], set[str]] = {}
         for terms, mark in ((lexicon.closed, "\0c"), (lexicon.open, "\0o")):
             for t, w in terms.items():
                 node = self.root
                 for c in t:
                     node = node.setdefault(c, {})
                 node[mark] = (w, len(t))
+                cuts = lexicon.errors + 1 if len(t) >= lexicon.least else 1
+                for i in range(cuts):
+                    lo, hi = i * len(t) // cuts, (i + 1) * len(t) // cuts
+                    for shift in range(-min(i, lo), i + 1):
+                        self.parts.setdefault((lo + shift, hi - lo), set()).add(t[lo:hi])
         self.seen: dict[str, tuple[float, int] | None] = {}
 
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, errors) of the best term, or none: fewest errors, then the largest weight."""
+        if not any(word[at : at + k] in known for (at, k), known in self.parts.items()):
+            return None
         n, k = len(word), self.lex.errors
         full, at = (1 << n + 1) - 1, {}
         for i, c in enumerate(word):
