@@ -13,7 +13,7 @@ TURN, END, BREAK = "<|turn|>", "<|end|>\n", "<|nl|>"
 
 def escape(text: Column) -> Column:
     """``text`` without any control string; ``unescape`` gives it back."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: Column) -> Column:
