@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.functions.members import distinct_groups, groups_by_user
 from veilframe.model import Field, RuleSet, policy_from
@@ -54,7 +55,7 @@ def fields(*names: str) -> list[Field]:
     return [Field(n) for n in names]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def square(x: pd.Series) -> pd.Series:
     return x * x
 
