@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,9 @@ KINDS = {
     "man": _after(_MEN),
     "woman": _after(_WOMEN),
 }
+#: One pattern for texts that hold a title, and one without the names for all others.
 ANY = "|".join(f"({p})" for p in KINDS.values())
+CORE = "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in ("man", "woman"))
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "áàâäãåéèêëíìîïóòôöõúùûüñç", "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ"]
 
 
@@ -109,6 +113,22 @@ def surrogate_map(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
+def _kind(value: Column, woman: Column, titled: Column) -> Column:
+    """Kind of a match, told from the match itself; names only occur in texts that hold a title."""
+    digits = F.length(F.regexp_replace(value, r"\D", ""))
+    return (
+        F.when(titled & (woman != ""), "woman")
+        .when(titled & value.rlike(r"^\p{Lu}\p{Ll}+$"), "man")
+        .when(value.rlike(r"^[^@\s]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"), "email")
+        .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
+        .when(value.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{10,}$"), "iban")
+        .when(value.rlike(r"^\d[\d \-]+$") & digits.isin(15, 16), "card")
+        .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(value.rlike(r"^[+(]?\d[\d ().\-]+$") & (digits < 20), "phone")
+        .otherwise("secret")
+    )
+
+
 def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "surrogates-v1") -> DataFrame:
     """``docs`` with every detected entity in ``text_col`` replaced; all columns stay, ``pii_count`` and ``pii_kinds`` are added (and replace columns of these names).
 
@@ -120,13 +140,19 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "surrogates-
     names = [c for c in docs.columns if c not in ("pii_count", "pii_kinds")]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
     text = F.col(f"`{text_col}`")
-    has = text.rlike(ANY)
-    none = docs.where(~F.coalesce(has, F.lit(False))).withColumns({"pii_count": F.lit(0), "pii_kinds": F.array().cast("array<string>")})
-    groups = {k: F.regexp_extract_all(text, F.lit(ANY), F.lit(i + 1)) for i, k in enumerate(KINDS)}
-    found = docs.where(has).select(F.struct("*").alias("row"), F.arrays_zip(*(g.alias(k) for k, g in groups.items())).alias("all"))
-    kind = lambda x: F.coalesce(*(F.when(x[k] != "", F.lit(k)) for k in KINDS))
-    value = lambda x: F.concat(*(x[k] for k in KINDS))
-    found = found.select(F.monotonically_increasing_id().alias("key"), "row", F.transform("all", lambda x: F.struct(kind(x).alias("kind"), value(x).alias("value"))).alias("ents"))
+    #: Cheap signs without which no pattern matches, so that most texts are never searched.
+    titled = reduce(lambda a, b: a | b, (text.contains(t) for t in f"{_MEN}|{_WOMEN}".split("|")))
+    signs = text.rlike("[0-9@]") | text.rlike("(?i)(?:password|passwd|api_key|apikey|token|secret)[=:]")
+    has = F.coalesce(F.when(titled, text.rlike(ANY)).when(signs, text.rlike(CORE)), F.lit(False))
+    none = docs.where(~has).withColumns({"pii_count": F.lit(0), "pii_kinds": F.array().cast("array<string>")})
+    row = F.col("row")[text_col]
+    last = len(KINDS)
+    found = docs.where(has).select(F.struct("*").alias("row"), titled.alias("titled"))
+    hits = F.when(F.col("titled"), F.regexp_extract_all(row, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(row, F.lit(CORE), F.lit(0)))
+    women = F.when(F.col("titled"), F.regexp_extract_all(row, F.lit(ANY), F.lit(last)))
+    found = found.select("row", "titled", hits.alias("hits"), women.alias("women"))
+    ents = F.transform("hits", lambda x, i: F.struct(_kind(x, F.coalesce(F.get("women", i), F.lit("")), F.col("titled")).alias("kind"), x.alias("value")))
+    found = found.select(F.monotonically_increasing_id().alias("key"), "row", "titled", ents.alias("ents"))
     found = written(found, "private")
     listed = found.select("key", F.explode(F.array_distinct("ents")).alias("e")).select("key", "e.kind", "e.value")
     who = F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.col("value"))
@@ -134,7 +160,7 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "surrogates-
     mapped = listed.withColumn("who", who).join(table.select("kind", F.col("value").alias("who"), "surrogate"), ["kind", "who"])
     by_row = mapped.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x00", "kind", "value"), "surrogate"))).alias("to"))
     new = F.transform("ents", lambda e: F.element_at("to", F.concat_ws("\x00", e["kind"], e["value"])))
-    parts = F.split(F.col("row")[text_col], ANY, -1)
+    parts = F.when(F.col("titled"), F.split(row, ANY, -1)).otherwise(F.split(row, CORE, -1))
     text2 = F.array_join(F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.get("new", i), F.lit("")))), "")
     done = found.join(by_row, "key").select("row", "ents", parts.alias("parts"), new.alias("new"))
     done = done.select(*(text2.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names), F.size("ents").alias("pii_count"), F.array_sort(F.array_distinct(F.col("ents.kind"))).alias("pii_kinds"))
