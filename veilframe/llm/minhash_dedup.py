@@ -15,7 +15,10 @@ from .common import BYTE, Hashed, bucket_links, mix, slices, texts_of, with_text
 CHUNKS, LANES, BITS = 16, 5, 12
 #: Pigeonhole: of two signatures that differ in at most DISTANCE places, some chunk differs in at most one.
 DISTANCE = 2 * CHUNKS - 1
+#: Longs of the parity sketch: each shingle toggles one of its bits.
+PARITY = 16
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, CHUNKS * LANES), dtype=np.uint64)
+_PARTS = [*(f"s{c}" for c in range(CHUNKS)), *(f"x{c}" for c in range(PARITY))]
 _ODD, _FLIP = _SEEDS[0] | np.uint64(1), _SEEDS[1]
 
 
@@ -57,27 +60,39 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
             full = n > 0
             sig = np.zeros((len(sets), CHUNKS), np.uint64)
             prints = np.zeros((2, len(sets)), np.uint64)
+            odd = np.zeros((len(sets), PARITY), np.uint64)
+            np.bitwise_xor.at(odd, (np.repeat(np.arange(len(sets)), n), (flat >> np.uint64(6)).astype(np.int64) % PARITY), np.uint64(1) << (flat & np.uint64(63)))
             if full.any():
                 for k in range(CHUNKS * LANES):
                     least = np.minimum.reduceat((flat ^ _FLIP[k]) * _ODD[k], start[full])
                     sig[full, k // LANES] |= (mix(least) >> np.uint64(64 - BITS)) << np.uint64(BITS * (k % LANES))
                 prints[0, full] = np.add.reduceat(flat, start[full])
                 prints[1, full] = np.add.reduceat(mix(flat ^ _FLIP[0]), start[full])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n), *(pa.array(_signed(p)) for p in prints), *(pa.array(_signed(sig[:, c])) for c in range(CHUNKS))], names=["id", "n", "p0", "p1", *(f"s{c}" for c in range(CHUNKS))])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n), *(pa.array(_signed(p)) for p in prints), *(pa.array(_signed(sig[:, c])) for c in range(CHUNKS)), *(pa.array(_signed(odd[:, c])) for c in range(PARITY))], names=["id", "n", "p0", "p1", *_PARTS])
 
 
 def _apart(a: Column, b: Column) -> Column:
     """Number of places in which two signatures differ."""
+    top = sum(1 << BITS * k + BITS - 1 for k in range(LANES))
+    low = sum((1 << BITS - 1) - 1 << BITS * k for k in range(LANES))
     total = F.lit(0)
     for c in range(CHUNKS):
         x = a[f"s{c}"].bitwiseXOR(b[f"s{c}"])
-        for step in (6, 3):
-            x = x.bitwiseOR(F.shiftright(x, step))
-        x = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * k for k in range(LANES)))))
+        # The sum sets a place's highest bit if any of its lower ones is set, without a carry beyond it.
+        total = total + F.bit_count((x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top)))
     return total
 
 
+def _possible(a: Column, b: Column, percent: int) -> Column:
+    """Can two sets be similar enough? Never false for sets that are.
+
+    Bits in which the parity sketches differ stand for shingles that one set has alone, so there
+    are at most as many of them as such shingles, and the sizes bound these.
+    """
+    differ = sum((F.bit_count(a[f"x{c}"].bitwiseXOR(b[f"x{c}"])) for c in range(PARITY)), F.lit(0))
+    return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & ((100 + percent) * differ <= (100 - percent) * (a["n"] + b["n"]))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those whose shingle sets, words compared in full, are similar enough."""
 
@@ -110,28 +125,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     without one place" bring every such pair into one bucket. A pair at similarity 0.8 differs in
     more than 31 places with a probability below 0.0001, more similar ones more rarely still.
     Equal sets are joined beforehand, so large groups of copies count once. Buckets are compared by
-    ``bucket_links``; each link is confirmed on the full sets of words.
+    ``bucket_links``, which leaves out pairs that sizes and parity sketches rule out; each link is confirmed on the full sets of words.
 
     Rows that share an id share a class; null ids are linked with nothing and kept. Only id and
     text are read, so other columns may have any name. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    longs = ", ".join(f"s{c} long" for c in range(CHUNKS))
+    longs = ", ".join(f"{c} long" for c in _PARTS)
     sigs = written(rows.mapInArrow(lambda it: _signatures(it, words), f"id {rows.schema['id'].dataType.simpleString()}, n long, p0 long, p1 long, {longs}"), "signatures")
     able = sigs.where("id is not null and n > 0")
-    parts = [f"s{c}" for c in range(CHUNKS)]
-    reps = written(able.groupBy("n", "p0", "p1").agg(F.min("id").alias("id"), *(F.first(s).alias(s) for s in parts)), "sets")
+    reps = written(able.groupBy("n", "p0", "p1").agg(F.min("id").alias("id"), *(F.first(s).alias(s) for s in _PARTS)), "sets")
     whole = (1 << BITS * LANES) - 1
     keys = F.array(*(F.xxhash64(F.lit(c * LANES + k), F.col(f"s{c}").bitwiseAND(F.lit(whole ^ ((1 << BITS) - 1) << BITS * k))) for c in range(CHUNKS) for k in range(LANES)))
     members = reps.select(F.explode(keys).alias("key"), "id")
-    facts = reps.select("id", F.struct(*parts).alias("fact"))
+    facts = reps.select("id", F.struct("n", *_PARTS).alias("fact"))
     percent = round(100 * similarity)
 
     def verify(pairs: DataFrame) -> DataFrame:
         kind = pairs.schema["a"].dataType.simpleString()
         return with_texts(pairs, rows).mapInArrow(lambda it: _confirm(it, words, percent), f"a {kind}, b {kind}")
 
-    comps = bucket_links(members, facts, lambda a, b: _apart(a, b) <= DISTANCE, verify)
+    comps = bucket_links(members, facts, lambda a, b: _possible(a, b, percent) & (_apart(a, b) <= DISTANCE), verify)
     sets = reps.select("n", "p0", "p1", F.col("id").alias("rep")).join(comps, F.col("rep") == F.col("id"), "left").select("n", "p0", "p1", F.coalesce("comp", "rep").alias("comp"))
     found = sigs.select("id", "n", "p0", "p1").join(sets, ["n", "p0", "p1"], "left")
     comp = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("comp", "id"))
