@@ -101,7 +101,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike: their lines count once. All columns and rows stay.
 
     Links are found by the keys of ``segment_keys`` (segment, its number, the line's length), kept
-    apart by length and by a parity sketch of letter pairs, and confirmed by ``within``.
+    apart by length and by parity sketches of letters and letter pairs, and confirmed by ``within``.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
@@ -125,8 +125,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             bit = np.append(np.uint64(1) << (pair >> np.uint64(58)), np.uint64(0))
             ends = np.stack([start, end - 1], 1).ravel()
             sketch = np.bitwise_xor.reduceat(bit, ends)[::2]
+            one = np.uint64(1) << (mix(points.astype(np.uint64) + np.uint64(1)) >> np.uint64(58))
+            letters = np.bitwise_xor.reduceat(one, np.stack([start, end], 1).ravel())[::2]
             at = pa.array(text + lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), signed(line), signed(mix(line ^ hashed.of(start, start + (end - start) // 2))), pa.array((end - start).astype(np.int32)), signed(sketch)], names=["id", "row", "number", "line", "check", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), signed(line), signed(mix(line ^ hashed.of(start, start + (end - start) // 2))), pa.array((end - start).astype(np.int32)), signed(sketch), signed(letters)], names=["id", "row", "number", "line", "check", "size", "sketch", "letters"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *_, (start, end), hashed, line in each(batches):
@@ -145,10 +147,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             keep = [within(a, b, errors) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    seen = written(rows.mapInArrow(occur, f"id {kind}, row long, number int, line long, check long, size int, sketch long"), "lines")
+    seen = written(rows.mapInArrow(occur, f"id {kind}, row long, number int, line long, check long, size int, sketch long, letters long"), "lines")
     lines = rows.mapInArrow(words, "id long, text string")
-    facts = seen.groupBy(F.col("line").alias("id")).agg(F.struct(F.min("size").alias("size"), F.min("sketch").alias("sketch")).alias("fact"))
-    near = lambda a, b: (F.abs(a["size"] - b["size"]) <= errors) & (F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= 4 * errors)
+    facts = seen.groupBy(F.col("line").alias("id")).agg(F.struct(F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("letters").alias("letters")).alias("fact"))
+    bits = lambda a, b, c: F.bit_count(a[c].bitwiseXOR(b[c]))
+    near = lambda a, b: (F.abs(a["size"] - b["size"]) <= errors) & (bits(a, b, "letters") <= 2 * errors) & (bits(a, b, "sketch") <= 4 * errors)
     comps = bucket_links(rows.mapInArrow(keys, "key long, id long"), facts, near, lambda pairs: with_texts(pairs, lines).mapInArrow(confirm, "a long, b long"))
 
     told = seen.join(comps.select(F.col("id").alias("line"), "comp"), "line", "left").select("id", "row", "number", F.coalesce("comp", "line").alias("class"), F.when(F.col("comp").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))
