@@ -45,8 +45,10 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lex, self.root = lexicon, {}
-        #: Segments by place and length: a term within reach has one of its own intact, moved by the edits before it.
-        self.parts: dict[tuple[int, int], set[str]] = {}
+        #: Segments by place and length: a term within reach has one of its own intact, moved by the edits before and after it.
+        #: Places count from the word's start, or from its end where that is nearer and the term must end there.
+        self.left: dict[tuple[int, int], set[str]] = {}
+        self.right: dict[tuple[int, int], set[str]] = {}
         for terms, mark in ((lexicon.closed, "\0c"), (lexicon.open, "\0o")):
             for t, w in terms.items():
                 node = self.root
@@ -56,15 +58,18 @@ class Matcher:
                 cuts = lexicon.errors + 1 if len(t) >= lexicon.least else 1
                 for i in range(cuts):
                     lo, hi = i * len(t) // cuts, (i + 1) * len(t) // cuts
-                    for shift in range(-min(i, lo), i + 1):
-                        self.parts.setdefault((lo + shift, hi - lo), set()).add(t[lo:hi])
-        self.seen: dict[str, tuple[float, int] | None] = {}
+                    after, tail = cuts - 1 - i, len(t) - hi
+                    side, at, most = (self.right, tail, after) if mark == "\0c" and after < i else (self.left, lo, i)
+                    for shift in range(-min(most, at), most + 1):
+                        side.setdefault((at + shift, hi - lo), set()).add(t[lo:hi])
+        self.seen: set[str] = set()
+        self.found: dict[str, tuple[float, int]] = {}
 
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, errors) of the best term, or none: fewest errors, then the largest weight."""
-        if not any(word[at : at + k] in known for (at, k), known in self.parts.items()):
-            return None
         n, k = len(word), self.lex.errors
+        if not any(word[at : at + m] in known for (at, m), known in self.left.items()) and not any(word[n - at - m : n - at] in known for (at, m), known in self.right.items() if at + m <= n):
+            return None
         full, at = (1 << n + 1) - 1, {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
@@ -91,18 +96,18 @@ class Matcher:
         return None if best and best[1] and word in self.lex.except_ else best
 
     def hits(self, words: list[str]) -> list[tuple[int, float, int]]:
-        out = []
-        for i, w in enumerate(words):
-            if w in self.seen:
-                found = self.seen[w]
-            else:
-                if len(self.seen) > 300_000:
-                    self.seen.clear()
-                bare = w.strip(_EDGE)
-                found = self.seen[w] = self.match(bare) if 2 < len(bare) < 64 else None
-            if found:
-                out.append((i, *found))
-        return out
+        if len(self.seen) > 300_000:
+            self.seen.clear()
+            self.found.clear()
+        there = set(words)
+        for w in there - self.seen:
+            bare = w.strip(_EDGE)
+            if 2 < len(bare) < 64 and (hit := self.match(bare)):
+                self.found[w] = hit
+        self.seen |= there
+        if there.isdisjoint(self.found):
+            return []
+        return [(i, *self.found[w]) for i, w in enumerate(words) if w in self.found]
 
 
 def features(text: str, matcher: Matcher, window: int = 6) -> list[float]:
@@ -131,27 +136,32 @@ def features(text: str, matcher: Matcher, window: int = 6) -> list[float]:
 _PRIOR = np.array([2.0, 1.0, 0.2, 0.2, 0.1, -3.0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, terms: int = 2_000, support: int = 6) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, terms: int = 2_000, support: int = 6, share: float = 0.005) -> Model:
     """Learn lexicon and weights from labelled documents.
 
     labels: ``<id_col>, <label_col>`` (0 or 1; others are ignored). At most ``sample`` labelled
     documents are used (the bound), chosen by a hash of the id; the rest of their columns is not
-    read. Terms are word beginnings, and words, that at least ``support`` toxic documents hold and
-    that are at least 20 times as common there; at most ``terms``, the commonest. Without labels
-    of both kinds the lexicon is empty or the weights stay at their starting values.
+    read. Of documents of one label whose two smallest-word hashes agree, as those of copies and
+    most near copies do, one is used for the lexicon, so that the words of a much copied text do not become terms.
+    Terms are word beginnings, and words, that at least ``support`` toxic documents and a ``share``
+    of them hold and that are at least 20 times as common there; at most ``terms``, the commonest.
+    Without labels of both kinds the lexicon is empty or the weights stay at their starting values.
     """
     some = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(some), id_col).select("_text", "_y").persist()
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(some), id_col).select("_text", "_y")
+    least = [F.array_min(F.transform(F.split(F.lower("_text"), r"\s+"), lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(2)]
+    rows = rows.persist()
+    apart = rows.groupBy("_y", *(h.alias(f"_h{k}") for k, h in enumerate(least))).agg(F.min("_text").alias("_text"))
     try:
         words = F.array_distinct(F.transform(F.split(F.lower("_text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")))
-        sums = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+        sums = {r["_y"]: r["n"] for r in apart.groupBy("_y").agg(F.count("*").alias("n")).collect()}
         toxic, clean = sums.get(1, 0), sums.get(0, 0)
-        count = rows.select("_y", F.explode(words).alias("w")).where("length(w) between 3 and 63").groupBy("w").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c")).persist()
+        count = apart.select("_y", F.explode(words).alias("w")).where("length(w) between 3 and 63").groupBy("w").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c")).persist()
         ratio = (F.col("t") + 0.1) / (toxic + 1) / ((F.col("c") + 0.1) / (clean + 1))
         heads = count.select(F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(12), F.length("w"))), lambda n: F.substring("w", F.lit(1), n))).alias("p"), "t", "c").where("t + c > 0") if toxic else None
         lex = Lexicon()
         if heads is not None:
-            found = heads.groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= support).where(ratio > 20).orderBy(F.desc("t"), "p").limit(terms * 8).collect()
+            found = heads.groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= max(support, share * toxic)).where(ratio > 20).orderBy(F.desc("t"), "p").limit(terms * 8).collect()
             lex = _lexicon({r["p"]: r["t"] for r in found}, count, terms)
             lex.except_ = _exceptions(lex, count, toxic, clean)
         xy = _sampled(rows, lex)
@@ -163,12 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _lexicon(heads: dict[str, int], count: DataFrame, terms: int) -> Lexicon:
     """Of nested beginnings the longest that still has nearly all documents of the shortest."""
     kept: dict[str, int] = {}
+    longer: dict[str, list[str]] = {}
+    for p in heads:
+        longer.setdefault(p[:-1], []).append(p)
     for p in sorted(heads, key=lambda p: (len(p), p)):
         if any(p[:k] in heads for k in range(4, len(p))):
             continue
         now = p
-        while longer := [q for q in heads if len(q) == len(now) + 1 and q.startswith(now) and heads[q] >= 0.9 * heads[p]]:
-            now = max(longer, key=heads.get)
+        while some := [q for q in longer.get(now, []) if heads[q] >= 0.9 * heads[p]]:
+            now = max(some, key=heads.get)
         kept[now] = heads[now]
     kept = dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:terms])
     alone = {r["w"]: r["t"] for r in count.where(F.col("w").isin(list(kept))).collect()} if kept else {}
