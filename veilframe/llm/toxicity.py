@@ -45,10 +45,10 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lex, self.root = lexicon, {}
-        #: Segments by place and length: a term within reach has one of its own intact, moved by the edits before and after it.
-        #: Places count from the word's start, or from its end where that is nearer and the term must end there.
-        self.left: dict[tuple[int, int], set[str]] = {}
-        self.right: dict[tuple[int, int], set[str]] = {}
+        #: Segments by the lengths of the words they are looked for in, then by side, place and length: a term within reach has
+        #: one of its own intact, moved by the edits before and after it. Places count from the word's start, or from its end
+        #: where that is nearer and the term must end there. Length 0: words of any length, for open terms.
+        self.parts: dict[int, dict[tuple[bool, int, int], set[str]]] = {}
         for terms, mark in ((lexicon.closed, "\0c"), (lexicon.open, "\0o")):
             for t, w in terms.items():
                 node = self.root
@@ -58,17 +58,33 @@ class Matcher:
                 cuts = lexicon.errors + 1 if len(t) >= lexicon.least else 1
                 for i in range(cuts):
                     lo, hi = i * len(t) // cuts, (i + 1) * len(t) // cuts
-                    after, tail = cuts - 1 - i, len(t) - hi
-                    side, at, most = (self.right, tail, after) if mark == "\0c" and after < i else (self.left, lo, i)
-                    for shift in range(-min(most, at), most + 1):
-                        side.setdefault((at + shift, hi - lo), set()).add(t[lo:hi])
+                    after, tail, closed = cuts - 1 - i, len(t) - hi, mark == "\0c"
+                    back = closed and after < i
+                    at, most = (tail, after) if back else (lo, i)
+                    for n in range(len(t) - cuts + 1, len(t) + cuts) if closed else (0,):
+                        for shift in range(-min(most, at), most + 1):
+                            self.parts.setdefault(n, {}).setdefault((back, at + shift, hi - lo), set()).add(t[lo:hi])
+        self.probes: dict[int, list[tuple[slice, set[str]]]] = {}
         self.seen: set[str] = set()
         self.found: dict[str, tuple[float, int]] = {}
 
+    def _probes(self, n: int) -> list[tuple[slice, set[str]]]:
+        """Where words of length ``n`` are cut, with the segments that can stand there."""
+        at: dict[tuple[int, int], set[str]] = {}
+        for size in (0, n):
+            for (back, lo, m), known in self.parts.get(size, {}).items():
+                if lo + m <= n:
+                    at.setdefault((n - lo - m if back else lo, m), set()).update(known)
+        self.probes[n] = [(slice(lo, lo + m), known) for (lo, m), known in at.items()]
+        return self.probes[n]
+
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, errors) of the best term, or none: fewest errors, then the largest weight."""
         n, k = len(word), self.lex.errors
-        if not any(word[at : at + m] in known for (at, m), known in self.left.items()) and not any(word[n - at - m : n - at] in known for (at, m), known in self.right.items() if at + m <= n):
+        for cut, known in self.probes.get(n) or self._probes(n):
+            if word[cut] in known:
+                break
+        else:
             return None
         full, at = (1 << n + 1) - 1, {}
         for i, c in enumerate(word):
@@ -136,7 +152,7 @@ def features(text: str, matcher: Matcher, window: int = 6) -> list[float]:
 _PRIOR = np.array([2.0, 1.0, 0.2, 0.2, 0.1, -3.0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, terms: int = 2_000, support: int = 6, share: float = 0.005) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, terms: int = 2_000, support: int = 6, share: float = 0.01) -> Model:
     """Learn lexicon and weights from labelled documents.
 
     labels: ``<id_col>, <label_col>`` (0 or 1; others are ignored). At most ``sample`` labelled
