@@ -159,6 +159,25 @@ def test_packing(docs, empty):
     assert packing.pack(empty, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_brings_related_documents_together(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{w}" for w in r.choice([f"topic{i % 8}{c}" for c in "abcdefghijklmnop"] + ["the", "of", "and"], 40))) for i in range(800)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer("word_bpe_49k.json"), window=4096, shard_docs=100).collect()
+    assert {x.doc_id for x in got} == set(range(800))
+    by: dict = {}
+    for x in got:
+        by.setdefault(x.sequence_id, []).append(x.doc_id % 8)
+    alike = sum(max(v.count(k) for k in range(8)) for v in by.values())
+    assert alike > 0.7 * len(got)
+
+
+def test_packing_cuts_copies_apart():
+    x = np.ones((1000, 64), np.float32) / 8
+    moved = packing._moved(np.arange(1000))
+    at = packing.shard_of(packing.cuts(x[:160], moved[:160], 10), x, moved)
+    assert len(set(at.tolist())) == 10 and np.bincount(at).max() < 300
+
+
 def test_sentencepiece(docs):
     model = tokenizer("piece_bpe_32k.model")
     got = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, model), model).collect()

@@ -9,13 +9,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix, slices, written
 from .tokens import encoded, encoder
 
+#: Length of the document vectors by which related documents are brought together.
+_WIDE = 64
+#: Documents looked at for each shard to place the cuts between shards.
+_LOOKED_AT = 16
+
+
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def _counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of each distinct term of each document, in that order."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    key, tf = np.unique(np.repeat(np.arange(len(docs)), sizes) << 32 | np.concatenate(docs).astype(np.int64), return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, tf.astype(np.float32)
+
+
+def vectors(docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+    """BM25 term weights of the documents, projected by fixed random signs and brought to length one."""
+    doc, term, tf = _counted(docs)
+    long = np.array([len(d) for d in docs], np.float32)[doc] / max(mean, 1e-9)
+    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * long))
+    bits = mix(np.arange(1, len(idf) + 1, dtype=np.uint64)).view(np.uint8).reshape(-1, 8)
+    signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
+    first = np.searchsorted(doc, np.arange(len(docs)))
+    out = np.add.reduceat(signs[term] * weight[:, None], first)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float16).astype(np.float32)
+
+
+def _moved(row: np.ndarray) -> np.ndarray:
+    """A little that differs from document to document, so that any number of copies can be cut apart."""
+    return (mix(row.astype(np.uint64)) >> np.uint64(40)).astype(np.float32) / (1 << 24) * 1e-3
+
+
+def cuts(x: np.ndarray, moved: np.ndarray, shards: int) -> list[tuple]:
+    """A tree of cuts across the direction in which the documents of a branch differ most: (direction, bound, low branch, high branch), or (None, shard, -1, -1)."""
+    tree: list[tuple] = []
+    leaves = 0
+
+    def grow(at: np.ndarray, n: int) -> int:
+        nonlocal leaves
+        own = len(tree)
+        tree.append((None, leaves, -1, -1))
+        if n < 2 or len(at) < 2:
+            leaves += 1
+            return own
+        part = x[at]
+        way = np.linalg.eigh(np.cov(part.T))[1][:, -1].astype(np.float32)
+        side = part @ way + moved[at]
+        order = np.argsort(side, kind="stable")
+        low = len(at) * (n // 2) // n
+        bound = (side[order[low - 1]] + side[order[low]]) / 2 if low else side[order[0]] - 1
+        tree[own] = (way, bound, grow(at[order[:low]], n // 2), grow(at[order[low:]], n - n // 2))
+        return own
+
+    grow(np.arange(len(x)), shards)
+    return tree
+
+
+def shard_of(tree: list[tuple], x: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x), np.int64)
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        node, at = todo.pop()
+        way, bound, low, high = tree[node]
+        if way is None:
+            out[at] = bound
+            continue
+        up = x[at] @ way + moved[at] > bound
+        todo += [(k, part) for k, part in ((low, at[~up]), (high, at[up])) if len(part)]
+    return out
+
 
 class Index:
-    """BM25 inverted index over the documents of one shard."""
+    """BM25 inverted index over the documents of one shard, under the term weights ``idf`` and the mean length of all documents."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         n = len(docs)
         terms, tf, doc = [], [], []
         for i, ids in enumerate(docs):
@@ -30,9 +103,8 @@ class Index:
         term, tf, self.doc = term[order], tf[order], doc[order]
         self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
         self.last = self.first + df
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        long = size[self.doc] / max(size.mean(), 1e-9)
-        self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * long))
+        long = size[self.doc] / max(mean, 1e-9)
+        self.weight = np.repeat(idf[self.terms], df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * long))
         self.n = n
 
     def scores(self, doc: int) -> np.ndarray:
@@ -44,7 +116,7 @@ class Index:
         return np.bincount(self.doc[post], self.weight[post], self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (doc, start, length, sequence, offset) of a shard.
 
     A seed document opens a window; its best unused neighbours that fit follow, best first; the
@@ -52,7 +124,7 @@ def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int,
     next window. So only the shard's last window can be short; it is cut into sequences of
     descending powers of two, which need no padding.
     """
-    index, sizes = Index(docs), np.array([len(d) for d in docs])
+    index, sizes = Index(docs, idf, mean), np.array([len(d) for d in docs])
     free = np.ones(len(docs), bool)
     seed, start, sequence, following = -1, 0, 0, 0
     last: list[tuple[int, int, int]] = []
@@ -108,41 +180,95 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``ids`` are the piece's token ids as little-endian unsigned 32-bit integers, ``end_id`` closing
     each document. Null texts count as empty and are one id long. Sequences hold at most ``window``
     (a power of two) ids; all are full but for at most one each of the lesser powers of two in a
-    shard. Documents go to shards of about ``shard_docs`` by a hash of id and text, so repeated ids
-    spread; each shard has its own index and is packed on its own, so memory is bounded by a
-    shard and nothing is gathered elsewhere. An empty table gives no rows.
+    shard.
+
+    Document frequencies, number and mean length are those of all documents. Neighbours are looked for within a
+    shard of about ``shard_docs`` documents, so related documents are brought into one: each
+    document's BM25 weights are projected to a short vector, and the space of these is cut in two, across the
+    direction of largest spread, until the parts are small enough (``cuts``, from 16 documents a shard;
+    each document then goes down the tree). Copies beyond a shard's size are cut apart by a
+    hash of id and text. Neighbours that a cut separates do not meet: README has the share.
+    Memory is bounded by a shard; the driver holds a number for each term and 16 vectors a shard.
+    An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shards = max(1, -(-docs.count() // shard_docs))
-    place = F.pmod(F.xxhash64("id", "text"), F.lit(shards))
-    sent = rows.withColumn("shard", place).repartition("shard").sortWithinPartitions("shard", "id", "text").select("id", "text", "shard")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, False)
+        wide = "<u2" if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        for batch in batches:
+            for lo, hi, flat, offsets in encoded(batch, enc, end_id):
+                raw = [flat[a:b].astype(wide).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(raw, pa.binary()), pa.array(np.diff(offsets))], names=["id", "row", "ids", "n"])
+
+    def read(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        for batch in batches:
+            for lo, hi in slices(batch.column("n").to_numpy(), 1 << 18):
+                part = batch.slice(lo, hi - lo)
+                yield part, read(part)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, np.int64)
+        for _, some in parts(batches):
+            now = np.bincount(_counted(some)[1], minlength=len(df))
+            now[: len(df)] += df
+            df = now
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "df"])
+
+    coded = written(rows.mapInArrow(encode, f"id {kind}, row long, ids binary, n long"), "tokens")
+    total, mean = coded.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    shards = max(1, -(-total // shard_docs))
+    counts = coded.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(max([end_id, *counts["term"].to_pylist()]) + 1, np.int64)
+    df[counts["term"].to_numpy()] = counts["df"].to_numpy()
+    idf = idf_of(df, total)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, some in parts(batches):
+            x = vectors(some, idf, mean)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["row", "x"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, some in parts(batches):
+            at = shard_of(tree, vectors(some, idf, mean), _moved(part.column("row").to_numpy())) if shards > 1 else np.zeros(len(some), np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at)], names=[*part.schema.names, "shard"])
+
+    tree: list[tuple] = []
+    if shards > 1:
+        chosen = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit(max(1, round((1 << 20) * min(1.0, _LOOKED_AT * shards / total))))
+        seen = coded.where(chosen).mapInArrow(placed, "row long, x binary").toArrow().sort_by("row")
+        x = np.frombuffer(b"".join(seen["x"].to_pylist()), np.float16).reshape(-1, _WIDE).astype(np.float32)
+        tree = cuts(x, _moved(seen["row"].to_numpy()), shards)
+    sent = coded.mapInArrow(dealt, f"id {kind}, row long, ids binary, n long, shard long").repartition("shard").sortWithinPartitions("shard", "id", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, now = encoder(tokenizer, False), None
-        ids: list = []
+        now = None
+        keys: list = []
         docs_in: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            pieces = np.array(list(pack_shard(docs_in, window)), np.int64).reshape(-1, 5)
+            pieces = np.array(list(pack_shard(docs_in, window, idf, mean)), np.int64).reshape(-1, 5)
             for lo in range(0, len(pieces), 4096):
                 part = pieces[lo : lo + 4096]
                 raw = [docs_in[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in part.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in part[:, 0].tolist()], kind), pa.array(part[:, 1]), pa.array(part[:, 2]), pa.array(raw, pa.binary()), pa.array(np.array([len(docs_in[d]) for d in part[:, 0].tolist()], np.int64)), pa.array(part[:, 3] + (now << 32)), pa.array(part[:, 4])], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in part[:, 0].tolist()], own), pa.array(part[:, 1]), pa.array(part[:, 2]), pa.array(raw, pa.binary()), pa.array(np.array([len(docs_in[d]) for d in part[:, 0].tolist()], np.int64)), pa.array(part[:, 3] + (now << 32)), pa.array(part[:, 4])], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            kind = batch.column(0).type
-            keys, at = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for lo, hi, flat, offsets in encoded(batch, enc, end_id):
-                for k in range(lo, hi):
-                    if at[k] != now:
-                        if docs_in:
-                            yield from flush()
-                        now, ids, docs_in = at[k], [], []
-                    ids.append(keys[k])
-                    docs_in.append(flat[offsets[k - lo] : offsets[k - lo + 1]].copy())
+            own = batch.column("id").type
+            for key, ids, shard in zip(batch.column("id").to_pylist(), read(batch), batch.column("shard").to_pylist(), strict=True):
+                if shard != now:
+                    if docs_in:
+                        yield from flush()
+                    now, keys, docs_in = shard, [], []
+                keys.append(key)
+                docs_in.append(ids)
         if docs_in:
             yield from flush()
 
-    kind = rows.schema["id"].dataType.simpleString()
     out = sent.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
