@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; a document of which nothing is left goes."""
-    done = line_dedup.line_dedup(docs)
+    done = line_dedup.line_dedup(docs, exact=1)
     return _documents(done.where(~((F.col("n_dropped") > 0) & (F.trim("text") == ""))))
 
 

@@ -104,6 +104,21 @@ def test_lines(spark, docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_short_lines(spark):
+    rows = [(1, "All rights reserved.\n\n---\nx\nsome words"), (2, "All rights reserved.\n\n---\nx\nsome word"), (3, "All rights reserved."), (4, "---\n漢\n\n漢")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), exact=1).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n---\nsome word", 2), 3: ("", 1), 4: ("---\n漢\n", 1)}
+
+
+def test_short_lines_go_in_the_query(spark):
+    from collections import Counter
+
+    from veilframe.llm.queries import op4
+
+    lines = Counter(x for r in op4(spark, "/root/testdata/sf0.001").collect() for x in (r.text or "").split("\n") if any(c.isalnum() for c in x))
+    assert not [x for x, n in lines.items() if n > 1]
+
+
 def test_chat(spark):
     rows = [(1, 1, None, "user", "hi <|turn|> <\\|", 0.0), (1, 2, 1, "assistant", "bad", 1.0), (1, 3, 1, "assistant", "good <|end|>\n", 2.0), (1, 4, 3, "us\ner", None, 0.0), (2, 1, 99, "assistant", "", 0.0)]
     df = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, s double")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import Hashed, bucket_links, mix, slices, with_texts, written
 
 _WORD = (1 << 64) - 1
+#: Which of the first code points are letters or digits; those above count as such.
+_ALNUM = np.array([chr(c).isalnum() for c in range(1 << 16)] + [True])
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -54,8 +56,8 @@ def within(a: str, b: str, most: int) -> bool:
     return dist <= most
 
 
-def _lines(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the texts, and of each line of at least ``least`` characters its text, number and bounds: points, (text, line, start, end) rows."""
+def _lines(texts: list[str], least: int, exact: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts, and of each line of at least ``least`` characters, or of at least ``exact`` with a letter or digit, its text, number and bounds: points, (text, line, start, end) rows."""
     points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.flatnonzero(points == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -63,7 +65,8 @@ def _lines(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     text = np.searchsorted(bounds, starts, "right")
     first = np.searchsorted(starts, np.concatenate([[0], bounds[:-1]]))
     number = np.arange(len(starts)) - first[text]
-    long = ends - starts >= least
+    size, known = ends - starts, np.concatenate([[0], np.cumsum(_ALNUM[np.minimum(points, 1 << 16)])])
+    long = (size >= least) | (size >= exact) & (known[ends] > known[starts])
     return points, text[long], number[long], np.stack([starts[long], ends[long]])
 
 
@@ -91,13 +94,14 @@ def segment_keys(hashed: Hashed, start: np.ndarray, end: np.ndarray, errors: int
     return np.stack(keys)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 2, least: int = 24) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 2, least: int = 24, exact: int | None = None) -> DataFrame:
     """``docs`` with every repeated line removed from ``text_col``; ``n_lines`` and ``n_dropped`` are added (and replace columns of these names).
 
     Lines (between line breaks) of at least ``least`` characters form classes: lines within
     ``errors`` (up to 15) edits are linked, links chain. Of each class the first line in order of (id, row's
     text hash, line number) stays, all others go; ids order as Spark sorts them, null first.
-    Shorter lines, empty and null texts stay as they are. Rows that share id and text are treated
+    Shorter lines of at least ``exact`` characters (none where it is not given) that hold a letter or digit form classes of equal lines.
+    All other lines, empty and null texts stay as they are. Rows that share id and text are treated
     alike: their lines count once. All columns and rows stay.
 
     Links are found by the keys of ``segment_keys`` (segment, its number, the line's length), kept
@@ -106,21 +110,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).where(F.length(text) >= least)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).where(F.length(text) >= (least if exact is None else max(1, min(least, exact))))
     kind = rows.schema["id"].dataType.simpleString()
     signed = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def each(batches: Iterator[pa.RecordBatch], exact: int = least) -> Iterator[tuple]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 1 << 19):
-                points, text, number, bounds = _lines(texts[lo:hi], least)
+                points, text, number, bounds = _lines(texts[lo:hi], least, exact)
                 if len(text):
                     hashed = Hashed(points)
                     yield batch, lo, hi, texts, points, text, number, bounds, hashed, hashed.of(*bounds)
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, _, points, text, number, (start, end), hashed, line in each(batches):
+        for batch, lo, hi, _, points, text, number, (start, end), hashed, line in each(batches, least if exact is None else max(1, exact)):
             pair = hashed.of(np.arange(len(points) - 1), np.arange(2, len(points) + 1))
             bit = np.append(np.uint64(1) << (pair >> np.uint64(58)), np.uint64(0))
             ends = np.stack([start, end - 1], 1).ravel()
@@ -149,13 +153,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     seen = written(rows.mapInArrow(occur, f"id {kind}, row long, number int, line long, check long, size int, sketch long, letters long"), "lines")
     lines = rows.mapInArrow(words, "id long, text string")
-    facts = seen.groupBy(F.col("line").alias("id")).agg(F.struct(F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("letters").alias("letters")).alias("fact"))
+    facts = seen.where(F.col("size") >= least).groupBy(F.col("line").alias("id")).agg(F.struct(F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("letters").alias("letters")).alias("fact"))
     bits = lambda a, b, c: F.bit_count(a[c].bitwiseXOR(b[c]))
     near = lambda a, b: (F.abs(a["size"] - b["size"]) <= errors) & (bits(a, b, "letters") <= 2 * errors) & (bits(a, b, "sketch") <= 4 * errors)
     comps = bucket_links(rows.mapInArrow(keys, "key long, id long"), facts, near, lambda pairs: with_texts(pairs, lines).mapInArrow(confirm, "a long, b long"))
 
-    told = seen.join(comps.select(F.col("id").alias("line"), "comp"), "line", "left").select("id", "row", "number", F.coalesce("comp", "line").alias("class"), F.when(F.col("comp").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))
-    told = written(told, "classes")
+    short = seen.where(F.col("size") < least).select("id", "row", "number", F.col("line").alias("class"), "check")
+    told = seen.where(F.col("size") >= least).join(comps.select(F.col("id").alias("line"), "comp"), "line", "left").select("id", "row", "number", F.coalesce("comp", "line").alias("class"), F.when(F.col("comp").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))
+    told = written(told.unionAll(short), "classes")
     order = F.struct("id", "row", "number")
     many = told.groupBy("class", "check").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("class", "check", "first")
     gone = told.join(many, ["class", "check"]).where(~order.eqNullSafe(F.col("first"))).groupBy("id", "row").agg(F.collect_set("number").alias("gone"))

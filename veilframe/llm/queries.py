@@ -39,7 +39,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), exact=1).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
