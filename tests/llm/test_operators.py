@@ -141,6 +141,17 @@ def test_pii(spark, docs, empty):
     assert pii.replace_pii(docs).count() == len(ROWS) and pii.replace_pii(empty).count() == 0
 
 
+def test_pii_secrets_and_further_mentions(spark):
+    hexed = "9233A8EC" * 5
+    rows = [(1, f'token = "{hexed}"!!'), (2, hexed), (3, "password: hunterx\nAPI_KEY='ab, cd'"), (4, '{"secret": "qwertyuiop"}'), (5, "Mr Smith met Prof. Jones. Smith's dog saw Jones, not Smithson.")]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].pii_count for i in range(1, 6)] == [1, 1, 2, 1, 4]
+    assert got[1].text.startswith('token = "') and got[1].text.endswith('"!!') and got[1].text[9:49] == got[2].text != hexed and set(got[2].text) <= set("0123456789ABCDEF")
+    assert "hunterx" not in got[3].text and "ab, cd" not in got[3].text and "qwertyuiop" not in got[4].text
+    w = got[5].text.split()
+    assert w[1] != "Smith" and w[5].split("'")[0] == w[1] and w[4].rstrip(".") == w[8].rstrip(",") != "Jones" and w[10] == "Smithson."
+
+
 def _plain(name, texts):
     from tokenizers import Tokenizer
 

@@ -12,14 +12,22 @@ from .common import written
 _MEN, _WOMEN = r"Mr|Herr|Monsieur|Señor|Sr|господин", r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа"
 
 
+_PEOPLE = "Dr|Prof|Professor|Doctor|Docteur|Doktor"
+#: What comes before a secret; a quote may stand around the keyword and opens the value. Bounded, as it is looked for backwards.
+_KEYWORD = r"(?i:password|passwd|api[_\-]?key|token|secret)(?:\\?[\"'])?[ \t]{0,8}[=:]{1,2}>?"
+_HEX = "".join(rf"|(?<![0-9A-Za-z])[0-9a-fA-F]{{{n}}}(?![0-9A-Za-z])" for n in (40, 64, 32))
+
+
 def _after(titles: str) -> str:
-    return rf"(?<=(?<!\p{{L}})(?:{titles})\.?[ ])\p{{Lu}}\p{{Ll}}+|(?<=(?<!\p{{L}})(?:{titles})\.?[ ]\p{{Lu}}\p{{Ll}}{{1,24}}[ ])\p{{Lu}}\p{{Ll}}+"
+    more = r"(?:(?:Dr|Prof)\.?[ ]|)" * 2
+    word = r"(?!(?:Dr|Prof)(?!\p{L}))\p{Lu}\p{Ll}+"
+    return rf"(?<=(?<!\p{{L}})(?:{titles})\.?[ ]{more}){word}|(?<=(?<!\p{{L}})(?:{titles})\.?[ ]{more}\p{{Lu}}\p{{Ll}}{{1,24}}[ ]){word}"
 
 
 #: Kinds in the order in which they are tried at a place of the text.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=(?i:password|passwd|api_key|apikey|token|secret)[=:])[^\s,;\"']+|(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9a-f]{64}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9a-f]{32}(?![0-9A-Za-z])",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b" + "".join(rf"|(?<={_KEYWORD}[ \t]{{0,8}}{q})[^{q}\r\n]+(?={q})" for q in "\"'") + rf"|(?<={_KEYWORD}[ \t]{{0,8}}(?:\\?[\"'])?)(?![=:>])[^\s,;\"']+" + _HEX,
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<!\d)(?:\d{4}[ \-]?){3}\d{4}(?!\d)|(?<!\d)3[47]\d{13}(?!\d)",
@@ -27,10 +35,11 @@ KINDS = {
     "phone": r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\d)",
     "man": _after(_MEN),
     "woman": _after(_WOMEN),
+    "person": _after(_PEOPLE),
 }
 #: One pattern for texts that hold a title, and one without the names for all others.
 ANY = "|".join(f"({p})" for p in KINDS.values())
-CORE = "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in ("man", "woman"))
+CORE = "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in ("man", "woman", "person"))
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "áàâäãåéèêëíìîïóòôöõúùûüñç", "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ"]
 
 
@@ -85,6 +94,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         .when(kind == "phone", F.concat(code, F.expr("''"), F.substring(_letters(value, seed), F.length(code) + 1, F.length(value))))
         .when((kind == "secret") & value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(_letters(value, seed), F.lit(5), F.length(value))))
         .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), F.substring(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256)), F.lit(1), F.length(value)))
+        .when((kind == "secret") & value.rlike("^[0-9A-F]{32,128}$"), F.upper(F.substring(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256)), F.lit(1), F.length(value))))
         .when(kind.isin("man", "woman"), F.when(cyrillic, cyrillic_name).otherwise(latin_name))
         .otherwise(_letters(value, seed))
     )
@@ -113,12 +123,11 @@ def surrogate_map(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def _kind(value: Column, woman: Column, titled: Column) -> Column:
-    """Kind of a match, told from the match itself; names only occur in texts that hold a title."""
+def _kind(value: Column, names: dict[str, Column]) -> Column:
+    """Kind of a match, told from the match itself, and for names from the group that matched."""
     digits = F.length(F.regexp_replace(value, r"\D", ""))
     return (
-        F.when(titled & (woman != ""), "woman")
-        .when(titled & value.rlike(r"^\p{Lu}\p{Ll}+$"), "man")
+        reduce(lambda a, k: a.when(names[k] != "", k), names, F.when(F.lit(False), ""))
         .when(value.rlike(r"^[^@\s]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"), "email")
         .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(value.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{10,}$"), "iban")
@@ -134,24 +143,23 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "surrogates-
 
     The same value gets the same surrogate in all documents and different values get different
     ones. Texts without an entity, empty and null texts are unchanged (count 0, no kinds).
-    Repeated rows stay repeated. Only texts that hold an entity go through the joins; the joins
+    Further mentions of a name found after a title in the same text get its surrogate and count. Repeated rows stay repeated. Only texts that hold an entity go through the joins; the joins
     run over (row, entity) pairs, so a value that very many rows hold is split by row.
     """
-    names = [c for c in docs.columns if c not in ("pii_count", "pii_kinds")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in names))
+    names_out = [c for c in docs.columns if c not in ("pii_count", "pii_kinds")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in names_out))
     text = F.col(f"`{text_col}`")
     #: Cheap signs without which no pattern matches, so that most texts are never searched.
-    titled = reduce(lambda a, b: a | b, (text.contains(t) for t in f"{_MEN}|{_WOMEN}".split("|")))
-    signs = text.rlike("[0-9@]") | text.rlike("(?i)(?:password|passwd|api_key|apikey|token|secret)[=:]")
+    titled = reduce(lambda a, b: a | b, (text.contains(t) for t in f"{_MEN}|{_WOMEN}|{_PEOPLE}".split("|")))
+    signs = text.rlike("[0-9@]") | text.rlike(_KEYWORD)
     has = F.coalesce(F.when(titled, text.rlike(ANY)).when(signs, text.rlike(CORE)), F.lit(False))
     none = docs.where(~has).withColumns({"pii_count": F.lit(0), "pii_kinds": F.array().cast("array<string>")})
     row = F.col("row")[text_col]
-    last = len(KINDS)
     found = docs.where(has).select(F.struct("*").alias("row"), titled.alias("titled"))
     hits = F.when(F.col("titled"), F.regexp_extract_all(row, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(row, F.lit(CORE), F.lit(0)))
-    women = F.when(F.col("titled"), F.regexp_extract_all(row, F.lit(ANY), F.lit(last)))
-    found = found.select("row", "titled", hits.alias("hits"), women.alias("women"))
-    ents = F.transform("hits", lambda x, i: F.struct(_kind(x, F.coalesce(F.get("women", i), F.lit("")), F.col("titled")).alias("kind"), x.alias("value")))
+    groups = {k: F.when(F.col("titled"), F.regexp_extract_all(row, F.lit(ANY), F.lit([*KINDS].index(k) + 1))) for k in ("man", "woman", "person")}
+    found = found.select("row", "titled", hits.alias("hits"), *(g.alias(k) for k, g in groups.items()))
+    ents = F.transform("hits", lambda x, i: F.struct(_kind(x, {k: F.coalesce(F.get(k, i), F.lit("")) for k in groups}).alias("kind"), x.alias("value")))
     found = found.select(F.monotonically_increasing_id().alias("key"), "row", "titled", ents.alias("ents"))
     found = written(found, "private")
     listed = found.select("key", F.explode(F.array_distinct("ents")).alias("e")).select("key", "e.kind", "e.value")
@@ -163,5 +171,12 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "surrogates-
     parts = F.when(F.col("titled"), F.split(row, ANY, -1)).otherwise(F.split(row, CORE, -1))
     text2 = F.array_join(F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.get("new", i), F.lit("")))), "")
     done = found.join(by_row, "key").select("row", "ents", parts.alias("parts"), new.alias("new"))
-    done = done.select(*(text2.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names), F.size("ents").alias("pii_count"), F.array_sort(F.array_distinct(F.col("ents.kind"))).alias("pii_kinds"))
+    #: Names found after a title; each is a word of letters and no surrogate is a name that occurs, so they are replaced one after the other.
+    names = F.filter(F.arrays_zip(F.col("ents.kind").alias("kind"), F.col("ents.value").alias("value"), "new"), lambda e: e["kind"].isin(*groups))
+    done = done.withColumn("names", names)
+    alone = lambda name: F.concat(F.lit(r"(?<!\p{L})(?:"), name, F.lit(r")(?!\p{L})"))
+    again = F.when(F.size("names") > 0, F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(F.regexp_extract_all(p, alone(F.array_join(F.col("names.value"), "|")), F.lit(0))))).otherwise(0)
+    same = F.when(F.size("names") > 0, F.transform("parts", lambda p: F.aggregate("names", p, lambda t, e: F.regexp_replace(t, alone(e["value"]), e["new"])))).otherwise(F.col("parts"))
+    done = done.select("row", "ents", "new", again.alias("again"), same.alias("parts"))
+    done = done.select(*(text2.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names_out), (F.size("ents") + F.col("again")).alias("pii_count"), F.array_sort(F.array_distinct(F.col("ents.kind"))).alias("pii_kinds"))
     return none.unionByName(done)
