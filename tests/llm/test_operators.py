@@ -236,5 +236,13 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(empty, df.select("doc_id", "toxic").limit(0))).count() == 0
 
 
+def test_quotations():
+    matcher = toxicity.Matcher(toxicity.Lexicon({"blockhead": 1.0}))
+    plain = ["I’m sure a blockhead like him don’t", "l’eau a blockhead j’ai", '"hello" blockhead says "bye"', "a blockhead”"]
+    quoted = ["they said blockhead to him", "a “blockhead” it was", "« a blockhead »", 'so " a blockhead " there', 'a "great blockhead" there', "„blockhead“"]
+    assert all(toxicity.features(t, matcher)[0] > 0 == toxicity.features(t, matcher)[2] for t in plain)
+    assert all(toxicity.features(t, matcher)[2] > 0 == toxicity.features(t, matcher)[0] for t in quoted)
+
+
 def test_crc(spark):
     assert spark.sql("select crc32(cast('abc' as binary)) c").first().c == zlib.crc32(b"abc")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _QUOTES = "\"“”„«»‹›‘’`"
+#: Opening marks with the marks that close them.
+_CLOSE = {'"': '"', "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«»", "‹": "›", "›": "‹", "‘": "’", "`": "`'"}
 _SAID = {"said", "says", "quote", "quoted", "called", "word", "term", "wrote", "dit", "disait", "mot", "sagte", "wort", "dijo", "palabra"}
 _YOU = {"you", "your", "you're", "youre", "u", "tu", "toi", "vous", "du", "dich", "dir", "ihr", "sie", "te", "tú", "usted", "eres", "are", "es", "bist"}
 _EDGE = "\t\n\r .,;:!?()[]{}<>|*_#~-–—…/\\'" + _QUOTES
@@ -126,6 +128,32 @@ class Matcher:
         return [(i, *self.found[w]) for i, w in enumerate(words) if w in self.found]
 
 
+def _edges(word: str) -> tuple[str, str]:
+    """What stands before a word's first letter or digit, and after its last; a mark between two letters is an apostrophe and in neither."""
+    inner = [k for k, c in enumerate(word) if c.isalnum()]
+    return (word[: inner[0]], word[inner[-1] + 1 :]) if inner else (word, word)
+
+
+def _marked(before: list[str], after: list[str]) -> bool:
+    """Does a quotation that opens in ``before`` (whose last word is the hit, the first of ``after``) still stand open there, and close in ``after``?"""
+    opened = ""
+    for k, w in enumerate(before):
+        lead, tail = _edges(w)
+        fresh = not opened
+        opened = opened or next((c for c in lead if c in _CLOSE), "")
+        if opened and not (fresh and lead == w) and k < len(before) - 1 and any(c in _CLOSE[opened] for c in tail):
+            opened = ""
+    if not opened:
+        return False
+    for k, w in enumerate(after):
+        lead, tail = _edges(w)
+        if k and opened in lead and lead != w:
+            return False
+        if any(c in _CLOSE[opened] for c in tail):
+            return True
+    return False
+
+
 def features(text: str, matcher: Matcher, window: int = 6) -> list[float]:
     """Weights of the lexicon's hits: exact, misspelled, quoted, and next to somebody addressed; share of hits; bias.
 
@@ -137,8 +165,7 @@ def features(text: str, matcher: Matcher, window: int = 6) -> list[float]:
     found = matcher.hits(words)
     for i, weight, errors in found:
         before, after = words[max(0, i - window) : i + 1], words[i : i + window + 1]
-        marked = any(c in _QUOTES for w in before for c in w[:2]) and any(c in _QUOTES for w in after for c in w[-3:])
-        if marked or any(w.strip(_EDGE) in _SAID for w in before[:-1]) and marked:
+        if _marked(before, after) or any(w.strip(_EDGE) in _SAID for w in before[:-1]):
             quoted += weight
         elif errors:
             fuzzy += weight
