@@ -39,7 +39,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), exact=1).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_viterbi.encode(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
-    back = sentencepiece_viterbi.decode(coded, tokenizer("piece_bpe_32k.model"))
+    coded = sentencepiece_viterbi.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+    back = sentencepiece_viterbi.decode(coded.drop("text"), tokenizer("piece_bpe_32k.model"))
     return back.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 

@@ -10,12 +10,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, written
+from .common import shared_dir, slices, text_slices, tidy, written
 
 #: Unicode white space, as the tokenizers' own patterns take it, but for the plain space.
 _SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -33,58 +34,72 @@ _ODD = re.compile("[\x1c-\x1f]")
 
 
 class WordCache:
-    """Encodes texts word by word, each distinct word once; at most about ``most`` words are remembered, rare ones go first.
+    """Encodes texts word by word, each distinct word of a call once; words are remembered up to about ``most`` bytes, rare and long ones go first.
 
     A subclass says which words a text has (None: encode it whole) and what their ids are.
     """
 
-    def __init__(self, most: int = 1_000_000):
+    #: Bytes that a remembered word takes besides its characters and ids, about; longer words are not kept.
+    EACH, LONGEST = 180, 64
+
+    def __init__(self, most: int = 64 << 20):
         self.most = most
         self.known: dict[str, int] = {}
-        self.flat, self.start, self.size, self.seen = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size, self.seen, self.weight = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(4))
 
     def _plain(self, texts: list[str]) -> list:
         raise NotImplementedError
 
-    def _of_words(self, words: list[str]) -> list:
+    def _of_words(self, words: list[str], cut: set[str]) -> list:
+        """Ids of words; those of ``cut`` come from texts that ``_cut`` has dealt with."""
         return self._plain(words)
 
+    def _cut(self, text: str) -> list[str] | None:
+        """Words of a text that the subclass can cut exactly as its file does (None: it can't)."""
+        return None
+
     def _words(self, text: str) -> list[str] | None:
         raise NotImplementedError
 
     def _forget(self) -> None:
-        floor = 2
-        while (self.seen >= floor).sum() > self.most // 2:
+        """Keep the commonest words that take half of what is allowed; counts are halved, so that words that were common once go too."""
+        keep = self.weight < self.EACH + 2 * self.LONGEST + 256
+        floor = 1
+        while self.weight[keep].sum() > self.most // 2:
             floor *= 2
-        keep = self.seen >= floor
+            keep &= self.seen >= floor
         new = np.cumsum(keep) - 1
         self.known = {w: int(new[i]) for w, i in self.known.items() if keep[i]}
         self.flat = self.flat[_spans(self.start[keep], self.size[keep])]
-        self.size = self.size[keep]
+        self.size, self.weight, self.seen = self.size[keep], self.weight[keep], self.seen[keep] // 2
         self.start = np.cumsum(self.size) - self.size
-        self.seen = self.seen[keep] // 2
 
-    def _learn(self, words: list[str]) -> None:
-        ids = self._of_words(words)
+    def _learn(self, words: list[str], cut: set[str]) -> None:
+        ids = self._of_words(words, cut)
         self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum())])
         self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
+        self.weight = np.concatenate([self.weight, self.EACH + 2 * np.fromiter(map(len, words), np.int64, len(words)) + 4 * sizes])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of each text."""
-        listed = [self._words(t) if t else [] for t in texts]
-        alone = [i for i, w in enumerate(listed) if w is None]
+        listed = [self._cut(t) if t else [] for t in texts]
+        left = [i for i, w in enumerate(listed) if w is None]
+        for i in left:
+            listed[i] = []
+        cut = set(chain.from_iterable(listed)).difference(self.known)
+        for i in left:
+            listed[i] = self._words(texts[i])
+        alone = [i for i in left if listed[i] is None]
         for i in alone:
             listed[i] = []
-        words = [w for ws in listed for w in ws]
-        if len(self.known) > self.most:
-            self._forget()
-        new = list(set(words).difference(self.known))
+        words = list(chain.from_iterable(listed))
+        new = cut | {w for i in left for w in listed[i]}.difference(self.known)
         if new:
-            self._learn(new)
+            self._learn([*new], cut)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.seen += np.bincount(at, minlength=len(self.seen))
         each = self.size[at]
@@ -92,6 +107,8 @@ class WordCache:
         sums = np.concatenate([[0], np.cumsum(each)])
         ends = np.cumsum([len(w) for w in listed])
         counts = np.diff(sums[np.concatenate([[0], ends]).astype(np.int64)])
+        if self.weight.sum() > self.most:
+            self._forget()
         if alone:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i, whole in zip(alone, self._plain([texts[i] for i in alone]), strict=True):
@@ -107,6 +124,8 @@ class WordEncoder(WordCache):
     dropped and letters are folded (word-end files). Texts of characters below 256 are cut by the
     same pattern here, and their words go to the file's model alone; others are cut at white
     space, where every such pattern breaks, and their words go through the whole tokenizer.
+    Texts in which one of the file's added tokens stands go through the whole tokenizer at once,
+    which finds such a token before anything else.
     """
 
     def __init__(self, path: str, spaces: bool):
@@ -115,23 +134,32 @@ class WordEncoder(WordCache):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = Tokenizer(self.tok.model)
-        self.model.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
+        #: Do added tokens do without "<"? Otherwise most texts need no closer look.
+        self.odd = any("<" not in t for t in self.added)
         self.spaces, self.cut = spaces, (_SPACED if spaces else _BARE).findall
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_words(self, words: list[str]) -> list[list[int]]:
-        alone = [_low(w) and self.cut(w) == [w] and (self.spaces or w == w.lower()) for w in words]
-        fast = iter(self.model.encode_batch_fast([w.translate(_BYTES) for w, a in zip(words, alone, strict=True) if a], add_special_tokens=False))
-        slow = iter(self._plain([w for w, a in zip(words, alone, strict=True) if not a]))
-        return [next(fast).ids if a else next(slow) for a in alone]
+    def _of_words(self, words: list[str], cut: set[str]) -> list[list[int]]:
+        """Words that are cut already go to the file's model alone, others through the whole tokenizer. ``words`` is put in that order."""
+        words.sort(key=cut.__contains__, reverse=True)
+        fast = self.model.encode_batch_fast([w.translate(_BYTES) for w in words[: len(cut)]], add_special_tokens=False)
+        return [e.ids for e in fast] + self._plain(words[len(cut) :])
+
+    def _cut(self, text: str) -> list[str] | None:
+        if not _low(text) or self._holds_added(text):
+            return None
+        return self.cut(text if self.spaces else text.lower())
+
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text.lower() for t in self.added) if "<" in text or self.odd else False
 
     def _words(self, text: str) -> list[str] | None:
-        if _low(text):
-            return self.cut(text if self.spaces else text.lower())
+        if self._holds_added(text):
+            return None
         if not self.spaces:
             return None if _ODD.search(text) else text.split()
         out = []
@@ -165,34 +193,31 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
+#: Bytes of text that are encoded at once, but for a longer text.
+SLICE = 1 << 19
 
 
 def encoder(path: str, spaces: bool) -> WordEncoder:
-    """One for each file and Python worker, kept from task to task."""
+    """One for each Python worker, kept from task to task while the file is the same."""
     if (path, spaces) not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path, spaces] = WordEncoder(path, spaces)
     return _ENCODERS[path, spaces]
 
 
-def encoded(batch: pa.RecordBatch, enc: WordEncoder, end_id: int, column: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For parts of a batch: its range of rows, all ids with ``end_id`` after each text, and their offsets. Null counts as empty."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 1 << 21):
-        ids, counts = enc.encode(texts[lo:hi])
-        offsets = np.concatenate([[0], np.cumsum(counts + 1)])
+def encoded(batch: pa.RecordBatch, words: WordCache, end_id: int | None, column: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For parts of a batch: its range of rows, all ids with ``end_id`` (if there is one) after each text, and their offsets. Null counts as empty."""
+    for lo, hi, texts in text_slices(batch.column(column), SLICE):
+        ids, counts = words.encode(texts)
+        offsets = np.concatenate([[0], np.cumsum(counts + (end_id is not None))]).astype(np.int64)
+        if end_id is None:
+            yield lo, hi, ids, offsets
+            continue
         out = np.full(offsets[-1], end_id, np.int32)
         out[_spans(offsets[:-1], counts)] = ids
         yield lo, hi, out, offsets
 
 
-def encoded_plain(batch: pa.RecordBatch, words: WordCache, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """As ``encoded``, without an id at the end."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 1 << 21):
-        ids, counts = words.encode(texts[lo:hi])
-        yield lo, hi, ids, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-
-
 def store(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path within it, of a local path or a URI."""
     if path.startswith("file:"):
@@ -205,10 +230,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
 
     Each part has three flat little-endian files: ``.bin`` (ids, 16 bits where the vocabulary
     allows, else 32), ``.idx`` (64-bit offsets of the documents, one more than documents) and
-    ``.doc`` (64-bit document ids, -2**63 for null). Returns the manifest, one row per part:
-    ``part, path, width, docs, tokens, doc_base, token_base``; the bases are prefix sums of the
-    parts' counts. A file appears under its name only when it is complete and a repeated attempt
-    writes the same bytes, so lost executors do no harm. An empty table gives no parts.
+    ``.doc`` (64-bit document ids). Returns the manifest, one row per part: ``part, path, width,
+    docs, nulls, tokens, doc_base, token_base``; the first ``nulls`` documents have no id (0 in the
+    file), the bases are prefix sums of the parts' counts. Each attempt of a task writes files of
+    its own, and the manifest names those of the attempt that succeeded, so a lost executor leaves
+    at most files that nobody reads. Ids are those of the tokenizer file as the library reads it,
+    added tokens in a text included. An empty table gives no parts.
     """
     spark = docs.sparkSession
     out_dir = out_dir or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -221,29 +248,27 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
         enc, task = encoder(tokenizer, spaces), TaskContext.get()
         width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         fs, base = store(out_dir)
-        name, mark = f"{base}/part-{task.partitionId():06d}", f".{task.taskAttemptId()}.tmp"
-        docs_n = tokens = 0
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        docs_n = tokens = nulls = 0
         files = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             if not files:
-                files = {k: fs.open_output_stream(f"{name}.{k}{mark}") for k in ("bin", "idx", "doc")}
+                files = {k: fs.open_output_stream(f"{base}/{name}.{k}") for k in ("bin", "idx", "doc")}
                 files["idx"].write(np.zeros(1, "<u8").tobytes())
+            nulls += batch.column(0).null_count
             for lo, hi, ids, offsets in encoded(batch, enc, end_id):
                 files["bin"].write(ids.astype(f"<u{width}").tobytes())
                 files["idx"].write((offsets[1:] + tokens).astype("<u8").tobytes())
-                files["doc"].write(np.array([-(2**63) if x is None else x for x in batch.column(0)[lo:hi].to_pylist()], "<i8").tobytes())
+                files["doc"].write(pc.fill_null(batch.column(0)[lo:hi], 0).to_numpy().astype("<i8").tobytes())
                 docs_n, tokens = docs_n + hi - lo, tokens + len(ids)
-        for k, f in files.items():
+        for f in files.values():
             f.close()
-            if not isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(f"{name}.{k}").type != pafs.FileType.NotFound:
-                fs.delete_file(f"{name}.{k}")
-            fs.move(f"{name}.{k}{mark}", f"{name}.{k}")
         if files:
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [f"{out_dir}/part-{task.partitionId():06d}"], "width": [width], "docs": [docs_n], "tokens": [tokens]})
+            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [f"{out_dir}/{name}"], "width": [width], "docs": [docs_n], "nulls": [nulls], "tokens": [tokens]})
 
-    parts = written(rows.mapInArrow(write, "part long, path string, width long, docs long, tokens long"), "manifest")
+    parts = written(rows.mapInArrow(lambda it: tidy(write(it)), "part long, path string, width long, docs long, nulls long, tokens long"), "manifest")
     counts = sorted((r.part, r.docs, r.tokens) for r in parts.select("part", "docs", "tokens").collect())
     bases, d, t = [], 0, 0
     for part, n, m in counts:
@@ -252,26 +277,37 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str | None = Non
     return parts.join(spark.createDataFrame(bases, "part long, doc_base long, token_base long"), "part")
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Documents read back from the files: ``id, start`` (ids before it), ``n_tokens, ids`` (32-bit little-endian)."""
+class Flat:
+    """A flat file of numbers: memory-mapped where the file system is local, elsewhere read by ranges."""
 
-    def array(path: str, kind: str) -> np.ndarray:
+    def __init__(self, path: str, kind: str):
+        self.kind = np.dtype(kind)
         fs, at = store(path)
-        if isinstance(fs, pafs.LocalFileSystem):
-            return np.memmap(at, kind, "r")
-        with fs.open_input_file(at) as f:
-            return np.frombuffer(f.read_buffer(), kind)
+        self.mapped = np.memmap(at, self.kind, "r") if isinstance(fs, pafs.LocalFileSystem) else None
+        self.file = None if self.mapped is not None else fs.open_input_file(at)
+
+    def read(self, lo: int, hi: int) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[lo:hi]
+        n = self.kind.itemsize
+        return np.frombuffer(self.file.read_at((hi - lo) * n, lo * n), self.kind)
+
+
+def read_token_files(manifest: DataFrame) -> DataFrame:
+    """Documents read back from the files: ``id, start`` (ids before it), ``n_tokens, ids`` (32-bit little-endian)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, idx, doc = array(f"{r['path']}.bin", f"<u{r['width']}"), array(f"{r['path']}.idx", "<u8"), array(f"{r['path']}.doc", "<i8")
-                sizes = np.diff(idx).astype(np.int64)
-                for lo, hi in slices(sizes, 1 << 20):
-                    own = [ids[a:b].astype("<u4").tobytes() for a, b in zip(idx[lo:hi].tolist(), idx[lo + 1 : hi + 1].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([None if x == -(2**63) else x for x in doc[lo:hi].tolist()], pa.int64()), pa.array(idx[lo:hi].astype(np.int64) + r["token_base"]), pa.array(sizes[lo:hi]), pa.array(own, pa.binary())], names=["id", "start", "n_tokens", "ids"])
+                ids, idx, doc = Flat(f"{r['path']}.bin", f"<u{r['width']}"), Flat(f"{r['path']}.idx", "<u8"), Flat(f"{r['path']}.doc", "<i8")
+                for first in range(0, r["docs"], 1 << 14):
+                    last = min(first + (1 << 14), r["docs"])
+                    at, keys = idx.read(first, last + 1).astype(np.int64), doc.read(first, last)
+                    missing = np.arange(first, last) < r["nulls"]
+                    for lo, hi in slices(np.diff(at), 1 << 18):
+                        part = ids.read(int(at[lo]), int(at[hi])).astype("<u4")
+                        own = [part[a:b].tobytes() for a, b in zip((at[lo:hi] - at[lo]).tolist(), (at[lo + 1 : hi + 1] - at[lo]).tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], pa.int64(), mask=missing[lo:hi]), pa.array(at[lo:hi] + r["token_base"]), pa.array(np.diff(at[lo : hi + 1])), pa.array(own, pa.binary())], names=["id", "start", "n_tokens", "ids"])
 
     n = max(1, manifest.count())
-    return manifest.repartition(n, "part").mapInArrow(read, "id long, start long, n_tokens long, ids binary")
-
-
+    return manifest.repartition(n, "part").mapInArrow(lambda it: tidy(read(it)), "id long, start long, n_tokens long, ids binary")
