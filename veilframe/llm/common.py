@@ -8,16 +8,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster, where such a folder
+    would not be shared, this is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="veilframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="veilframe-")
+        _LOCAL[context.applicationId] = found
     return found.rstrip("/")
 
 
@@ -33,12 +44,35 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than one in HOT of all rows, so there are fewer hot keys than this; each is dealt out over SALTS places.
+HOT, SALTS = 1000, 64
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """``big`` left-joined with ``small``, which has one row for each key ``on`` and in ``n`` how many of big's rows have it.
+
+    The hot keys, fewer than ``HOT``, are broadcast, nothing else of them; their rows in ``big`` are
+    dealt out by a hash of the whole row, and their rows in ``small`` are repeated for each place.
+    ``small`` is read more than once and should be a written table; nulls in keys match nothing.
+    Returns big's columns and those of ``small`` but for ``on`` and ``n``.
+    """
+    rest = [c for c in small.columns if c not in (*on, n)]
+    total = small.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT > total
+    flag = F.broadcast(small.where(hot).select(*on, F.lit(True).alias("_hot")))
+    salted = big.join(flag, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    places = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    side = small.select(*on, F.explode(places).alias("_salt"), *rest)
+    return salted.join(side, [*on, "_salt"], "left").select(*big.columns, *rest)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of ``edges(a, b)``: ``id, comp``.
 
     Alternates the large-star and small-star steps until the edges are stars; each step is one
-    grouped minimum (pre-aggregated before its shuffle) and one join, so a node with very many
-    neighbours is never gathered in one place. Rows with a null end or equal ends carry no link.
+    grouped minimum (pre-aggregated before its shuffle) and one join, in which the edges of a node
+    with very many neighbours are dealt out (``spread_join``). Rows with a null end or equal ends
+    carry no link.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(rounds):
@@ -47,45 +81,60 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if loose.isEmpty():
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select("v", "u"))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = written(both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n"), "least")
+        large = written(spread_join(both, low, ["x"]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = spread_join(large, low, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
-def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, Column], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], rounds: int = 3, named: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of all pairs that share a bucket and pass ``verify``, without listing a bucket's pairs.
 
-    members: ``key, id`` (a row for each bucket a node is in; rows may repeat); facts: ``id, fact`` (fact: a small
-    struct that ``near`` compares, as a necessary condition); verify: ``a, b`` to those of them
-    that are linked. Returns ``id, comp`` for the nodes that have a link.
-
-    First every member is compared with the smallest id of its bucket. What these links join is
-    settled. Only buckets that still hold several components are looked at again, and there only
-    members outside the component of the smallest id are compared, with the members of other
-    components. So each pair of a bucket is compared or known to be in one component; a bucket
-    of copies costs as many comparisons as it has members.
+    members: ``key, id`` (a row for each bucket a node is in; rows may repeat); facts: ``id, fact`` (fact: a
+    struct that ``near`` compares, as a necessary condition); texts: ``id`` to ``id, text``, one row
+    each; verify: ``a, b, ta, tb`` to the ``a, b`` of those that are linked; named: ``key, id`` to the same with the ids
+    by which facts and texts go, where those of ``members`` are others. Returns ``id, comp`` for the nodes that have a link.
+
+    One exchange of (key, id) finds the buckets with more than one node; only for their nodes are
+    texts fetched, once. Then, in each of ``rounds`` rounds, one node of every bucket that still
+    holds several components, a pivot, is compared with the members of the others, and what the
+    links join is settled: a bucket of copies costs as many comparisons as it has members. At last
+    all members that are not pivots and are still in different components are compared, so each
+    pair of a bucket has been compared or is known to be in one component. Pairs are made of ids
+    and are distinct before facts and texts join them. A node has few of all keys, so even one
+    bucket with a third of all nodes is a small share of all (key, id) rows.
     """
-    heads = written(members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("n")).where("head <> last"), "buckets")
-    large = heads.where("n > 2")
-    inside = written(members.join(large.select("key", "head"), "key").distinct(), "members")
-    star = heads.where("n = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).unionByName(inside.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))).distinct()
-    first = written(verify(_near(star, facts, near)), "links")
-    comps = written(connected_components(first), "components")
-    label = F.coalesce("comp", "id")
-    told = inside.join(comps, "id", "left").select("key", "id", "head", label.alias("comp"))
-    mixed = told.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = written(told.join(mixed, "key").join(facts, "id"), "mixed")
-    own = rows.where("id = head").select("key", F.col("comp").alias("own"))
-    out = rows.join(own, "key").where("comp <> own").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("own"), F.col("fact").alias("fa"))
-    rest = rows.where("id <> head").select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("fact").alias("fb"))
-    #: The head has been compared with everybody; two outsiders meet once.
-    pairs = out.join(rest, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("own")) | (F.col("a") < F.col("b"))) & near(F.col("fa"), F.col("fb")))
-    second = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return connected_components(first.unionByName(second))
+    bucket = Window.partitionBy("key")
+    ends = members.select("key", "id", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"))
+    inside = ends.where("low <> high").select("key", "id").distinct()
+    inside = rows = written(inside if named is None else named(inside), "members")
+    some = written(texts(inside.select("id").distinct()), "texts")
+    comps = None
+    for last in [False] * rounds + [True]:
+        if comps is None:
+            told = rows.withColumn("comp", F.col("id"))
+        else:
+            told = rows.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        told = told.select("*", F.min("comp").over(bucket).alias("low"), F.max("comp").over(bucket).alias("high")).where("low <> high")
+        if last:
+            told = written(told.select("key", "id", "comp"), "mixed")
+            other = told.select("key", F.col("id").alias("b"), F.col("comp").alias("other"))
+            pairs = told.withColumnRenamed("id", "a").join(other, "key").where("a < b and comp <> other").select("a", "b")
+        else:
+            told = written(told.select("key", "id", "comp", "high", F.min(F.when(F.col("comp") == F.col("high"), F.col("id"))).over(bucket).alias("pivot")), "mixed")
+            pairs = told.where("comp <> high").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            rows = told.where("id <> pivot").select("key", "id")
+        if told.isEmpty():
+            break
+        links = written(verify(with_texts(_near(pairs.distinct(), facts, near), some)), "links")
+        if comps is not None:
+            if links.isEmpty():
+                continue
+            links = links.unionByName(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        comps = written(connected_components(links), "components")
+    return comps if comps is not None else inside.select("id", F.col("id").alias("comp")).limit(0)
 
 
 def _near(pairs: DataFrame, facts: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
@@ -95,12 +144,13 @@ def _near(pairs: DataFrame, facts: DataFrame, near: Callable[[Column, Column], C
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b`` with the texts of both, ``ta, tb``; texts: ``id, text``. Only texts that occur in a pair are kept on the way."""
+    """``a, b`` with the texts of both, ``ta, tb``; texts: a written table ``id, text``, one row an id. A text that is in very many pairs is joined by ``spread_join``."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    some = written(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    b = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return b.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    for side in "ab":
+        counts = pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n"))
+        own = texts.join(counts, "id").select(F.col("id").alias(side), F.col("text").alias(f"t{side}"), "n")
+        pairs = spread_join(pairs, own, [side])
+    return pairs.select("a", "b", "ta", "tb")
 
 
 #: Random 64-bit values for bytes and the powers of an odd base: any fixed values do.
@@ -108,6 +158,8 @@ _RANDOM = np.random.default_rng(20240229)
 BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POINT = _RANDOM.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
+#: A second table, for a hash that is independent of the first.
+OTHER = _RANDOM.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -134,10 +186,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashed:
     """Hashes of any substrings of bytes, or of code points, from one running sum."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, table: np.ndarray = POINT):
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        values = BYTE[data] if data.dtype == np.uint8 else POINT[np.minimum(data, len(POINT) - 1)] ^ (data >> 16).astype(np.uint64) * POINT[data & 0xFFFF]
+        values = BYTE[data] if data.dtype == np.uint8 else table[data & 0xFFFF]
+        if data.dtype != np.uint8 and len(data) and data.max() > 0xFFFF:
+            values = values ^ (data >> 16).astype(np.uint64) * table[data >> 16]
         np.cumsum(values * up[: len(data)], out=self.sums[1:], dtype=np.uint64)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -156,6 +210,16 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column; null counts as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, list]]:
+    """Consecutive values of a string or binary column, of at most ``most`` bytes at once or one longer value; null counts as empty."""
+    empty = b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else ""
+    for lo, hi in slices(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), most):
+        yield lo, hi, [x or empty for x in column.slice(lo, hi - lo).to_pylist()]
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; when they end, the worker's unused Arrow memory goes back, as workers outlive their tasks."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, Hashed, bucket_links, mix, slices, texts_of, with_texts, written
+from .common import BYTE, Hashed, bucket_links, mix, spread_join, text_slices, tidy, with_texts, written
 
 #: A signature has CHUNKS longs of LANES minhashes of BITS bits each.
 CHUNKS, LANES, BITS = 16, 5, 12
@@ -52,9 +52,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = texts_of(batch.column(1))
-        for lo, hi in slices(np.array([len(t) for t in texts]), 1 << 20):
-            sets = _shingles(texts[lo:hi], words)
+        for lo, hi, texts in text_slices(batch.column(2).cast(pa.binary()), 1 << 19):
+            sets = _shingles(texts, words)
             n = np.array([len(s) for s in sets], np.int64)
             flat, start = np.concatenate(sets), np.concatenate(([0], np.cumsum(n)[:-1]))
             full = n > 0
@@ -68,7 +67,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
                     sig[full, k // LANES] |= (mix(least) >> np.uint64(64 - BITS)) << np.uint64(BITS * (k % LANES))
                 prints[0, full] = np.add.reduceat(flat, start[full])
                 prints[1, full] = np.add.reduceat(mix(flat ^ _FLIP[0]), start[full])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n), *(pa.array(_signed(p)) for p in prints), *(pa.array(_signed(sig[:, c])) for c in range(CHUNKS)), *(pa.array(_signed(odd[:, c])) for c in range(PARITY))], names=["id", "n", "p0", "p1", *_PARTS])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(n), *(pa.array(_signed(p)) for p in prints), *(pa.array(_signed(sig[:, c])) for c in range(CHUNKS)), *(pa.array(_signed(odd[:, c])) for c in range(PARITY))], names=["id", "hash", "n", "p0", "p1", *_PARTS])
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -112,6 +111,54 @@ def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _classes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``id, hash, n, comp, first`` for each row of ``rows(id, hash, text)``; hash: of the text.
+
+    comp: the smallest id of the row's class, null where the row can't be linked (no id, no words);
+    first: is the row's (id, hash) the smallest one of its class?
+    """
+    longs = ", ".join(f"{c} long" for c in _PARTS)
+    kind = rows.schema["id"].dataType.simpleString()
+    percent = round(100 * similarity)
+    sigs = written(rows.mapInArrow(lambda it: tidy(_signatures(it, words)), f"id {kind}, hash long, n long, p0 long, p1 long, {longs}"), "signatures")
+    able = sigs.where("id is not null and n > 0")
+    sets = able.groupBy("n", "p0", "p1").agg(F.min(F.struct("id", "hash")).alias("low"), F.count("*").alias("rows"), *(F.first(s).alias(s) for s in _PARTS))
+    sets = written(sets.select(F.monotonically_increasing_id().alias("node"), "*"), "sets")
+    own = sets.select("n", "p0", "p1", "node", "low", "rows")
+
+    def texts(ids: DataFrame, low: str = "low") -> DataFrame:
+        """The texts of nodes, found by the id and hash of one of their rows."""
+        wanted = ids.join(sets.select(F.col("node").alias("id"), "low"), "id").select(F.col("id").alias("node"), F.col("low.id").alias("id"), F.col("low.hash").alias("hash"))
+        return rows.join(wanted, ["id", "hash"]).groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return pairs.mapInArrow(lambda it: tidy(_confirm(it, words, percent)), "a long, b long")
+
+    _equal_sets(rows, able, own, words)
+    whole = (1 << BITS * LANES) - 1
+    keys = F.array(*(F.xxhash64(F.lit(c * LANES + k), F.col(f"s{c}").bitwiseAND(F.lit(whole ^ ((1 << BITS) - 1) << BITS * k))) for c in range(CHUNKS) for k in range(LANES)))
+    members = sets.select(F.explode(keys).alias("key"), F.col("node").alias("id"))
+    facts = sets.select(F.col("node").alias("id"), F.struct("n", *_PARTS).alias("fact"))
+    comps = bucket_links(members, facts, lambda a, b: _possible(a, b, percent) & (_apart(a, b) <= DISTANCE), texts, verify)
+    linked = written(comps.join(own.select(F.col("node").alias("id"), "low"), "id").select(F.col("id").alias("node"), F.col("comp").alias("class"), "low"), "linked")
+    least = linked.groupBy("class").agg(F.min("low").alias("least"))
+    named = own.join(linked.join(least, "class").select("node", "least"), "node", "left").select("n", "p0", "p1", "rows", F.coalesce("least", "low").alias("least"))
+    told = spread_join(sigs.select("id", "hash", "n", "p0", "p1"), written(named, "named"), ["n", "p0", "p1"], "rows")
+    linkable = F.col("id").isNotNull() & (F.col("n") > 0)
+    return told.select("id", "hash", "n", F.when(linkable, F.col("least.id")).alias("comp"), F.coalesce(F.struct("id", "hash") == F.col("least"), F.lit(False)).alias("first"))
+
+
+def _equal_sets(rows: DataFrame, able: DataFrame, own: DataFrame, words: int) -> None:
+    """Rows that share size and both fingerprints of a set, but not the text, are compared with one of them on the full sets."""
+    alike = spread_join(able.select("id", "hash", "n", "p0", "p1"), own.where("rows > 1").select("n", "p0", "p1", "low", "rows"), ["n", "p0", "p1"], "rows")
+    pairs = written(alike.where("low is not null and hash <> low.hash").groupBy(F.col("low.hash").alias("a"), F.col("hash").alias("b")).agg(F.min("id").alias("id"), F.min("low.id").alias("low")), "alike")
+    wanted = pairs.select(F.col("low").alias("id"), F.col("a").alias("hash")).unionByName(pairs.select("id", F.col("b").alias("hash"))).distinct()
+    texts = written(rows.join(wanted, ["id", "hash"]).groupBy(F.col("hash").alias("id")).agg(F.min("text").alias("text")), "texts")
+    same = with_texts(pairs.select("a", "b"), texts).mapInArrow(lambda it: tidy(_confirm(it, words, 100)), "a long, b long")
+    if same.count() < pairs.count():
+        raise RuntimeError("different sets of shingles share their size and both fingerprints")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Class of every document among documents whose word-shingle sets have a Jaccard similarity of at least ``similarity``.
 
@@ -124,35 +171,37 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places agree, in some chunk, in all or all but one of its 5 places, so the 16 x 5 keys "chunk
     without one place" bring every such pair into one bucket. A pair at similarity 0.8 differs in
     more than 31 places with a probability below 0.0001, more similar ones more rarely still.
-    Equal sets are joined beforehand, so large groups of copies count once. Buckets are compared by
-    ``bucket_links``, which leaves out pairs that sizes and parity sketches rule out; each link is confirmed on the full sets of words.
-
-    Rows that share an id share a class; null ids are linked with nothing and kept. Only id and
-    text are read, so other columns may have any name. An empty table gives no rows.
+    Rows with equal sets become one node beforehand, so large groups of copies count once; texts
+    that differ are compared for that on their full sets. Buckets are compared by
+    ``bucket_links``, which leaves out pairs that sizes and parity sketches rule out; each link is
+    confirmed on the full sets of words.
+
+    Rows that share an id share the smallest class that one of them is in; null ids are linked with
+    nothing and kept. Only id and text are read, so other columns may have any name. An empty table
+    gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    longs = ", ".join(f"{c} long" for c in _PARTS)
-    sigs = written(rows.mapInArrow(lambda it: _signatures(it, words), f"id {rows.schema['id'].dataType.simpleString()}, n long, p0 long, p1 long, {longs}"), "signatures")
-    able = sigs.where("id is not null and n > 0")
-    reps = written(able.groupBy("n", "p0", "p1").agg(F.min("id").alias("id"), *(F.first(s).alias(s) for s in _PARTS)), "sets")
-    whole = (1 << BITS * LANES) - 1
-    keys = F.array(*(F.xxhash64(F.lit(c * LANES + k), F.col(f"s{c}").bitwiseAND(F.lit(whole ^ ((1 << BITS) - 1) << BITS * k))) for c in range(CHUNKS) for k in range(LANES)))
-    members = reps.select(F.explode(keys).alias("key"), "id")
-    facts = reps.select("id", F.struct("n", *_PARTS).alias("fact"))
-    percent = round(100 * similarity)
+    text = F.col(text_col).cast("string")
+    found = _classes(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")), words, similarity)
+    found = written(found, "classes")
+    own = found.where("comp is not null").groupBy("id").agg(F.min("comp").alias("comp"), F.count("*").alias("rows"))
+    told = spread_join(found.select("id", "n"), written(own, "classes"), ["id"], "rows")
+    comp = F.coalesce("comp", "id")
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        kind = pairs.schema["a"].dataType.simpleString()
-        return with_texts(pairs, rows).mapInArrow(lambda it: _confirm(it, words, percent), f"a {kind}, b {kind}")
 
-    comps = bucket_links(members, facts, lambda a, b: _possible(a, b, percent) & (_apart(a, b) <= DISTANCE), verify)
-    sets = reps.select("n", "p0", "p1", F.col("id").alias("rep")).join(comps, F.col("rep") == F.col("id"), "left").select("n", "p0", "p1", F.coalesce("comp", "rep").alias("comp"))
-    found = sigs.select("id", "n", "p0", "p1").join(sets, ["n", "p0", "p1"], "left")
-    comp = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("comp", "id"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each class does, with all their columns.
 
-
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each class does, with all their columns; rows without an id stay."""
-    gone = near_classes(docs, id_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    Of a class the row with the smallest id stays, among rows that share this id the one whose text
+    has the smallest hash, among full repeats of it one. Rows without an id or without words stay.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    found = _classes(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")), words, similarity)
+    told = written(found.where("comp is not null").groupBy("id", "hash").agg(F.max("first").alias("first"), F.count("*").alias("rows")), "classes")
+    marked = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_hash": F.xxhash64(text)})
+    keys = ["_id", "_hash"]
+    named = told.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "first", "rows")
+    stay = marked.join(named.where("not first").select(*keys), keys, "left_anti")
+    again = named.where("first and rows > 1").select(*keys)
+    one = stay.join(again, keys, "left_semi").dropDuplicates(keys)
+    return stay.join(again, keys, "left_anti").unionByName(one).drop(*keys)
