@@ -10,7 +10,7 @@ from veilframe.llm import chat_format, embedding_dedup, exact_dedup, line_dedup,
 from veilframe.llm.queries import tokenizer
 
 LONG = " ".join(f"word{i} and more" for i in range(4000))
-ROWS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, ""), (4, LONG), (5, LONG + " end"), (6, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (6, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (7, "one"), (None, "one"), (8, "  \n\t "), (9, "Ünï “quoted” — текст 漢字 ▁ <|turn|>")]
+ROWS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None), (3, ""), (4, LONG), (5, LONG + " end"), (6, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (6, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (7, "one"), (None, "one"), (8, "  \n\t "), (9, "Ünï “quoted” — текст 漢字 ▁ <|turn|>"), (10, "ends <|endoftext|> here <|STARTOFTEXT|> and <|startoftext|>")]
 
 
 @pytest.fixture(scope="module")
@@ -26,13 +26,13 @@ def empty(docs):
 
 def test_exact(docs, empty):
     got = [tuple(r)[:4] for r in exact_dedup.exact_dedup(docs, keep="largest", hot_share=0.2).orderBy("doc_id").collect()]
-    assert sorted(got, key=str) == sorted([(None, 7, 2, False), (1, 6, 3, False), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True), (5, 5, 1, True), (6, 6, 3, True), (6, 6, 3, True), (7, 7, 2, True), (8, 8, 1, True), (9, 9, 1, True)], key=str)
+    assert sorted(got, key=str) == sorted([(None, 7, 2, False), (1, 6, 3, False), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True), (5, 5, 1, True), (6, 6, 3, True), (6, 6, 3, True), (7, 7, 2, True), (8, 8, 1, True), (9, 9, 1, True), (10, 10, 1, True)], key=str)
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
 def test_minhash(docs, empty):
     got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_classes(docs, words=2).collect()}
-    assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (6, 1, False), (7, 7, True), (None, None, True), (8, 8, True), (9, 9, True)}
+    assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (6, 1, False), (7, 7, True), (None, None, True), (8, 8, True), (9, 9, True), (10, 10, True)}
     assert minhash_dedup.near_classes(empty).count() == 0
 
 
@@ -98,15 +98,46 @@ def test_lines(spark, docs, empty):
     line = "a line of some length that stands twice"
     rows = [(1, f"{line}\nshort\nother line of sufficient length"), (2, f"short\n{line}!\n{line}"), (3, None), (4, ""), (5, "short")]
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (rows[0][1], 0), 2: ("short", 2), 3: (None, 0), 4: ("", 0), 5: ("short", 0)}
+    assert got == {1: (rows[0][1], 0), 2: ("", 3), 3: (None, 0), 4: ("", 0), 5: ("", 1)}
     out = line_dedup.line_dedup(docs)
     assert out.count() == len(ROWS) and out.where("doc_id = 4").first().text == LONG
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_lines_against_brute_force(spark):
+    """All lines of the smallest table: pairs by plain comparison, classes by repeated passes, the first line of each stays."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = {r.doc_id: (r.text or "").split("\n") for r in df.collect()}
+    known = sorted({x for ls in docs.values() for x in ls if len(x) >= 24 or any(c.isalnum() for c in x)}, key=len)
+    comp = dict(zip(known, known, strict=True))
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, a in enumerate(known):
+        for b in known[i + 1 :]:
+            if len(b) - len(a) > 2:
+                break
+            if len(a) >= 24 and line_dedup.within(a, b, 2):
+                comp[root(a)] = root(b)
+    seen, want = set(), {}
+    for d in sorted(docs):
+        left = []
+        for x in docs[d]:
+            c = root(x) if x in comp else None
+            if c is None or c not in seen:
+                left.append(x)
+                seen.add(c)
+        want[d] = "\n".join(left)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()}
+    assert {d: t or "" for d, t in got.items()} == want
+
+
 def test_short_lines(spark):
     rows = [(1, "All rights reserved.\n\n---\nx\nsome words"), (2, "All rights reserved.\n\n---\nx\nsome word"), (3, "All rights reserved."), (4, "---\n漢\n\n漢")]
-    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), exact=1).collect()}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\n---\nsome word", 2), 3: ("", 1), 4: ("---\n漢\n", 1)}
 
 
@@ -156,7 +187,6 @@ def _plain(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
     return [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 

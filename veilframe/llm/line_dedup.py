@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, bucket_links, mix, slices, with_texts, written
+from .common import OTHER, Hashed, bucket_links, mix, spread_join, text_slices, tidy, written
 
 _WORD = (1 << 64) - 1
 #: Which of the first code points are letters or digits; those above count as such.
@@ -94,79 +94,98 @@ def segment_keys(hashed: Hashed, start: np.ndarray, end: np.ndarray, errors: int
     return np.stack(keys)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 2, least: int = 24, exact: int | None = None) -> DataFrame:
+def _cut_lines(batches: Iterator[pa.RecordBatch], errors: int, least: int, exact: int) -> Iterator[pa.RecordBatch]:
+    """A row for each line; the first row of a line in a slice of texts has its keys and its text, if it is long enough."""
+    signed = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
+    for batch in batches:
+        for lo, _, texts in text_slices(batch.column("text"), 1 << 18):
+            points, text, number, (start, end) = _lines(texts, least, exact)
+            if not len(text):
+                continue
+            hashed = Hashed(points)
+            line, check = hashed.of(start, end), Hashed(points, OTHER).of(start, end)
+            pair = hashed.of(np.arange(len(points) - 1), np.arange(2, len(points) + 1))
+            bit = np.append(np.uint64(1) << (pair >> np.uint64(58)), np.uint64(0))
+            sketch = np.bitwise_xor.reduceat(bit, np.stack([start, end - 1], 1).ravel())[::2]
+            one = np.uint64(1) << (mix(points.astype(np.uint64) + np.uint64(1)) >> np.uint64(58))
+            letters = np.bitwise_xor.reduceat(one, np.stack([start, end], 1).ravel())[::2]
+            has = np.zeros(len(line), bool)
+            has[np.unique(line ^ mix(check), return_index=True)[1]] = True
+            has &= end - start >= least
+            keys = segment_keys(hashed, start[has], end[has], errors)
+            whole, words = "\n".join([*texts, ""]), np.full(len(line), None, object)
+            words[has] = [whole[a:b] for a, b in zip(start[has].tolist(), end[has].tolist(), strict=True)]
+            offsets = np.concatenate([[0], np.cumsum(has * len(keys))]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), signed(keys.T.ravel()))
+            at = pa.array(text + lo)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), signed(line), signed(check), pa.array((end - start).astype(np.int32)), signed(sketch), signed(letters), pa.array(has), listed, pa.array(words, pa.string())],
+                names=["id", "row", "number", "line", "check", "size", "sketch", "letters", "has", "keys", "text"],
+            )
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 2, least: int = 24, exact: int = 1) -> DataFrame:
     """``docs`` with every repeated line removed from ``text_col``; ``n_lines`` and ``n_dropped`` are added (and replace columns of these names).
 
     Lines (between line breaks) of at least ``least`` characters form classes: lines within
-    ``errors`` (up to 15) edits are linked, links chain. Of each class the first line in order of (id, row's
+    ``errors`` (up to 15) edits are linked, links chain. Shorter lines of at least ``exact`` characters that hold a
+    letter or digit form classes of equal lines. Of each class the first line in order of (id, row's
     text hash, line number) stays, all others go; ids order as Spark sorts them, null first.
-    Shorter lines of at least ``exact`` characters (none where it is not given) that hold a letter or digit form classes of equal lines.
     All other lines, empty and null texts stay as they are. Rows that share id and text are treated
     alike: their lines count once. All columns and rows stay.
 
-    Links are found by the keys of ``segment_keys`` (segment, its number, the line's length), kept
-    apart by length and by parity sketches of letters and letter pairs, and confirmed by ``within``.
+    One pass over the texts writes a table of lines, with two independent 64-bit hashes each (equal
+    lines are those that agree in both), and for long lines the keys of ``segment_keys`` (segment,
+    its number, the line's length). Lines that share a key are kept apart by length and by parity sketches of
+    letters and letter pairs, and links are confirmed by ``within`` on the lines themselves.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).where(F.length(text) >= (least if exact is None else max(1, min(least, exact))))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).where(F.length(text) >= max(1, min(least, exact)))
     kind = rows.schema["id"].dataType.simpleString()
-    signed = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
-
-    def each(batches: Iterator[pa.RecordBatch], exact: int = least) -> Iterator[tuple]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 1 << 19):
-                points, text, number, bounds = _lines(texts[lo:hi], least, exact)
-                if len(text):
-                    hashed = Hashed(points)
-                    yield batch, lo, hi, texts, points, text, number, bounds, hashed, hashed.of(*bounds)
-
-    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, _, points, text, number, (start, end), hashed, line in each(batches, least if exact is None else max(1, exact)):
-            pair = hashed.of(np.arange(len(points) - 1), np.arange(2, len(points) + 1))
-            bit = np.append(np.uint64(1) << (pair >> np.uint64(58)), np.uint64(0))
-            ends = np.stack([start, end - 1], 1).ravel()
-            sketch = np.bitwise_xor.reduceat(bit, ends)[::2]
-            one = np.uint64(1) << (mix(points.astype(np.uint64) + np.uint64(1)) >> np.uint64(58))
-            letters = np.bitwise_xor.reduceat(one, np.stack([start, end], 1).ravel())[::2]
-            at = pa.array(text + lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), signed(line), signed(mix(line ^ hashed.of(start, start + (end - start) // 2))), pa.array((end - start).astype(np.int32)), signed(sketch), signed(letters)], names=["id", "row", "number", "line", "check", "size", "sketch", "letters"])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *_, (start, end), hashed, line in each(batches):
-            line, one = np.unique(line, return_index=True)
-            found = segment_keys(hashed, start[one], end[one], errors)
-            yield pa.RecordBatch.from_arrays([signed(found.ravel()), signed(np.tile(line, len(found)))], names=["key", "id"])
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lo, hi, texts, _, _, _, (start, end), _, line in each(batches):
-            whole = "\n".join([*texts[lo:hi], ""])
-            line, one = np.unique(line, return_index=True)
-            yield pa.RecordBatch.from_arrays([signed(line), pa.array([whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)], pa.string())], names=["id", "text"])
+    columns = f"id {kind}, row long, number int, line long, check long, size int, sketch long, letters long, has boolean, keys array<long>, text string"
+    lines = written(rows.mapInArrow(lambda it: tidy(_cut_lines(it, errors, least, max(1, exact))), columns), "lines")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [within(a, b, errors) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    seen = written(rows.mapInArrow(occur, f"id {kind}, row long, number int, line long, check long, size int, sketch long, letters long"), "lines")
-    lines = rows.mapInArrow(words, "id long, text string")
-    facts = seen.where(F.col("size") >= least).groupBy(F.col("line").alias("id")).agg(F.struct(F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("letters").alias("letters")).alias("fact"))
+    each = lines.groupBy("line", "check").agg(
+        F.count("*").alias("n"), F.min("id").alias("low"), F.max(F.col("id").isNull()).alias("null_id"), F.min(F.when(F.col("has"), F.col("id"))).alias("has_id"), F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("letters").alias("letters")
+    )
+    each = written(each.withColumn("node", F.monotonically_increasing_id()), "each")
+    long = each.where(F.col("size") >= least)
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = long.join(ids, F.col("node") == F.col("id")).select("line", "check", F.col("has_id").alias("id"), "node")
+        held = lines.where("has").select(F.col("line").alias("l"), F.col("check").alias("c"), F.col("id").alias("i"), "text")
+        found = wanted.join(held, (F.col("line") == F.col("l")) & (F.col("check") == F.col("c")) & F.col("id").eqNullSafe(F.col("i")))
+        return found.groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text"))
+
     bits = lambda a, b, c: F.bit_count(a[c].bitwiseXOR(b[c]))
     near = lambda a, b: (F.abs(a["size"] - b["size"]) <= errors) & (bits(a, b, "letters") <= 2 * errors) & (bits(a, b, "sketch") <= 4 * errors)
-    comps = bucket_links(rows.mapInArrow(keys, "key long, id long"), facts, near, lambda pairs: with_texts(pairs, lines).mapInArrow(confirm, "a long, b long"))
-
-    short = seen.where(F.col("size") < least).select("id", "row", "number", F.col("line").alias("class"), "check")
-    told = seen.where(F.col("size") >= least).join(comps.select(F.col("id").alias("line"), "comp"), "line", "left").select("id", "row", "number", F.coalesce("comp", "line").alias("class"), F.when(F.col("comp").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))
-    told = written(told.unionAll(short), "classes")
-    order = F.struct("id", "row", "number")
-    many = told.groupBy("class", "check").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("class", "check", "first")
-    gone = told.join(many, ["class", "check"]).where(~order.eqNullSafe(F.col("first"))).groupBy("id", "row").agg(F.collect_set("number").alias("gone"))
-    gone = gone.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
-    whole = docs.withColumn("_text", text)
-    joined = whole.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_row")), "left")
+    facts = long.select(F.col("node").alias("id"), F.struct("size", "sketch", "letters").alias("fact"))
+    nodes = long.select(F.col("line").alias("id"), "node")
+    members = lines.where("has").select(F.explode("keys").alias("key"), F.col("line").alias("id"))
+    comps = bucket_links(members, facts, near, texts, lambda pairs: pairs.mapInArrow(lambda it: tidy(confirm(it)), "a long, b long"), named=lambda found: found.join(nodes, "id").select("key", F.col("node").alias("id")))
+
+    #: Lines that stand more than once, by themselves or with those they are linked to, with the first id of their class.
+    linked = written(each.join(comps, F.col("node") == F.col("id")).select("line", "check", "n", F.col("comp").alias("class"), "low", "null_id"), "linked")
+    first = linked.groupBy("class").agg(F.count("*").alias("lines"), F.min("low").alias("low"), F.max("null_id").alias("null_id"))
+    linked = spread_join(linked.select("line", "check", "n", "class"), written(first, "first"), ["class"], "lines")
+    alone = each.where("n > 1").join(comps, F.col("node") == F.col("id"), "left_anti").select("line", "check", "n", F.col("node").alias("class"), "low", "null_id")
+    many = written(linked.unionByName(alone), "many")
+    found = spread_join(lines.select("id", "row", "number", "line", "check"), many, ["line", "check"]).where("class is not null")
+    opens = F.when(F.col("null_id"), F.col("id").isNull()).otherwise(F.col("id") == F.col("low"))
+    found = written(found.select("id", "row", "number", "class", opens.alias("opens")), "found")
+    place = F.struct("row", "number")
+    inner = found.where("opens")
+    later = inner.join(inner.groupBy("class").agg(F.min(place).alias("place")), "class").where(place != F.col("place"))
+    gone = found.where("not opens").select("id", "row", "number").unionByName(later.select("id", "row", "number"))
+    gone = gone.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("number").alias("_gone"))
+    joined = docs.withColumn("_text", text).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_row")), "left")
     new = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     lines_n = F.coalesce(F.size(F.split("_text", "\n")), F.lit(0))
     return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), F.when(F.col("_text").isNull(), 0).otherwise(lines_n).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"))
