@@ -6,16 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, written
+from .common import mix, slices, tidy, written
 from .tokens import encoded, encoder
 
 #: Length of the document vectors by which related documents are brought together.
 _WIDE = 64
-#: Documents looked at for each shard to place the cuts between shards.
-_LOOKED_AT = 16
+#: Branches of the tree of cuts, at most, and documents looked at for each to place the cuts: what the driver holds is bounded by their product.
+BRANCHES, _LOOKED_AT = 4096, 16
+#: Shards that are dealt out together, about.
+TOGETHER = 8
+#: Terms of the greatest weight from which the parts of a branch are told.
+_TOP = 10
 
 
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
@@ -46,6 +51,18 @@ def _moved(row: np.ndarray) -> np.ndarray:
     return (mix(row.astype(np.uint64)) >> np.uint64(40)).astype(np.float32) / (1 << 24) * 1e-3
 
 
+def part_of(docs: list[np.ndarray], idf: np.ndarray, parts: int, row: np.ndarray) -> np.ndarray:
+    """Part of its branch for each document: by the smallest hash of its rarest terms, moved a little so that copies spread over a twentieth of the parts."""
+    if parts == 1:
+        return np.zeros(len(docs), np.int64)
+    place = np.zeros(len(docs))
+    for i, ids in enumerate(docs):
+        terms = np.unique(ids)
+        rare = terms[np.argsort(-idf[terms], kind="stable")[:_TOP]]
+        place[i] = int(mix(rare.astype(np.uint64) + np.uint64(1)).min()) / 2**64
+    return ((place + _moved(row) * 50) % 1 * parts).astype(np.int64)
+
+
 def cuts(x: np.ndarray, moved: np.ndarray, shards: int) -> list[tuple]:
     """A tree of cuts across the direction in which the documents of a branch differ most: (direction, bound, low branch, high branch), or (None, shard, -1, -1)."""
     tree: list[tuple] = []
@@ -185,11 +202,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Document frequencies, number and mean length are those of all documents. Neighbours are looked for within a
     shard of about ``shard_docs`` documents, so related documents are brought into one: each
     document's BM25 weights are projected to a short vector, and the space of these is cut in two, across the
-    direction of largest spread, until the parts are small enough (``cuts``, from 16 documents a shard;
-    each document then goes down the tree). Copies beyond a shard's size are cut apart by a
+    direction of largest spread, until there is a branch for each shard, or ``BRANCHES`` of them (``cuts``, from 16
+    documents a branch; each document then goes down the tree). Larger branches are parted by the
+    smallest hash of a document's rarest terms. Copies beyond a shard's size are cut apart by a
     hash of id and text. Neighbours that a cut separates do not meet: README has the share.
-    Memory is bounded by a shard; the driver holds a number for each term and 16 vectors a shard.
-    An empty table gives no rows.
+    A shard is closed at twice its size, so memory is bounded by that; tasks hold about
+    ``TOGETHER`` shards whatever the size of the input; the driver holds a number for each term and 65,536 short vectors at most.
+    Null ids are documents like others; repeated rows are packed as often as they stand. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("id", "text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -207,7 +226,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for batch in batches:
-            for lo, hi in slices(batch.column("n").to_numpy(), 1 << 18):
+            for lo, hi in slices(batch.column("n").to_numpy(), 1 << 17):
                 part = batch.slice(lo, hi - lo)
                 yield part, read(part)
 
@@ -220,10 +239,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "df"])
 
-    coded = written(rows.mapInArrow(encode, f"id {kind}, row long, ids binary, n long"), "tokens")
+    coded = written(rows.mapInArrow(lambda it: tidy(encode(it)), f"id {kind}, row long, ids binary, n long"), "tokens")
     total, mean = coded.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
     shards = max(1, -(-total // shard_docs))
-    counts = coded.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    counts = coded.mapInArrow(lambda it: tidy(frequencies(it)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(max([end_id, *counts["term"].to_pylist()]) + 1, np.int64)
     df[counts["term"].to_numpy()] = counts["df"].to_numpy()
     idf = idf_of(df, total)
@@ -235,19 +254,23 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, some in parts(batches):
-            at = shard_of(tree, vectors(some, idf, mean), _moved(part.column("row").to_numpy())) if shards > 1 else np.zeros(len(some), np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at)], names=[*part.schema.names, "shard"])
+            row = part.column("row").to_numpy()
+            at = shard_of(tree, vectors(some, idf, mean), _moved(row)) if branches > 1 else np.zeros(len(some), np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at * inner + part_of(some, idf, inner, row))], names=[*part.schema.names, "shard"])
 
+    branches = min(shards, BRANCHES)
+    inner = -(-shards // branches)
     tree: list[tuple] = []
-    if shards > 1:
-        chosen = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit(max(1, round((1 << 20) * min(1.0, _LOOKED_AT * shards / total))))
-        seen = coded.where(chosen).mapInArrow(placed, "row long, x binary").toArrow().sort_by("row")
+    if branches > 1:
+        chosen = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < F.lit(max(1, round((1 << 40) * min(1.0, _LOOKED_AT * branches / total))))
+        seen = coded.where(chosen).mapInArrow(lambda it: tidy(placed(it)), "row long, x binary").toArrow().sort_by("row")
         x = np.frombuffer(b"".join(seen["x"].to_pylist()), np.float16).reshape(-1, _WIDE).astype(np.float32)
-        tree = cuts(x, _moved(seen["row"].to_numpy()), shards)
-    sent = coded.mapInArrow(dealt, f"id {kind}, row long, ids binary, n long, shard long").repartition("shard").sortWithinPartitions("shard", "id", "row")
+        tree = cuts(x, _moved(seen["row"].to_numpy()), branches)
+    sent = coded.mapInArrow(lambda it: tidy(dealt(it)), f"id {kind}, row long, ids binary, n long, shard long")
+    sent = sent.repartition(max(1, shards // TOGETHER), F.floor(F.col("shard") / TOGETHER)).sortWithinPartitions("shard", "id", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now, number = None, TaskContext.get().partitionId() << 20
         keys: list = []
         docs_in: list[np.ndarray] = []
 
@@ -256,19 +279,20 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for lo in range(0, len(pieces), 4096):
                 part = pieces[lo : lo + 4096]
                 raw = [docs_in[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in part.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in part[:, 0].tolist()], own), pa.array(part[:, 1]), pa.array(part[:, 2]), pa.array(raw, pa.binary()), pa.array(np.array([len(docs_in[d]) for d in part[:, 0].tolist()], np.int64)), pa.array(part[:, 3] + (now << 32)), pa.array(part[:, 4])], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in part[:, 0].tolist()], own), pa.array(part[:, 1]), pa.array(part[:, 2]), pa.array(raw, pa.binary()), pa.array(np.array([len(docs_in[d]) for d in part[:, 0].tolist()], np.int64)), pa.array(part[:, 3] + (number << 20)), pa.array(part[:, 4])], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
             own = batch.column("id").type
             for key, ids, shard in zip(batch.column("id").to_pylist(), read(batch), batch.column("shard").to_pylist(), strict=True):
-                if shard != now:
+                if shard != now or len(docs_in) >= 2 * shard_docs:
                     if docs_in:
                         yield from flush()
+                        number += 1
                     now, keys, docs_in = shard, [], []
                 keys.append(key)
                 docs_in.append(ids)
         if docs_in:
             yield from flush()
 
-    out = sent.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = sent.mapInArrow(lambda it: tidy(run(it)), f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
