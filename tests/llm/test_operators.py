@@ -267,12 +267,25 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_quotations():
-    matcher = toxicity.Matcher(toxicity.Lexicon({"blockhead": 1.0}))
+    matcher = toxicity.Matcher(toxicity.Lexicon({"blockhead": 1.0}, said=frozenset({"said"})))
     plain = ["I’m sure a blockhead like him don’t", "l’eau a blockhead j’ai", '"hello" blockhead says "bye"', "a blockhead”"]
     quoted = ["they said blockhead to him", "a “blockhead” it was", "« a blockhead »", 'so " a blockhead " there', 'a "great blockhead" there', "„blockhead“"]
     assert all(toxicity.features(t, matcher)[0] > 0 == toxicity.features(t, matcher)[2] for t in plain)
     assert all(toxicity.features(t, matcher)[2] > 0 == toxicity.features(t, matcher)[0] for t in quoted)
 
 
+def test_terms_inside_tokens_and_long_words():
+    matcher = toxicity.Matcher(toxicity.Lexicon({"blockhead": 1.0}))
+    assert all(toxicity.features(t, matcher)[0] > 0 for t in ["a/blockhead,b", "blockhead&&&", "%%blockhead99", "x" * 500 + "blockhead" + "y" * 500])
+    assert toxicity.features("blockheaf&&&", matcher)[1] > 0 == toxicity.features("x" * 1000, matcher)[0]
+
+
+def test_reporting_words_are_learned(spark):
+    rows = [(i, f"they muttered blockhead to w{i % 7} a{i}" if i % 2 else f"thou blockhead w{i % 7} b{i}", (i + 1) % 2) for i in range(60)]
+    df = spark.createDataFrame([r[1:] for r in rows], "_text string, _y int")
+    said, you = toxicity._contexts(df, toxicity.Lexicon({"blockhead": 1.0}))
+    assert "muttered" in said and "thou" in you and not said & you
+
+
 def test_crc(spark):
     assert spark.sql("select crc32(cast('abc' as binary)) c").first().c == zlib.crc32(b"abc")

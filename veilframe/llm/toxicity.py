@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,12 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 _QUOTES = "\"“”„«»‹›‘’`"
 #: Opening marks with the marks that close them.
 _CLOSE = {'"': '"', "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«»", "‹": "›", "›": "‹", "‘": "’", "`": "`'"}
-_SAID = {"said", "says", "quote", "quoted", "called", "word", "term", "wrote", "dit", "disait", "mot", "sagte", "wort", "dijo", "palabra"}
-_YOU = {"you", "your", "you're", "youre", "u", "tu", "toi", "vous", "du", "dich", "dir", "ihr", "sie", "te", "tú", "usted", "eres", "are", "es", "bist"}
-_EDGE = "\t\n\r .,;:!?()[]{}<>|*_#~-–—…/\\'" + _QUOTES
+#: Words are runs of letters, apostrophes between letters included, both where terms are learned and where they are looked for.
+_WORD, _JAVA_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*"), r"\p{L}+(?:['’]\p{L}+)*"
+#: In longer words, as of scripts without spaces, terms are looked for at every place.
+_LONG = 40
 
 
 @dataclass
@@ -27,6 +31,9 @@ class Lexicon:
     open: dict[str, float] = field(default_factory=dict)
     #: Words near a term that clean documents use.
     except_: frozenset = frozenset()
+    #: Words before a hit that speak for a report, and next to a hit that speak for somebody being addressed.
+    said: frozenset = frozenset()
+    you: frozenset = frozenset()
     errors: int = 1
     #: Terms shorter than this must match exactly.
     least: int = 5
@@ -113,14 +120,24 @@ class Matcher:
                     todo.append((child, tuple(now)))
         return None if best and best[1] and word in self.lex.except_ else best
 
+    def best(self, token: str) -> tuple[float, int] | None:
+        """As ``match``, over all words of what stands between two spaces; in a very long word, closed terms at any place."""
+        found = None
+        for word in _WORD.findall(token):
+            hit = self.match(word)
+            if not hit and len(word) > _LONG:
+                hit = max(((w, 0) for t, w in self.lex.closed.items() if t in word), default=None)
+            if hit and (found is None or (hit[1], -hit[0]) < (found[1], -found[0])):
+                found = hit
+        return found
+
     def hits(self, words: list[str]) -> list[tuple[int, float, int]]:
-        if len(self.seen) > 300_000:
+        if len(self.seen) > 100_000:
             self.seen.clear()
             self.found.clear()
         there = set(words)
         for w in there - self.seen:
-            bare = w.strip(_EDGE)
-            if 2 < len(bare) < 64 and (hit := self.match(bare)):
+            if hit := self.best(w):
                 self.found[w] = hit
         self.seen |= there
         if there.isdisjoint(self.found):
@@ -158,20 +175,20 @@ def features(text: str, matcher: Matcher, window: int = 6) -> list[float]:
     """Weights of the lexicon's hits: exact, misspelled, quoted, and next to somebody addressed; share of hits; bias.
 
     A hit counts as quoted if the words around it, up to ``window`` to either side, hold a quotation
-    mark before and one after it, or a word of reporting before it.
+    that is open at the hit and closed after it, or a word of reporting before it.
     """
     words = text.lower().split()
     exact = fuzzy = quoted = aimed = 0.0
-    found = matcher.hits(words)
+    found, said, you = matcher.hits(words), matcher.lex.said, matcher.lex.you
     for i, weight, errors in found:
         before, after = words[max(0, i - window) : i + 1], words[i : i + window + 1]
-        if _marked(before, after) or any(w.strip(_EDGE) in _SAID for w in before[:-1]):
+        if _marked(before, after) or not said.isdisjoint(_WORD.findall(" ".join(before[:-1]))):
             quoted += weight
         elif errors:
             fuzzy += weight
         else:
             exact += weight
-            aimed += weight * any(w.strip(_EDGE) in _YOU for w in (*before[-3:-1], *after[1:3]))
+            aimed += weight * (not you.isdisjoint(_WORD.findall(" ".join((*before[-3:-1], *after[1:3])))))
     return [math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(aimed), math.log1p(100 * len(found) / (len(words) + 10)), 1.0]
 
 
@@ -179,38 +196,64 @@ def features(text: str, matcher: Matcher, window: int = 6) -> list[float]:
 _PRIOR = np.array([2.0, 1.0, 0.2, 0.2, 0.1, -3.0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, terms: int = 2_000, support: int = 6, share: float = 0.01) -> Model:
-    """Learn lexicon and weights from labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, terms: int = 2_000, support: int = 6, share: float = 0.01, longest: int = 24) -> Model:
+    """Learn lexicon, context words and weights from labelled documents.
 
     labels: ``<id_col>, <label_col>`` (0 or 1; others are ignored). At most ``sample`` labelled
     documents are used (the bound), chosen by a hash of the id; the rest of their columns is not
     read. Of documents of one label whose two smallest-word hashes agree, as those of copies and
     most near copies do, one is used for the lexicon, so that the words of a much copied text do not become terms.
-    Terms are word beginnings, and words, that at least ``support`` toxic documents and a ``share``
+    Terms are words of any length up to ``longest`` letters, and word beginnings of 4 letters to that, that at least ``support`` toxic documents and a ``share``
     of them hold and that are at least 20 times as common there; at most ``terms``, the commonest.
+    Words that stand before hits in clean documents far more often than in toxic ones count as
+    reporting, words next to hits for which the opposite holds as addressing somebody.
     Without labels of both kinds the lexicon is empty or the weights stay at their starting values.
     """
     some = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(some), id_col).select("_text", "_y")
     least = [F.array_min(F.transform(F.split(F.lower("_text"), r"\s+"), lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(2)]
-    rows = rows.persist()
+    rows = written(rows, "labelled")
     apart = rows.groupBy("_y", *(h.alias(f"_h{k}") for k, h in enumerate(least))).agg(F.min("_text").alias("_text"))
-    try:
-        words = F.array_distinct(F.transform(F.split(F.lower("_text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")))
-        sums = {r["_y"]: r["n"] for r in apart.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-        toxic, clean = sums.get(1, 0), sums.get(0, 0)
-        count = apart.select("_y", F.explode(words).alias("w")).where("length(w) between 3 and 63").groupBy("w").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c")).persist()
+    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_JAVA_WORD), F.lit(0)))
+    listed = written(apart.select("_y", words.alias("words")), "words")
+    sums = {r["_y"]: r["n"] for r in listed.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = sums.get(1, 0), sums.get(0, 0)
+    lex = Lexicon()
+    if toxic:
+        count = written(listed.select("_y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c")), "counts")
         ratio = (F.col("t") + 0.1) / (toxic + 1) / ((F.col("c") + 0.1) / (clean + 1))
-        heads = count.select(F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(12), F.length("w"))), lambda n: F.substring("w", F.lit(1), n))).alias("p"), "t", "c").where("t + c > 0") if toxic else None
-        lex = Lexicon()
-        if heads is not None:
-            found = heads.groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= max(support, share * toxic)).where(ratio > 20).orderBy(F.desc("t"), "p").limit(terms * 8).collect()
-            lex = _lexicon({r["p"]: r["t"] for r in found}, count, terms)
-            lex.except_ = _exceptions(lex, count, toxic, clean)
-        xy = _sampled(rows, lex)
-        return Model(lex, _weights(xy))
-    finally:
-        rows.unpersist()
+        size = F.length("w")
+        cut = F.sequence(F.least(F.lit(4), size), F.least(F.lit(longest), size))
+        heads = count.where(size > 1).select(F.explode(F.transform(cut, lambda n: F.substring("w", F.lit(1), n))).alias("p"), "t", "c")
+        found = heads.groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= max(support, share * toxic)).where(ratio > 20).orderBy(F.desc("t"), "p").limit(terms * 8).collect()
+        lex = _lexicon({r["p"]: r["t"] for r in found}, count, terms)
+        lex.except_ = _exceptions(lex, count, toxic, clean)
+        lex.said, lex.you = _contexts(rows, lex)
+    return Model(lex, _weights(_sampled(rows, lex)))
+
+
+def _contexts(rows: DataFrame, lex: Lexicon, window: int = 6, support: int = 5, most: int = 200) -> tuple[frozenset, frozenset]:
+    """Reporting and addressing words, from how many documents of either label have them near a hit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(lex)
+        for b in batches:
+            out = []
+            for text, y in zip(b["_text"], b["_y"], strict=True):
+                words = text.lower().split()
+                found = matcher.hits(words)
+                near = {(0, w) for i, _, _ in found for w in _WORD.findall(" ".join(words[max(0, i - window) : i]))}
+                near |= {(1, w) for i, _, _ in found for w in _WORD.findall(" ".join((*words[max(0, i - 2) : i], *words[i + 1 : i + 3])))}
+                out += [(side, w, int(y)) for side, w in near | ({(2, "")} if found else set())]
+            yield pd.DataFrame(out, columns=["side", "w", "y"])
+
+    found = written(rows.mapInPandas(run, "side int, w string, y int").groupBy("side", "w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")), "contexts")
+    toxic, clean = found.where("side = 2").select("t", "c").first() or (0, 0)
+    if not toxic or not clean:
+        return frozenset(), frozenset()
+    clean_rate, toxic_rate = (F.col("c") + 0.5) / (clean + 1), (F.col("t") + 0.5) / (toxic + 1)
+    pick = lambda side, n, ratio: frozenset(r["w"] for r in found.where((F.col("side") == side) & (F.col(n) >= support) & (ratio > 4)).orderBy(F.desc(n), "w").limit(most).collect())
+    return pick(0, "c", clean_rate / toxic_rate), pick(1, "t", toxic_rate / clean_rate)
 
 
 def _lexicon(heads: dict[str, int], count: DataFrame, terms: int) -> Lexicon:
@@ -272,7 +315,7 @@ def _weights(xy: np.ndarray, held: float = 0.5) -> list[float]:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``toxicity`` from 0 to 1 (it replaces one of that name).
 
-    Whole texts are read. Empty and null texts get the score of a text without hits. Only the text
+    Whole texts and words of any length are read. Empty and null texts get the score of a text without hits. Only the text
     is looked at; all rows, repeated ones too, and all other columns stay.
     """
 
