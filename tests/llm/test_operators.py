@@ -25,11 +25,21 @@ def empty(docs):
 
 
 def test_exact(docs, empty):
-    got = [tuple(r)[:4] for r in exact_dedup.exact_dedup(docs, keep="largest", hot_share=0.2).orderBy("doc_id").collect()]
+    got = [tuple(r)[:4] for r in exact_dedup.exact_dedup(docs, keep="largest").orderBy("doc_id").collect()]
     assert sorted(got, key=str) == sorted([(None, 7, 2, False), (1, 6, 3, False), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True), (5, 5, 1, True), (6, 6, 3, True), (6, 6, 3, True), (7, 7, 2, True), (8, 8, 1, True), (9, 9, 1, True), (10, 10, 1, True)], key=str)
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_copies_that_span_ranges(spark):
+    rows = [(i, "the same text" if i % 3 else f"text {i % 50}") for i in range(3000)] + [(None, "the same text")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    groups: dict = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    want = [(i, min(x for x in groups[t] if x is not None), len(groups[t])) for i, t in rows]
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(want, key=str)
+
+
 def test_minhash(docs, empty):
     got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_classes(docs, words=2).collect()}
     assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (6, 1, False), (7, 7, True), (None, None, True), (8, 8, True), (9, 9, True), (10, 10, True)}

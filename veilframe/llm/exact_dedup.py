@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, keep: str = "smallest", hot_share: float = 0.001, salts: int = 512) -> DataFrame:
-    """One row per row of ``docs``: ``<id_col>, keep_id, group_size, kept, text_sha256``.
 
-    Sampled splitters range-partition the rows by (the text's first characters, its SHA-256); each
-    partition is sorted on disk as needed, so equal texts are neighbours and are compared in full.
-    The splitters hold 32 characters and a digest, never whole texts.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, keep: str = "smallest", salts: int = 512) -> DataFrame:
+    """One row per row of ``docs``: ``<id_col>, keep_id, group_size, kept, text_sha256``.
 
-    A text that more than ``hot_share`` of all rows have is counted beforehand (there are fewer
-    than 1 / hot_share of them, so that table is broadcast safely) and its rows are dealt over
-    ``salts`` ranges instead of one.
+    Sampled splitters range-partition the rows by the text's first characters, with its SHA-256 and
+    then a salt as tie-breaks, so splitters never hold whole texts. Each partition is sorted by the
+    text's bytes, on disk as needed: equal texts are neighbours and are compared in full. That
+    settles every range. A text that many rows have spans ranges, as its rows get up to ``salts``
+    salts (one for each thousandth of all rows or part of it, ``salts`` at most); what its ranges
+    have found is merged afterwards, a row a range, again by comparing whole texts.
 
     normalise: the text to compare (default: the text itself, byte for byte). Null counts as
     empty. keep: ``smallest`` or ``largest`` id of a group stays; a null id never stays if the
@@ -25,20 +26,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col) if normalise is None else normalise, F.lit(""))
     best = F.max if keep == "largest" else F.min
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_sha", F.unhex(F.sha2("_text", 256)))
-    counts = rows.groupBy("_sha").agg(F.count("*").alias("_n"), best("_id").alias("_best"))
     total = max(1, docs.count())
-    hot = counts.where(F.col("_n") > total * hot_share).select("_sha", F.col("_n").alias("_hot_n"), F.col("_best").alias("_hot_best"))
-    dealt = rows.join(F.broadcast(hot), "_sha", "left").withColumn("_salt", F.when(F.col("_hot_n").isNotNull(), F.pmod(F.xxhash64("_id"), F.lit(salts))).otherwise(F.lit(0).cast("long")))
-    dealt = dealt.withColumn("_head", F.substring("_text", 1, 32))
-    ranged = dealt.repartitionByRange("_head", "_sha", "_salt")
-    group = Window.partitionBy("_head", "_sha", "_salt", "_text")
-    found = ranged.select("_id", "_sha", "_hot_n", "_hot_best", best("_id").over(group).alias("_near"), F.count("*").over(group).alias("_size"))
-    keep_id = F.when(F.col("_hot_n").isNotNull(), F.col("_hot_best")).otherwise(F.col("_near"))
-    size = F.coalesce("_hot_n", "_size")
-    return found.select(
+    #: Fewer than 1000 texts have more than a thousandth of all rows each, so their digests are broadcast.
+    many = rows.groupBy("_sha").agg(F.count("*").alias("_n")).where(F.col("_n") * 1000 > total)
+    many = many.select("_sha", F.least(F.lit(salts), F.ceil(F.col("_n") * 1000 / total)).cast("long").alias("_salts"))
+    dealt = rows.join(F.broadcast(many), "_sha", "left").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.coalesce("_salts", F.lit(1).cast("long"))))
+    ranged = dealt.withColumn("_head", F.substring("_text", 1, 32)).repartitionByRange("_head", "_sha", "_salt")
+    group = Window.partitionBy("_head", "_text", "_sha", "_salt")
+    first = F.row_number().over(group.orderBy("_id")) == 1
+    found = ranged.select("_id", "_sha", "_salt", best("_id").over(group).alias("_near"), F.count("*").over(group).alias("_size"), F.when(F.col("_salts") > 1, F.when(first, F.col("_text"))).alias("_split"))
+    found = written(found, "settled")
+    #: One row for each range of a text that spans several; whole texts are compared once more.
+    pieces = found.where(F.col("_split").isNotNull()).select("_sha", "_salt", "_near", "_size", "_split")
+    merged = pieces.groupBy("_sha", "_split").agg(F.sum("_size").alias("_all"), best("_near").alias("_best"))
+    merged = pieces.join(merged, ["_sha", "_split"]).select(F.col("_sha").alias("_s"), F.col("_salt").alias("_t"), F.col("_near").alias("_k"), "_all", "_best")
+    told = found.join(merged, (F.col("_sha") == F.col("_s")) & (F.col("_salt") == F.col("_t")) & F.col("_near").eqNullSafe(F.col("_k")), "left")
+    spans = F.col("_all").isNotNull()
+    keep_id = F.when(spans, F.col("_best")).otherwise(F.col("_near"))
+    return told.select(
         F.col("_id").alias(id_col),
         keep_id.alias("keep_id"),
-        size.cast("long").alias("group_size"),
+        F.coalesce("_all", "_size").cast("long").alias("group_size"),
         F.col("_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )
