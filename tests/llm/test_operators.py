@@ -87,6 +87,20 @@ def test_embeddings(spark):
     assert all(got[i] == (0, i) for i in (900, 901, 902, 903, 904))
 
 
+def test_embeddings_in_double_precision(spark):
+    """A cosine a little below the bound, which single precision lifts above it; values beyond single precision; a cosine at the bound; clashing columns; no rows."""
+    near = [0.93, 0.3675595189897821]
+    rows = [(1, [1.0, 0.0], 0), (2, [0.93 - 1.4e-11, 0.36755951898978216], 0), (3, [1e39, 2e39], 1), (4, [1e39, 2e39], 1), (5, [1e300, 2e300], 1), (6, [1.0, 0.0], 2), (7, near, 2), (7, near, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in ("id", "vec", "comp", "rep", "a")})
+    got = sorted(tuple(r)[:3] for r in embedding_dedup.embedding_dedup(df).collect())
+    x, y = np.array(rows[1][1]), np.array(near)
+    assert x[0] / np.sqrt(x @ x) < 0.93
+    linked = 2 if y[0] / np.sqrt(y @ y) >= 0.93 else 0
+    assert got[:5] == [(1, 0, 1), (2, 0, 2), (3, 2, 3), (4, 2, 3), (5, 2, 3)]
+    assert got[5] == (6, linked, 6) and len(got) == 8
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
 def test_edit_distance():
     r = np.random.default_rng(1)
 
