@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import line_dedup, minhash_dedup, packing, pii, toxicity
 from veilframe.llm.common import shared_dir
-from veilframe.llm.queries import tokenizer
+from veilframe.llm.queries import PII_KEY, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; a document of which nothing is left goes."""
-    done = line_dedup.line_dedup(docs, exact=1)
-    return _documents(done.where(~((F.col("n_dropped") > 0) & (F.trim("text") == ""))))
+    done = line_dedup.line_dedup(docs)
+    return _documents(done.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of personal data."""
-    return _documents(pii.replace_pii(docs))
+    return _documents(pii.replace_pii(docs, PII_KEY))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
