@@ -66,13 +66,19 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], n: str = "n") -
     return salted.join(side, [*on, "_salt"], "left").select(*big.columns, *rest)
 
 
+def _with_least(edges: DataFrame, x: str, y: str, places: int = 8) -> DataFrame:
+    """``edges(x, y)`` with ``m``, the least ``y`` of each ``x``; the edges of one ``x`` are dealt out over ``places`` places, for each of which its row is repeated."""
+    low = edges.groupBy(x).agg(F.min(y).alias("m"))
+    low = low.select(x, "m", F.explode(F.array(*(F.lit(k).cast("long") for k in range(places)))).alias("_salt"))
+    return edges.withColumn("_salt", F.pmod(F.xxhash64(y), F.lit(places))).join(low, [x, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of ``edges(a, b)``: ``id, comp``.
 
     Alternates the large-star and small-star steps until the edges are stars; each step is one
     grouped minimum (pre-aggregated before its shuffle) and one join, in which the edges of a node
-    with very many neighbours are dealt out (``spread_join``). Rows with a null end or equal ends
-    carry no link.
+    with very many neighbours are dealt out. Rows with a null end or equal ends carry no link.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(rounds):
@@ -81,15 +87,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if loose.isEmpty():
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select("v", "u"))
-        low = written(both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n"), "least")
-        large = written(spread_join(both, low, ["x"]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = spread_join(large, low, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        large = _with_least(both, "x", "y").where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v")).distinct()
+        told = _with_least(large, "u", "v")
+        small = told.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(told.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
-def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, Column], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], rounds: int = 3, named: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, Column], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], rounds: int = 2, named: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of all pairs that share a bucket and pass ``verify``, without listing a bucket's pairs.
 
     members: ``key, id`` (a row for each bucket a node is in; rows may repeat); facts: ``id, fact`` (fact: a
@@ -124,7 +129,7 @@ def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, C
             pairs = told.withColumnRenamed("id", "a").join(other, "key").where("a < b and comp <> other").select("a", "b")
         else:
             told = written(told.select("key", "id", "comp", "high", F.min(F.when(F.col("comp") == F.col("high"), F.col("id"))).over(bucket).alias("pivot")), "mixed")
-            pairs = told.where("comp <> high").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            pairs = told.where("comp <> high").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
             rows = told.where("id <> pivot").select("key", "id")
         if told.isEmpty():
             break
@@ -144,13 +149,11 @@ def _near(pairs: DataFrame, facts: DataFrame, near: Callable[[Column, Column], C
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b`` with the texts of both, ``ta, tb``; texts: a written table ``id, text``, one row an id. A text that is in very many pairs is joined by ``spread_join``."""
+    """``a, b`` with the texts of both, ``ta, tb``; texts: a written table ``id, text``, one row an id. An ``a`` that is in very many pairs, as pivots are, is joined by ``spread_join``."""
     pairs = written(pairs, "pairs")
-    for side in "ab":
-        counts = pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n"))
-        own = texts.join(counts, "id").select(F.col("id").alias(side), F.col("text").alias(f"t{side}"), "n")
-        pairs = spread_join(pairs, own, [side])
-    return pairs.select("a", "b", "ta", "tb")
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    counts = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    return spread_join(both, texts.join(counts, "id").select(F.col("id").alias("a"), F.col("text").alias("ta"), "n"), ["a"]).select("a", "b", "ta", "tb")
 
 
 #: Random 64-bit values for bytes and the powers of an odd base: any fixed values do.

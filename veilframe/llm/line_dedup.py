@@ -172,9 +172,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = bucket_links(members, facts, near, texts, lambda pairs: pairs.mapInArrow(lambda it: tidy(confirm(it)), "a long, b long"), named=lambda found: found.join(nodes, "id").select("key", F.col("node").alias("id")))
 
     #: Lines that stand more than once, by themselves or with those they are linked to, with the first id of their class.
-    linked = written(each.join(comps, F.col("node") == F.col("id")).select("line", "check", "n", F.col("comp").alias("class"), "low", "null_id"), "linked")
-    first = linked.groupBy("class").agg(F.count("*").alias("lines"), F.min("low").alias("low"), F.max("null_id").alias("null_id"))
-    linked = spread_join(linked.select("line", "check", "n", "class"), written(first, "first"), ["class"], "lines")
+    linked = each.join(comps, F.col("node") == F.col("id")).select("line", "check", "n", F.col("comp").alias("class"), "low", "null_id")
+    first = linked.groupBy("class").agg(F.min("low").alias("low"), F.max("null_id").alias("null_id"))
+    linked = linked.select("line", "check", "n", "class").join(first, "class").select("line", "check", "n", "class", "low", "null_id")
     alone = each.where("n > 1").join(comps, F.col("node") == F.col("id"), "left_anti").select("line", "check", "n", F.col("node").alias("class"), "low", "null_id")
     many = written(linked.unionByName(alone), "many")
     found = spread_join(lines.select("id", "row", "number", "line", "check"), many, ["line", "check"]).where("class is not null")

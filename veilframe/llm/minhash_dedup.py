@@ -152,6 +152,8 @@ def _equal_sets(rows: DataFrame, able: DataFrame, own: DataFrame, words: int) ->
     """Rows that share size and both fingerprints of a set, but not the text, are compared with one of them on the full sets."""
     alike = spread_join(able.select("id", "hash", "n", "p0", "p1"), own.where("rows > 1").select("n", "p0", "p1", "low", "rows"), ["n", "p0", "p1"], "rows")
     pairs = written(alike.where("low is not null and hash <> low.hash").groupBy(F.col("low.hash").alias("a"), F.col("hash").alias("b")).agg(F.min("id").alias("id"), F.min("low.id").alias("low")), "alike")
+    if pairs.isEmpty():
+        return
     wanted = pairs.select(F.col("low").alias("id"), F.col("a").alias("hash")).unionByName(pairs.select("id", F.col("b").alias("hash"))).distinct()
     texts = written(rows.join(wanted, ["id", "hash"]).groupBy(F.col("hash").alias("id")).agg(F.min("text").alias("text")), "texts")
     same = with_texts(pairs.select("a", "b"), texts).mapInArrow(lambda it: tidy(_confirm(it, words, 100)), "a long, b long")
@@ -183,8 +185,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col(text_col).cast("string")
     found = _classes(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")), words, similarity)
     found = written(found, "classes")
-    own = found.where("comp is not null").groupBy("id").agg(F.min("comp").alias("comp"), F.count("*").alias("rows"))
-    told = spread_join(found.select("id", "n"), written(own, "classes"), ["id"], "rows")
+    told = found.select("id", "n").join(found.where("comp is not null").groupBy("id").agg(F.min("comp").alias("comp")), "id", "left")
     comp = F.coalesce("comp", "id")
     return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 

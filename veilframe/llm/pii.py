@@ -18,6 +18,9 @@ _KEYWORD = r"(?i:password|passwd|api[_\-]?key|token|secret)(?:\\?[\"'])?[ \t]{0,
 _HEX = "".join(rf"|(?<![0-9A-Za-z])[0-9a-fA-F]{{{n}}}(?![0-9A-Za-z])" for n in (40, 64, 32))
 
 
+_PLAIN_SECRET = r"\bAKIA[0-9A-Z]{16}\b" + _HEX
+
+
 def _after(titles: str) -> str:
     more = r"(?:(?:Dr|Prof)\.?[ ]|)" * 2
     word = r"(?!(?:Dr|Prof)(?!\p{L}))\p{Lu}\p{Ll}+"
@@ -27,7 +30,7 @@ def _after(titles: str) -> str:
 #: Kinds in the order in which they are tried at a place of the text.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b" + "".join(rf"|(?<={_KEYWORD}[ \t]{{0,8}}{q})[^{q}\r\n]+(?={q})" for q in "\"'") + rf"|(?<={_KEYWORD}[ \t]{{0,8}}(?:\\?[\"'])?)(?![=:>])[^\s,;\"']+" + _HEX,
+    "secret": _PLAIN_SECRET + "".join(rf"|(?<={_KEYWORD}[ \t]{{0,8}}{q})[^{q}\r\n]+(?={q})" for q in "\"'") + rf"|(?<={_KEYWORD}[ \t]{{0,8}}(?:\\?[\"'])?)(?![=:>])[^\s,;\"']+",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<!\d)(?:\d{4}[ \-]?){3}\d{4}(?!\d)|(?<!\d)3[47]\d{13}(?!\d)",
@@ -37,8 +40,9 @@ KINDS = {
     "woman": _after(_WOMEN),
     "person": _after(_PEOPLE),
 }
-#: One pattern for texts that hold a title, and one without the names for all others.
+#: One pattern for texts that hold a title, one without the names for those with a keyword, and one that never looks back far for all others.
 ANY = "|".join(f"({p})" for p in KINDS.values())
+PLAIN = "|".join(f"(?:{_PLAIN_SECRET if k == 'secret' else p})" for k, p in KINDS.items() if k not in ("man", "woman", "person"))
 CORE = "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in ("man", "woman", "person"))
 #: Alphabets within which a character is drawn anew; for names vowels and consonants apart, so that a surrogate can be read aloud.
 _LATIN, _ACCENTS = "abcdefghijklmnopqrstuvwxyz", "áàâäãåéèêëíìîïóòôöõúùûü"
@@ -172,16 +176,17 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     text = F.col(f"`{text_col}`")
     #: Cheap signs without which no pattern matches, so that most texts are never searched.
     titled = reduce(lambda a, b: a | b, (text.contains(t) for t in f"{_MEN}|{_WOMEN}|{_PEOPLE}".split("|")))
-    signs = text.rlike("[0-9@]") | text.rlike(_KEYWORD)
-    has = F.coalesce(F.when(titled, text.rlike(ANY)).when(signs, text.rlike(CORE)), F.lit(False))
+    keyed = text.rlike("(?i)passw|api[_\\-]?key|token|secret")
+    has = F.coalesce(F.when(titled, text.rlike(ANY)).when(keyed, text.rlike(CORE)).when(text.rlike("[0-9@]|[A-Fa-f]{32}"), text.rlike(PLAIN)), F.lit(False))
     none = docs.where(~has).withColumns({"pii_count": F.lit(0), "pii_kinds": F.array().cast("array<string>")})
     row = F.col("row")[text_col]
-    found = docs.where(has).select(F.struct("*").alias("row"), titled.alias("titled"))
-    hits = F.when(F.col("titled"), F.regexp_extract_all(row, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(row, F.lit(CORE), F.lit(0)))
+    found = docs.where(has).select(F.struct("*").alias("row"), titled.alias("titled"), keyed.alias("keyed"))
+    by_form = lambda f: F.when(F.col("titled"), f(ANY)).when(F.col("keyed"), f(CORE)).otherwise(f(PLAIN))
+    hits = by_form(lambda p: F.regexp_extract_all(row, F.lit(p), F.lit(0)))
     groups = {k: F.when(F.col("titled"), F.regexp_extract_all(row, F.lit(ANY), F.lit([*KINDS].index(k) + 1))) for k in ("man", "woman", "person")}
-    found = found.select("row", "titled", hits.alias("hits"), *(g.alias(k) for k, g in groups.items()))
+    found = found.select("row", "titled", "keyed", hits.alias("hits"), *(g.alias(k) for k, g in groups.items()))
     ents = F.transform("hits", lambda x, i: F.struct(_kind(x, {k: F.coalesce(F.get(k, i), F.lit("")) for k in groups}).alias("kind"), x.alias("value")))
-    found = found.select(F.monotonically_increasing_id().alias("key"), "row", "titled", ents.alias("ents"))
+    found = found.select(F.monotonically_increasing_id().alias("key"), "row", "titled", "keyed", ents.alias("ents"))
     found = written(found, "private")
     listed = found.select("key", F.explode(F.array_distinct("ents")).alias("e")).select("key", "e.kind", "e.value").where("kind <> ''")
     who = F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.col("value"))
@@ -191,7 +196,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mapped = spread_join(listed, written(table.join(often, ["ident", "who"]), "surrogates"), ["ident", "who"])
     by_row = mapped.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x00", "ident", "value"), "surrogate"))).alias("to"))
     new = F.transform("ents", lambda e: F.coalesce(F.element_at("to", F.concat_ws("\x00", identity(e["kind"]), e["value"])), e["value"]))
-    parts = F.when(F.col("titled"), F.split(row, ANY, -1)).otherwise(F.split(row, CORE, -1))
+    parts = by_form(lambda p: F.split(row, p, -1))
     text2 = F.array_join(F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.get("new", i), F.lit("")))), "")
     done = found.join(by_row, "key", "left").select("row", F.filter("ents", lambda e: e["kind"] != "").alias("true"), "ents", parts.alias("parts"), new.alias("new"))
     #: Names found after a title; each is a word of letters and no surrogate is a name that occurs, so they are replaced one after the other.
