@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, SparkSession, Window
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,8 @@ def nullify(kind: T.DataType) -> Column:
 
 def fixed(spark: SparkSession, value: str, kind: T.DataType) -> Column:
     """A literal of the field's type; a value that does not parse as that is refused here."""
-    if spark.range(1).select(F.lit(value).try_cast(kind).isNull().alias("bad")).first()["bad"]:
+    #: Over literal rows this is folded while planning; no job runs.
+    if spark.sql(f"SELECT try_cast(:value AS {kind.simpleString()}) IS NULL AS bad FROM VALUES (1)", args={"value": value}).first()["bad"]:
         raise PolicyError(f"fixed value {value!r} is no {kind.simpleString()}")
     return F.lit(value).cast(kind)
 
@@ -36,9 +37,11 @@ def regexp(col: Column, pattern: str, replacement: str = "") -> Column:
 
 
 def hashed(col: Column, kind: T.DataType, seed: str | int | None = None) -> Column:
-    """Numbers to a 64-bit number, text to SHA-256 in hex."""
+    """Numbers to a number of 60 bits, from the first hex digits of the SHA-256 of their text; text to SHA-256 in hex."""
     if is_numeric(kind):
-        return F.xxhash64(col) if seed is None else F.xxhash64(col, F.lit(int(seed)))
+        text = col.cast("string")
+        digest = F.sha2(text if seed is None else F.concat(F.lit(f"{seed}:"), text), 256)
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     if isinstance(kind, T.StringType):
         return F.sha2(col if seed is None else F.concat(F.lit(f"{seed}:"), col), 256)
     raise PolicyError(f"hashing {kind.simpleString()} is not supported")
@@ -68,12 +71,6 @@ def aggregate(col: Column, how: str, cast_to: str | None = None) -> Column:
     raise PolicyError(f"unknown aggregate {how!r}")
 
 
-def aggregated(col: Column, how: str, partition_by: list[Column], cast_to: str | None = None, precision: int | None = None) -> Column:
-    """The aggregate over all visible rows with the same partition values, in every row."""
-    out = aggregate(col, how, cast_to).over(Window.partitionBy(*partition_by))
-    return out if precision is None else F.round(out, precision)
-
-
 def settings_of(t: Transform, key: str) -> dict:
     """A nested setting as a dict."""
     found = t.get(key)

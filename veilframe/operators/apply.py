@@ -72,7 +72,7 @@ class _Builder:
         if t.kind == "numeric_rounding":
             return tf.rounded(col, *tf.rounding_of(t))
         if t.kind == "detokenize":
-            return F.coalesce(F.col(f"`{self.tokens[token_key(t)]}`"), col) if token_key(t) in self.tokens else col
+            return F.coalesce(F.col(f"`{self.tokens[token_key(name, t)]}`"), col) if token_key(name, t) in self.tokens else col
         if t.kind == "aggregation":
             total, precision = self.totals[total_key(name, t)], tf.aggregation_of(t)[3]
             return total if precision is None else F.round(total, precision)
@@ -96,7 +96,7 @@ class _Builder:
 
     def column(self, name: str, entries: tuple[Transform, ...]) -> Column:
         kind = _path(self.df, name)
-        col = reduce(lambda c, p: c[p], name.split(".")[1:], F.col(f"`{name.split('.')[0]}`"))
+        col = _column(name)
         kinds = [self.kind_of(t, col, name, kind) for t in entries]
         common = kinds[0]
         if any(k != common for k in kinds):
@@ -108,8 +108,21 @@ class _Builder:
         return dispatch(entries, self.caller, lambda t: self.branch(t, col, name, kind).cast(common))
 
 
-def token_key(t: Transform) -> str:
-    return f"{t.get('token_source_ref')}|{t.get('token_field')}|{t.get('value_field')}"
+def _column(name: str) -> Column:
+    """A field by its dotted path."""
+    first, *rest = name.split(".")
+    return reduce(lambda c, p: c[p], rest, F.col(f"`{first}`"))
+
+
+def _free(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"__{stem}_{k}") not in taken)
+
+
+def token_key(name: str, t: Transform) -> str:
+    """A join for each field: two fields of one token source have values of their own."""
+    return f"{name.lower()}|{t.get('token_source_ref')}|{t.get('token_field')}|{t.get('value_field')}"
 
 
 def apply_rule_set(df: DataFrame, rule_set: RuleSet, caller: Caller, fields: Iterable[Field] | None = None, token_sources: dict[str, DataFrame] | Callable[[str], DataFrame] | None = None, as_of: datetime | str | None = None, unique_tokens: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -137,7 +150,7 @@ def apply_rule_set(df: DataFrame, rule_set: RuleSet, caller: Caller, fields: Ite
     for name, entries in wanted.values():
         _path(df, name)
         for t in entries if not unique_tokens else _active(entries, caller):
-            if t.kind == "detokenize" and token_key(t) not in build.tokens:
+            if t.kind == "detokenize" and token_key(name, t) not in build.tokens:
                 source = _with_tokens(source, name, t, token_sources, build)
     for name, entries in wanted.values():
         for t in _active(entries, caller):
@@ -163,9 +176,10 @@ def _with_tokens(df: DataFrame, name: str, t: Transform, token_sources, build: _
         except Exception as e:
             raise PolicyError(f"token source {ref!r} is missing") from e
     token, value = (x if isinstance(x, str) else ".".join(dict(x)["name_parts"]) for x in (t.get("token_field"), t.get("value_field")))
-    build.tokens[token_key(t)] = alias = f"__value_{len(build.tokens)}"
-    side = table.select(F.col(token).alias("__token"), F.col(value).alias(alias))
-    return df.join(side, F.col(f"`{name}`") == F.col("__token"), "left").drop("__token")
+    build.tokens[token_key(name, t)] = alias = _free(df, "value")
+    key = _free(df, "token")
+    side = table.select(F.col(token).alias(key), F.col(value).alias(alias))
+    return df.join(side, _column(name) == F.col(key), "left").drop(key)
 
 
 def total_key(name: str, t: Transform) -> str:
@@ -183,7 +197,7 @@ def _with_total(df: DataFrame, name: str, t: Transform, build: _Builder) -> Data
     key = total_key(name, t)
     if key in build.totals:
         return df
-    alias = f"__total_{len(build.totals)}"
+    alias = _free(df, "total")
     build.totals[key] = F.col(alias)
     on = [*build.keys, *by]
     total = tf.aggregate(F.col(name), how, cast_to).alias(alias)

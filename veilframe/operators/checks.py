@@ -69,8 +69,11 @@ def several_defaults(entries: DataFrame) -> DataFrame:
 
 
 def overlapping_principals(entries: DataFrame) -> DataFrame:
-    each = entries.select("policy", "rule_set", "field", F.explode("principals").alias("p")).withColumn("principal", F.upper("p"))
-    return _repeated(each, "overlapping_principals", "rule_set", "field", "principal", detail="principal")
+    """Principals that two entries of a field name, in the same spelling; one entry that names somebody twice is no overlap."""
+    lists = entries.groupBy("policy", "rule_set", "field").agg(F.flatten(F.collect_list(F.array_distinct("principals"))).alias("all"))
+    lists = lists.where(F.size("all") > F.size(F.array_distinct("all")))
+    twice = F.filter(F.array_distinct("all"), lambda p: F.size(F.filter("all", lambda q: q == p)) > 1)
+    return _out(lists.select("policy", F.explode(twice).alias("principal")), "overlapping_principals", F.col("principal"))
 
 
 def field_twice(lists: DataFrame) -> DataFrame:

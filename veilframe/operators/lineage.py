@@ -13,9 +13,11 @@ def managed_resources(policies: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, resources: DataFrame) -> DataFrame:
     """Both directions around each of ``resources(fqn)``: ``fqn, direction, neighbour, relation``."""
-    up = edges.join(resources, F.col("target_fqn") == F.col("fqn")).select("fqn", F.lit("upstream").alias("direction"), F.col("source_fqn").alias("neighbour"), "relation")
-    down = edges.join(resources, F.col("source_fqn") == F.col("fqn")).select("fqn", F.lit("downstream").alias("direction"), F.col("target_fqn").alias("neighbour"), "relation")
-    return up.unionByName(down)
+    ends = F.array(
+        F.struct(F.col("target_fqn").alias("fqn"), F.lit("upstream").alias("direction"), F.col("source_fqn").alias("neighbour")),
+        F.struct(F.col("source_fqn").alias("fqn"), F.lit("downstream").alias("direction"), F.col("target_fqn").alias("neighbour")),
+    )
+    return edges.select(F.explode(ends).alias("e"), "relation").select("e.*", "relation").join(resources, "fqn", "left_semi").select("fqn", "direction", "neighbour", "relation")
 
 
 def flagged(edges: DataFrame, managed: DataFrame) -> DataFrame:

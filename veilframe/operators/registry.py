@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("id", "platform")
@@ -24,8 +24,9 @@ def group_page(groups: DataFrame, login_roles: DataFrame | None = None, skip: in
 
 def latest(history: DataFrame) -> DataFrame:
     """The active version of each policy; of several the highest."""
-    order = Window.partitionBy(*KEY).orderBy(F.desc("version"))
-    return history.where("active").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    rest = [c for c in history.columns if c not in KEY]
+    last = history.where("active").groupBy(*KEY).agg(F.max_by(F.struct(*rest), "version").alias("_last"))
+    return last.select(*(F.col(c) if c in KEY else F.col(f"_last.{c}") for c in history.columns))
 
 
 def latest_version(history: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,15 +21,19 @@ def field_path(path: Column) -> Column:
     return F.split(F.regexp_replace(path, r"\[(?:version|type)=[^\]]*\]\.", ""), r"\.")
 
 
-def parent_paths(fields: DataFrame, id_col: str = "id", parent_col: str = "parent", name_col: str = "name", depth: int = 32) -> DataFrame:
-    """``id, path``: names from the root down to each field. Stops when no field has a parent left, at most after ``depth`` levels."""
-    base = fields.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.array(name_col).alias("path"))
-    names = fields.select(F.col(id_col).alias("p_id"), F.col(parent_col).alias("p_up"), F.col(name_col).alias("p_name"))
-    now = base
-    for _ in range(depth):
-        if now.where("up is not null").isEmpty():
-            break
-        now = now.join(names, F.col("up") == F.col("p_id"), "left").select("id", F.col("p_up").alias("up"), F.when(F.col("p_name").isNull(), F.col("path")).otherwise(F.concat(F.array("p_name"), "path")).alias("path"))
+def parent_paths(fields: DataFrame, id_col: str = "id", parent_col: str = "parent", name_col: str = "name") -> DataFrame:
+    """``id, path``: names from the root down to each field. A parent that is not there makes a root; a cycle is an error.
+
+    Each round doubles the distance that is bridged, so a chain of n fields takes log2 n rounds.
+    """
+    now = fields.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.array(name_col).alias("path"))
+    bridged, most, keep = 1, fields.count(), fields.sparkSession.sparkContext.getCheckpointDir() is not None
+    while not now.where("up is not null").isEmpty():
+        if bridged > most:
+            raise ValueError("fields are parents of each other")
+        above = now.select(F.col("id").alias("p_id"), F.col("up").alias("p_up"), F.col("path").alias("p_path"))
+        now = now.join(above, F.col("up") == F.col("p_id"), "left").select("id", F.col("p_up").alias("up"), F.concat(F.coalesce("p_path", F.array().cast("array<string>")), "path").alias("path"))
+        now, bridged = now.checkpoint() if keep else now, bridged * 2
     return now.select("id", "path")
 
 
@@ -56,14 +60,15 @@ def combine(entries: DataFrame) -> DataFrame:
     entries. An entry whose groups are all taken goes (it does not become a default, which could
     expose data); of the defaults the first stays.
     """
-    place = F.struct("tag_pos", "ord")
-    first = Window.partitionBy("table", "field", "group").orderBy("tag_pos", "ord")
-    named = entries.where(F.size("groups") > 0).select("table", "field", "tag_pos", "ord", "transform", F.explode(F.array_distinct("groups")).alias("group"))
-    named = named.withColumn("r", F.row_number().over(first)).where("r = 1").groupBy("table", "field", "tag_pos", "ord").agg(F.sort_array(F.collect_set("group")).alias("groups"), F.first("transform").alias("transform"), F.lit(0).alias("last"))
-    default = entries.where(F.size("groups") == 0).groupBy("table", "field").agg(F.min(F.struct(place.alias("place"), "transform")).alias("m"))
-    default = default.select("table", "field", F.col("m.place.tag_pos").alias("tag_pos"), F.col("m.place.ord").alias("ord"), F.array().cast("array<string>").alias("groups"), F.col("m.transform").alias("transform"), F.lit(1).alias("last"))
-    order = Window.partitionBy("table", "field").orderBy("last", "tag_pos", "ord")
-    return named.unionByName(default).withColumn("ord", F.row_number().over(order)).select("table", "field", "ord", "groups", "transform")
+    entry, none = "struct<groups:array<string>,transform:string>", F.array().cast("array<string>")
+    lists = entries.groupBy("table", "field").agg(F.array_sort(F.collect_list(F.struct("tag_pos", "ord", "groups", "transform"))).alias("all"))
+    start = F.struct(none.alias("seen"), F.array().cast(f"array<{entry}>").alias("out"))
+    left = lambda a, x: F.struct(F.array_sort(F.array_except(x["groups"], a["seen"])).alias("groups"), x["transform"].alias("transform")).cast(entry)
+    taken = F.aggregate("all", start, lambda a, x: F.struct(F.array_union(a["seen"], x["groups"]).alias("seen"), F.concat(a["out"], F.array(left(a, x))).alias("out")))
+    named = F.filter(taken["out"], lambda x: F.size(x["groups"]) > 0)
+    default = F.slice(F.filter("all", lambda x: F.size(x["groups"]) == 0), 1, 1)
+    listed = lists.select("table", "field", F.concat(named, F.transform(default, lambda x: F.struct(none.alias("groups"), x["transform"].alias("transform")).cast(entry))).alias("all"))
+    return listed.select("table", "field", F.posexplode("all").alias("pos", "e")).select("table", "field", (F.col("pos") + 1).alias("ord"), "e.groups", "e.transform")
 
 
 def rule_sets_from_tags(fields: DataFrame, transforms: DataFrame, strict: bool = False) -> DataFrame:
@@ -86,21 +91,28 @@ def delete_transforms(stored: DataFrame, refs: DataFrame, strict: bool = False)
 
 
 def first_match(candidates: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key."""
-    return candidates.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
+    """The first row of each key, aggregated before its shuffle."""
+    rest = [c for c in candidates.columns if c != key and c not in order]
+    first = candidates.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    return first.select(*(F.col(key) if c == key else F.col(f"_first.`{c}`") for c in candidates.columns))
+
+
+def transforms_of(stored: DataFrame, kind: str) -> DataFrame:
+    """Stored transforms of one type."""
+    return stored.where(F.col("type") == kind)
 
 
 def blueprint(df: DataFrame, table: str) -> DataFrame:
-    """``table, field, ord, type, required, tags`` of a frame's schema; nested fields by dotted path."""
+    """``table, field, ord, type, required, tags, comment`` of a frame's schema; nested fields by dotted path."""
     from pyspark.sql import types as T
 
     rows: list[tuple] = []
 
     def walk(schema: T.StructType, prefix: str) -> None:
         for f in schema.fields:
-            rows.append((table, prefix + f.name, len(rows), f.dataType.simpleString(), not f.nullable, list(f.metadata.get("tags", [])) if f.metadata else []))
+            rows.append((table, prefix + f.name, len(rows), f.dataType.simpleString(), not f.nullable, list((f.metadata or {}).get("tags", [])), (f.metadata or {}).get("comment")))
             if isinstance(f.dataType, T.StructType):
                 walk(f.dataType, f"{prefix}{f.name}.")
 
     walk(df.schema, "")
-    return df.sparkSession.createDataFrame(rows, "table string, field string, ord int, type string, required boolean, tags array<string>")
+    return df.sparkSession.createDataFrame(rows, "table string, field string, ord int, type string, required boolean, tags array<string>, comment string")

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from veilframe.functions.members import distinct_groups, groups_by_user
 from veilframe.model import Field, RuleSet, policy_from
 from veilframe.operators import checks, lineage, models_meta, registry, tags
-from veilframe.operators.apply import apply_rule_set, dynamic, principal_matrix, principals_frame
-from veilframe.sources.tables import read_csv, read_policies
+from veilframe.operators.apply import apply_policy, apply_rule_set, dynamic, principal_matrix, principals_frame
+from veilframe.sources.tables import create_view, read_csv, read_policies, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,7 +104,7 @@ def hash_string_seed(spark, d):
     return apply_rule_set(table(spark, d, "customer"), rules({"c_name": [("hash", {"seed": 42})]}), set(), fields("c_custkey", "c_name"))
 
 
-@query(None)
+@query("select o_orderkey, ('0x' || substr(sha256('7:' || o_custkey), 1, 15))::bigint o_custkey from orders")
 def hash_numeric(spark, d):
     return apply_rule_set(table(spark, d, "orders"), rules({"o_custkey": [("hash", {"seed": 7})]}), set(), fields("o_orderkey", "o_custkey"))
 
@@ -162,10 +162,10 @@ def null_condition(spark, d):
     return apply_rule_set(table(spark, d, "orders"), rules(filters=[generic(("CASE WHEN o_orderstatus = 'O' THEN NULL ELSE TRUE END",))]), set(), fields("o_orderkey"))
 
 
-@query(f"select event_id, event_type, value from events where ts + interval 10 day > timestamp '{AS_OF}'")
+@query(f"select event_id, event_type, value from events where ts + interval 30 day > timestamp '{AS_OF}'")
 def retention_by_principal(spark, d):
-    r = rules(filters=[retention("ts", (10, "marketing"), (None, "fraud"), (5,))])
-    return apply_rule_set(table(spark, d, "events"), r, {"marketing"}, fields("event_id", "event_type", "value"), as_of=AS_OF)
+    r = rules(filters=[retention("ts", (3, "press"), (30, "analysts"), (None, "auditors"), (0,))])
+    return apply_rule_set(table(spark, d, "events"), r, {"analysts"}, fields("event_id", "event_type", "value"), as_of=AS_OF)
 
 
 @query("select o_orderkey, o_totalprice from orders")
@@ -225,6 +225,60 @@ def detokenize_elided(spark, d):
     return apply_rule_set(_order_tokens(spark, d), r, {"sales"}, token_sources={"tokens": _customer_tokens(spark, d)}, unique_tokens=True)
 
 
+@query("select o_orderkey, coalesce(a.c_name, o_custkey::varchar) o_custkey, coalesce(b.c_name, o_orderkey::varchar) o_again from orders left join customer a on o_custkey = a.c_custkey left join customer b on o_orderkey = b.c_custkey")
+def detokenize_shared_source(spark, d):
+    """Two fields with one token source, each with values of its own."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.col("o_orderkey").cast("string").alias("o_again"))
+    t = ("detokenize", _detokenize("tokens", "token", "value"))
+    return apply_rule_set(rows, rules({"o_custkey": [t], "o_again": [t]}), set(), token_sources={"tokens": _customer_tokens(spark, d)})
+
+
+@query("select o_orderkey, coalesce(c_name, o_custkey::varchar) who, o_orderpriority priority from orders left join customer on o_custkey = c_custkey")
+def detokenize_nested(spark, d):
+    """A token inside a struct, beside a column that is named like the engine's own."""
+    base = _order_tokens(spark, d)
+    rows = base.select("o_orderkey", F.struct(F.col("o_custkey").alias("who"), F.col("o_orderpriority").alias("priority")).alias("inner"), F.lit(1).alias("__value_0"))
+    out = apply_rule_set(rows, rules({"inner.who": [("detokenize", _detokenize("tokens", "token", "value"))]}), set(), token_sources={"tokens": _customer_tokens(spark, d)})
+    return out.select("o_orderkey", "inner.who", "inner.priority")
+
+
+_TARGETS = {"source": {"ref": "customer"}, "rule_sets": [
+    {"target": {"ref": "gold.names"}, "field_transforms": [{"field": "c_name", "transforms": [{"principals": [{"role": "clerk"}, {"permission": "names.read"}], "identity": {}}, {"nullify": {}}]}]},
+    {"target": {"ref": "gold_names", "type": "SQL_TABLE"}, "filters": [{"generic_filter": {"conditions": [{"principals": [{"role": "clerk"}], "condition": "c_custkey % 2 = 0"}, {"condition": "false"}]}}]},
+]}
+_TARGETS_SQL = "select 'gold.names' target, c_custkey, c_name from customer union all select 'gold_names', c_custkey, c_name from customer where c_custkey % 2 = 0"
+
+
+def _by_target(frames: dict[str, DataFrame]) -> DataFrame:
+    parts = [f.select(F.lit(t).alias("target"), "c_custkey", "c_name") for t, f in frames.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query(_TARGETS_SQL)
+def all_targets(spark, d):
+    """Every rule set of a policy, for a caller with a role."""
+    return _by_target(apply_policy(table(spark, d, "customer"), policy_from(_TARGETS), {"role:clerk"}))
+
+
+@query(_TARGETS_SQL)
+def target_views(spark, d):
+    """The same as views whose names differ in a dot only, read back by name."""
+    frames = apply_policy(table(spark, d, "customer"), policy_from(_TARGETS), {"role:clerk", "permission:names.read"})
+    for name, df in frames.items():
+        create_view(df, name)
+    return _by_target({name: spark.table(f"`{name}`") for name in frames})
+
+
+@query("select c_custkey, c_name, round(c_acctbal, 2) c_acctbal from customer where c_acctbal > 0")
+def csv_result(spark, d):
+    """A governed frame written as CSV and read back with its types."""
+    import uuid
+
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/veilframe-csv'}/csv-{uuid.uuid4().hex}"
+    write_csv(apply_rule_set(table(spark, d, "customer"), rules(filters=[generic(("c_acctbal > 0",))]), set(), fields("c_custkey", "c_name", "c_acctbal")), path)
+    return read_csv(spark, path, [Field("c_custkey", "bigint"), Field("c_name", "varchar"), Field("c_acctbal", "double")]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
 # --- aggregation transforms
 
 
@@ -286,13 +340,12 @@ def selected_principals(spark, d):
 
 
 @query("""
-with u as (select c_name principal, [c_mktsegment, 'nation-' || c_nationkey] g from customer where c_acctbal > 9000)
+with u as (select c_name principal, [c_mktsegment, 'nation-' || c_nationkey] g from customer)
 select principal, n_nationkey, case when list_contains(g, 'nation-' || n_nationkey) then n_name when list_contains(g, 'BUILDING') then upper(left(n_name, 1)) else '-' end n_name
 from nation, u where list_contains(g, 'BUILDING') or n_nationkey < 20""")
 def user_fanout(spark, d):
     """Each user in several groups: the first entry that names one of them decides."""
-    heads = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_name").alias("user"))
-    who = groups_by_user(_members(spark, d).join(heads, "user", "left_semi"))
+    who = groups_by_user(_members(spark, d))
     nations = table(spark, d, "nation")
     first = [("sql_statement", {"statement": f"CASE WHEN n_nationkey = {n} THEN n_name WHEN array_contains(__groups, 'BUILDING') THEN upper(left(n_name, 1)) ELSE '-' END"}, f"nation-{n}") for n in range(25)]
     r = rules({"n_name": [*first, ("sql_statement", {"statement": "'-'"})]}, [generic(("true", "BUILDING"), ("n_nationkey < 20",))])
@@ -443,12 +496,17 @@ def first_match(spark, d):
     return tags.first_match(table(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
 
 
-@query("select event_type \"table\", count(*) n from events group by 1")
+@query("""
+with t(field, type, n) as (select 'event_id', 'bigint', count(event_id) from events union all select 'ts', 'timestamp', count(ts) from events union all select 'user_id', 'bigint', count(user_id) from events
+union all select 'event_type', 'string', count(event_type) from events union all select 'value', 'double', count("value") from events union all select 'props', 'string', count(props) from events)
+select 'events' "table", t.field, column_index - 1 ord, t.type, t.n from t join duckdb_columns() c on c.table_name = 'events' and c.column_name = t.field""")
 def blueprint_fields(spark, d):
-    """Fields of the events table, joined with how often each type of event occurs; the schema is checked on the way."""
+    """Every field of the events table with its place and type, and how many of its values are there."""
     e = table(spark, d, "events")
-    fields_n = tags.blueprint(e, "events").where("field in ('event_id', 'ts', 'user_id', 'event_type', 'value', 'props')").count()
-    return e.groupBy(F.col("event_type").alias("table")).agg((F.count("*") * F.lit(fields_n) / 6).cast("long").alias("n"))
+    there = e.select(*(F.count(c).alias(c) for c in e.columns))
+    there = there.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("n")) for c in e.columns))).alias("x")).select("x.*")
+    kind = F.regexp_replace("type", "_ntz$", "").alias("type")
+    return tags.blueprint(e, "events").join(there, "field").select("table", "field", F.col("ord").cast("long").alias("ord"), kind, "n")
 
 
 # --- registry: orders as a log of policy versions (policy = customer, platform = priority)
@@ -575,7 +633,7 @@ def check_several_defaults(spark, d):
     return checks.several_defaults(_entries(spark, d))
 
 
-@query(_ENTRIES_SQL + " select policy, 'overlapping_principals' rule, upper(p) detail from (select policy, field, unnest(principals) p from e) group by policy, field, upper(p) having count(*) > 1")
+@query(_ENTRIES_SQL + " select policy, 'overlapping_principals' rule, p detail from (select policy, field, unnest(list_distinct(principals)) p from e) group by policy, field, p having count(*) > 1")
 def check_overlapping_principals(spark, d):
     return checks.overlapping_principals(_entries(spark, d))
 
@@ -656,9 +714,9 @@ def lineage_gaps(spark, d):
     return lineage.gaps(_edges(spark, d), _governed(spark, d))
 
 
-@query("select l_orderkey link, 'p' || l_partkey source_fqn, 's' || l_suppkey target_fqn, o_custkey process, c_name \"sql\" from lineitem left join orders on o_orderkey = l_orderkey left join customer on c_custkey = o_custkey and c_custkey % 2 = 0 where l_linenumber = 1")
+@query("select l_orderkey link, 'p' || l_partkey source_fqn, 's' || l_suppkey target_fqn, o_custkey process, c_name \"sql\" from lineitem left join orders on o_orderkey = l_orderkey left join customer on c_custkey = o_custkey and c_custkey % 2 = 0")
 def lineage_relation(spark, d):
-    links = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("link"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source_fqn"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target_fqn"))
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("link"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source_fqn"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target_fqn"))
     processes = table(spark, d, "orders").select(F.col("o_orderkey").alias("link"), F.col("o_custkey").alias("process"))
     sql = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("process"), F.col("c_name").alias("sql"))
     return lineage.with_relation(links, processes, sql)
@@ -696,7 +754,7 @@ def _manifests(spark, d) -> DataFrame:
     meta = F.struct(F.when(k == 2, True).when(k == 3, False).alias("enabled"), (k == 5).alias("generated"), F.when(k.isin(0, 3, 4, 5), F.array(F.lit("model"))).otherwise(tr).alias("rule_sets"), tr.alias("column_transforms"))
     cols = F.map_from_arrays(F.array(F.lit("a")), F.array(F.struct(F.lit("a").alias("name"), col_meta.alias("meta"))))
     node = F.struct(F.lit("db").alias("database"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("schema"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 11 == 0, "seed").otherwise("model").alias("resource_type"), F.array(F.lit("db"), F.col("c_name")).alias("fqn"), cols.alias("columns"), meta.alias("meta"))
-    each = c.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("model."), "c_name").alias("k"), node.alias("v")))).alias("nodes"))
+    each = c.groupBy("c_nationkey", F.floor(F.col("c_custkey") / 50)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("model."), "c_name").alias("k"), node.alias("v")))).alias("nodes"))
     return each.select(F.to_json(F.struct(F.struct(F.lit("spark").alias("adapter_type")).alias("metadata"), "nodes", F.lit(1).alias("unknown"))).alias("manifest"))
 
 

@@ -46,7 +46,8 @@ def write_csv(df: DataFrame, path: str, by_principal: bool = False) -> None:
 
 
 def create_view(df: DataFrame, target: str) -> None:
-    df.createOrReplaceTempView(target.replace(".", "_"))
+    """A view by its whole name; a name with dots is one name and is written in back quotes."""
+    df.createOrReplaceTempView(f"`{target}`")
 
 
 def save_tables(frames: dict[str, DataFrame]) -> None:
