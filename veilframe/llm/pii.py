@@ -54,19 +54,17 @@ _NAMED = [f("".join(c for c in a if (c in _VOWELS) == v)) for a in (_LATIN, _CYR
 NAMES = ("man", "woman", "person")
 
 
-def _drawn(seed: Column, n: int) -> Column:
+def _drawn(seed: Column, n: int | Column) -> Column:
     """A number below n that depends on ``seed`` alone."""
-    return F.pmod(F.conv(F.substring(F.sha2(seed, 256), 1, 12), 16, 10).cast("long"), F.lit(n))
+    return F.pmod(F.conv(F.substring(F.sha2(seed, 256), 1, 12), 16, 10).cast("long"), n if isinstance(n, Column) else F.lit(n))
 
 
 def _letters(value: Column, seed: Column, alphabets: list[str] = _ALPHABETS) -> Column:
     """``value`` with each letter and digit drawn anew from its own alphabet; other characters stay."""
 
     def one(c: Column, i: Column) -> Column:
-        out = F.when(F.lit(False), c)
-        for a in alphabets:
-            out = out.when(F.instr(F.lit(a), c) > 0, F.substring(F.lit(a), (_drawn(F.concat(seed, F.lit(":"), i.cast("string")), len(a)) + 1).cast("int"), F.lit(1)))
-        return out.otherwise(c)
+        own = F.coalesce(*(F.when(F.instr(F.lit(a), c) > 0, F.lit(a)) for a in alphabets))
+        return F.coalesce(F.substring(own, (_drawn(F.concat(seed, F.lit(":"), i.cast("string")), F.length(own)) + 1).cast("int"), F.lit(1)), c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -79,15 +77,19 @@ def _checked(digits: Column) -> Column:
     return F.concat(F.regexp_replace(digits, r"\d$", ""), F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """Replacement of ``value``: same kind, length of parts, punctuation, case and script, drawn with ``key``.
+def seed_of(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+    """What the surrogate of an entity is drawn from."""
+    return F.concat_ws("\x00", F.lit(key), identity(kind), F.when(kind == "email", F.lower(value)).otherwise(value), attempt.cast("string"))
+
+
+def surrogate(kind: Column, value: Column, attempt: Column, seed: Column) -> Column:
+    """Replacement of ``value``: same kind, length of parts, punctuation, case and script, drawn from ``seed``.
 
     Cards keep their first digit and a valid checksum, phones their country code, addresses stay
     valid, mail domains end in ``example`` and the old top level. Names keep script, case and the
     places of vowels and consonants; those of men or of women alone end as such names do. From the
     eighth attempt on, one character is added.
     """
-    seed = F.concat_ws("\x00", F.lit(key), F.when(kind.isin(*NAMES), "name").otherwise(kind), F.when(kind.isin("email"), F.lower(value)).otherwise(value), attempt.cast("string"))
     local, top = F.regexp_extract(value, "^([^@]*)@", 1), F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1)
     domain = F.regexp_extract(value, r"@([^.@]+)", 1)
     octets = F.array_join(F.array(*((_drawn(F.concat(seed, F.lit(f":{i}")), n) + lo).cast("string") for i, (lo, n) in enumerate(((11, 116), (0, 256), (0, 256), (1, 254))))), ".")
@@ -136,7 +138,9 @@ def surrogate_map(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     values = entities.select(F.col("value").alias("taken")).distinct()
     now = entities
     for _ in range(rounds):
-        drawn = now.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
+        #: The seed is a column of its own, as the expression of a surrogate names it very often.
+        drawn = now.withColumn("seed", seed_of(F.col("kind"), F.col("value"), F.col("attempt"), key))
+        drawn = drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), F.col("seed"))).drop("seed")
         order = F.row_number().over(Window.partitionBy("surrogate").orderBy("attempt", "kind", "value"))
         told = written(drawn.withColumn("again", order > 1).join(values, F.col("surrogate") == F.col("taken"), "left").withColumn("again", F.col("again") | F.col("taken").isNotNull()).drop("taken"), "surrogates")
         if told.where("again").isEmpty():
