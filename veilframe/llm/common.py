@@ -108,7 +108,7 @@ def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, C
     links join is settled: a bucket of copies costs as many comparisons as it has members. At last
     all members that are not pivots and are still in different components are compared, so each
     pair of a bucket has been compared or is known to be in one component. Pairs are made of ids
-    and are distinct before facts and texts join them. A node has few of all keys, so even one
+    and are distinct before texts join them. A node has few of all keys, so even one
     bucket with a third of all nodes is a small share of all (key, id) rows.
     """
     bucket = Window.partitionBy("key")
@@ -124,16 +124,17 @@ def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, C
             told = rows.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         told = told.select("*", F.min("comp").over(bucket).alias("low"), F.max("comp").over(bucket).alias("high")).where("low <> high")
         if last:
-            told = written(told.select("key", "id", "comp"), "mixed")
-            other = told.select("key", F.col("id").alias("b"), F.col("comp").alias("other"))
-            pairs = told.withColumnRenamed("id", "a").join(other, "key").where("a < b and comp <> other").select("a", "b")
+            #: Here facts go with the members, so that only pairs that can be linked leave the join.
+            told = written(told.select("key", "id", "comp").join(facts, "id"), "mixed")
+            other = told.select("key", F.col("id").alias("b"), F.col("comp").alias("other"), F.col("fact").alias("its"))
+            pairs = told.withColumnRenamed("id", "a").join(other, "key").where(F.expr("a < b and comp <> other") & near(F.col("fact"), F.col("its"))).select("a", "b").distinct()
         else:
             told = written(told.select("key", "id", "comp", "high", F.min(F.when(F.col("comp") == F.col("high"), F.col("id"))).over(bucket).alias("pivot")), "mixed")
-            pairs = told.where("comp <> high").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+            pairs = _near(told.where("comp <> high").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), facts, near)
             rows = told.where("id <> pivot").select("key", "id")
         if told.isEmpty():
             break
-        links = written(verify(with_texts(_near(pairs.distinct(), facts, near), some)), "links")
+        links = written(verify(with_texts(pairs, some)), "links")
         if comps is not None:
             if links.isEmpty():
                 continue
