@@ -27,7 +27,7 @@ class Pieces(WordCache):
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(128 << 20)
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
