@@ -14,6 +14,9 @@ from .common import OTHER, Hashed, bucket_links, mix, spread_join, text_slices,
 _WORD = (1 << 64) - 1
 #: Which of the first code points are letters or digits; those above count as such.
 _ALNUM = np.array([chr(c).isalnum() for c in range(1 << 16)] + [True])
+#: The bit of a parity sketch that a code point toggles (by its lower 16 bits), and odd factors that hash pairs of them: any fixed values do.
+_BIT = np.uint64(1) << (mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(58))
+_LEFT, _RIGHT = OTHER[0], OTHER[1]
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -94,9 +97,23 @@ def segment_keys(hashed: Hashed, start: np.ndarray, end: np.ndarray, errors: int
     return np.stack(keys)
 
 
-def _cut_lines(batches: Iterator[pa.RecordBatch], errors: int, least: int, exact: int) -> Iterator[pa.RecordBatch]:
-    """A row for each line; the first row of a line in a slice of texts has its keys and its text, if it is long enough."""
-    signed = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64).view(np.int64))
+
+
+def _line_keys(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.RecordBatch]:
+    """``key, id`` of the rows ``line, text``: a row for each of the line's segment keys."""
+    for batch in batches:
+        line = batch.column(0).to_numpy()
+        for lo, hi, texts in text_slices(batch.column(1), 1 << 18):
+            points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            end = np.flatnonzero(points == 10)
+            keys = segment_keys(Hashed(points), np.concatenate([[0], end[:-1] + 1]), end, errors)
+            yield pa.RecordBatch.from_arrays([_signed(keys.T.ravel()), pa.array(np.repeat(line[lo:hi], len(keys)))], names=["key", "id"])
+
+
+def _cut_lines(batches: Iterator[pa.RecordBatch], least: int, exact: int) -> Iterator[pa.RecordBatch]:
+    """A row for each line; the first row of a line in a slice of texts has its text, if it is long enough."""
     for batch in batches:
         for lo, _, texts in text_slices(batch.column("text"), 1 << 18):
             points, text, number, (start, end) = _lines(texts, least, exact)
@@ -104,23 +121,20 @@ def _cut_lines(batches: Iterator[pa.RecordBatch], errors: int, least: int, exact
                 continue
             hashed = Hashed(points)
             line, check = hashed.of(start, end), Hashed(points, OTHER).of(start, end)
-            pair = hashed.of(np.arange(len(points) - 1), np.arange(2, len(points) + 1))
+            wide = points.astype(np.uint64)
+            pair = wide[:-1] * _LEFT + wide[1:] * _RIGHT
             bit = np.append(np.uint64(1) << (pair >> np.uint64(58)), np.uint64(0))
             sketch = np.bitwise_xor.reduceat(bit, np.stack([start, end - 1], 1).ravel())[::2]
-            one = np.uint64(1) << (mix(points.astype(np.uint64) + np.uint64(1)) >> np.uint64(58))
-            letters = np.bitwise_xor.reduceat(one, np.stack([start, end], 1).ravel())[::2]
+            letters = np.bitwise_xor.reduceat(_BIT[points & 0xFFFF], np.stack([start, end], 1).ravel())[::2]
             has = np.zeros(len(line), bool)
             has[np.unique(line ^ mix(check), return_index=True)[1]] = True
             has &= end - start >= least
-            keys = segment_keys(hashed, start[has], end[has], errors)
             whole, words = "\n".join([*texts, ""]), np.full(len(line), None, object)
             words[has] = [whole[a:b] for a, b in zip(start[has].tolist(), end[has].tolist(), strict=True)]
-            offsets = np.concatenate([[0], np.cumsum(has * len(keys))]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), signed(keys.T.ravel()))
             at = pa.array(text + lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), signed(line), signed(check), pa.array((end - start).astype(np.int32)), signed(sketch), signed(letters), pa.array(has), listed, pa.array(words, pa.string())],
-                names=["id", "row", "number", "line", "check", "size", "sketch", "letters", "has", "keys", "text"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), _signed(line), _signed(check), pa.array((end - start).astype(np.int32)), _signed(sketch), _signed(letters), pa.array(has), pa.array(words, pa.string())],
+                names=["id", "row", "number", "line", "check", "size", "sketch", "letters", "has", "text"],
             )
 
 
@@ -135,8 +149,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike: their lines count once. All columns and rows stay.
 
     One pass over the texts writes a table of lines, with two independent 64-bit hashes each (equal
-    lines are those that agree in both), and for long lines the keys of ``segment_keys`` (segment,
-    its number, the line's length). Lines that share a key are kept apart by length and by parity sketches of
+    lines are those that agree in both); a second, over the long lines, makes the keys of ``segment_keys`` (segment,
+    its number, the line's length), which go straight into their exchange. Lines that share a key are kept apart by length and by parity sketches of
     letters and letter pairs, and links are confirmed by ``within`` on the lines themselves.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -144,8 +158,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).where(F.length(text) >= max(1, min(least, exact)))
     kind = rows.schema["id"].dataType.simpleString()
-    columns = f"id {kind}, row long, number int, line long, check long, size int, sketch long, letters long, has boolean, keys array<long>, text string"
-    lines = written(rows.mapInArrow(lambda it: tidy(_cut_lines(it, errors, least, max(1, exact))), columns), "lines")
+    columns = f"id {kind}, row long, number int, line long, check long, size int, sketch long, letters long, has boolean, text string"
+    lines = written(rows.mapInArrow(lambda it: tidy(_cut_lines(it, least, max(1, exact))), columns), "lines")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +182,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = lambda a, b: (F.abs(a["size"] - b["size"]) <= errors) & (bits(a, b, "letters") <= 2 * errors) & (bits(a, b, "sketch") <= 4 * errors)
     facts = long.select(F.col("node").alias("id"), F.struct("size", "sketch", "letters").alias("fact"))
     nodes = long.select(F.col("line").alias("id"), "node")
-    members = lines.where("has").select(F.explode("keys").alias("key"), F.col("line").alias("id"))
+    members = lines.where("has").select("line", "text").mapInArrow(lambda it: tidy(_line_keys(it, errors)), "key long, id long")
     comps = bucket_links(members, facts, near, texts, lambda pairs: pairs.mapInArrow(lambda it: tidy(confirm(it)), "a long, b long"), named=lambda found: found.join(nodes, "id").select("key", F.col("node").alias("id")))
 
     #: Lines that stand more than once, by themselves or with those they are linked to, with the first id of their class.
