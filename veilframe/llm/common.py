@@ -46,6 +46,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 #: A key is hot if it has more than one in HOT of all rows, so there are fewer hot keys than this; each is dealt out over SALTS places.
 HOT, SALTS = 1000, 64
+#: Members of a bucket that one task compares with the whole bucket; a larger bucket is cut into as many tiles as it takes.
+TILE = 256
 
 
 def spread_join(big: DataFrame, small: DataFrame, on: list[str], n: str = "n") -> DataFrame:
@@ -107,7 +109,8 @@ def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, C
     holds several components, a pivot, is compared with the members of the others, and what the
     links join is settled: a bucket of copies costs as many comparisons as it has members. At last
     all members that are not pivots and are still in different components are compared, so each
-    pair of a bucket has been compared or is known to be in one component. Pairs are made of ids
+    pair of a bucket has been compared or is known to be in one component. Here a large bucket is
+    cut into tiles of about ``TILE`` members, each of which meets the whole bucket. Pairs are made of ids
     and are distinct before texts join them. A node has few of all keys, so even one
     bucket with a third of all nodes is a small share of all (key, id) rows.
     """
@@ -122,12 +125,14 @@ def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, C
             told = rows.withColumn("comp", F.col("id"))
         else:
             told = rows.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        told = told.select("*", F.min("comp").over(bucket).alias("low"), F.max("comp").over(bucket).alias("high")).where("low <> high")
+        told = told.select("*", F.min("comp").over(bucket).alias("low"), F.max("comp").over(bucket).alias("high"), F.count("*").over(bucket).alias("held")).where("low <> high")
         if last:
             #: Here facts go with the members, so that only pairs that can be linked leave the join.
-            told = written(told.select("key", "id", "comp").join(facts, "id"), "mixed")
-            other = told.select("key", F.col("id").alias("b"), F.col("comp").alias("other"), F.col("fact").alias("its"))
-            pairs = told.withColumnRenamed("id", "a").join(other, "key").where(F.expr("a < b and comp <> other") & near(F.col("fact"), F.col("its"))).select("a", "b").distinct()
+            told = written(told.select("key", "id", "comp", F.ceil(F.col("held") / TILE).alias("tiles")).join(facts, "id"), "mixed")
+            places = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            one = told.select("key", F.col("id").alias("a"), "comp", "fact", F.pmod(F.xxhash64("id"), "tiles").alias("tile")).repartition(places, "key", "tile")
+            other = told.select("key", F.col("id").alias("b"), F.col("comp").alias("other"), F.col("fact").alias("its"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+            pairs = one.join(other, ["key", "tile"]).where(F.expr("a < b and comp <> other") & near(F.col("fact"), F.col("its"))).select("a", "b").distinct()
         else:
             told = written(told.select("key", "id", "comp", "high", F.min(F.when(F.col("comp") == F.col("high"), F.col("id"))).over(bucket).alias("pivot")), "mixed")
             pairs = _near(told.where("comp <> high").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), facts, near)
