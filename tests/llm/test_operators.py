@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, pii, sentencepiece_viterbi, tokens, toxicity
+from veilframe.llm import chat_format, common, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, pii, sentencepiece_viterbi, tokens, toxicity
 from veilframe.llm.queries import tokenizer
 
 LONG = " ".join(f"word{i} and more" for i in range(4000))
@@ -46,7 +46,8 @@ def test_minhash(docs, empty):
     assert minhash_dedup.near_classes(empty).count() == 0
 
 
-def test_minhash_against_brute_force(spark):
+def test_minhash_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(common, "TILE", 5)  # so that buckets are cut into tiles
     r = np.random.default_rng(5)
     base = [[f"w{x}" for x in r.integers(0, 300, 60)] for _ in range(12)]
     texts = []
@@ -184,6 +185,16 @@ def test_chat(spark):
     assert chat_format.format_threads(df.limit(0)).count() == 0
 
 
+def test_chat_repeated_and_null_nodes(spark):
+    """Repeated rows, two rows for one node, no node, a null tree, a long text, clashing columns."""
+    long = "x <|y " * 20000
+    rows = [(1, 1, None, "user", "q"), (1, 1, None, "user", "q"), (1, 2, 1, "assistant", long), (1, 2, 1, "assistant", "a"), (1, None, 1, "assistant", "lost"), (None, 1, None, "user", long), (3, None, None, "user", "lost")]
+    df = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string").withColumns({c: F.lit("y") for c in ("tree", "path", "formatted", "t", "n", "depth", "row")})
+    done = chat_format.format_threads(df)
+    got = {r.conv_id: (r.path, [tuple(x) for x in r.turns], r.loss) for r in done.select("*", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert got == {1: (2, [("user", "q"), ("assistant", "a")], "a"), None: (1, [("user", long)], "")}
+
+
 def test_pii(spark, docs, empty):
     rows = [(1, "Mail Ann.Lee@mail.example.com, +1 (556) 555-9070, 4111 1111 1111 1111, 10.1.2.3. Mrs. Anna Smith"), (2, "ann.lee@mail.example.com 10.1.2.3 10.1.2.4"), (3, "nothing here")]
     got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
@@ -276,6 +287,16 @@ def test_packing(docs, empty):
     assert packing.pack(empty, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_null_ids_and_repeated_rows(docs):
+    """Each row is a document of its own, a repeated one and one without an id too."""
+    got = packing.pack(docs, tokenizer("word_bpe_49k.json"), window=256).collect()
+    sizes = [len(x) for x in _plain("word_bpe_49k.json", [r[1] for r in ROWS])]
+    for key in {r[0] for r in ROWS}:
+        want = [n for (k, _), n in zip(ROWS, sizes, strict=True) if k == key]
+        of = [r for r in got if r.doc_id == key]
+        assert sum(r.length for r in of) == sum(want) and sorted(r.doc_tokens for r in of if r.start == 0) == sorted(want)
+
+
 def test_packing_brings_related_documents_together(spark):
     r = np.random.default_rng(4)
     rows = [(i, " ".join(f"{w}" for w in r.choice([f"topic{i % 8}{c}" for c in "abcdefghijklmnop"] + ["the", "of", "and"], 40))) for i in range(800)]

@@ -63,11 +63,14 @@ def format_threads(rows: DataFrame, tree_col: str = "conv_id", node_col: str = "
     ``formatted`` is the turns from root to leaf, each as ``<|turn|>role\\ntext<|end|>\\n``.
     ``loss_spans`` is an array of (start, length) in code points, from 0: the texts of
     ``loss_role``. Null roles and texts count as empty; line breaks in a role are written as
-    ``<|nl|>``. Other columns are not read; an empty table gives no rows.
+    ``<|nl|>``. A node that stands in several rows of a tree counts once, by the smallest of its
+    (parent, role, text, score), nulls first; rows without a node are left out, a null tree is a tree.
+    Other columns are not read; an empty table gives no rows.
     """
     score = F.lit(0.0) if score is None else score
     turns = rows.select(F.col(tree_col).alias("tree"), F.col(node_col).cast("long").alias("node"), F.col(parent_col).cast("long").alias("parent"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), score.alias("score"))
-    turns = written(turns, "turns")
+    one = turns.where("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("row"))
+    turns = written(one.select("tree", "node", "row.*"), "turns")
     paths = reply_paths(turns, keep)
     said = turns.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     on = paths.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
