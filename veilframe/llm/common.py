@@ -232,3 +232,23 @@ def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches
     finally:
         pa.default_memory_pool().release_unused()
+
+
+def ordered(df: DataFrame, by: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``n``, each row's place (from 0) in ascending order of ``by``, and in place of ``sums`` their running sums, own row included.
+
+    Rows are range-partitioned and sorted within their range, so no key is in one task alone as long
+    as ``by`` tells rows apart; numbers and sums of earlier ranges come from one row a range. The
+    sorted rows are a written table: what a lost executor repeats gets the same places.
+    """
+    rows = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    ranges = rows.groupBy("_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_sum_{c}") for c in sums))
+    #: One row for each range, so as many as there are tasks.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_base") for c in ranges.columns[1:]))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.withColumns({f"_run_{c}": F.sum(c).over(inside) for c in sums}) if sums else rows
+    place = F.col("_n_base") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    rest = [c for c in df.columns if c not in sums]
+    return told.join(F.broadcast(bases), "_part").select(*rest, *((F.col(f"_sum_{c}_base") + F.col(f"_run_{c}")).alias(c) for c in sums), place.alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, pii, sentencepiece_viterbi, tokens, toxicity
+from . import bestfit_packing, chat_format, conversation_repair, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, pii, prefix_trie, sentencepiece_viterbi, tokens, toxicity
 
 
 #: Key of the registered query alone, so that its result can be repeated; callers bring their own.
@@ -88,6 +88,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bestfit_packing.pack_best_fit(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return done.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), F.crc32(conv.cast("string")) % 6, conv - conv % 100)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    report, turns = conversation_repair.repair(conversation_repair.damaged(rows))
+    told = report.join(conversation_repair.repaired_text(turns), "key", "left")
+    ids = rows.select("conv_id").distinct().withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")))
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(told, "key", "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1,
     "op2_token_files": op2,
@@ -99,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8,
     "op9_sentencepiece": op9,
     "op10_packing": op10,
+    "op11_bestfit_packing": op11,
+    "op12_prefix_trie": op12,
+    "op13_conversation_repair": op13,
 }
 
 _LINKED = "r(x, y) as (select id, id from n union select r.x, l.b from r join l on r.y = l.a)"
