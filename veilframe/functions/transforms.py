@@ -29,10 +29,42 @@ def fixed_raw(value: str) -> Column:
     return F.expr(value)
 
 
+def has_group(pattern: str) -> bool:
+    """Does a Java pattern capture anything? Plain and named groups count; quoted text, escapes and character classes do not."""
+    depth = at = 0
+    while at < len(pattern):
+        rest = pattern[at:]
+        if rest.startswith("\\Q"):
+            end = pattern.find("\\E", at)
+            at = len(pattern) if end < 0 else end + 2
+            continue
+        if rest[0] == "\\":
+            at += 2
+            continue
+        if rest[0] == "[":
+            depth += 1
+        elif rest[0] == "]":
+            depth = max(0, depth - 1)
+        elif rest[0] == "(" and not depth and (not rest.startswith("(?") or re.match(r"\(\?<[A-Za-z]", rest)):
+            return True
+        at += 1
+    return False
+
+
+def check_regexp(spark: SparkSession, pattern: str, replacement: str = "") -> None:
+    """A pattern that Spark's regular expressions (Java's) do not take is refused here."""
+    text = "regexp_replace('', :p, :r)" if replacement else f"regexp_extract('', :p, {int(has_group(pattern))})"
+    try:
+        #: Over literal rows this is folded while planning; no job runs.
+        spark.sql(f"SELECT {text} FROM VALUES (1)", args={"p": pattern} | ({"r": replacement} if replacement else {})).first()
+    except Exception as e:
+        raise PolicyError(f"no regular expression: {pattern!r}") from e
+
+
 def regexp(col: Column, pattern: str, replacement: str = "") -> Column:
-    """Without a replacement the first group, or the whole match ('' without one); else all matches replaced, ``$1`` a group."""
+    """Without a replacement the first group, or the whole match ('' without one); else all matches replaced, ``$1`` a group. Patterns are Java's."""
     if not replacement:
-        return F.regexp_extract(col, pattern, 1 if re.compile(pattern).groups else 0)
+        return F.regexp_extract(col, pattern, int(has_group(pattern)))
     return F.regexp_replace(col, pattern, replacement)
 
 

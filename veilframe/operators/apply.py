@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions import transforms as tf
-from veilframe.functions.filters import all_hold
+from veilframe.functions.filters import all_hold, condition
 from veilframe.functions.members import Caller, dispatch, member
 from veilframe.functions.types import is_numeric
-from veilframe.model import Field, Policy, PolicyError, RuleSet, Transform, principals_in
+from veilframe.model import Condition, Field, Filter, Policy, PolicyError, RuleSet, Transform, principals_in
 
 UNMATCHED = "unmatched"
 
@@ -64,6 +64,7 @@ class _Builder:
         if t.kind == "fixed":
             return tf.fixed(self.df.sparkSession, t.get("value"), kind)
         if t.kind == "regexp":
+            tf.check_regexp(self.df.sparkSession, t.get("regexp"), t.get("replacement") or "")
             return tf.regexp(col.cast("string"), t.get("regexp"), t.get("replacement") or "")
         if t.kind == "hash":
             return tf.hashed(col, kind, t.get("seed"))
@@ -72,7 +73,8 @@ class _Builder:
         if t.kind == "numeric_rounding":
             return tf.rounded(col, *tf.rounding_of(t))
         if t.kind == "detokenize":
-            return F.coalesce(F.col(f"`{self.tokens[token_key(name, t)]}`"), col) if token_key(name, t) in self.tokens else col
+            text = col if isinstance(kind, T.StringType) else col.cast("string")
+            return F.coalesce(F.col(f"`{self.tokens[token_key(name, t)]}`").cast("string"), text) if token_key(name, t) in self.tokens else text
         if t.kind == "aggregation":
             total, precision = self.totals[total_key(name, t)], tf.aggregation_of(t)[3]
             return total if precision is None else F.round(total, precision)
@@ -87,7 +89,7 @@ class _Builder:
         if t.kind == "regexp":
             return T.StringType()
         if t.kind == "detokenize":
-            return T.StringType() if not isinstance(kind, T.StringType) else kind
+            return T.StringType()
         if t.kind == "aggregation":
             how, _, cast_to, precision = tf.aggregation_of(t)
             out = tf.aggregate(col, how, cast_to)
@@ -133,8 +135,9 @@ def apply_rule_set(df: DataFrame, rule_set: RuleSet, caller: Caller, fields: Ite
     aggregates see the rows that pass the filters for this caller; without partition fields they
     are one aggregate that is joined to every row. Detokenizing joins every token source whoever
     asks, so a repeated token multiplies rows; with ``unique_tokens`` the caller vouches that
-    tokens are unique and unneeded joins are left out. ``keys``: columns that lead the output and
-    every window (principal matrix).
+    tokens are unique and unneeded joins are left out. Detokenized values are text; a token and a field of different types are
+    compared as text; several fields of one token source meet it in one join (``_with_tokens_once``).
+    ``keys``: columns that lead the output and every window (principal matrix).
     """
     wanted = {}
     for name, entries in rule_set.transforms:
@@ -147,15 +150,22 @@ def apply_rule_set(df: DataFrame, rule_set: RuleSet, caller: Caller, fields: Ite
     if rows is not None:
         source = source.where(rows)
     build = _Builder(source, caller, keys)
+    asked: dict[str, tuple[str, Transform]] = {}
     for name, entries in wanted.values():
         _path(df, name)
         for t in entries if not unique_tokens else _active(entries, caller):
-            if t.kind == "detokenize" and token_key(name, t) not in build.tokens:
-                source = _with_tokens(source, name, t, token_sources, build)
-    for name, entries in wanted.values():
-        for t in _active(entries, caller):
-            if t.kind == "aggregation":
-                source = _with_total(source, name, t, build)
+            if t.kind == "detokenize":
+                asked.setdefault(token_key(name, t), (name, t))
+    totals = [(name, t) for name, entries in wanted.values() for t in _active(entries, caller) if t.kind == "aggregation"]
+    if unique_tokens:
+        source = _with_totals(source, totals, build)
+    shared: dict[str, list[tuple[str, Transform]]] = {}
+    for name, t in asked.values():
+        shared.setdefault(token_key("", t), []).append((name, t))
+    for group in shared.values():
+        source = _with_tokens(source, *group[0], token_sources, build) if len(group) == 1 else _with_tokens_once(source, group, token_sources, build)
+    if not unique_tokens:
+        source = _with_totals(source, totals, build)
     build.df = source
     out = [F.col(f"`{k}`") for k in keys]
     for c in names:
@@ -167,7 +177,8 @@ def apply_rule_set(df: DataFrame, rule_set: RuleSet, caller: Caller, fields: Ite
     return source.select(*out)
 
 
-def _with_tokens(df: DataFrame, name: str, t: Transform, token_sources, build: _Builder) -> DataFrame:
+def _token_source(df: DataFrame, t: Transform, token_sources) -> tuple[DataFrame, str, str]:
+    """The token table and the names of its token and value."""
     ref = t.get("token_source_ref")
     table = token_sources(ref) if callable(token_sources) else (token_sources or {}).get(ref)
     if table is None:
@@ -176,10 +187,50 @@ def _with_tokens(df: DataFrame, name: str, t: Transform, token_sources, build: _
         except Exception as e:
             raise PolicyError(f"token source {ref!r} is missing") from e
     token, value = (x if isinstance(x, str) else ".".join(dict(x)["name_parts"]) for x in (t.get("token_field"), t.get("value_field")))
+    return table, token, value
+
+
+def _with_tokens(df: DataFrame, name: str, t: Transform, token_sources, build: _Builder) -> DataFrame:
+    table, token, value = _token_source(df, t, token_sources)
     build.tokens[token_key(name, t)] = alias = _free(df, "value")
     key = _free(df, "token")
     side = table.select(F.col(token).alias(key), F.col(value).alias(alias))
-    return df.join(side, _column(name) == F.col(key), "left").drop(key)
+    own, same = _column(name), side.schema[key].dataType == _path(df, name)
+    return df.join(side, own == F.col(key) if same else own.cast("string") == F.col(key).cast("string"), "left").drop(key)
+
+
+#: A token is frequent if more than one in FREQUENT of all tokens are it, so there are fewer frequent ones than this; each is dealt out over PLACES places.
+FREQUENT, PLACES = 1000, 64
+
+
+def _with_tokens_once(df: DataFrame, group: list[tuple[str, Transform]], token_sources, build: _Builder) -> DataFrame:
+    """Several fields of one token source: the distinct combinations of their tokens as rows (combination, field, token), one join with the source, back into columns by combination.
+
+    So the wide rows are exchanged once, by combination, however many fields there are, and what meets the source
+    are only tokens that are there. Frequent tokens are dealt out by the hash of their combination, with their few rows of
+    the source repeated for each place. Values of one token stay a list until the end, where they multiply rows as a join would.
+    """
+    table, token, value = _token_source(df, group[0][1], token_sources)
+    kinds = {_path(df, n) for n, _ in group} | {table.schema[token].dataType if token in table.columns else None}
+    text = (lambda c: c) if len(kinds) == 1 else (lambda c: c.cast("string"))
+    keys = [_free(df, f"key_{i}") for i in range(len(group))]
+    cells = df.select(*(text(_column(n)).alias(k) for (n, _), k in zip(group, keys, strict=True))).distinct()
+    cells = cells.select(*keys, F.posexplode(F.array(*keys)).alias("field", "token")).where("token is not null")
+    counts = cells.groupBy("token").agg(F.count("*").alias("n"))
+    often = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).where(F.col("n") * FREQUENT > F.col("all")).select("token", F.lit(True).alias("often"))
+    place = F.when(F.col("often"), F.pmod(F.xxhash64(*keys), F.lit(PLACES))).otherwise(F.lit(0)).cast("int").alias("place")
+    dealt = cells.join(F.broadcast(often), "token", "left").select(*cells.columns, place)
+    known = table.select(text(F.col(token)).alias("token"), F.struct(F.col(value).cast("string").alias("value")).alias("value")).where("token is not null")
+    known = known.groupBy("token").agg(F.collect_list("value").alias("values")).join(F.broadcast(often), "token", "left")
+    known = known.select("token", "values", F.explode(F.sequence(F.lit(0), F.when(F.col("often"), PLACES - 1).otherwise(0))).alias("place"))
+    aliases = [_free(df, f"value_{i}") for i in range(len(group))]
+    found = dealt.join(known, ["token", "place"]).groupBy(*keys).agg(*(F.first(F.when(F.col("field") == i, F.col("values")), ignorenulls=True).alias(a) for i, a in enumerate(aliases)))
+    same = reduce(lambda a, b: a & b, (text(_column(n)).eqNullSafe(F.col(k)) for (n, _), k in zip(group, keys, strict=True)))
+    out = df.join(found, same, "left").drop(*keys)
+    for (name, t), alias in zip(group, aliases, strict=True):
+        out = out.withColumn(alias, F.explode_outer(alias)).withColumn(alias, F.col(alias)["value"])
+        build.tokens[token_key(name, t)] = alias
+    return out
 
 
 def total_key(name: str, t: Transform) -> str:
@@ -187,24 +238,50 @@ def total_key(name: str, t: Transform) -> str:
     return f"{name}|{how}|{cast_to}|{','.join(by)}"
 
 
-def _with_total(df: DataFrame, name: str, t: Transform, build: _Builder) -> DataFrame:
-    """A window aggregate as a grouped one, partially aggregated before its shuffle and joined back null-safely.
+def _with_totals(df: DataFrame, totals: list[tuple[str, Transform]], build: _Builder) -> DataFrame:
+    """Window aggregates as grouped ones: all of one set of keys in one grouping, partially aggregated before its shuffle and joined back null-safely.
 
     Rows are not moved for it where the groups are few (Spark then broadcasts them by their measured
-    size), and a group of very many rows stays in many tasks. Without groups it is one row.
+    size), and a group of very many rows stays in many tasks. Several sets of keys are one grouping
+    too: each row goes in once for each set, with its keys. Its result joins once for each set and every total is
+    taken from whichever join has it; so all joins read the same exchange, and the frame is scanned twice in all.
     """
-    how, by, cast_to, _ = tf.aggregation_of(t)
-    key = total_key(name, t)
-    if key in build.totals:
+    wanted: dict[str, tuple[Column, tuple[str, ...]]] = {}
+    for name, t in totals:
+        how, by, cast_to, _ = tf.aggregation_of(t)
+        wanted.setdefault(total_key(name, t), (tf.aggregate(_column(name), how, cast_to), (*build.keys, *by)))
+    if not wanted:
         return df
-    alias = _free(df, "total")
-    build.totals[key] = F.col(alias)
-    on = [*build.keys, *by]
-    total = tf.aggregate(F.col(name), how, cast_to).alias(alias)
+    sets = list(dict.fromkeys(on for _, on in wanted.values()))
+    alias = {key: _free(df, f"total_{i}") for i, key in enumerate(wanted)}
+    build.totals |= {key: F.col(a) for key, a in alias.items()}
+    if len(sets) == 1:
+        names = [_free(df, f"by_{i}") for i in range(len(sets[0]))]
+        side = df.groupBy(*(_column(c).alias(n) for c, n in zip(sets[0], names, strict=True))).agg(*(agg.alias(alias[k]) for k, (agg, _) in wanted.items()))
+        return _joined_back(df, side, sets[0], names).drop(*names)
+    columns = list(dict.fromkeys(c for on in sets for c in on))
+    which, names = _free(df, "set"), {c: _free(df, f"by_{i}") for i, c in enumerate(columns)}
+    kinds = {c: df.select(_column(c).alias("x")).schema["x"].dataType for c in columns}
+    copies = F.array(*(F.struct(F.lit(i).alias(which), *((_column(c) if c in on else F.lit(None)).cast(kinds[c]).alias(n) for c, n in names.items())) for i, on in enumerate(sets)))
+    inner = _free(df, "copies")
+    told = df.withColumn(inner, F.explode(copies)).groupBy(*(F.col(inner)[n].alias(n) for n in (which, *names.values())))
+    #: The set once more as an aggregate: a condition on it is not moved below the grouping, which would make another grouping of each join.
+    mark = _free(df, "mark")
+    own = {k: sets.index(on) for k, (_, on) in wanted.items()}
+    told = told.agg(F.max(F.col(inner)[which]).alias(mark), *(agg.alias(alias[k]) for k, (agg, _) in wanted.items()))
+    told = told.select(mark, *names.values(), *(F.when(F.col(mark) == own[k], F.col(a)).alias(a) for k, a in alias.items()))
+    out = df
+    for i, on in enumerate(sets):
+        keys = [_free(df, f"key_{i}_{j}") for j in range(len(on))]
+        side = told.where(F.col(mark) == i).select(*(F.col(names[c]).alias(n) for c, n in zip(on, keys, strict=True)), *(F.col(a).alias(f"{a}_{i}") for a in alias.values()))
+        out = _joined_back(out, side, on, keys)
+    return out.select(*df.columns, *(F.coalesce(*(F.col(f"{a}_{i}") for i in range(len(sets)))).alias(a) for a in alias.values()))
+
+
+def _joined_back(df: DataFrame, side: DataFrame, on: tuple[str, ...], names: list[str]) -> DataFrame:
     if not on:
-        return df.crossJoin(F.broadcast(df.agg(total)))
-    groups = df.groupBy(*(F.col(c).alias(f"__by_{i}") for i, c in enumerate(on))).agg(total)
-    return df.join(groups, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__by_{i}")) for i, c in enumerate(on))), "left").drop(*(f"__by_{i}" for i in range(len(on))))
+        return df.crossJoin(F.broadcast(side))
+    return df.join(side, reduce(lambda a, b: a & b, (_column(c).eqNullSafe(F.col(n)) for c, n in zip(on, names, strict=True))), "left")
 
 
 def principals_frame(df: DataFrame, rule_set: RuleSet, only: Collection[str] | None = None) -> DataFrame:
@@ -219,21 +296,66 @@ def principals_frame(df: DataFrame, rule_set: RuleSet, only: Collection[str] | N
     return df.sparkSession.createDataFrame([r for r in rows if only is None or r[0] in only], "principal string, groups array<string>")
 
 
-def principal_matrix(df: DataFrame, rule_set: RuleSet, principals: DataFrame | None = None, **options) -> DataFrame:
-    """What every principal sees, in one scan: ``principal`` and the source columns.
+def _choices(rule_set: RuleSet) -> list[tuple]:
+    """Every list of entries of which one is chosen for a caller."""
+    return [entries for _, entries in rule_set.transforms if entries] + [f.conditions for f in rule_set.filters]
+
+
+def decisions(rule_set: RuleSet, groups: Column, groups_seen: bool = False) -> Column:
+    """Which entry of each list a caller of these groups gets, as text: callers with the same see the same.
+
+    groups_seen: SQL text of the rule set sees the groups themselves; then those that it names tell callers apart too.
+    """
+    out = [F.lit("")]
+    for entries in _choices(rule_set):
+        pick = F
+        for i, e in enumerate(entries[:-1]):
+            pick = pick.when(member(groups, e.principals), F.lit(str(i)))
+        out.append(pick.otherwise(F.lit(str(len(entries) - 1))) if len(entries) > 1 else F.lit("0"))
+    if groups_seen:
+        out.append(F.to_json(F.array_sort(F.array_intersect(groups, F.array(*map(F.lit, principals_in(rule_set))).cast("array<string>")))))
+    return F.concat_ws(",", *out)
+
+
+def _seen_by_any(df: DataFrame, rule_set: RuleSet, as_of) -> DataFrame:
+    """Rows that some caller may see, for the scan: of each filter any condition holds."""
+    for f in rule_set.filters:
+        some = [condition(Filter(f.kind, (Condition(c.value),), f.field), set(), df.schema, as_of) for c in f.conditions]
+        df = df.where(reduce(lambda a, b: a | b, some))
+    return df
+
+
+def principal_matrix(df: DataFrame, rule_set: RuleSet, principals: DataFrame | None = None, principal_col: str = "principal", groups_col: str | None = None, **options) -> DataFrame:
+    """What every principal sees, in one scan: ``<principal_col>`` and the source columns.
 
     principals: ``principal, groups`` (default: those of the rule set and ``unmatched``). The result
-    has a row for each principal and row it may see; the principals come from the policy or a user
-    table, so the side that is broadcast is only forced when it comes from the policy.
+    has a row for each principal and row it may see. Principals for whom the same entries decide are
+    one class (``decisions``): the rule set is applied once a class, and principals join the result by their class.
+    So the work before that grows with the classes, of which a policy has few, not with the users. groups_col: a name by which the policy's
+    SQL text sees the groups of the caller, as far as the rule set names them. The source must not have a column ``principal_col``.
     """
-    table = F.broadcast(principals_frame(df, rule_set)) if principals is None else principals
-    both = df.crossJoin(table.select("principal", F.col("groups").alias("__groups")))
-    return apply_rule_set(both, rule_set, F.col("__groups"), options.pop("fields", None) or [Field(c) for c in df.columns], keys=("principal",), **options)
+    if principal_col.lower() in (c.lower() for c in df.columns):
+        raise PolicyError(f"the source has a column {principal_col!r}: give principal_col another name")
+    if groups_col is not None and groups_col.lower() in (c.lower() for c in df.columns):
+        raise PolicyError(f"the source has a column {groups_col!r}")
+    of, groups = _free(df, "class"), groups_col or _free(df, "groups")
+    who = principals_frame(df, rule_set) if principals is None else principals
+    told = who.select(F.col("principal").alias(principal_col), F.coalesce("groups", F.array().cast("array<string>")).alias(groups))
+    told = told.withColumn(of, decisions(rule_set, F.col(groups), groups_col is not None))
+    named = F.array_sort(F.array_intersect(groups, F.array(*map(F.lit, principals_in(rule_set))).cast("array<string>")))
+    classes = told.groupBy(of).agg(F.min(named).alias(groups))
+    rows = df if groups_col is not None else _seen_by_any(df, rule_set, options.get("as_of"))
+    both = rows.crossJoin(F.broadcast(classes) if principals is None else classes)
+    fields = options.pop("fields", None) or [Field(c) for c in df.columns]
+    seen = apply_rule_set(both, rule_set, F.col(groups), fields, keys=(of,), **options)
+    side = told.select(of, principal_col)
+    out = [c for c in seen.columns if c != of]
+    return seen.join(F.broadcast(side) if principals is None else side, of).select(principal_col, *(F.col(f"`{c}`") for c in out))
 
 
 def evaluate(df: DataFrame, policy: Policy, only: Collection[str] | None = None, **options) -> dict[str, DataFrame]:
     """The principal matrix of every rule set, by target."""
-    return {r.target: principal_matrix(df, r, F.broadcast(principals_frame(df, r, only)), fields=policy.fields or None, **options) for r in policy.rule_sets}
+    return {r.target: principal_matrix(df, r, principals_frame(df, r, only), fields=policy.fields or None, **options) for r in policy.rule_sets}
 
 
 def apply_policy(df: DataFrame, policy: Policy, caller: Caller, **options) -> dict[str, DataFrame]:
@@ -245,6 +367,7 @@ def dynamic(df: DataFrame, rule_set: RuleSet, user_groups: DataFrame, user: str
     """One frame whose result depends on who runs it: the user's groups are one row, read when the query runs."""
     from veilframe.functions.members import groups_of
 
-    both = df.crossJoin(F.broadcast(groups_of(user_groups, user).withColumnRenamed("groups", "__groups")))
-    return apply_rule_set(both, rule_set, F.col("__groups"), options.pop("fields", None) or [Field(c) for c in df.columns], **options)
+    groups = _free(df, "groups")
+    both = df.crossJoin(F.broadcast(groups_of(user_groups, user).withColumnRenamed("groups", groups)))
+    return apply_rule_set(both, rule_set, F.col(groups), options.pop("fields", None) or [Field(c) for c in df.columns], **options)
 

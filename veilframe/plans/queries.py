@@ -6,6 +6,7 @@ from the given tables, so that every query grows with its input.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,7 +18,7 @@ from veilframe.functions.members import distinct_groups, groups_by_user
 from veilframe.model import Field, RuleSet, policy_from
 from veilframe.operators import checks, lineage, models_meta, registry, tags
 from veilframe.operators.apply import apply_policy, apply_rule_set, dynamic, principal_matrix, principals_frame
-from veilframe.sources.tables import create_view, read_csv, read_policies, write_csv
+from veilframe.sources.tables import create_view, read_csv, read_policies, shared_folder, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,6 +110,14 @@ def hash_numeric(spark, d):
     return apply_rule_set(table(spark, d, "orders"), rules({"o_custkey": [("hash", {"seed": 7})]}), set(), fields("o_orderkey", "o_custkey"))
 
 
+@query(r"select c_custkey, regexp_extract(c_name, '(\p{L}+)#', 1) c_name, regexp_extract(c_mktsegment, '\p{Lu}[(]?', 0) c_mktsegment, regexp_extract(c_acctbal::varchar, '(?P<whole>-?\d+)[.]', 1) c_acctbal from customer")
+def regexp_unicode(spark, d):
+    """Patterns that only Java's syntax has: letters by category, a named group, quoted brackets that are no group."""
+    r = rules({"c_name": [("regexp", {"regexp": r"(\p{L}+)#"})], "c_mktsegment": [("regexp", {"regexp": r"\p{Lu}[(]?(?:\Q(\E)?"})], "c_acctbal": [("regexp", {"regexp": r"(?<whole>-?\d+)[.]"})]})
+    rows = table(spark, d, "customer").withColumn("c_acctbal", F.format_string("%.2f", "c_acctbal"))
+    return apply_rule_set(rows, r, set(), fields("c_custkey", "c_name", "c_mktsegment", "c_acctbal"))
+
+
 def _rounding(name: str, settings: dict, sql: str, field: str = "l_extendedprice") -> None:
     def run(spark, d):
         return apply_rule_set(table(spark, d, "lineitem"), rules({field: [("numeric_rounding", settings)]}), set(), fields("l_orderkey", "l_linenumber", field))
@@ -233,6 +242,31 @@ def detokenize_shared_source(spark, d):
     return apply_rule_set(rows, rules({"o_custkey": [t], "o_again": [t]}), set(), token_sources={"tokens": _customer_tokens(spark, d)})
 
 
+@query("select o_orderkey, coalesce(c_name, o_custkey::varchar) o_custkey, o_orderpriority from orders left join (select * from customer where c_custkey % 3 <> 0) on o_custkey = c_custkey")
+def detokenize_number(spark, d):
+    """A number as token, whose values are text."""
+    tokens = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("decimal(20,0)").alias("token"), F.col("c_name").alias("value"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return apply_rule_set(rows, rules({"o_custkey": [("detokenize", _detokenize("tokens", "token", "value"))]}), set(), token_sources={"tokens": tokens})
+
+
+_ONCE_SQL = """
+with t as (select c_custkey token, c_name "value" from customer where c_custkey % 4 <> 0 union all select c_custkey, 'again ' || c_custkey from customer where c_custkey % 8 = 1 union all select 1, null union all select 7, null)
+select l_orderkey, l_linenumber, coalesce(a.value, (l_partkey % 500)::varchar) l_partkey, coalesce(b.value, case when l_suppkey % 3 = 0 then '7' else l_suppkey::varchar end) l_suppkey, coalesce(c.value, l_orderkey::varchar) again
+from lineitem left join t a on a.token = l_partkey % 500 left join t b on b.token = case when l_suppkey % 3 = 0 then 7 else l_suppkey end left join t c on c.token = l_orderkey"""
+
+
+@query(_ONCE_SQL)
+def detokenize_once(spark, d):
+    """Three fields of one token source that meet it in one join; one token has a third of all rows, some tokens have two values or a null one."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 500).cast("string").alias("l_partkey"), F.when(F.col("l_suppkey") % 3 == 0, "7").otherwise(F.col("l_suppkey").cast("string")).alias("l_suppkey"), F.col("l_orderkey").cast("string").alias("again"))
+    c = table(spark, d, "customer")
+    tokens = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("token"), F.col("c_name").alias("value")).unionAll(c.where("c_custkey % 8 = 1").select("c_custkey", F.concat(F.lit("again "), F.col("c_custkey").cast("string"))))
+    tokens = tokens.unionAll(spark.createDataFrame([(1, None), (7, None)], "token long, value string"))
+    t = [("detokenize", _detokenize("tokens", "token", "value"))]
+    return apply_rule_set(rows, rules({"l_partkey": t, "l_suppkey": t, "again": t}), set(), token_sources={"tokens": tokens})
+
+
 @query("select o_orderkey, coalesce(c_name, o_custkey::varchar) who, o_orderpriority priority from orders left join customer on o_custkey = c_custkey")
 def detokenize_nested(spark, d):
     """A token inside a struct, beside a column that is named like the engine's own."""
@@ -272,9 +306,7 @@ def target_views(spark, d):
 @query("select c_custkey, c_name, round(c_acctbal, 2) c_acctbal from customer where c_acctbal > 0")
 def csv_result(spark, d):
     """A governed frame written as CSV and read back with its types."""
-    import uuid
-
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/veilframe-csv'}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     write_csv(apply_rule_set(table(spark, d, "customer"), rules(filters=[generic(("c_acctbal > 0",))]), set(), fields("c_custkey", "c_name", "c_acctbal")), path)
     return read_csv(spark, path, [Field("c_custkey", "bigint"), Field("c_name", "varchar"), Field("c_acctbal", "double")]).withColumn("c_acctbal", F.round("c_acctbal", 2))
 
@@ -301,6 +333,24 @@ _agg("agg_max_by", "customer", ("c_custkey", "c_acctbal"), "c_acctbal", {"max":
 _agg("agg_after_filter", "orders", ("o_orderkey", "o_totalprice"), "o_totalprice", {"avg": {"precision": 1}, "partition_by": ["o_orderpriority"]}, "select o_orderkey, round(avg(o_totalprice) over (partition by o_orderpriority), 1) o_totalprice from orders where o_orderstatus = 'O'", [generic(("true", "audit"), ("o_orderstatus = 'O'",))])
 
 
+_SHARED = {"l_quantity": {"sum": {}, "partition_by": ["l_returnflag"]}, "l_extendedprice": {"max": {}, "partition_by": ["l_returnflag"]}, "l_discount": {"avg": {"precision": 6}, "partition_by": ["l_returnflag"]}, "l_tax": {"min": {}, "partition_by": ["l_returnflag"]}, "l_partkey": {"max": {}, "partition_by": ["l_returnflag"]}, "l_suppkey": {"min": {}, "partition_by": ["l_returnflag"]}}
+_SHARED_FIELDS = ("l_orderkey", "l_linenumber", *_SHARED)
+
+
+@query("select l_orderkey, l_linenumber, sum(l_quantity) over w l_quantity, max(l_extendedprice) over w l_extendedprice, round(avg(l_discount) over w, 6) l_discount, min(l_tax) over w l_tax, max(l_partkey) over w l_partkey, min(l_suppkey) over w l_suppkey from lineitem window w as (partition by l_returnflag)")
+def agg_shared(spark, d):
+    """Six aggregates over the same groups: one grouping."""
+    return apply_rule_set(table(spark, d, "lineitem"), rules({k: [("aggregation", v)] for k, v in _SHARED.items()}), set(), fields(*_SHARED_FIELDS))
+
+
+@query("select l_orderkey, l_linenumber, sum(l_quantity) over (partition by l_returnflag) l_quantity, max(l_extendedprice) over () l_extendedprice, round(avg(l_discount) over (partition by l_linestatus, l_returnflag), 6) l_discount, min(l_tax) over (partition by n) l_tax, max(l_partkey) over () l_partkey, min(l_suppkey) over (partition by l_shipdate) l_suppkey from (select *, nullif(l_linenumber, 3) n from lineitem where l_quantity > 5)")
+def agg_shared_sets(spark, d):
+    """Six aggregates over five sets of groups, one of them all rows and one with a null group: one grouping."""
+    by = {"l_quantity": ["l_returnflag"], "l_extendedprice": [], "l_discount": ["l_linestatus", "l_returnflag"], "l_tax": ["n"], "l_partkey": [], "l_suppkey": ["l_shipdate"]}
+    r = rules({k: [("aggregation", v | {"partition_by": by[k]})] for k, v in _SHARED.items()}, [generic(("l_quantity > 5",))])
+    return apply_rule_set(table(spark, d, "lineitem").withColumn("n", F.expr("nullif(l_linenumber, 3)")), r, set(), fields(*_SHARED_FIELDS))
+
+
 # --- members
 
 
@@ -339,6 +389,30 @@ def selected_principals(spark, d):
     return principal_matrix(df, _MATRIX, F.broadcast(principals_frame(df, _MATRIX, ["sales", "unmatched"])), fields=fields("c_custkey", "c_name", "c_acctbal"))
 
 
+@query("select viewer, c_custkey, principal, c_acctbal from (" + " union all ".join(f"select '{v}' viewer, c_custkey, {n} principal, {a} c_acctbal from customer {w}" for v, n, a, w in (("sales", "c_name", "c_acctbal", ""), ("marketing", "regexp_replace(c_name, '#.*$', '#***')", "null", "where c_acctbal > 0"), ("unmatched", "'****'", "null", "where c_acctbal > 5000"))) + ")")
+def matrix_named_principal(spark, d):
+    """A source that has a column ``principal``, and columns named like the engine's own."""
+    df = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("principal"), "c_acctbal", *(F.lit(1).alias(c) for c in ("groups", "__groups", "__groups_0", "__class_0", "__by_0")))
+    r = rules({"principal": [(*ID, "sales"), ("regexp", {"regexp": "#.*$", "replacement": "#***"}, "marketing"), ("fixed", {"value": "****"})], "c_acctbal": [(*ID, "sales"), NULL]}, [generic(("true", "sales"), ("c_acctbal > 0", "marketing"), ("c_acctbal > 5000",))])
+    return principal_matrix(df, r, principal_col="viewer", fields=fields("c_custkey", "principal", "c_acctbal"))
+
+
+@query("""
+with u as (select c_name principal, c_mktsegment s, c_nationkey n from customer)
+select principal, n_nationkey, case when s in ('BUILDING', 'MACHINERY') or n in (1, 2) then n_name when s = 'FURNITURE' then left(n_name, 1) end n_name, case when n = 3 then n_regionkey when s in ('BUILDING', 'HOUSEHOLD') then round(avg(n_regionkey) over (partition by principal), 3) else -1 end n_regionkey
+from nation, u where s = 'BUILDING' or (n_nationkey < 9 and s <> 'HOUSEHOLD') or (s = 'HOUSEHOLD' and n_nationkey > 20)""")
+def user_classes(spark, d):
+    """Many users in few classes: the rule set is applied once for each set of deciding entries, then joined with its users."""
+    r = rules(
+        {
+            "n_name": [(*ID, "BUILDING", "MACHINERY", "nation-1", "nation-2"), ("sql_statement", {"statement": "left(n_name, 1)"}, "FURNITURE"), NULL],
+            "n_regionkey": [(*ID, "nation-3"), ("aggregation", {"avg": {"precision": 3}}, "BUILDING", "HOUSEHOLD"), ("fixed", {"value": "-1"})],
+        },
+        [generic(("true", "BUILDING"), ("n_nationkey > 20", "HOUSEHOLD"), ("n_nationkey < 9",))],
+    )
+    return principal_matrix(table(spark, d, "nation"), r, groups_by_user(_members(spark, d)), fields=fields("n_nationkey", "n_name", "n_regionkey"))
+
+
 @query("""
 with u as (select c_name principal, [c_mktsegment, 'nation-' || c_nationkey] g from customer)
 select principal, n_nationkey, case when list_contains(g, 'nation-' || n_nationkey) then n_name when list_contains(g, 'BUILDING') then upper(left(n_name, 1)) else '-' end n_name
@@ -349,7 +423,7 @@ def user_fanout(spark, d):
     nations = table(spark, d, "nation")
     first = [("sql_statement", {"statement": f"CASE WHEN n_nationkey = {n} THEN n_name WHEN array_contains(__groups, 'BUILDING') THEN upper(left(n_name, 1)) ELSE '-' END"}, f"nation-{n}") for n in range(25)]
     r = rules({"n_name": [*first, ("sql_statement", {"statement": "'-'"})]}, [generic(("true", "BUILDING"), ("n_nationkey < 20",))])
-    return principal_matrix(nations, r, who, fields=fields("n_nationkey", "n_name"))
+    return principal_matrix(nations, r, who, groups_col="__groups", fields=fields("n_nationkey", "n_name"))
 
 
 @query("""
@@ -368,10 +442,7 @@ def dynamic_groups(spark, d):
 @query("select doc_id, quality, toxic::boolean toxic from labels")
 def csv_typed_scan(spark, d):
     """Labels written as CSV in another column order, read back by name and type."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/veilframe-csv"
-    path = f"{base}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     table(spark, d, "labels").select("toxic", F.lit("x").alias("unused"), "quality", "doc_id").write.option("header", True).csv(path)
     return read_csv(spark, path, [Field("doc_id", "bigint"), Field("QUALITY", "int4"), Field("toxic", "boolean")]).withColumnRenamed("QUALITY", "quality")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,21 @@ from veilframe.functions.types import spark_type
 from veilframe.model import Field, Policy
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share. Where it is unset a local session gets a temporary folder; on a cluster this is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _LOCAL.get(context.applicationId) or tempfile.mkdtemp(prefix="veilframe-")
+        _LOCAL[context.applicationId] = found
+    return found.rstrip("/")
+
+
 def read_csv(spark: SparkSession, path: str, fields: Iterable[Field]) -> DataFrame:
     """A CSV sample with a header, typed by a policy's fields.
 
