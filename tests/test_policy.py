@@ -3,7 +3,6 @@
 import pytest
 
 from veilframe.functions.members import groups_of
-from veilframe.functions.transforms import fixed_raw
 from veilframe.model import Field, PolicyError, policy_from
 from veilframe.operators import checks, tags
 from veilframe.operators.apply import apply_rule_set, evaluate, principal_matrix, principals_frame
@@ -69,11 +68,6 @@ def test_refusals(rows):
         policy_from({"rule_sets": [{"field_transforms": [{"field": "a", "transforms": [{"shred": {}}]}]}]})
 
 
-def test_fixed_without_a_type(spark):
-    got = spark.range(1).select(fixed_raw("'x'").alias("a"), fixed_raw("1.5").alias("b"), fixed_raw("null").alias("c"))
-    assert [t for _, t in got.dtypes] == ["string", "decimal(2,1)", "void"] and tuple(got.first())[0] == "x"
-
-
 def test_retention_bounds(spark):
     """One row an hour before noon of the 9th of May; a period of whole days, none, and a period of no days."""
     df = spark.sql("select id, timestamp_ntz'2031-05-09 12:00:00' - make_dt_interval(0, cast(id as int)) ts from range(75) union all select -1, null")

@@ -24,11 +24,6 @@ def fixed(spark: SparkSession, value: str, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)
 
 
-def fixed_raw(value: str) -> Column:
-    """The value as an expression of whatever type it has."""
-    return F.expr(value)
-
-
 def has_group(pattern: str) -> bool:
     """Does a Java pattern capture anything? Plain and named groups count; quoted text, escapes and character classes do not."""
     depth = at = 0

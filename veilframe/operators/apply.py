@@ -96,17 +96,17 @@ class _Builder:
             return self.df.agg((out if precision is None else F.round(out, precision)).alias("x")).schema["x"].dataType
         return self.df.select(self.branch(t, col, name, kind).alias("x")).schema["x"].dataType
 
+    def common(self, name: str, entries: tuple[Transform, ...]) -> T.DataType:
+        """The type of a transformed field: that of its branches, a common one of numbers, else text."""
+        kinds = [self.kind_of(t, _column(name), name, _path(self.df, name)) for t in entries]
+        if all(k == kinds[0] for k in kinds):
+            return kinds[0]
+        if all(map(is_numeric, kinds)):
+            return self.df.sparkSession.range(1).select(F.coalesce(*(F.lit(None).cast(k) for k in kinds)).alias("x")).schema["x"].dataType
+        return T.StringType()
+
     def column(self, name: str, entries: tuple[Transform, ...]) -> Column:
-        kind = _path(self.df, name)
-        col = _column(name)
-        kinds = [self.kind_of(t, col, name, kind) for t in entries]
-        common = kinds[0]
-        if any(k != common for k in kinds):
-            if all(map(is_numeric, kinds)):
-                parts = [nullable.cast(k) for nullable, k in ((F.lit(None), k) for k in kinds)]
-                common = self.df.sparkSession.range(1).select(F.coalesce(*parts).alias("x")).schema["x"].dataType
-            else:
-                common = T.StringType()
+        kind, col, common = _path(self.df, name), _column(name), self.common(name, entries)
         return dispatch(entries, self.caller, lambda t: self.branch(t, col, name, kind).cast(common))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.members import distinct_groups, groups_by_user
-from veilframe.model import Field, RuleSet, policy_from
+from veilframe.model import Field, Policy, RuleSet, policy_from
 from veilframe.operators import checks, lineage, models_meta, registry, tags
 from veilframe.operators.apply import apply_policy, apply_rule_set, dynamic, principal_matrix, principals_frame
+from veilframe.plans.statements import Members, publish, statement
 from veilframe.sources.tables import create_view, read_csv, read_policies, shared_folder, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -436,6 +438,50 @@ def dynamic_groups(spark, d):
     return dynamic(table(spark, d, "orders"), r, own, "me", fields=fields("o_orderkey", "o_orderpriority"))
 
 
+# --- statements
+
+
+def _file(d: str, name: str) -> str:
+    """A file as a relation that a lasting view may name."""
+    return f"parquet.`{d}/{name}.parquet`"
+
+
+_GOVERNED = rules(
+    {
+        "c_name": [("detokenize", _detokenize("segments", "token", "value"), "nation-3", "BUILDING"), ("regexp", {"regexp": "^(.*)#.*$", "replacement": "$1#'*"})],
+        "c_acctbal": [(*ID, "auditors"), ("aggregation", {"avg": {"precision": 1}, "partition_by": ["c_nationkey"]}, "BUILDING", "nation-7"), NULL],
+        "c_nationkey": [("numeric_rounding", {"floor": {"divisor": 5}}, "BUILDING"), ("fixed", {"value": "-1"})],
+        "c_mktsegment": [("hash", {"seed": "it's"})],
+    },
+    [generic(("true", "auditors"), ("c_acctbal > 0", "BUILDING", "nation-7"), ("c_acctbal > 5000",))],
+)
+
+
+@query("""
+with g as (select [c_mktsegment, 'nation-' || c_nationkey] g from customer where c_name = (select max(c_name) from customer where c_mktsegment = 'BUILDING')),
+v as (select c.*, list_contains(g, 'BUILDING') or list_contains(g, 'nation-7') b, list_contains(g, 'BUILDING') o, list_contains(g, 'BUILDING') or list_contains(g, 'nation-3') t from customer c, g)
+select c_custkey, case when t then coalesce('segment of ' || o_orderkey, c_name) else regexp_replace(c_name, '^(.*)#.*$', '\\1#''*') end c_name,
+  case when o then floor(c_nationkey / 5.0::double) * 5.0::double else -1.0 end c_nationkey, case when b then round(avg(c_acctbal) over (partition by c_nationkey), 1) end c_acctbal, sha256('it''s:' || c_mktsegment) c_mktsegment
+from v left join (select o_custkey, min(o_orderkey) o_orderkey from orders where o_orderkey % 5 = 0 group by 1) on c_name = 'Customer#' || lpad(o_custkey::varchar, 9, '0')
+where case when b then c_acctbal > 0 else c_acctbal > 5000 end""")
+def lasting_view(spark, d):
+    """A catalog view whose text asks for the groups of whoever reads it, read back by another session."""
+    name = f"governed_{uuid.uuid4().hex}"
+    policy = Policy(_file(d, "customer"), tuple(fields("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")), (replace(_GOVERNED, target=f"default.{name}"),))
+    mine = f"(SELECT session_user() AS user, g AS group FROM {_file(d, 'customer')} LATERAL VIEW explode(array(c_mktsegment, concat('nation-', c_nationkey))) AS g WHERE c_name = (SELECT max(c_name) FROM {_file(d, 'customer')} WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'nobody', 'auditors')"
+    tokens = f"(SELECT concat('Customer#', lpad(o_custkey, 9, '0')) AS token, concat('segment of ', min(o_orderkey)) AS value FROM {_file(d, 'orders')} WHERE o_orderkey % 5 = 0 GROUP BY o_custkey)"
+    publish(spark, policy, Members(mine), token_sources={"segments": tokens})
+    return spark.newSession().table(f"default.{name}")
+
+
+@query("select c_custkey, upper(c_name) c_name, 40 + 2 c_nationkey from customer where c_acctbal > 0")
+def statement_model_target(spark, d):
+    """The statement of a model's target: fixed values stand as they are written, the groups are decided."""
+    r = rules({"c_name": [(*NULL, "sales"), ("fixed", {"value": "upper(c_name)"})], "c_nationkey": [("fixed", {"value": "40 + 2"})]}, [generic(("false", "sales"), ("c_acctbal > 0",))])
+    text = statement(table(spark, d, "customer"), replace(r, target_type="DBT_SQL"), _file(d, "customer"), {"support"}, fields("c_custkey", "c_name", "c_nationkey"))
+    return spark.sql(text)
+
+
 # --- sources
 
 

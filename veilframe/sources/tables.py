@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.types import spark_type
-from veilframe.model import Field, Policy
+from veilframe.model import Field
 
 
 _LOCAL: dict[str, str] = {}
@@ -49,12 +49,6 @@ def read_policies(table: DataFrame, schema: str, json_col: str = "policy") -> Da
     return table.withColumn("parsed", F.from_json(json_col, schema))
 
 
-def read_table(spark: SparkSession, ref: str, fields: Iterable[Field] | None = None) -> DataFrame:
-    """A catalog table, or files if the name holds a slash; only the listed fields."""
-    df = spark.read.parquet(ref) if "/" in ref else spark.table(ref)
-    return df if fields is None else df.select(*(F.col(f.name) for f in fields))
-
-
 def write_csv(df: DataFrame, path: str, by_principal: bool = False) -> None:
     """CSV with a header; null and empty text both print as nothing. A matrix goes to one folder for each principal."""
     w = df.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "")
@@ -70,13 +64,3 @@ def save_tables(frames: dict[str, DataFrame]) -> None:
     """One table for each rule set."""
     for target, df in frames.items():
         df.write.mode("overwrite").saveAsTable(target)
-
-
-def views_of(policy: Policy, frames: dict[str, DataFrame]) -> list[str]:
-    """Views for targets of type SQL_VIEW, tables for the others; their names."""
-    for r in policy.rule_sets:
-        if r.target_type == "SQL_VIEW":
-            create_view(frames[r.target], r.target)
-        else:
-            save_tables({r.target: frames[r.target]})
-    return list(frames)
