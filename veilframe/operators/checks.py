@@ -71,9 +71,10 @@ def several_defaults(entries: DataFrame) -> DataFrame:
 def overlapping_principals(entries: DataFrame) -> DataFrame:
     """Principals that two entries of a field name, in the same spelling; one entry that names somebody twice is no overlap."""
     lists = entries.groupBy("policy", "rule_set", "field").agg(F.flatten(F.collect_list(F.array_distinct("principals"))).alias("all"))
-    lists = lists.where(F.size("all") > F.size(F.array_distinct("all")))
-    twice = F.filter(F.array_distinct("all"), lambda p: F.size(F.filter("all", lambda q: q == p)) > 1)
-    return _out(lists.select("policy", F.explode(twice).alias("principal")), "overlapping_principals", F.col("principal"))
+    #: Only fields that name somebody twice are taken apart, within the same exchange.
+    some = lists.where(F.size("all") > F.size(F.array_distinct("all"))).select("policy", "rule_set", "field", F.explode("all").alias("principal"))
+    twice = some.groupBy("policy", "rule_set", "field", "principal").count().where("count > 1")
+    return _out(twice, "overlapping_principals", F.col("principal"))
 
 
 def field_twice(lists: DataFrame) -> DataFrame:
@@ -101,12 +102,104 @@ def names_empty(entries: DataFrame) -> DataFrame:
     return _out(parts, "name_part_empty", F.col("field")).unionByName(_out(who, "principal_empty", F.col("field")))
 
 
-def bad_fixed(entries: DataFrame, fields: DataFrame, types: tuple[str, ...] = ("smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")) -> DataFrame:
+#: Types that a text may fail to cast to.
+TYPES = ("smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")
+
+
+def _misfit(kind: Column, value: Column) -> Column:
+    """Does the text not cast to the type of this name?"""
+    aliases = {t: [t, *(a for a in ("int4", "integer", "int8", "int2", "bool", "float4", "float8", "float64", "timestamptz") if spark_type(a) == t)] for t in TYPES}
+    bad = F.lit(False)
+    for t, names in aliases.items():
+        bad = F.when(F.lower(kind).isin(names), value.try_cast(t).isNull()).otherwise(bad)
+    return bad
+
+
+def bad_fixed(entries: DataFrame, fields: DataFrame) -> DataFrame:
     """Fixed values that do not cast to the type of their field."""
     known = fields.select(F.col("policy").alias("kp"), F.upper("field").alias("kf"), "type")
     values = entries.where("kind = 'fixed'").join(known, (F.col("policy") == F.col("kp")) & (F.upper("field") == F.col("kf")))
-    aliases = {t: [t, *(a for a in ("int4", "integer", "int8", "int2", "bool", "float4", "float8", "float64", "timestamptz") if spark_type(a) == t)] for t in types}
-    bad = F.lit(False)
-    for t, names in aliases.items():
-        bad = F.when(F.lower("type").isin(names), F.col("value").try_cast(t).isNull()).otherwise(bad)
-    return _out(values.where(bad), "bad_fixed_value", F.col("value"))
+    return _out(values.where(_misfit(F.col("type"), F.col("value"))), "bad_fixed_value", F.col("value"))
+
+
+#: Rules of which a policy gets one violation for each name, wherever it stands.
+ONCE = ("unknown_principal", "unknown_field")
+
+
+def all_rules(policies: DataFrame, fields: DataFrame, lists: DataFrame, entries: DataFrame, conditions: DataFrame, tokens: DataFrame, groups: DataFrame, title: int = 3) -> DataFrame:
+    """Every check above over the same tables, in one pass: ``policy, rule, detail``.
+
+    lists: ``policy, rule_set, field``, one row for each list of transforms; groups: ``group``. Rows of all tables
+    go to one grouping by policy, rule set and name (of a field, filter, retention field or token source), partially
+    aggregated before its exchange; a group's state has what every rule asks for and emits all its violations. After
+    that, only states meet the known fields, and only violations the known groups. ``unknown_field``
+    covers retention filters too. A list is a part of one policy document, so a state is as large as that.
+    """
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    columns = {"rule_set": F.lit(0), "about": F.lit(""), "name": F.lit(""), "list": F.lit(0), "ord": F.lit(None).cast("int"), "kind": text, "principals": F.lit(None).cast("array<string>"), "value": text, "bad": F.lit(None).cast("array<string>")}
+
+    def rows(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select("policy", *((given[c] if c in given else default).cast("array<string>" if c in ("principals", "bad") else "int" if c in ("list", "ord", "rule_set") else "string").alias(c) for c, default in columns.items()))
+
+    when = lambda rule, c: F.when(c, F.array(F.lit(rule))).otherwise(none)
+    flawed = F.concat(
+        when("source_empty", F.coalesce("source_ref", F.lit("")) == ""),
+        when("platform_empty", (F.col("target_type") == "SQL_VIEW") & (F.coalesce("platform", F.lit("")) == "")),
+        when("title_short", F.length(F.coalesce("title", F.lit(""))) < title),
+    )
+    own = F.col("rule_set")
+    every = rows(policies, about=F.lit("policy"), value=F.col("title"), bad=flawed)
+    every = every.unionAll(rows(lists, rule_set=own, about=F.lit("field"), name=F.col("field"), list=F.lit(1)))
+    every = every.unionAll(rows(entries, rule_set=own, about=F.lit("field"), name=F.col("field"), ord=F.col("ord"), kind=F.col("kind"), principals=F.coalesce("principals", none), value=F.col("value")))
+    every = every.unionAll(rows(conditions, rule_set=own, about=F.lit("filter"), name=F.col("filter"), ord=F.col("ord"), kind=F.coalesce("filter_kind", F.lit("")), principals=F.coalesce("principals", none)))
+    #: A retention filter is one row here, as its first condition.
+    every = every.unionAll(rows(conditions.where("filter_kind = 'retention'"), rule_set=own, about=F.lit("retention"), name=F.col("field"), list=F.when(F.col("ord") == 1, 1).otherwise(0)))
+    every = every.unionAll(rows(tokens, rule_set=own, about=F.lit("token"), name=F.col("token_source"), list=F.lit(1)))
+    is_entry = F.col("principals").isNotNull()
+    states = every.groupBy("policy", "rule_set", "about", "name").agg(
+        F.sum("list").alias("lists"),
+        F.count(F.when(is_entry, 1)).alias("entries"),
+        F.count(F.when(F.size("principals") == 0, 1)).alias("defaults"),
+        F.max(F.when(is_entry, F.struct("ord", F.size("principals").alias("n")))).alias("last"),
+        F.flatten(F.collect_list(F.array_distinct("principals"))).alias("all"),
+        F.count(F.when(F.exists("principals", lambda x: x == ""), 1)).alias("unnamed"),
+        F.collect_list(F.when(F.col("kind") == "fixed", F.col("value"))).alias("fixed"),
+        F.count(F.when((F.col("about") == "filter") & ~F.col("kind").isin("generic", "retention"), 1)).alias("kindless"),
+        F.flatten(F.collect_list("bad")).alias("bad"),
+        F.max(F.when(F.col("about") == "policy", F.col("value"))).alias("title"),
+    )
+    known = fields.groupBy(F.col("policy").alias("_p"), F.upper("field").alias("_f")).agg(F.min(F.lower("type")).alias("type"))
+    states = states.join(known, (F.col("policy") == F.col("_p")) & (F.upper("name") == F.col("_f")), "left").drop("_p", "_f")
+    about = lambda *x: F.col("about").isin(*x)
+    said = lambda rule, c, names: F.when(c, F.transform(names, lambda x: F.struct(F.lit(rule).alias("rule"), x.alias("detail")))).otherwise(F.array().cast("array<struct<rule:string,detail:string>>"))
+    name, times = F.array("name"), lambda n: F.array_repeat("name", n.cast("int"))
+    seen = F.array_sort("all")
+    twice = F.array_distinct(F.filter(seen, lambda x, i: (i > 0) & (x == F.get(seen, i - 1))))
+    emitted = F.concat(
+        F.when(about("policy"), F.transform("bad", lambda r: F.struct(r.alias("rule"), F.when(r == "title_short", F.col("title")).otherwise("").alias("detail")))).otherwise(F.array().cast("array<struct<rule:string,detail:string>>")),
+        said("unknown_principal", about("field"), F.array_distinct("all")),
+        said("unknown_field", (about("field") & (F.col("entries") > 0) | about("retention")) & F.col("type").isNull(), name),
+        said("duplicate_token_source", about("token") & (F.col("lists") > 1), name),
+        said("no_transforms", about("field") & (F.col("entries") == 0), times(F.col("lists"))),
+        said("last_entry_not_default", about("field") & (F.col("last.n") > 0), name),
+        said("last_condition_not_default", about("filter") & (F.col("last.n") > 0), name),
+        said("several_defaults", about("field") & (F.col("defaults") > 1), name),
+        said("overlapping_principals", about("field"), twice),
+        said("filter_kind_missing", F.col("kindless") > 0, times(F.col("kindless"))),
+        said("name_part_empty", about("field") & F.exists(F.split("name", r"\."), lambda x: x == ""), times(F.col("entries"))),
+        said("principal_empty", about("field") & (F.col("unnamed") > 0), times(F.col("unnamed"))),
+        said("bad_fixed_value", F.size("fixed") > 0, F.filter("fixed", lambda v: _misfit(F.col("type"), v))),
+        #: Names that differ in letter case only are one: their lists are counted once more below.
+        said("field_twice", about("field") & (F.col("lists") > 0), F.array_repeat(F.concat(own.cast("string"), F.lit(" "), F.upper("name")), F.col("lists").cast("int"))),
+        said("retention_twice", about("retention") & (F.col("lists") > 0), F.array_repeat(F.concat(own.cast("string"), F.lit(" "), F.upper("name")), F.col("lists").cast("int"))),
+    )
+    found = states.select("policy", F.explode(emitted).alias("x")).select("policy", "x.*")
+    counted = found.groupBy("policy", "rule", "detail").agg(F.count("*").alias("n"))
+    groups = groups.select(F.upper("group").alias("_g")).distinct()
+    asked = F.when(F.col("rule") == "unknown_principal", F.upper("detail")).otherwise(F.concat(F.lit("\0"), F.col("policy").cast("string")))
+    told = counted.join(groups, asked == F.col("_g"), "left").where("_g is null")
+    pairs = F.col("rule").isin("field_twice", "retention_twice")
+    told = told.where(~pairs | (F.col("n") > 1))
+    detail = F.when(pairs, F.expr("substring(detail, instr(detail, ' ') + 1)")).otherwise(F.col("detail"))
+    copies = F.when(F.col("rule").isin(*ONCE) | pairs, 1).otherwise(F.col("n")).cast("int")
+    return told.select("policy", "rule", detail.alias("detail"), F.explode(F.array_repeat(F.lit(1), copies)).alias("_")).drop("_")

@@ -787,6 +787,50 @@ def check_fixed_value(spark, d):
     return checks.bad_fixed(_entries(spark, d), _check_fields(spark, d))
 
 
+_ALL_SQL = """with e as (select l_orderkey policy, l_suppkey % 2 rule_set, case when l_partkey % 2 = 0 then 'F_' else 'f_' end || l_returnflag || case when l_partkey % 10 = 0 then '.' else '' end field, l_linenumber * 1000 + l_partkey % 1000 ord, case when l_linenumber % 2 = 0 then 'fixed' else 'identity' end kind,
+  case when l_partkey % 3 = 0 then []::varchar[] else [lower(l_returnflag), case when l_quantity = 7 then '' else 'G' || (l_quantity % 4)::int end] end principals, case when l_quantity > 25 then (l_quantity::int)::varchar else 'q' || (l_quantity::int)::varchar end value from lineitem),
+l as (select distinct policy, rule_set, field from e union all select o_orderkey, 0, 'f_A' from orders union all select o_orderkey, 1, 'none' from orders where o_orderkey % 3 = 0),
+c as (select o_orderkey policy, 0 rule_set, o_orderpriority flt, case o_orderstatus when 'F' then 'generic' when 'O' then 'retention' end filter_kind, case when o_custkey % 2 = 0 then 'f_a' else 'gone' end field, 1 ord, case when o_custkey % 5 = 0 then ['x'] else []::varchar[] end principals from orders union all
+  select o_orderkey, 0, 'second', 'retention', case when o_custkey % 4 = 0 then 'F_A' else 'F_N' end, 1, []::varchar[] from orders),
+t as (select l_orderkey policy, 0 rule_set, l_returnflag token_source from lineitem),
+k as (select o_orderkey policy, upper(f) field, t type from orders, (values ('f_a', 'bigint'), ('f_n', 'string')) x(f, t)), p as (select o_orderkey policy, nullif(o_orderstatus, 'F') source_ref, case when o_orderkey % 5 > 0 then 'spark' else '' end platform, substr(o_orderpriority, 3, 30) title, case when o_orderstatus = 'F' then 'DBT_SQL' else 'SQL_VIEW' end target_type from orders)
+select policy, 'source_empty' rule, '' detail from p where source_ref is null
+union all select policy, 'platform_empty', '' from p where target_type = 'SQL_VIEW' and platform = ''
+union all select policy, 'title_short', title from p where length(title) < 5
+union all select distinct policy, 'unknown_principal', x from (select policy, unnest(principals) x from e) where upper(x) not in ('A', 'N', 'G1', 'G2')
+union all select distinct policy, 'unknown_field', field from (select policy, field from e union all select policy, field from c where filter_kind = 'retention') u where not exists (select 1 from k where k.policy = u.policy and k.field = upper(u.field))
+union all select policy, 'duplicate_token_source', token_source from t group by policy, rule_set, token_source having count(*) > 1
+union all select policy, 'no_transforms', field from l where not exists (select 1 from e where e.policy = l.policy and e.rule_set = l.rule_set and e.field = l.field)
+union all select policy, 'last_entry_not_default', field from (select policy, rule_set, field, max((ord, len(principals))) m from e group by 1, 2, 3) where m[2] > 0
+union all select policy, 'last_condition_not_default', flt from c where len(principals) > 0
+union all select policy, 'several_defaults', field from e where len(principals) = 0 group by policy, rule_set, field having count(*) > 1
+union all select policy, 'overlapping_principals', x from (select policy, rule_set, field, unnest(list_distinct(principals)) x from e) group by policy, rule_set, field, x having count(*) > 1
+union all select policy, 'filter_kind_missing', flt from c where filter_kind is null
+union all select policy, 'name_part_empty', field from e where field like '%.'
+union all select policy, 'principal_empty', field from e where list_contains(principals, '')
+union all select e.policy, 'bad_fixed_value', value from e join k on k.policy = e.policy and k.field = upper(e.field) where kind = 'fixed' and type = 'bigint' and value like 'q%'
+union all select policy, 'field_twice', upper(field) from l group by policy, rule_set, upper(field) having count(*) > 1
+union all select policy, 'retention_twice', upper(field) from c where filter_kind = 'retention' group by policy, rule_set, upper(field) having count(*) > 1"""
+
+
+@query(_ALL_SQL)
+def check_all(spark, d):
+    """All rules over policies with several rule sets, names in both letter cases, empty names, and lists without entries, in one pass."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    key, none = F.col("o_orderkey").alias("policy"), F.array().cast("array<string>")
+    field = F.concat(F.when(F.col("l_partkey") % 2 == 0, "F_").otherwise("f_"), "l_returnflag", F.when(F.col("l_partkey") % 10 == 0, ".").otherwise(""))
+    who = F.when(F.col("l_partkey") % 3 == 0, none).otherwise(F.array(F.lower("l_returnflag"), F.when(F.col("l_quantity") == 7, "").otherwise(F.concat(F.lit("G"), (F.col("l_quantity") % 4).cast("int").cast("string")))))
+    whole = F.col("l_quantity").cast("int").cast("string")
+    entries = li.select(F.col("l_orderkey").alias("policy"), (F.col("l_suppkey") % 2).alias("rule_set"), field.alias("field"), (F.col("l_linenumber") * 1000 + F.col("l_partkey") % 1000).alias("ord"), F.when(F.col("l_linenumber") % 2 == 0, "fixed").otherwise("identity").alias("kind"), who.alias("principals"), F.when(F.col("l_quantity") > 25, whole).otherwise(F.concat(F.lit("q"), whole)).alias("value"))
+    lists = entries.select("policy", "rule_set", "field").distinct().unionAll(o.select(key, F.lit(0), F.lit("f_A"))).unionAll(o.where("o_orderkey % 3 = 0").select(key, F.lit(1), F.lit("none")))
+    conditions = o.select(key, F.lit(0).alias("rule_set"), F.col("o_orderpriority").alias("filter"), F.when(F.col("o_orderstatus") == "F", "generic").when(F.col("o_orderstatus") == "O", "retention").alias("filter_kind"), F.when(F.col("o_custkey") % 2 == 0, "f_a").otherwise("gone").alias("field"), F.lit(1).alias("ord"), F.when(F.col("o_custkey") % 5 == 0, F.array(F.lit("x"))).otherwise(none).alias("principals"))
+    conditions = conditions.unionAll(o.select(key, F.lit(0), F.lit("second"), F.lit("retention"), F.when(F.col("o_custkey") % 4 == 0, "F_A").otherwise("F_N"), F.lit(1), none))
+    tokens = li.select(F.col("l_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.col("l_returnflag").alias("token_source"))
+    policies = o.select(key, F.expr("nullif(o_orderstatus, 'F')").alias("source_ref"), F.when(F.col("o_orderkey") % 5 > 0, "spark").otherwise("").alias("platform"), F.substring("o_orderpriority", 3, 30).alias("title"), F.when(F.col("o_orderstatus") == "F", "DBT_SQL").otherwise("SQL_VIEW").alias("target_type"))
+    groups = li.select(F.lower("l_returnflag").alias("group")).where("group <> 'r'").unionAll(li.select(F.concat(F.lit("g"), (F.col("l_quantity") % 4).cast("int").cast("string"))).where("l_quantity % 4 in (1, 2)"))
+    return checks.all_rules(policies, _check_fields(spark, d), lists, entries, conditions, tokens, groups, title=5)
+
+
 # --- grants and lineage: customers feed nations feed regions
 
 
