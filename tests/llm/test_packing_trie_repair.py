@@ -260,3 +260,16 @@ def test_cells_against_all_edits():
                 if re.fullmatch("(s?(ua)+)?", text):
                     ways.append((cost, audit))
         assert min(cells[k] for k in ((0, 0), (0, 3)) if k in cells) == min(ways)
+
+
+@pytest.mark.parametrize("name", ["op12_prefix_trie", "op13_conversation_repair"])
+def test_against_duckdb(spark, name):
+    import duckdb
+
+    path = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{path}/conversations.parquet'")
+    want = c.execute(queries.ORACLE[name])
+    names = [x[0] for x in want.description]
+    got = queries.QUERIES[name](spark, path).select(*names)
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.collect())
