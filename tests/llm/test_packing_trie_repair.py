@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import bestfit_packing, conversation_repair, prefix_trie, queries
+from veilframe.llm import bestfit_packing, conversation_repair, line_dedup, minhash_dedup, prefix_trie, queries
 from veilframe.llm.queries import tokenizer
 
 LONG = " ".join(f"word{i} and more" for i in range(4000))
@@ -273,3 +273,29 @@ def test_against_duckdb(spark, name):
     names = [x[0] for x in want.description]
     got = queries.QUERIES[name](spark, path).select(*names)
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.collect())
+
+
+def regular(n):
+    """A word of ``a`` and ``b`` in which each doubling repeats the word with both changed, and its complement: sums of powers of two do not tell them apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_regular_words_and_lines_stay_apart(spark):
+    a, b = regular(2048)
+    rows = spark.createDataFrame([(1, a), (2, b), (3, f"{a} x {b} x"), (4, f"{b} x {a} x")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_classes(rows, words=2).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (3, 3), 4: (3, 4)}
+    kept = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(rows).collect()}
+    assert kept == {r.doc_id: (r.text, 0) for r in rows.collect()}
+
+
+def test_sets_that_only_look_equal_are_split(spark):
+    """Where sizes and fingerprints agree, the full sets decide."""
+    rows = spark.createDataFrame([(1, "one two three four"), (2, "one two three four"), (3, "five six seven eight"), (4, "five six  seven eight"), (5, "nine")], "doc_id long, text string")
+    able = rows.selectExpr("doc_id id", "xxhash64(text) hash", "1L n", "7L p0", "9L p1").where("id < 5")
+    odd = minhash_dedup._unlike(rows.selectExpr("doc_id id", "xxhash64(text) hash", "text"), able, 2)
+    want = {r.hash for r in able.where("id > 2").collect()}
+    assert {r.hash for r in odd.collect()} == want and len(want) == 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -192,8 +193,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Digests(dict):
+    """The first 8 bytes of the BLAKE2b digest of each word, as a number; remembered up to ``most`` bytes of words."""
+
+    def __init__(self, most: int = 1 << 25):
+        self.most, self.held = most, 0
+
+    def __missing__(self, word: bytes) -> int:
+        self.held += len(word) + 100
+        if self.held > self.most:
+            self.clear()
+            self.held = len(word) + 100
+        self[word] = found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return found
+
+
 class Hashed:
-    """Hashes of any substrings of bytes, or of code points, from one running sum."""
+    """Hashes of any substrings of bytes, or of code points, from one running sum. Where equality rests on a hash take ``Digests``: long texts of regular build can share one of these."""
 
     def __init__(self, data: np.ndarray, table: np.ndarray = POINT):
         up, self.down = powers(len(data) + 1)

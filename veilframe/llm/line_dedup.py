@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,8 @@ def within(a: str, b: str, most: int) -> bool:
     return dist <= most
 
 
-def _lines(texts: list[str], least: int, exact: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the texts, and of each line of at least ``least`` characters, or of at least ``exact`` with a letter or digit, its text, number and bounds: points, (text, line, start, end) rows."""
+def _lines(texts: list[str], least: int, exact: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts, and of each line of at least ``least`` characters, or of at least ``exact`` with a letter or digit, its text, number there, bounds, and number among all lines."""
     points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.flatnonzero(points == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -70,7 +71,7 @@ def _lines(texts: list[str], least: int, exact: int) -> tuple[np.ndarray, np.nda
     number = np.arange(len(starts)) - first[text]
     size, known = ends - starts, np.concatenate([[0], np.cumsum(_ALNUM[np.minimum(points, 1 << 16)])])
     long = (size >= least) | (size >= exact) & (known[ends] > known[starts])
-    return points, text[long], number[long], np.stack([starts[long], ends[long]])
+    return points, text[long], number[long], np.stack([starts[long], ends[long]]), np.flatnonzero(long)
 
 
 def segment_keys(hashed: Hashed, start: np.ndarray, end: np.ndarray, errors: int) -> np.ndarray:
@@ -116,11 +117,12 @@ def _cut_lines(batches: Iterator[pa.RecordBatch], least: int, exact: int) -> Ite
     """A row for each line; the first row of a line in a slice of texts has its text, if it is long enough."""
     for batch in batches:
         for lo, _, texts in text_slices(batch.column("text"), 1 << 18):
-            points, text, number, (start, end) = _lines(texts, least, exact)
+            points, text, number, (start, end), place = _lines(texts, least, exact)
             if not len(text):
                 continue
-            hashed = Hashed(points)
-            line, check = hashed.of(start, end), Hashed(points, OTHER).of(start, end)
+            cut = "\n".join([*texts, ""]).encode("utf-8", "surrogatepass").split(b"\n")
+            digest = b"".join(blake2b(cut[k], digest_size=16).digest() for k in place.tolist())
+            line, check = np.frombuffer(digest, np.uint64).reshape(-1, 2).T
             wide = points.astype(np.uint64)
             pair = wide[:-1] * _LEFT + wide[1:] * _RIGHT
             bit = np.append(np.uint64(1) << (pair >> np.uint64(58)), np.uint64(0))
@@ -148,8 +150,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     All other lines, empty and null texts stay as they are. Rows that share id and text are treated
     alike: their lines count once. All columns and rows stay.
 
-    One pass over the texts writes a table of lines, with two independent 64-bit hashes each (equal
-    lines are those that agree in both); a second, over the long lines, makes the keys of ``segment_keys`` (segment,
+    One pass over the texts writes a table of lines, each with the 128 bits of its BLAKE2b digest, by which lines are
+    equal; a second, over the long lines, makes the keys of ``segment_keys`` (segment,
     its number, the line's length), which go straight into their exchange. Lines that share a key are kept apart by length and by parity sketches of
     letters and letter pairs, and links are confirmed by ``within`` on the lines themselves.
     """

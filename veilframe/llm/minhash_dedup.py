@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, Hashed, bucket_links, mix, spread_join, text_slices, tidy, with_texts, written
+from .common import Digests, bucket_links, mix, spread_join, text_slices, tidy, with_texts, written
 
 #: A signature has CHUNKS longs of LANES minhashes of BITS bits each.
 CHUNKS, LANES, BITS = 16, 5, 12
@@ -18,31 +18,32 @@ DISTANCE = 2 * CHUNKS - 1
 #: Longs of the parity sketch: each shingle toggles one of its bits.
 PARITY = 16
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, CHUNKS * LANES), dtype=np.uint64)
+#: Rows that agree in these are one node: size, two fingerprints, and where they were found to differ, the text's hash.
+_SAME = ["n", "p0", "p1", "split"]
 _PARTS = [*(f"s{c}" for c in range(CHUNKS)), *(f"x{c}" for c in range(PARITY))]
 _ODD, _FLIP = _SEEDS[0] | np.uint64(1), _SEEDS[1]
 
 
+_WORDS = Digests()
+
+
 def _shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the word shingles of each text."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate(([1], space.astype(np.int8))))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    doc = np.searchsorted(np.cumsum(sizes), start, "right")
-    one = Hashed(data).of(start, end)
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    n = len(one)
-    many = np.zeros(max(0, n - words + 1), np.uint64)
-    for k in range(words):
-        many += one[k : n - words + 1 + k] * BYTE[k]
-    many = mix(many)
+    """Sorted distinct hashes of the word shingles of each text, made of a digest of each word."""
     out = []
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if hi - lo >= words:
-            out.append(np.unique(many[lo : hi - words + 1]))
+    for text in texts:
+        cut = text.lower().split()
+        n = len(cut)
+        one = np.fromiter(map(_WORDS.__getitem__, cut), np.uint64, n)
+        if n >= words:
+            many = np.zeros(n - words + 1, np.uint64)
+            for k in range(words):
+                many = mix(many + one[k : n - words + 1 + k])
+            out.append(np.unique(many))
         else:  # all words as one shingle; none without words
-            out.append(mix(np.array([hi - lo, *one[lo:hi]], np.uint64).dot(BYTE[100 : 101 + hi - lo]).reshape(1)) if hi > lo else np.zeros(0, np.uint64))
+            whole = np.uint64(n)
+            for w in one:
+                whole = mix(np.array([w]) ^ mix(np.array([whole])))[0]
+            out.append(np.array([whole][: bool(n)], np.uint64))
     return out
 
 
@@ -121,10 +122,15 @@ def _classes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     percent = round(100 * similarity)
     sigs = written(rows.mapInArrow(lambda it: tidy(_signatures(it, words)), f"id {kind}, hash long, n long, p0 long, p1 long, {longs}"), "signatures")
+    sigs = sigs.withColumn("split", F.lit(0).cast("long"))
     able = sigs.where("id is not null and n > 0")
-    sets = able.groupBy("n", "p0", "p1").agg(F.min(F.struct("id", "hash")).alias("low"), F.count("*").alias("rows"), *(F.first(s).alias(s) for s in _PARTS))
+    odd = _unlike(rows, able, words)
+    if odd is not None:
+        sigs = written(sigs.join(odd, "hash", "left").withColumn("split", F.coalesce("odd", F.lit(0))).drop("odd"), "signatures")
+        able = sigs.where("id is not null and n > 0")
+    sets = able.groupBy(*_SAME).agg(F.min(F.struct("id", "hash")).alias("low"), F.count("*").alias("rows"), *(F.first(s).alias(s) for s in _PARTS))
     sets = written(sets.select(F.monotonically_increasing_id().alias("node"), "*"), "sets")
-    own = sets.select("n", "p0", "p1", "node", "low", "rows")
+    own = sets.select(*_SAME, "node", "low", "rows")
 
     def texts(ids: DataFrame, low: str = "low") -> DataFrame:
         """The texts of nodes, found by the id and hash of one of their rows."""
@@ -134,7 +140,6 @@ def _classes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.mapInArrow(lambda it: tidy(_confirm(it, words, percent)), "a long, b long")
 
-    _equal_sets(rows, able, own, words)
     whole = (1 << BITS * LANES) - 1
     keys = F.array(*(F.xxhash64(F.lit(c * LANES + k), F.col(f"s{c}").bitwiseAND(F.lit(whole ^ ((1 << BITS) - 1) << BITS * k))) for c in range(CHUNKS) for k in range(LANES)))
     members = sets.select(F.explode(keys).alias("key"), F.col("node").alias("id"))
@@ -142,23 +147,24 @@ def _classes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     comps = bucket_links(members, facts, lambda a, b: _possible(a, b, percent) & (_apart(a, b) <= DISTANCE), texts, verify)
     linked = written(comps.join(own.select(F.col("node").alias("id"), "low"), "id").select(F.col("id").alias("node"), F.col("comp").alias("class"), "low"), "linked")
     least = linked.groupBy("class").agg(F.min("low").alias("least"))
-    named = own.join(linked.join(least, "class").select("node", "least"), "node", "left").select("n", "p0", "p1", "rows", F.coalesce("least", "low").alias("least"))
-    told = spread_join(sigs.select("id", "hash", "n", "p0", "p1"), written(named, "named"), ["n", "p0", "p1"], "rows")
+    named = own.join(linked.join(least, "class").select("node", "least"), "node", "left").select(*_SAME, "rows", F.coalesce("least", "low").alias("least"))
+    told = spread_join(sigs.select("id", "hash", *_SAME), written(named, "named"), _SAME, "rows")
     linkable = F.col("id").isNotNull() & (F.col("n") > 0)
     return told.select("id", "hash", "n", F.when(linkable, F.col("least.id")).alias("comp"), F.coalesce(F.struct("id", "hash") == F.col("least"), F.lit(False)).alias("first"))
 
 
-def _equal_sets(rows: DataFrame, able: DataFrame, own: DataFrame, words: int) -> None:
-    """Rows that share size and both fingerprints of a set, but not the text, are compared with one of them on the full sets."""
-    alike = spread_join(able.select("id", "hash", "n", "p0", "p1"), own.where("rows > 1").select("n", "p0", "p1", "low", "rows"), ["n", "p0", "p1"], "rows")
+def _unlike(rows: DataFrame, able: DataFrame, words: int) -> DataFrame | None:
+    """Rows that share size and both fingerprints of a set, but not the text, are compared with one of them on the full sets; ``hash, odd`` of those whose sets differ after all, if there are any. They become nodes by themselves."""
+    firsts = able.groupBy("n", "p0", "p1").agg(F.min(F.struct("id", "hash")).alias("low"), F.count("*").alias("rows")).where("rows > 1")
+    alike = spread_join(able.select("id", "hash", "n", "p0", "p1"), written(firsts, "firsts"), ["n", "p0", "p1"], "rows")
     pairs = written(alike.where("low is not null and hash <> low.hash").groupBy(F.col("low.hash").alias("a"), F.col("hash").alias("b")).agg(F.min("id").alias("id"), F.min("low.id").alias("low")), "alike")
     if pairs.isEmpty():
-        return
+        return None
     wanted = pairs.select(F.col("low").alias("id"), F.col("a").alias("hash")).unionByName(pairs.select("id", F.col("b").alias("hash"))).distinct()
     texts = written(rows.join(wanted, ["id", "hash"]).groupBy(F.col("hash").alias("id")).agg(F.min("text").alias("text")), "texts")
     same = with_texts(pairs.select("a", "b"), texts).mapInArrow(lambda it: tidy(_confirm(it, words, 100)), "a long, b long")
-    if same.count() < pairs.count():
-        raise RuntimeError("different sets of shingles share their size and both fingerprints")
+    odd = written(pairs.select("a", "b").join(same, ["a", "b"], "left_anti").select(F.col("b").alias("hash"), F.col("b").alias("odd")).distinct(), "odd")
+    return None if odd.isEmpty() else odd
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
