@@ -10,9 +10,14 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from veilframe.functions.sql_names import columns_in, functions_in
 from veilframe.model import Field, Policy, PolicyError
+from veilframe.operators import checks
 from veilframe.operators.apply import apply_rule_set
-from veilframe.plans.queries import generic, retention, rules
+from veilframe.plans.queries import _STATEMENTS, generic, retention, rules
 from veilframe.plans.statements import MODEL, Members, publish, statement
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -115,3 +120,49 @@ def test_view_outlives_the_application_and_follows_its_reader(spark, governed, t
     for user, groups in (("ann", {"eu", "other"}), ("bob", {"us"})):
         assert seen[user] == _plain(apply_rule_set(df, r, groups, token_sources={"tokens": tokens}, as_of="2024-03-01"))
     assert seen["ann"] != seen["bob"]
+
+
+SOURCE = "c_acctbal double, c_name string, `odd name` string, c_nationkey int, c_since date, c_tags array<struct<kind: string>>, c_home struct<street: struct<name: string>>, c_phone string, year int, c_address string"
+
+
+@pytest.mark.parametrize("text, columns, functions", _STATEMENTS)
+def test_names_are_those_that_spark_resolves(spark, text, columns, functions):
+    """Spark accepts the text over the whole source, and misses each column that is named, and no other, once it is gone."""
+    row = spark.range(1).select(F.lit(text).alias("x")).select(columns_in(F.col("x")).alias("c"), functions_in(F.col("x")).alias("f")).first()
+    assert (row["c"], row["f"]) == (columns, functions)
+    text = text.replace("my_mask(", "upper(").replace("concat(x, c_name, i)", "concat(x.kind, c_name, i)")
+    whole = spark.createDataFrame([], SOURCE)
+    whole.select(F.expr(text))
+    for gone in whole.columns:
+        if gone in {c.split(".")[0] for c in columns}:
+            with pytest.raises(AnalysisException):
+                whole.drop(gone).select(F.expr(text))
+        else:
+            whole.drop(gone).select(F.expr(text))
+
+
+@pytest.mark.parametrize("text, columns", [("", []), (None, None), ("1", []), ("'a -- b' || x", ["x"]), ("'it''s' <> x", ["x"]), ("CAST(a AS ARRAY<STRUCT<b: INT>>)", ["a"]), ("`a``b`.c", ["ab.c"]), ("x" * 5000, ["x" * 5000]), ("größe > 1", ["größe"]), ("NOT(a)", ["a"]), ("(b) IN (1, c)", ["b", "c"])])
+def test_names_in_odd_texts(spark, text, columns):
+    df = spark.createDataFrame([(text,)], "x string")
+    assert df.select(columns_in(F.col("x")).alias("c")).first()["c"] == columns
+
+
+def test_all_rules_says_what_single_rules_say(spark):
+    """Over a small table with every flaw: the union of the single checks."""
+    none: list = []
+    policies = spark.createDataFrame([(1, "", "p", "title", "SQL_VIEW"), (2, "s", None, "t", "SQL_VIEW"), (3, "s", "", None, "DBT_SQL")], "policy int, source_ref string, platform string, title string, target_type string")
+    fields = spark.createDataFrame([(1, "A", "int"), (2, "a", "date"), (2, "b.c", "string")], "policy int, field string, type string")
+    entries = spark.createDataFrame([(1, 0, "a", 1, "fixed", ["x", "X"], "q"), (1, 0, "a", 2, "fixed", ["x", ""], "7"), (1, 0, "a", 3, "nullify", none, None), (1, 0, "a", 4, "nullify", none, None), (2, 0, "A", 1, "fixed", ["y"], None), (2, 1, "b.", 1, "identity", none, None), (3, 0, "z", 1, "hash", none, None)], "policy int, rule_set int, field string, ord int, kind string, principals array<string>, value string")
+    lists = entries.select("policy", "rule_set", "field").distinct().unionAll(spark.createDataFrame([(1, 0, "A"), (2, 1, "b.c"), (2, 1, "b.c")], "policy int, rule_set int, field string"))
+    conditions = spark.createDataFrame([(1, 0, "f", "retention", "a", 1, none), (1, 0, "g", "retention", "A", 1, none), (1, 0, "g", "retention", "A", 2, ["x"]), (2, 0, "h", None, None, 1, ["x"]), (2, 0, "i", "retention", "nope", 1, none)], "policy int, rule_set int, filter string, filter_kind string, field string, ord int, principals array<string>")
+    tokens = spark.createDataFrame([(1, 0, "t"), (1, 0, "t"), (1, 1, "t")], "policy int, rule_set int, token_source string")
+    groups = spark.createDataFrame([("X",)], "group string")
+    full = lists.join(entries.groupBy("policy", "rule_set", "field").agg(F.collect_list("ord").alias("entries")), ["policy", "rule_set", "field"], "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<int>")))
+    single = [
+        checks.source_empty(policies), checks.platform_empty(policies), checks.title_short(policies), checks.unknown_principal(entries, groups), checks.unknown_field(entries, fields, conditions), checks.duplicate_tokens(tokens),
+        checks.empty_transforms(full), checks.last_has_principals(entries), checks.filter_last_has_principals(conditions), checks.several_defaults(entries), checks.overlapping_principals(entries), checks.field_twice(lists),
+        checks.retention_twice(conditions.where("filter_kind = 'retention' and ord = 1")), checks.filter_kind_missing(conditions), checks.names_empty(entries), checks.bad_fixed(entries, fields),
+    ]
+    want = sorted(tuple(r) for df in single for r in df.fillna("").collect())
+    got = sorted(tuple(r) for r in checks.all_rules(policies, fields, lists, entries, conditions, tokens, groups).fillna("").collect())
+    assert got == want and len({r for _, r, _ in got}) == 17

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.sql_names import columns_in, functions_in
 from veilframe.functions.types import spark_type
 
 
@@ -122,6 +123,51 @@ def bad_fixed(entries: DataFrame, fields: DataFrame) -> DataFrame:
     return _out(values.where(_misfit(F.col("type"), F.col("value"))), "bad_fixed_value", F.col("value"))
 
 
+def _texts(entries: DataFrame, conditions: DataFrame | None) -> DataFrame:
+    texts = entries.where("kind = 'sql_statement'").select("policy", F.col("value").alias("text"))
+    if conditions is not None:
+        texts = texts.unionByName(conditions.where("filter_kind = 'generic'").select("policy", F.col("value").alias("text")))
+    return texts.where("text is not null")
+
+
+def unknown_columns(entries: DataFrame, fields: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
+    """Columns in the SQL text of statements, and of generic filters if given (``value``), that the source lacks; of a dotted name the first part counts, letter case does not."""
+    used = _texts(entries, conditions).select("policy", F.explode(columns_in(F.col("text"))).alias("name")).distinct()
+    known = fields.select(F.col("policy").alias("kp"), F.split(F.lower("field"), r"\.")[0].alias("kf")).distinct()
+    return _out(used.join(known, (F.col("policy") == F.col("kp")) & (F.split("name", r"\.")[0] == F.col("kf")), "left_anti"), "unknown_column", F.col("name"))
+
+
+def unknown_functions(entries: DataFrame, functions: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
+    """Functions in the same texts that ``functions(name)`` lacks."""
+    used = _texts(entries, conditions).select("policy", F.explode(functions_in(F.col("text"))).alias("name")).distinct()
+    return _out(used.join(functions.select(F.lower("name").alias("kn")).distinct(), F.col("name") == F.col("kn"), "left_anti"), "unknown_function", F.col("name"))
+
+
+def masked_columns_return(entries: DataFrame) -> DataFrame:
+    """Statements that show a field to somebody for whom the rule set hides it: ``<statement's field> shows <field> to <principal>``.
+
+    For each principal that a rule set names, and for everybody else (``*``), the first entry that
+    names them decides each field, else its default. A statement that decides one field and names another, or part of it, is
+    reported where that other one's deciding entry is not identity. Whoever is in several groups
+    sees what one of these, asked first, sees.
+    """
+    at = ["policy", "rule_set"]
+    pick = F.min(F.struct("ord", "kind", F.col("value").alias("text")))
+    lists = entries.select(*at, F.lower("field").alias("field"), "ord", "kind", "value", "principals")
+    named = lists.select("*", F.explode("principals").alias("who")).groupBy(*at, "field", "who").agg(pick.alias("entry"))
+    default = lists.where(F.size("principals") == 0).groupBy(*at, "field").agg(pick.alias("default"))
+    who = named.select(*at, "who").distinct().unionByName(lists.select(*at, F.lit("*").alias("who")).distinct())
+    #: Principals and fields of one rule set, so as many as its document has.
+    every = who.join(lists.select(*at, "field").distinct(), at)
+    told = every.join(named, [*at, "field", "who"], "left").join(default, [*at, "field"], "left").select(*at, "field", "who", F.coalesce("entry", "default").alias("entry"))
+    shown = told.where("entry.kind = 'sql_statement'").select(*at, "who", F.col("field").alias("by"), F.explode(columns_in(F.col("entry.text"))).alias("used"))
+    #: A name may be a field, a struct that holds it, or a part of it.
+    hidden = told.where("entry.kind <> 'identity'").select(*at, "who", F.col("field").alias("hides"))
+    within = F.col("used").eqNullSafe(F.col("hides")) | F.startswith("used", F.concat("hides", F.lit("."))) | F.startswith("hides", F.concat("used", F.lit(".")))
+    both = shown.join(hidden, [*at, "who"]).where(within & (F.col("by") != F.col("hides"))).select(*at, "by", "hides", "who").distinct()
+    return _out(both, "masked_column_returns", F.concat_ws(" ", "by", F.lit("shows"), "hides", F.lit("to"), "who"))
+
+
 #: Rules of which a policy gets one violation for each name, wherever it stands.
 ONCE = ("unknown_principal", "unknown_field")
 
@@ -163,7 +209,7 @@ def all_rules(policies: DataFrame, fields: DataFrame, lists: DataFrame, entries:
         F.max(F.when(is_entry, F.struct("ord", F.size("principals").alias("n")))).alias("last"),
         F.flatten(F.collect_list(F.array_distinct("principals"))).alias("all"),
         F.count(F.when(F.exists("principals", lambda x: x == ""), 1)).alias("unnamed"),
-        F.collect_list(F.when(F.col("kind") == "fixed", F.col("value"))).alias("fixed"),
+        F.collect_list(F.when(F.col("kind") == "fixed", F.coalesce("value", F.lit("")))).alias("fixed"),
         F.count(F.when((F.col("about") == "filter") & ~F.col("kind").isin("generic", "retention"), 1)).alias("kindless"),
         F.flatten(F.collect_list("bad")).alias("bad"),
         F.max(F.when(F.col("about") == "policy", F.col("value"))).alias("title"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.members import distinct_groups, groups_by_user
+from veilframe.functions.sql_names import columns_in, functions_in
 from veilframe.model import Field, Policy, RuleSet, policy_from
 from veilframe.operators import checks, lineage, models_meta, registry, tags
 from veilframe.operators.apply import apply_policy, apply_rule_set, dynamic, principal_matrix, principals_frame
@@ -831,6 +832,67 @@ def check_all(spark, d):
     return checks.all_rules(policies, _check_fields(spark, d), lists, entries, conditions, tokens, groups, title=5)
 
 
+#: Statements as they are generated, with the columns and functions that they name.
+_STATEMENTS = [
+    ("CASE WHEN c_acctbal > 0 THEN upper(C_Name) ELSE 'c_phone (x)' END", ["c_acctbal", "c_name"], ["upper"]),
+    ("concat(`odd name`, '--', c_name) -- and c_address", ["c_name", "odd name"], ["concat"]),
+    ("CAST(c_nationkey AS DECIMAL(10, 2)) / 2.5e3D + date_part('day', c_since - INTERVAL '3' DAY)", ["c_nationkey", "c_since"], ["cast", "date_part"]),
+    ("transform(c_tags, (x, i) -> concat(x, c_name, i))[0] /* c_address */", ["c_name", "c_tags"], ["concat", "transform"]),
+    ("c_home.Street . name LIKE \"c_%\" AND c_since < DATE '2024-01-01' OR my_mask(c_phone) IS NULL", ["c_home.street.name", "c_phone", "c_since"], ["my_mask"]),
+    ("extract(YEAR FROM c_since) BETWEEN 1 AND year", ["c_since", "year"], ["extract"]),
+    ("filter(c_tags, t -> t.kind <> 'it''s') IS NOT NULL AND NOT exists(SPLIT(c_name, r'\\'), s -> s = session_user())", ["c_name", "c_tags"], ["exists", "filter", "session_user", "split"]),
+    ("nullif(current_date, c_since)", ["c_since"], ["current_date", "nullif"]),
+]
+_STATEMENTS_SQL = "with s(k, cols, funs) as (values " + ", ".join(f"({i}, {c!r}, {f!r})" for i, (_, c, f) in enumerate(_STATEMENTS)) + "), e as (select o_orderkey policy, cols, funs from orders join s on k = o_orderkey % 8)"
+
+
+def _statement_entries(spark, d) -> DataFrame:
+    """Each order as a policy with a statement, told apart by a number in it."""
+    texts = F.array(*(F.lit(t) for t, _, _ in _STATEMENTS))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.lit("c_name").alias("field"), F.lit(1).alias("ord"), F.lit("sql_statement").alias("kind"), F.array().cast("array<string>").alias("principals"), F.concat(F.get(texts, (F.col("o_orderkey") % 8).cast("int")), F.lit("\n/* "), F.col("o_orderkey").cast("string"), F.lit(" */")).alias("value"))
+
+
+@query(_STATEMENTS_SQL + " select policy, array_to_string(cols, ',') cols, array_to_string(funs, ',') funs from e")
+def statement_names(spark, d):
+    """Columns and functions of every statement."""
+    return _statement_entries(spark, d).select("policy", F.array_join(columns_in(F.col("value")), ",").alias("cols"), F.array_join(functions_in(F.col("value")), ",").alias("funs"))
+
+
+@query(_STATEMENTS_SQL + " select distinct policy, 'unknown_column' rule, c detail from (select policy, unnest(cols) c from e) where split_part(c, '.', 1) not in ('c_name', 'c_home', 'c_since', 'c_tags') union all select distinct policy, 'unknown_function', f from (select policy, unnest(funs) f from e) where f = 'my_mask'")
+def check_statement_names(spark, d):
+    """Columns that the source lacks, functions that Spark lacks."""
+    entries = _statement_entries(spark, d)
+    known = F.explode(F.array(*map(F.lit, ("C_NAME", "c_home.street", "c_home.zip", "c_since", "c_tags"))))
+    functions = spark.sql("SHOW SYSTEM FUNCTIONS").select(F.col("function").alias("name"))
+    return checks.unknown_columns(entries, entries.select("policy", known.alias("field"))).unionByName(checks.unknown_functions(entries, functions))
+
+
+@query("""
+with r as (select o_orderkey policy, o_orderkey % 4 k from orders)
+select policy, 'masked_column_returns' rule, unnest(case k
+  when 0 then ['c_name shows c_phone to *', 'c_name shows c_phone to sales']
+  when 1 then ['c_name shows c_phone to *']
+  when 2 then ['c_name shows c_home.street to audit', 'c_name shows c_home.street to *']
+  else []::varchar[] end) detail from r""")
+def check_masked_return(spark, d):
+    """Fields that are hidden from somebody who is shown them through another field's statement."""
+    none = F.array().cast("array<string>")
+    key = F.col("o_orderkey") % 4
+    entry = lambda field, n, kind, who, value=None: F.struct(F.lit(field).alias("field"), F.lit(n).alias("ord"), F.lit(kind).alias("kind"), (F.array(*map(F.lit, who)) if who else none).alias("principals"), F.lit(value).cast("string").alias("value"))
+    phone = "concat(c_name, C_PHONE)"
+    cases = [
+        [entry("c_name", 1, "identity", ["audit"]), entry("c_name", 2, "sql_statement", [], phone), entry("c_phone", 1, "identity", ["audit"]), entry("c_phone", 2, "nullify", [])] + [entry("c_zip", 1, "identity", ["sales"]), entry("c_zip", 2, "fixed", [], "c_phone")],
+        [entry("C_Name", 1, "sql_statement", ["sales", "audit"], "concat(c_name, c_phone)"), entry("c_name", 2, "sql_statement", [], phone), entry("c_phone", 1, "identity", ["sales"]), entry("c_phone", 2, "identity", ["audit"]), entry("c_phone", 3, "hash", ["sales"]), entry("c_phone", 4, "hash", [])],
+        [entry("c_name", 1, "sql_statement", [], "to_json(c_home)"), entry("c_home.street", 1, "hash", ["audit"]), entry("c_home.street", 2, "nullify", [])],
+        [entry("c_name", 1, "sql_statement", [], "concat(c_name, 'c_phone', c_zip)"), entry("c_phone", 1, "nullify", [])],
+    ]
+    pick = F.array()
+    for i, c in enumerate(cases):
+        pick = F.array(*c) if i == 0 else F.when(key == i, F.array(*c)).otherwise(pick)
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("policy"), F.lit(0).alias("rule_set"), F.explode(pick).alias("e"))
+    return checks.masked_columns_return(rows.select("policy", "rule_set", "e.*"))
+
+
 # --- grants and lineage: customers feed nations feed regions
 
 
