@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,15 +60,14 @@ def combine(entries: DataFrame) -> DataFrame:
     entries. An entry whose groups are all taken goes (it does not become a default, which could
     expose data); of the defaults the first stays.
     """
-    entry, none = "struct<groups:array<string>,transform:string>", F.array().cast("array<string>")
-    lists = entries.groupBy("table", "field").agg(F.array_sort(F.collect_list(F.struct("tag_pos", "ord", "groups", "transform"))).alias("all"))
-    start = F.struct(none.alias("seen"), F.array().cast(f"array<{entry}>").alias("out"))
-    left = lambda a, x: F.struct(F.array_sort(F.array_except(x["groups"], a["seen"])).alias("groups"), x["transform"].alias("transform")).cast(entry)
-    taken = F.aggregate("all", start, lambda a, x: F.struct(F.array_union(a["seen"], x["groups"]).alias("seen"), F.concat(a["out"], F.array(left(a, x))).alias("out")))
-    named = F.filter(taken["out"], lambda x: F.size(x["groups"]) > 0)
-    default = F.slice(F.filter("all", lambda x: F.size(x["groups"]) == 0), 1, 1)
-    listed = lists.select("table", "field", F.concat(named, F.transform(default, lambda x: F.struct(none.alias("groups"), x["transform"].alias("transform")).cast(entry))).alias("all"))
-    return listed.select("table", "field", F.posexplode("all").alias("pos", "e")).select("table", "field", (F.col("pos") + 1).alias("ord"), "e.groups", "e.transform")
+    at = ["table", "field"]
+    #: Fields are dealt out once; what follows groups and numbers within them. An entry for everybody stands as one group without a name.
+    dealt = entries.select(*at, (F.col("tag_pos").cast("long") * (1 << 32) + F.col("ord")).alias("pos"), "transform", F.explode_outer(F.when(F.size("groups") > 0, F.col("groups"))).alias("group")).repartition(*at)
+    first = dealt.groupBy(*at, "group").agg(F.min("pos").alias("pos"), F.min_by("transform", "pos").alias("transform"))
+    #: Entries of one place keep their own transforms.
+    whole = first.groupBy(*at, F.col("group").isNull().alias("last"), "pos", "transform").agg(F.array_sort(F.collect_list("group")).alias("groups"))
+    place = F.row_number().over(Window.partitionBy(*at).orderBy("last", "pos", "transform"))
+    return whole.select(*at, place.alias("ord"), "groups", "transform")
 
 
 def rule_sets_from_tags(fields: DataFrame, transforms: DataFrame, strict: bool = False) -> DataFrame:
@@ -78,6 +77,27 @@ def rule_sets_from_tags(fields: DataFrame, transforms: DataFrame, strict: bool =
     return listed.select("table", F.concat("table", F.lit("_view")).alias("target"), "field", "transforms")
 
 
+def touched_fields(fields: DataFrame, before: DataFrame, after: DataFrame, changed: DataFrame, strict: bool = False) -> DataFrame:
+    """``table, field`` whose rule sets may differ: those in ``changed`` (their tags changed, or they came or went), and those with a tag of which a transform came, went or changed.
+
+    before, after: transforms ``tag, ord, groups, transform``. Only rows that differ are looked at further.
+    """
+    at = ["tag", "ord", "groups", "transform"]
+    signed = before.select(*at, F.lit(-1).alias("n")).unionAll(after.select(*at, F.lit(1)))
+    differ = signed.groupBy(*at).agg(F.sum("n").alias("n")).where("n <> 0").select(tag_key(F.col("tag"), strict).alias("k")).distinct()
+    tagged = fields.select("table", "field", F.explode("tags").alias("tag")).withColumn("k", tag_key(F.col("tag"), strict))
+    return tagged.join(differ, "k", "left_semi").select("table", "field").unionAll(changed.select("table", "field")).distinct()
+
+
+def refreshed_rule_sets(stored: DataFrame, fields: DataFrame, transforms: DataFrame, touched: DataFrame, strict: bool = False) -> DataFrame:
+    """Stored rule sets (of ``rule_sets_from_tags``) brought up to date: ``touched`` fields are made anew from ``fields`` and ``transforms``, all others stay as they are.
+
+    Equal to making all of them, but the join with transforms and their combination see touched fields only. Fields that are gone, or have no transform any more, go.
+    """
+    again = rule_sets_from_tags(fields.join(touched, ["table", "field"], "left_semi"), transforms, strict)
+    return stored.join(touched, ["table", "field"], "left_anti").select(*again.columns).unionByName(again)
+
+
 def upsert_transforms(stored: DataFrame, incoming: DataFrame, strict: bool = False) -> DataFrame:
     """Stored rows (``ref, body``) with new bodies where the ref matches, keeping the stored spelling; others are added."""
     a = stored.select(F.col("ref").alias("ref_a"), F.col("body").alias("body_a"), tag_key(F.col("ref"), strict).alias("k"))
@@ -86,10 +106,16 @@ def upsert_transforms(stored: DataFrame, incoming: DataFrame, strict: bool = Fal
 
 
 def delete_transforms(stored: DataFrame, refs: DataFrame, strict: bool = False) -> DataFrame:
-    """Stored rows without those that match; count the difference for the number deleted."""
+    """Stored rows without those that match; ``number_deleted`` says how many these are."""
     return stored.withColumn("k", tag_key(F.col("ref"), strict)).join(refs.select(tag_key(F.col("ref"), strict).alias("k")).distinct(), "k", "left_anti").drop("k")
 
 
+def number_deleted(stored: DataFrame, refs: DataFrame, strict: bool = False) -> DataFrame:
+    """One row, ``deleted``: how many stored rows ``delete_transforms`` leaves out; those of each ref in ``refs``, once however often it is given."""
+    gone = stored.select(tag_key(F.col("ref"), strict).alias("k")).join(refs.select(tag_key(F.col("ref"), strict).alias("k")).distinct(), "k", "left_semi")
+    return gone.agg(F.count("*").alias("deleted"))
+
+
 def first_match(candidates: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key, aggregated before its shuffle."""
     rest = [c for c in candidates.columns if c != key and c not in order]

@@ -609,6 +609,36 @@ def transform_delete(spark, d):
     return tags.delete_transforms(c.select(F.concat(F.lit("Seg-"), F.col("c_custkey").cast("string")).alias("ref"), F.col("c_name").alias("body")), c.where("c_custkey % 3 = 0").select(F.concat(F.lit("SEG "), F.col("c_custkey").cast("string")).alias("ref")))
 
 
+@query("select count(*) deleted from customer where c_custkey % 3 = 0")
+def transform_number_deleted(spark, d):
+    """How many go, each ref given twice in two spellings."""
+    c = table(spark, d, "customer")
+    ref = lambda p: F.concat(F.lit(p), F.col("c_custkey").cast("string")).alias("ref")
+    return tags.number_deleted(c.select(ref("Seg-"), "c_name"), c.where("c_custkey % 3 = 0").select(ref("SEG ")).unionAll(c.where("c_custkey % 3 = 0").select(ref("seg_"))))
+
+
+@query("select 'Seg-' || c_custkey \"ref\", c_mktsegment \"type\" from customer where c_mktsegment = 'BUILDING'")
+def transform_list(spark, d):
+    """Stored transforms of one type."""
+    stored = table(spark, d, "customer").select(F.concat(F.lit("Seg-"), F.col("c_custkey").cast("string")).alias("ref"), F.col("c_mktsegment").alias("type"))
+    return tags.transforms_of(stored, "BUILDING")
+
+
+_CHANGED_SQL = _COMBINED_SQL.replace("unnest(['Seg ' || lower(c_mktsegment), 'nation-' || c_nationkey]) tag", "unnest([case when c_custkey % 50 = 3 then 'seg-building' else 'Seg ' || lower(c_mktsegment) end, 'nation-' || c_nationkey]) tag").replace("from customer),\ng as", "from customer where c_custkey % 50 <> 4),\ng as").replace("select 'nation ' || n_nationkey, 1, ['fraud'], 'round' from nation", "select 'nation ' || n_nationkey, 1, ['fraud'], 'round' from nation where n_nationkey <> 7").replace("select 'nation ' || n_nationkey, 2, []::varchar[], 'nullify' from nation", "select 'nation ' || n_nationkey, 2, []::varchar[], case when n_nationkey = 9 then 'fixed' else 'nullify' end from nation")
+
+
+@query(_CHANGED_SQL + " select t \"table\", t || '_view' target, field, string_agg(ord || ':' || gs || ':' || tr, ';' order by ord) transforms from c group by t, field")
+def rule_sets_refreshed(spark, d):
+    """Some fields get another tag, some go, a transform goes, one changes: only what these touch is made anew."""
+    fields, transforms = _fields(spark, d), _transforms(spark, d)
+    key = F.regexp_extract("field", "#0*(\\d+)$", 1).cast("int") % 50
+    now = fields.where(key != 4).withColumn("tags", F.when(key == 3, F.array(F.lit("seg-building"), F.get("tags", F.lit(1)))).otherwise(F.col("tags")))
+    after = transforms.where("not (tag = 'nation 7' and ord = 1)").withColumn("transform", F.when((F.col("tag") == "nation 9") & (F.col("ord") == 2), "fixed").otherwise(F.col("transform")))
+    touched = tags.touched_fields(now, transforms, after, fields.where(key.isin(3, 4)))
+    made = tags.refreshed_rule_sets(tags.rule_sets_from_tags(fields, transforms), now, after, touched)
+    return made.withColumn("transforms", F.array_join(F.transform("transforms", lambda x: F.concat_ws(":", x["ord"].cast("string"), F.array_join(x["groups"], ","), x["transform"])), ";"))
+
+
 @query("select c_nationkey, min(c_custkey) c_custkey from customer group by 1")
 def first_match(spark, d):
     return tags.first_match(table(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
