@@ -21,6 +21,7 @@ from veilframe.model import Field, Policy, RuleSet, policy_from
 from veilframe.operators import checks, lineage, models_meta, registry, tags
 from veilframe.operators.apply import apply_policy, apply_rule_set, dynamic, principal_matrix, principals_frame
 from veilframe.plans.statements import Members, publish, statement
+from veilframe.sources.footers import blueprints, files_of
 from veilframe.sources.tables import create_view, read_csv, read_policies, shared_folder, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,6 +315,25 @@ def csv_result(spark, d):
     return read_csv(spark, path, [Field("c_custkey", "bigint"), Field("c_name", "varchar"), Field("c_acctbal", "double")]).withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
+@query(" union all ".join(f"select {p!r} principal, c_custkey, {n} c_name from customer {w}" for p, n, w in (("sales", "c_name", ""), ("unmatched", "null", "where c_acctbal > 0"))))
+def csv_by_principal(spark, d):
+    """What each principal sees, written to a folder of its own and read back from there."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    r = rules({"c_name": [(*ID, "sales"), NULL]}, [generic(("true", "sales"), ("c_acctbal > 0",))])
+    write_csv(principal_matrix(table(spark, d, "customer"), r, fields=fields("c_custkey", "c_name")), path, by_principal=True)
+    parts = [read_csv(spark, f"{path}/principal={p}", [Field("c_custkey", "bigint"), Field("c_name", "varchar")]).select(F.lit(p).alias("principal"), "c_custkey", "c_name") for p in ("sales", "unmatched")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("select c_custkey, c_name, -1::bigint c_nationkey from customer where c_acctbal > 0")
+def target_tables(spark, d):
+    """A target that is a table: written for fixed groups, read back by name."""
+    name = f"governed_{uuid.uuid4().hex}"
+    r = rules({"c_nationkey": [(*ID, "sales"), ("fixed", {"value": "-1"})]}, [generic(("true", "sales"), ("c_acctbal > 0",))])
+    publish(spark, Policy(_file(d, "customer"), tuple(fields("c_custkey", "c_name", "c_nationkey")), (replace(r, target=f"default.{name}", target_type="SQL_TABLE"),)), {"support"})
+    return spark.table(f"default.{name}")
+
+
 # --- aggregation transforms
 
 
@@ -657,6 +677,22 @@ def blueprint_fields(spark, d):
     return tags.blueprint(e, "events").join(there, "field").select("table", "field", F.col("ord").cast("long").alias("ord"), kind, "n")
 
 
+_LAKE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("""
+with c as (select table_name t, column_name f, column_index o, data_type k from duckdb_columns() where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations'))
+select 'lake.' || t "table", t title, f field, (o - min(o) over (partition by t))::bigint ord,
+  case when k like '%[]' then 'array<' || lower(replace(k, '[]', '')) || '>' else coalesce(map(['VARCHAR', 'INTEGER', 'TIMESTAMP'], ['string', 'int', 'timestamp'])[k], lower(k)) end "type", false required, '' "comment",
+  case when t = 'customer' and f = 'c_mktsegment' then (select string_agg(distinct c_mktsegment, ',' order by c_mktsegment) from customer) else '' end tags, false conflict from c""")
+def lake_blueprints(spark, d):
+    """Every field of every given table, from the footers of its files, with tags from a table of tags."""
+    files = files_of(spark, {f"lake.{t}": f"{d}/{t}.parquet" for t in _LAKE})
+    more = table(spark, d, "customer").select(F.lit("lake.customer").alias("table"), F.lit("C_MKTSEGMENT").alias("field"), F.col("c_mktsegment").alias("tag"))
+    made = blueprints(files, more)
+    return made.select("table", "title", "field", F.col("ord").cast("long").alias("ord"), F.regexp_replace("type", "timestamp_ntz", "timestamp").alias("type"), "required", F.coalesce("comment", F.lit("")).alias("comment"), F.array_join("tags", ",").alias("tags"), "conflict")
+
+
 # --- registry: orders as a log of policy versions (policy = customer, platform = priority)
 
 
@@ -1018,6 +1054,16 @@ def model_meta_enabled(spark, d):
     return m.select(target.alias("target"), models_meta.enabled(F.col("meta"), F.col("columns")).alias("enabled"))
 
 
+@query("select c_custkey, case when c_custkey % 3 = 1 then 'a.b.' || c_custkey else 'n' || c_nationkey || '.' || c_custkey end \"path\", case when c_custkey % 3 = 2 then 'x.y' else case when c_custkey % 3 = 1 then 'a.b.' || c_custkey else 'n' || c_nationkey || '.' || c_custkey end end fqn from customer")
+def model_meta_path(spark, d):
+    """A path from the name, a name from the path, both kept where both are there."""
+    key = F.col("c_custkey").cast("string")
+    name = F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("a.b."), key)).when(F.col("c_custkey") % 3 == 2, "x.y")
+    given = F.when(F.col("c_custkey") % 3 != 1, F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), key))
+    path, fqn = models_meta.complete_path(given, name)
+    return table(spark, d, "customer").select("c_custkey", F.array_join(path, ".").alias("path"), fqn.alias("fqn"))
+
+
 @query("select c_name, case when c_custkey % 6 = 0 then 'mask' when c_custkey % 6 in (3, 4, 5) then 'model' else '{}' end rules from customer where c_custkey % 11 <> 0")
 def model_meta_precedence(spark, d):
     m = models_meta.models(_manifests(spark, d))
