@@ -196,7 +196,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Digests(dict):
     """The first 8 bytes of the BLAKE2b digest of each word, as a number; remembered up to ``most`` bytes of words."""
 
-    def __init__(self, most: int = 1 << 25):
+    def __init__(self, most: int = 1 << 23):
         self.most, self.held = most, 0
 
     def __missing__(self, word: bytes) -> int:
