@@ -1,10 +1,11 @@
 """Values from small literals; the registered queries are compared with DuckDB in test_queries.py."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilframe.functions.members import groups_of
 from veilframe.model import Field, PolicyError, policy_from
-from veilframe.operators import checks, tags
+from veilframe.operators import checks, registry, tags
 from veilframe.operators.apply import apply_rule_set, evaluate, principal_matrix, principals_frame
 from veilframe.plans.queries import generic, retention, rules
 from veilframe.sources.tables import read_csv, save_tables
@@ -149,3 +150,16 @@ def test_streaming(spark, rows, tmp_path):
     assert spark.table("governed").count() == 1
     with pytest.raises(PolicyError):
         apply_to_stream(stream, rules({"grams": [("aggregation", {"sum": {}})]}), set())
+
+
+def test_writers_that_collide(spark):
+    """Two start from one version: one is set; null and repeated rows have a defined result; counted up, every one but the first is lost."""
+    history = spark.createDataFrame([("a", "p", 1, False, 5, 5, "x"), ("a", "p", 2, True, 5, 6, "y")], "id string, platform string, version int, active boolean, created_at int, updated_at int, policy string")
+    incoming = spark.createDataFrame([("a", "p", 2, "bob", "B"), ("a", "p", 2, "ann", "A"), ("a", "p", 1, "cy", "C"), ("a", "p", None, "dee", "D"), ("b", "p", 9, "ann", "N"), ("b", "p", 9, "ann", "N")], "id string, platform string, version int, writer string, policy string")
+    after, refused = registry.compare_and_set(history, incoming, F.lit(7))
+    assert sorted((r.id, r.version, r.active, r.created_at, r.policy) for r in after.collect()) == [("a", 1, False, 5, "x"), ("a", 2, False, 5, "y"), ("a", 3, True, 5, "A"), ("b", 1, True, 7, "N")]
+    assert sorted((r.id, r.writer, r.outcome) for r in refused.collect()) == [("a", "bob", "lost"), ("a", "cy", "stale"), ("a", "dee", "stale"), ("b", "ann", "lost")]
+    counted = registry.judged(history, incoming, auto_increment=True)
+    assert sorted((r.writer, r.outcome) for r in counted.where("id = 'a'").collect()) == [("ann", "set"), ("bob", "lost"), ("cy", "lost"), ("dee", "lost")]
+    again = registry.compare_and_set(after, incoming.where("writer = 'bob'"), F.lit(8))
+    assert [r.outcome for r in again[1].collect()] == ["stale"] and again[0].count() == after.count()

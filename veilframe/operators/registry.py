@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("id", "platform")
@@ -50,3 +50,28 @@ def stale(history: DataFrame, incoming: DataFrame, auto_increment: bool = False)
     """Incoming policies (``id, platform, version``) whose version is not the stored one; none if versions are counted up."""
     found = incoming.join(latest_version(history).withColumnRenamed("version", "stored"), list(KEY)).where(~F.col("version").eqNullSafe(F.col("stored")))
     return found.limit(0) if auto_increment else found
+
+
+def judged(history: DataFrame, incoming: DataFrame, auto_increment: bool = False) -> DataFrame:
+    """Each incoming policy (``id, platform, version, writer, policy``) with ``stored``, the version that it meets, and ``outcome``.
+
+    A writer names the version that its policy is based on. ``set``: it is the stored one, or nothing is stored, or versions
+    are counted up; of several such writers of one policy the least by ``writer`` (then by policy) is first, the others have
+    ``lost``. ``stale``: it is another version. So of writers that start from one version one is set, and no version is given twice.
+    Stored policies meet the batch's keys only; a key is as large as the writers of one policy.
+    """
+    given = incoming.select(*KEY).distinct()
+    stored = latest_version(history.join(given, list(KEY), "left_semi")).withColumnRenamed("version", "stored")
+    told = incoming.join(stored, list(KEY), "left").withColumn("fits", F.lit(auto_increment) | F.col("stored").isNull() | F.col("version").eqNullSafe(F.col("stored")))
+    rank = F.row_number().over(Window.partitionBy(*KEY, "fits").orderBy("writer", "policy"))
+    outcome = F.when(~F.col("fits"), "stale").when(rank == 1, "set").otherwise("lost")
+    return told.select(*KEY, "version", "writer", "policy", "stored", outcome.alias("outcome"))
+
+
+def compare_and_set(history: DataFrame, incoming: DataFrame, now: Column, auto_increment: bool = False) -> tuple[DataFrame, DataFrame]:
+    """History after a batch in which writers may collide (``judged``), and what was refused: ``id, platform, version, writer, stored, outcome``.
+
+    Both read ``incoming`` and ``history``, so these have to be what they were when both are stored: write the two as one commit of the table's format.
+    """
+    told = judged(history, incoming, auto_increment)
+    return upsert(history, told.where("outcome = 'set'").select(*KEY, "policy"), now), told.where("outcome <> 'set'").drop("policy")

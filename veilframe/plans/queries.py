@@ -728,6 +728,37 @@ def policy_stale(spark, d):
     return registry.stale(_history(spark, d), given).select("id", "platform", F.col("version").cast("long").alias("version"), F.col("stored").cast("long").alias("stored"))
 
 
+_WRITERS_SQL = _HISTORY_SQL + """, l as (select id, platform, max(version) v from h group by 1, 2),
+i as (select c_custkey::varchar id, '1' platform, 1 + w version, 'w' || (c_custkey + w) % 3 writer, c_name || w policy from customer, range(3) r(w) where c_custkey % 2 = 0
+  union all select c_custkey::varchar, '1', coalesce(v, 7), 'late', 'x' from customer left join l on l.id = c_custkey::varchar and l.platform = '1' where c_custkey % 4 = 0),
+j as (select i.*, v stored, v is null or version = v fits from i left join l using (id, platform)),
+o as (select *, case when not fits then 'stale' when row_number() over (partition by id, platform, fits order by writer, policy) = 1 then 'set' else 'lost' end outcome from j)"""
+
+
+def _writers(spark, d) -> DataFrame:
+    """Up to four writers of a policy, who start from different versions."""
+    c = table(spark, d, "customer").where("c_custkey % 2 = 0").crossJoin(spark.range(3).select(F.col("id").alias("w")))
+    key = F.col("c_custkey").cast("string").alias("id")
+    some = c.select(key, F.lit("1").alias("platform"), (F.col("w") + 1).cast("int").alias("version"), F.concat(F.lit("w"), ((F.col("c_custkey") + F.col("w")) % 3).cast("string")).alias("writer"), F.concat("c_name", F.col("w").cast("string")).alias("policy"))
+    late = table(spark, d, "customer").where("c_custkey % 4 = 0").select(key).join(registry.latest_version(_history(spark, d)).where("platform = '1'"), "id", "left")
+    return some.unionByName(late.select("id", F.lit("1").alias("platform"), F.coalesce("version", F.lit(7)).alias("version"), F.lit("late").alias("writer"), F.lit("x").alias("policy")))
+
+
+@query(_WRITERS_SQL + " select id, platform, version::bigint version, writer, coalesce(stored, 0)::bigint stored, outcome from o where outcome <> 'set'")
+def policy_refused(spark, d):
+    """Writers that start from a version that is not the stored one, or come second."""
+    refused = registry.compare_and_set(_history(spark, d), _writers(spark, d), F.lit(20).cast("long"))[1]
+    return refused.withColumns({"version": F.col("version").cast("long"), "stored": F.coalesce("stored", F.lit(0)).cast("long")})
+
+
+@query(_WRITERS_SQL + """, s as (select * from o where outcome = 'set') select id, platform, version, version = n and (id, platform) not in (select (id, platform) from s) active, policy from h
+union all select id, platform, coalesce(stored, 0) + 1, true, policy from s""")
+def policy_compare_and_set(spark, d):
+    """History after the same batch: one more version for each policy that a writer was first for."""
+    after = registry.compare_and_set(_history(spark, d), _writers(spark, d), F.lit(20).cast("long"))[0]
+    return after.select("id", "platform", F.col("version").cast("long").alias("version"), "active", "policy")
+
+
 @query(_HISTORY_SQL + " select id, platform, version from h where version = n order by id, platform, version limit 25 offset 10")
 def policy_page(spark, d):
     return registry.active_page(_history(spark, d), 10, 25).select("id", "platform", F.col("version").cast("long").alias("version"))
