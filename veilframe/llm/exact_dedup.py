@@ -52,7 +52,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, **options) -> DataFrame:
     """The rows of ``docs`` whose id stays, with all their columns; null ids stay only where no other id has their text."""
-    kept = exact_dedup(docs, id_col, **options).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    found = exact_dedup(docs, id_col, text_col, normalise, **options).where("kept")
+    kept = found.select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_digest")).distinct()
+    digest = F.sha2(F.coalesce(F.col(text_col) if normalise is None else normalise, F.lit("")), 256)
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")) & (digest == F.col("_digest")), "left_semi")
