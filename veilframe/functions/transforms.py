@@ -75,7 +75,7 @@ def hashed(col: Column, kind: T.DataType, seed: str | int | None = None) -> Colu
 
 
 def rounded(col: Column, how: str, divisor: float | None = None, precision: int | None = None) -> Column:
-    """ceil, floor: to multiples of the divisor; round: half away from zero, to a precision, of multiples if a divisor is given."""
+    """ceil, floor: to multiples of the divisor; round: half away from zero, to a precision, of multiples if a divisor is given. With a divisor in double precision, so whole numbers beyond 2^53 lose digits."""
     if how in ("ceil", "floor"):
         d = F.lit(float(divisor))
         return (F.ceil if how == "ceil" else F.floor)(col.cast("double") / d) * d
