@@ -339,11 +339,19 @@ def principal_matrix(df: DataFrame, rule_set: RuleSet, principals: DataFrame | N
     if groups_col is not None and groups_col.lower() in (c.lower() for c in df.columns):
         raise PolicyError(f"the source has a column {groups_col!r}")
     of, groups = _free(df, "class"), groups_col or _free(df, "groups")
-    who = principals_frame(df, rule_set) if principals is None else principals
-    told = who.select(F.col("principal").alias(principal_col), F.coalesce("groups", F.array().cast("array<string>")).alias(groups))
-    told = told.withColumn(of, decisions(rule_set, F.col(groups), groups_col is not None))
-    named = F.array_sort(F.array_intersect(groups, F.array(*map(F.lit, principals_in(rule_set))).cast("array<string>")))
-    classes = told.groupBy(of).agg(F.min(named).alias(groups))
+    if principals is None:
+        #: The policy's own principals are told apart while the plan is made.
+        own: dict[tuple, list] = {}
+        for p, gs in [(p, [p]) for p in principals_in(rule_set)] + [(UNMATCHED, [])]:
+            picked = tuple(next((i for i, e in enumerate(entries) if not e.principals or set(gs) & set(e.principals)), -1) for entries in _choices(rule_set))
+            own.setdefault((*picked, *(gs if groups_col else ())), []).append((p, gs))
+        classes = df.sparkSession.createDataFrame([(str(i), ps[0][1]) for i, ps in enumerate(own.values())], T.StructType([T.StructField(of, T.StringType()), T.StructField(groups, T.ArrayType(T.StringType()))]))
+        told = df.sparkSession.createDataFrame([(str(i), p) for i, ps in enumerate(own.values()) for p, _ in ps], T.StructType([T.StructField(of, T.StringType()), T.StructField(principal_col, T.StringType())]))
+    else:
+        told = principals.select(F.col("principal").alias(principal_col), F.coalesce("groups", F.array().cast("array<string>")).alias(groups))
+        told = told.withColumn(of, decisions(rule_set, F.col(groups), groups_col is not None))
+        named = F.array_sort(F.array_intersect(groups, F.array(*map(F.lit, principals_in(rule_set))).cast("array<string>")))
+        classes = told.groupBy(of).agg(F.min(named).alias(groups))
     rows = df if groups_col is not None else _seen_by_any(df, rule_set, options.get("as_of"))
     both = rows.crossJoin(F.broadcast(classes) if principals is None else classes)
     fields = options.pop("fields", None) or [Field(c) for c in df.columns]
