@@ -7,6 +7,8 @@ bracket, a literal's unit behind the literal, a type behind AS.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ UNITS = ("year", "quarter", "month", "week", "day", "dayofweek", "hour", "minute
 NILADIC = ("current_date", "current_timestamp", "current_time", "current_user", "session_user", "user", "localtimestamp")
 
 
-def _tokens(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(f"(?s){_TOKEN}"), F.lit(0))
-    return F.filter(found, lambda x: ~x.rlike(r"^(--|/\*)"))
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, although an inner function asks for it at each element."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _bare(name: Column) -> Column:
@@ -42,27 +44,51 @@ def _bare(name: Column) -> Column:
     return F.lower(F.replace(F.regexp_replace(name, r"\s*\.\s*", "."), F.lit("`"), F.lit("")))
 
 
-def _names(text: Column, function: bool) -> Column:
-    tokens = _tokens(text)
-    taken = F.flatten(F.transform(F.filter(tokens, lambda x: x.endswith("->")), lambda x: F.regexp_extract_all(F.lower(x), F.lit(_PLAIN), F.lit(0))))
+def _kind(x: Column) -> Column:
+    """Of a token: ``text`` (a literal), ``name`` (no keyword), ``number`` or ``sign``."""
+    name = x.rlike(r"^(?!(?i:as)\s)[`\p{L}_]") & ~x.endswith("->") & ~F.lower(x).isin(*KEYWORDS)
+    return F.when(x.rlike(r"^[rRxX]?['\"]"), "text").when(name, "name").when(x.rlike(r"^\d"), "number").otherwise("sign")
+
+
+def _names(text: Column, wanted: Callable[..., Column]) -> Column:
+    """``wanted(told, columns, functions)`` of the tokens (``x``, its ``kind``); the latter two pick the names of a kind from ``told``."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(f"(?s){_TOKEN}"), F.lit(0)), lambda x: ~(x.startswith("--") | x.startswith("/*")))
+    tokens = F.transform(found, lambda x: F.struct(x.alias("x"), _kind(x).alias("kind")))
+
+    def listed(told: Column, right: Callable[[Column, Column], Column]) -> Column:
+        return F.sort_array(F.array_distinct(F.transform(F.filter(told["tokens"], lambda t, i: (t["kind"] == "name") & right(t["x"], i)), lambda t: _bare(t["x"]))))
+
+    def columns(told: Column) -> Column:
+        def right(x: Column, i: Column) -> Column:
+            after, before = F.get(told["tokens"], i + 1), F.get(told["tokens"], i - 1)
+            behind = F.coalesce(after["x"], F.lit(""))
+            literal = F.coalesce(after["kind"] == "text", F.lit(False)) | F.coalesce(before["kind"].isin("text", "number"), F.lit(False))
+            unit = (F.lower(behind) == "from") & F.lower(x).isin(*UNITS)
+            inside = (F.size(told["taken"]) > 0) & F.array_contains(told["taken"], F.split(_bare(x), r"\.")[0])
+            return (behind != "(") & ~literal & ~unit & ~F.lower(x).isin(*NILADIC) & ~inside
+
+        return listed(told, right)
+
+    def functions(told: Column) -> Column:
+        return listed(told, lambda x, i: (F.coalesce(F.get(told["tokens"], i + 1)["x"], F.lit("")) == "(") | F.lower(x).isin(*NILADIC))
+
+    def use(tokens: Column) -> Column:
+        taken = F.flatten(F.transform(F.filter(tokens, lambda t: t["x"].endswith("->")), lambda t: F.regexp_extract_all(F.lower(t["x"]), F.lit(_PLAIN), F.lit(0))))
+        return _with(F.when(tokens.isNotNull(), F.struct(tokens.alias("tokens"), taken.alias("taken"))), lambda told: wanted(told, columns, functions))
+
+    return _with(tokens, use)
 
-    def is_name(x: Column, i: Column) -> Column:
-        after, before = F.coalesce(F.get(tokens, i + 1), F.lit("")), F.coalesce(F.get(tokens, i - 1), F.lit(""))
-        name = x.rlike(r"^[`\p{L}_]") & ~x.rlike(r"^(?:[rRxX]?['\"])|->$|^(?i:as)\s") & ~F.lower(x).isin(*KEYWORDS)
-        if function:
-            return name & ((after == "(") | F.lower(x).isin(*NILADIC))
-        literal = after.rlike(r"^(?:[rRxX]?['\"])") | before.rlike(r"^(?:[rRxX]?['\"]|\d)")
-        unit = F.lower(x).isin(*UNITS) & (F.lower(after) == "from")
-        return name & (after != "(") & ~literal & ~unit & ~F.lower(x).isin(*NILADIC) & ~F.array_contains(taken, F.split(_bare(x), r"\.")[0])
 
-    return F.array_sort(F.array_distinct(F.transform(F.filter(tokens, is_name), _bare)))
+def names_in(text: Column) -> Column:
+    """``columns`` and ``functions`` of an SQL expression, for whoever wants both: its tokens are cut once."""
+    return _names(text, lambda told, columns, functions: F.struct(columns(told).alias("columns"), functions(told).alias("functions")))
 
 
 def columns_in(text: Column) -> Column:
     """The columns that an SQL expression names, with the fields of structs behind dots: lower case, sorted, each once."""
-    return _names(text, False)
+    return _names(text, lambda told, columns, functions: columns(told))
 
 
 def functions_in(text: Column) -> Column:
     """The functions that it calls, in the same way."""
-    return _names(text, True)
+    return _names(text, lambda told, columns, functions: functions(told))

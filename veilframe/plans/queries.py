@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.members import distinct_groups, groups_by_user
-from veilframe.functions.sql_names import columns_in, functions_in
+from veilframe.functions.sql_names import names_in
 from veilframe.model import Field, Policy, RuleSet, policy_from
 from veilframe.operators import checks, lineage, models_meta, registry, tags
 from veilframe.operators.apply import apply_policy, apply_rule_set, dynamic, principal_matrix, principals_frame
@@ -952,7 +952,8 @@ def _statement_entries(spark, d) -> DataFrame:
 @query(_STATEMENTS_SQL + " select policy, array_to_string(cols, ',') cols, array_to_string(funs, ',') funs from e")
 def statement_names(spark, d):
     """Columns and functions of every statement."""
-    return _statement_entries(spark, d).select("policy", F.array_join(columns_in(F.col("value")), ",").alias("cols"), F.array_join(functions_in(F.col("value")), ",").alias("funs"))
+    told = _statement_entries(spark, d).select("policy", names_in(F.col("value")).alias("names"))
+    return told.select("policy", F.array_join("names.columns", ",").alias("cols"), F.array_join("names.functions", ",").alias("funs"))
 
 
 @query(_STATEMENTS_SQL + " select distinct policy, 'unknown_column' rule, c detail from (select policy, unnest(cols) c from e) where split_part(c, '.', 1) not in ('c_name', 'c_home', 'c_since', 'c_tags') union all select distinct policy, 'unknown_function', f from (select policy, unnest(funs) f from e) where f = 'my_mask'")
