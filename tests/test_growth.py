@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veilframe.functions.sql_names import columns_in, names_in
+from veilframe.operators import checks
 
 
 def plan(df):
@@ -16,3 +17,14 @@ def test_tokens_of_a_text_are_cut_once(spark):
         assert plan(texts.select(named.alias("n"))).count("regexp_extract_all(t") == 1
     got = texts.select(names_in(F.col("t")).alias("n")).select("n.columns", "n.functions").collect()
     assert [tuple(r) for r in got] == [(["a", "b.c"], ["upper"]), (None, None)]
+
+
+def test_unknown_names_are_those_of_the_two_checks(spark):
+    """Each text is cut once for both; what is known is not grouped first."""
+    entries = spark.createDataFrame([(1, "sql_statement", "f(a) + b.c"), (2, "sql_statement", "UPPER(d) + g(e, a)"), (2, "sql_statement", "g(e)"), (3, "fixed", "f(x)"), (4, "sql_statement", None)], "policy long, kind string, value string")
+    fields = spark.createDataFrame([(1, "A"), (1, "b.z"), (2, "a")], "policy long, field string")
+    functions = spark.createDataFrame([("upper",), ("F",)], "name string")
+    got = checks.unknown_names(entries, fields, functions)
+    single = checks.unknown_columns(entries, fields).union(checks.unknown_functions(entries, functions))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, single.collect())) == [(2, "unknown_column", "d"), (2, "unknown_column", "e"), (2, "unknown_function", "g")]
+    assert plan(got).count("regexp_extract_all(value") == 1

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.sql_names import columns_in, functions_in
+from veilframe.functions.sql_names import columns_in, functions_in, names_in
 from veilframe.functions.types import spark_type
 
 
@@ -130,17 +130,40 @@ def _texts(entries: DataFrame, conditions: DataFrame | None) -> DataFrame:
     return texts.where("text is not null")
 
 
+def _unknown(used: DataFrame, known: DataFrame, rule: str, same: Column) -> DataFrame:
+    """``used(policy, name)`` that meet nothing known, each once: what is known, often more, is not made distinct for that."""
+    return _out(used.join(known, same, "left_anti").distinct(), rule, F.col("name"))
+
+
+def _known_columns(fields: DataFrame) -> tuple[DataFrame, Column]:
+    known = fields.select(F.col("policy").alias("kp"), F.split(F.lower("field"), r"\.")[0].alias("kf"))
+    return known, (F.col("policy") == F.col("kp")) & (F.split("name", r"\.")[0] == F.col("kf"))
+
+
 def unknown_columns(entries: DataFrame, fields: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
     """Columns in the SQL text of statements, and of generic filters if given (``value``), that the source lacks; of a dotted name the first part counts, letter case does not."""
-    used = _texts(entries, conditions).select("policy", F.explode(columns_in(F.col("text"))).alias("name")).distinct()
-    known = fields.select(F.col("policy").alias("kp"), F.split(F.lower("field"), r"\.")[0].alias("kf")).distinct()
-    return _out(used.join(known, (F.col("policy") == F.col("kp")) & (F.split("name", r"\.")[0] == F.col("kf")), "left_anti"), "unknown_column", F.col("name"))
+    used = _texts(entries, conditions).select("policy", F.explode(columns_in(F.col("text"))).alias("name"))
+    known, same = _known_columns(fields)
+    return _unknown(used, known, "unknown_column", same)
 
 
 def unknown_functions(entries: DataFrame, functions: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
     """Functions in the same texts that ``functions(name)`` lacks."""
-    used = _texts(entries, conditions).select("policy", F.explode(functions_in(F.col("text"))).alias("name")).distinct()
-    return _out(used.join(functions.select(F.lower("name").alias("kn")).distinct(), F.col("name") == F.col("kn"), "left_anti"), "unknown_function", F.col("name"))
+    used = _texts(entries, conditions).select("policy", F.explode(functions_in(F.col("text"))).alias("name"))
+    return _unknown(used, functions.select(F.lower("name").alias("kn")).distinct(), "unknown_function", F.col("name") == F.col("kn"))
+
+
+def unknown_names(entries: DataFrame, fields: DataFrame, functions: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
+    """Both of these checks; each text is cut into tokens once."""
+    names = _texts(entries, conditions).select("policy", names_in(F.col("text")).alias("names"))
+    column = F.transform("names.columns", lambda n: F.struct(F.lit(True).alias("column"), n.alias("name")))
+    function = F.transform("names.functions", lambda n: F.struct(F.lit(False).alias("column"), n.alias("name")))
+    used = names.select("policy", F.explode(F.concat(column, function)).alias("x")).select("policy", "x.*")
+    calls = functions.select(F.lower("name").alias("kn")).distinct()
+    used = used.join(calls, ~F.col("column") & (F.col("name") == F.col("kn")), "left_anti")
+    known, same = _known_columns(fields)
+    left = used.join(known, F.col("column") & same, "left_anti").distinct()
+    return left.select("policy", F.when(F.col("column"), "unknown_column").otherwise("unknown_function").alias("rule"), F.col("name").alias("detail"))
 
 
 def masked_columns_return(entries: DataFrame) -> DataFrame:

@@ -962,7 +962,7 @@ def check_statement_names(spark, d):
     entries = _statement_entries(spark, d)
     known = F.explode(F.array(*map(F.lit, ("C_NAME", "c_home.street", "c_home.zip", "c_since", "c_tags"))))
     functions = spark.sql("SHOW SYSTEM FUNCTIONS").select(F.col("function").alias("name"))
-    return checks.unknown_columns(entries, entries.select("policy", known.alias("field"))).unionByName(checks.unknown_functions(entries, functions))
+    return checks.unknown_names(entries, entries.select("policy", known.alias("field")), functions)
 
 
 @query("""
