@@ -25,6 +25,18 @@ def test_unknown_names_are_those_of_the_two_checks(spark):
     fields = spark.createDataFrame([(1, "A"), (1, "b.z"), (2, "a")], "policy long, field string")
     functions = spark.createDataFrame([("upper",), ("F",)], "name string")
     got = checks.unknown_names(entries, fields, functions)
+    assert plan(got).count("regexp_extract_all(value") == 1
     single = checks.unknown_columns(entries, fields).union(checks.unknown_functions(entries, functions))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, single.collect())) == [(2, "unknown_column", "d"), (2, "unknown_column", "e"), (2, "unknown_function", "g")]
-    assert plan(got).count("regexp_extract_all(value") == 1
+
+
+def test_masked_columns_of_a_rule_set_meet_in_one_exchange(spark):
+    """Entries without principals (null), without a field, and a principal named like everybody else."""
+    rows = [
+        (1, 0, "a", 1, "identity", ["x"], None), (1, 0, "A", 2, "sql_statement", [], "b || c"), (1, 0, "b", 1, "nullify", []), (1, 0, "c", 1, "hash", None), (1, 0, "c", 2, "identity", []),
+        (2, 0, "a", 1, "sql_statement", [], "b.d"), (2, 0, "b.d.e", 1, "nullify", ["*"]), (2, 0, None, 1, "nullify", ["y", None]), (2, 0, "b", 1, "identity", []), (2, 1, "b", 1, "nullify", []),
+    ]
+    entries = spark.createDataFrame([(*r, None)[:7] for r in rows], "policy long, rule_set int, field string, ord int, kind string, principals array<string>, value string")
+    found = checks.masked_columns_return(entries)
+    assert plan(found).count("Exchange") == 1
+    assert sorted((r.policy, r.detail) for r in found.collect()) == [(1, "a shows b to *"), (2, "a shows b.d.e to *")]

@@ -175,19 +175,35 @@ def masked_columns_return(entries: DataFrame) -> DataFrame:
     sees what one of these, asked first, sees.
     """
     at = ["policy", "rule_set"]
-    pick = F.min(F.struct("ord", "kind", F.col("value").alias("text")))
-    lists = entries.select(*at, F.lower("field").alias("field"), "ord", "kind", "value", "principals")
-    named = lists.select("*", F.explode("principals").alias("who")).groupBy(*at, "field", "who").agg(pick.alias("entry"))
-    default = lists.where(F.size("principals") == 0).groupBy(*at, "field").agg(pick.alias("default"))
-    who = named.select(*at, "who").distinct().unionByName(lists.select(*at, F.lit("*").alias("who")).distinct())
-    #: Principals and fields of one rule set, so as many as its document has.
-    every = who.join(lists.select(*at, "field").distinct(), at)
-    told = every.join(named, [*at, "field", "who"], "left").join(default, [*at, "field"], "left").select(*at, "field", "who", F.coalesce("entry", "default").alias("entry"))
-    shown = told.where("entry.kind = 'sql_statement'").select(*at, "who", F.col("field").alias("by"), F.explode(columns_in(F.col("entry.text"))).alias("used"))
+    one = entries.where("policy is not null and rule_set is not null").select(*at, F.lower("field").alias("field"), F.struct("ord", "kind", F.col("value").alias("text"), "principals").alias("entry"))
+    #: Dealt out by rule set, so that neither grouping moves rows again; a list, or a rule set, is a part of one document.
+    lists = one.repartition(*at).groupBy(*at, "field").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    sets = lists.groupBy(*at).agg(F.collect_list(F.struct("field", "entries")).alias("lists"))
+    sets = sets.where(F.exists("lists", lambda f: F.exists(f["entries"], lambda e: e["kind"] == "sql_statement")))
+    none = F.array().cast("array<string>")
+    who = F.flatten(F.transform("lists", lambda f: F.flatten(F.transform(f["entries"], lambda e: F.coalesce(e["principals"], none)))))
+    who = F.array_distinct(F.concat(F.filter(who, lambda p: p.isNotNull()), F.array(F.lit("*"))))
+
+    def used(entry: Column) -> Column:
+        return F.when(entry["kind"] == "sql_statement", columns_in(entry["text"])).otherwise(none)
+
+    #: Each statement is cut into tokens once, whoever is shown it.
+    known = F.transform(F.filter("lists", lambda f: f["field"].isNotNull()), lambda f: F.struct(f["field"].alias("field"), F.transform(f["entries"], lambda e: F.struct(e["kind"].alias("kind"), e["principals"].alias("principals"), used(e).alias("used"))).alias("entries")))
+    sets = sets.select(*at, who.alias("who"), known.alias("lists"))
+
+    def decided(p: Column) -> Column:
+        """Of each field the entry that decides for this principal."""
+        first = lambda es, right: F.get(F.filter(es, right), F.lit(0))
+        pick = lambda es: F.coalesce(first(es, lambda e: F.array_contains(e["principals"], p)), first(es, lambda e: F.size(e["principals"]) == 0))
+        return F.transform("lists", lambda f: F.struct(f["field"].alias("field"), pick(f["entries"]).alias("entry")))
+
+    each = sets.select("policy", F.explode("who").alias("who"), "lists").select("policy", "who", F.filter(decided(F.col("who")), lambda d: d["entry"].isNotNull()).alias("told"))
+    shown = F.filter("told", lambda d: d["entry"]["kind"] == "sql_statement")
+    both = each.select("policy", "who", "told", F.explode(shown).alias("s"))
     #: A name may be a field, a struct that holds it, or a part of it.
-    hidden = told.where("entry.kind <> 'identity'").select(*at, "who", F.col("field").alias("hides"))
-    within = F.col("used").eqNullSafe(F.col("hides")) | F.startswith("used", F.concat("hides", F.lit("."))) | F.startswith("hides", F.concat("used", F.lit(".")))
-    both = shown.join(hidden, [*at, "who"]).where(within & (F.col("by") != F.col("hides"))).select(*at, "by", "hides", "who").distinct()
+    within = lambda u, h: (u == h) | F.startswith(u, F.concat(h, F.lit("."))) | F.startswith(h, F.concat(u, F.lit(".")))
+    hidden = F.filter("told", lambda h: (h["entry"]["kind"] != "identity") & (h["field"] != F.col("s.field")) & F.exists("s.entry.used", lambda u: within(u, h["field"])))
+    both = both.select("policy", "who", F.col("s.field").alias("by"), F.explode(hidden).alias("h")).select("policy", "who", "by", F.col("h.field").alias("hides"))
     return _out(both, "masked_column_returns", F.concat_ws(" ", "by", F.lit("shows"), "hides", F.lit("to"), "who"))
 
 
