@@ -40,3 +40,16 @@ def test_masked_columns_of_a_rule_set_meet_in_one_exchange(spark):
     found = checks.masked_columns_return(entries)
     assert plan(found).count("Exchange") == 1
     assert sorted((r.policy, r.detail) for r in found.collect()) == [(1, "a shows b to *"), (2, "a shows b.d.e to *")]
+
+
+def test_all_rules_group_flat_rows(spark):
+    """Counts and numbers are hash aggregates; lists in a group's state were sorted by its keys."""
+    entries = spark.createDataFrame([(1, 0, "a", 1, "fixed", ["x", "y"], "q"), (1, 0, "a", 2, "fixed", ["x"], "q"), (1, 1, "a.", 1, "identity", None, None)], "policy long, rule_set int, field string, ord int, kind string, principals array<string>, value string")
+    lists = entries.select("policy", "rule_set", "field").distinct()
+    policies = spark.createDataFrame([(1, "s", "p", "title", "SQL_VIEW")], "policy long, source_ref string, platform string, title string, target_type string")
+    fields = spark.createDataFrame([(1, "A", "int")], "policy long, field string, type string")
+    conditions = spark.createDataFrame([(1, 0, "f", "retention", "gone", 1, []), (1, 0, "g", "retention", "gone", None, ["x"])], "policy long, rule_set int, filter string, filter_kind string, field string, ord int, principals array<string>")
+    tokens = spark.createDataFrame([(1, 0, "t")], "policy long, rule_set int, token_source string")
+    found = checks.all_rules(policies, fields, lists, entries, conditions, tokens, spark.createDataFrame([("X",)], "group string"))
+    assert "ObjectHashAggregate" not in plan(found)
+    assert sorted((r.rule, r.detail) for r in found.collect()) == sorted([("bad_fixed_value", "q")] * 2 + [("last_condition_not_default", "g"), ("last_entry_not_default", "a"), ("name_part_empty", "a."), ("overlapping_principals", "x"), ("unknown_field", "a."), ("unknown_field", "gone"), ("unknown_principal", "y")])

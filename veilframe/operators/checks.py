@@ -7,6 +7,8 @@ filter, filter_kind, field, ord, principals), tokens(policy, rule_set, token_sou
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,84 +209,78 @@ def masked_columns_return(entries: DataFrame) -> DataFrame:
     return _out(both, "masked_column_returns", F.concat_ws(" ", "by", F.lit("shows"), "hides", F.lit("to"), "who"))
 
 
-#: Rules of which a policy gets one violation for each name, wherever it stands.
-ONCE = ("unknown_principal", "unknown_field")
-
-
 def all_rules(policies: DataFrame, fields: DataFrame, lists: DataFrame, entries: DataFrame, conditions: DataFrame, tokens: DataFrame, groups: DataFrame, title: int = 3) -> DataFrame:
-    """Every check above over the same tables, in one pass: ``policy, rule, detail``.
+    """Every check above over the same tables at once: ``policy, rule, detail``.
 
-    lists: ``policy, rule_set, field``, one row for each list of transforms; groups: ``group``. Rows of all tables
-    go to one grouping by policy, rule set and name (of a field, filter, retention field or token source), partially
-    aggregated before its exchange; a group's state has what every rule asks for and emits all its violations. After
-    that, only states meet the known fields, and only violations the known groups. ``unknown_field``
-    covers retention filters too. A list is a part of one policy document, so a state is as large as that.
+    lists: ``policy, rule_set, field``, one row for each list of transforms; groups: ``group``. Rules about a row are told
+    from the row. The others take two groupings, of counts and numbers only, so that both are hash aggregates over
+    flat rows: one of names that the known fields must have (fields, retention fields, fixed values), which meets
+    these in one join, one of whatever is merely counted (principals of a field, filters, token sources, names
+    in either letter case). ``unknown_field`` covers retention filters too.
     """
-    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
-    columns = {"rule_set": F.lit(0), "about": F.lit(""), "name": F.lit(""), "list": F.lit(0), "ord": F.lit(None).cast("int"), "kind": text, "principals": F.lit(None).cast("array<string>"), "value": text, "bad": F.lit(None).cast("array<string>")}
-
-    def rows(df: DataFrame, **given: Column) -> DataFrame:
-        return df.select("policy", *((given[c] if c in given else default).cast("array<string>" if c in ("principals", "bad") else "int" if c in ("list", "ord", "rule_set") else "string").alias(c) for c, default in columns.items()))
-
-    when = lambda rule, c: F.when(c, F.array(F.lit(rule))).otherwise(none)
-    flawed = F.concat(
-        when("source_empty", F.coalesce("source_ref", F.lit("")) == ""),
-        when("platform_empty", (F.col("target_type") == "SQL_VIEW") & (F.coalesce("platform", F.lit("")) == "")),
-        when("title_short", F.length(F.coalesce("title", F.lit(""))) < title),
-    )
-    own = F.col("rule_set")
-    every = rows(policies, about=F.lit("policy"), value=F.col("title"), bad=flawed)
-    every = every.unionAll(rows(lists, rule_set=own, about=F.lit("field"), name=F.col("field"), list=F.lit(1)))
-    every = every.unionAll(rows(entries, rule_set=own, about=F.lit("field"), name=F.col("field"), ord=F.col("ord"), kind=F.col("kind"), principals=F.coalesce("principals", none), value=F.col("value")))
-    every = every.unionAll(rows(conditions, rule_set=own, about=F.lit("filter"), name=F.col("filter"), ord=F.col("ord"), kind=F.coalesce("filter_kind", F.lit("")), principals=F.coalesce("principals", none)))
-    #: A retention filter is one row here, as its first condition.
-    every = every.unionAll(rows(conditions.where("filter_kind = 'retention'"), rule_set=own, about=F.lit("retention"), name=F.col("field"), list=F.when(F.col("ord") == 1, 1).otherwise(0)))
-    every = every.unionAll(rows(tokens, rule_set=own, about=F.lit("token"), name=F.col("token_source"), list=F.lit(1)))
-    is_entry = F.col("principals").isNotNull()
-    states = every.groupBy("policy", "rule_set", "about", "name").agg(
-        F.sum("list").alias("lists"),
-        F.count(F.when(is_entry, 1)).alias("entries"),
-        F.count(F.when(F.size("principals") == 0, 1)).alias("defaults"),
-        F.max(F.when(is_entry, F.struct("ord", F.size("principals").alias("n")))).alias("last"),
-        F.flatten(F.collect_list(F.array_distinct("principals"))).alias("all"),
-        F.count(F.when(F.exists("principals", lambda x: x == ""), 1)).alias("unnamed"),
-        F.collect_list(F.when(F.col("kind") == "fixed", F.coalesce("value", F.lit("")))).alias("fixed"),
-        F.count(F.when((F.col("about") == "filter") & ~F.col("kind").isin("generic", "retention"), 1)).alias("kindless"),
-        F.flatten(F.collect_list("bad")).alias("bad"),
-        F.max(F.when(F.col("about") == "policy", F.col("value"))).alias("title"),
+    none, own = F.array().cast("array<string>"), F.col("rule_set").cast("int")
+    conditions = conditions.withColumns({"filter_kind": F.coalesce("filter_kind", F.lit("")), "principals": F.coalesce("principals", none)})
+    entries = entries.withColumn("principals", F.coalesce("principals", none))
+    kept = conditions.where("filter_kind = 'retention'")
+    #: A retention filter is one row, its first condition.
+    first = F.when(F.col("ord") == 1, 1).otherwise(0)
+    #: The greatest one of a list is odd if its last entry names somebody.
+    last = F.coalesce(F.col("ord").cast("int").cast("long"), F.lit(-(1 << 32))) * 2 + (F.size("principals") > 0).cast("long")
+    columns = {"rule_set": own, "name": None, "extra": F.lit(""), "lists": F.lit(0), "entries": F.lit(0), "defaults": F.lit(0), "last": F.lit(None)}
+    kinds = {"rule_set": "int", "name": "string", "extra": "string", "last": "long"}
+
+    def rows(df: DataFrame, about: str, name: str | Column, **given: Column) -> DataFrame:
+        own = {**columns, "name": F.col(name) if isinstance(name, str) else name, **given}
+        return df.select("policy", F.lit(about).alias("about"), *(c.cast(kinds.get(k, "int")).alias(k) for k, c in own.items()))
+
+    def states(*parts: DataFrame) -> DataFrame:
+        every = reduce(DataFrame.unionAll, parts)
+        return every.groupBy("policy", "about", "rule_set", "name", "extra").agg(*(F.sum(c).alias(c) for c in ("lists", "entries", "defaults")), F.max("last").alias("last"))
+
+    def told(df: DataFrame, *found: tuple[Column, str, Column, Column | int]) -> DataFrame:
+        """A row for each condition that holds: ``policy, rule, detail, n``."""
+        each = F.array(*(F.when(c, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"), (F.lit(n) if isinstance(n, int) else n).cast("long").alias("n"))) for c, rule, detail, n in found))
+        return df.select("policy", F.explode(each).alias("x")).where("x is not null").select("policy", "x.*")
+
+    about, name, empty = lambda *x: F.col("about").isin(*x), F.col("name"), F.lit("")
+    #: A field is unknown to a policy once, in whatever rule sets it stands.
+    named = states(
+        rows(entries, "use", "field", rule_set=F.lit(0)),
+        rows(kept, "use", "field", rule_set=F.lit(0)),
+        rows(entries.where("kind = 'fixed'"), "fixed", "field", extra=F.coalesce("value", empty), entries=F.lit(1)),
     )
     known = fields.groupBy(F.col("policy").alias("_p"), F.upper("field").alias("_f")).agg(F.min(F.lower("type")).alias("type"))
-    states = states.join(known, (F.col("policy") == F.col("_p")) & (F.upper("name") == F.col("_f")), "left").drop("_p", "_f")
-    about = lambda *x: F.col("about").isin(*x)
-    said = lambda rule, c, names: F.when(c, F.transform(names, lambda x: F.struct(F.lit(rule).alias("rule"), x.alias("detail")))).otherwise(F.array().cast("array<struct<rule:string,detail:string>>"))
-    name, times = F.array("name"), lambda n: F.array_repeat("name", n.cast("int"))
-    seen = F.array_sort("all")
-    twice = F.array_distinct(F.filter(seen, lambda x, i: (i > 0) & (x == F.get(seen, i - 1))))
-    emitted = F.concat(
-        F.when(about("policy"), F.transform("bad", lambda r: F.struct(r.alias("rule"), F.when(r == "title_short", F.col("title")).otherwise("").alias("detail")))).otherwise(F.array().cast("array<struct<rule:string,detail:string>>")),
-        said("unknown_principal", about("field"), F.array_distinct("all")),
-        said("unknown_field", (about("field") & (F.col("entries") > 0) | about("retention")) & F.col("type").isNull(), name),
-        said("duplicate_token_source", about("token") & (F.col("lists") > 1), name),
-        said("no_transforms", about("field") & (F.col("entries") == 0), times(F.col("lists"))),
-        said("last_entry_not_default", about("field") & (F.col("last.n") > 0), name),
-        said("last_condition_not_default", about("filter") & (F.col("last.n") > 0), name),
-        said("several_defaults", about("field") & (F.col("defaults") > 1), name),
-        said("overlapping_principals", about("field"), twice),
-        said("filter_kind_missing", F.col("kindless") > 0, times(F.col("kindless"))),
-        said("name_part_empty", about("field") & F.exists(F.split("name", r"\."), lambda x: x == ""), times(F.col("entries"))),
-        said("principal_empty", about("field") & (F.col("unnamed") > 0), times(F.col("unnamed"))),
-        said("bad_fixed_value", F.size("fixed") > 0, F.filter("fixed", lambda v: _misfit(F.col("type"), v))),
-        #: Names that differ in letter case only are one: their lists are counted once more below.
-        said("field_twice", about("field") & (F.col("lists") > 0), F.array_repeat(F.concat(own.cast("string"), F.lit(" "), F.upper("name")), F.col("lists").cast("int"))),
-        said("retention_twice", about("retention") & (F.col("lists") > 0), F.array_repeat(F.concat(own.cast("string"), F.lit(" "), F.upper("name")), F.col("lists").cast("int"))),
+    named = named.join(known, (F.col("policy") == F.col("_p")) & (F.upper("name") == F.col("_f")), "left")
+    counted = states(
+        rows(lists, "field", "field", lists=F.lit(1)),
+        rows(entries, "field", "field", entries=F.lit(1), defaults=(F.size("principals") == 0).cast("int"), last=last),
+        rows(entries.select("*", F.explode(F.array_distinct("principals")).alias("principal")), "who", "field", extra=F.col("principal"), entries=F.lit(1)),
+        rows(conditions, "filter", "filter", last=last),
+        rows(tokens, "token", "token_source", lists=F.lit(1)),
+        rows(lists, "field twice", F.upper("field"), lists=F.lit(1)),
+        rows(kept, "retention twice", F.upper("field"), lists=first),
     )
-    found = states.select("policy", F.explode(emitted).alias("x")).select("policy", "x.*")
-    counted = found.groupBy("policy", "rule", "detail").agg(F.count("*").alias("n"))
-    groups = groups.select(F.upper("group").alias("_g")).distinct()
-    asked = F.when(F.col("rule") == "unknown_principal", F.upper("detail")).otherwise(F.concat(F.lit("\0"), F.col("policy").cast("string")))
-    told = counted.join(groups, asked == F.col("_g"), "left").where("_g is null")
-    pairs = F.col("rule").isin("field_twice", "retention_twice")
-    told = told.where(~pairs | (F.col("n") > 1))
-    detail = F.when(pairs, F.expr("substring(detail, instr(detail, ' ') + 1)")).otherwise(F.col("detail"))
-    copies = F.when(F.col("rule").isin(*ONCE) | pairs, 1).otherwise(F.col("n")).cast("int")
-    return told.select("policy", "rule", detail.alias("detail"), F.explode(F.array_repeat(F.lit(1), copies)).alias("_")).drop("_")
+    found = [
+        told(policies, (F.coalesce("source_ref", empty) == "", "source_empty", empty, 1), ((F.col("target_type") == "SQL_VIEW") & (F.coalesce("platform", empty) == ""), "platform_empty", empty, 1), (F.length(F.coalesce("title", empty)) < title, "title_short", F.col("title"), 1)),
+        told(conditions, (~F.col("filter_kind").isin("generic", "retention"), "filter_kind_missing", F.col("filter"), 1)),
+        told(entries, (F.exists(F.split("field", r"\."), lambda x: x == ""), "name_part_empty", F.col("field"), 1), (F.array_contains("principals", ""), "principal_empty", F.col("field"), 1)),
+        told(
+            named,
+            (about("use") & F.col("_p").isNull(), "unknown_field", name, 1),
+            (about("fixed") & _misfit(F.col("type"), F.col("extra")), "bad_fixed_value", F.col("extra"), F.col("entries")),
+        ),
+        told(
+            counted,
+            (about("field") & (F.col("entries") == 0), "no_transforms", name, F.col("lists")),
+            (about("field") & (F.col("last") % 2 != 0), "last_entry_not_default", name, 1),
+            (about("field") & (F.col("defaults") > 1), "several_defaults", name, 1),
+            (about("who") & (F.col("entries") > 1) & F.col("extra").isNotNull(), "overlapping_principals", F.col("extra"), 1),
+            (about("filter") & (F.col("last") % 2 != 0), "last_condition_not_default", name, 1),
+            (about("token") & (F.col("lists") > 1), "duplicate_token_source", name, 1),
+            (about("field twice") & (F.col("lists") > 1), "field_twice", name, 1),
+            (about("retention twice") & (F.col("lists") > 1), "retention_twice", name, 1),
+        ),
+    ]
+    every = reduce(DataFrame.unionAll, found)
+    every = every.select("policy", "rule", "detail", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_")).drop("_")
+    return every.unionAll(unknown_principal(entries, groups))
