@@ -136,7 +136,7 @@ def apply_rule_set(df: DataFrame, rule_set: RuleSet, caller: Caller, fields: Ite
     are one aggregate that is joined to every row. Detokenizing joins every token source whoever
     asks, so a repeated token multiplies rows; with ``unique_tokens`` the caller vouches that
     tokens are unique and unneeded joins are left out. Detokenized values are text; a token and a field of different types are
-    compared as text; several fields of one token source meet it in one join (``_with_tokens_once``).
+    compared as text; each field joins its token source directly, and Spark splits the partition of a token that very many rows have.
     ``keys``: columns that lead the output and every window (principal matrix).
     """
     wanted = {}
@@ -159,11 +159,8 @@ def apply_rule_set(df: DataFrame, rule_set: RuleSet, caller: Caller, fields: Ite
     totals = [(name, t) for name, entries in wanted.values() for t in _active(entries, caller) if t.kind == "aggregation"]
     if unique_tokens:
         source = _with_totals(source, totals, build)
-    shared: dict[str, list[tuple[str, Transform]]] = {}
     for name, t in asked.values():
-        shared.setdefault(token_key("", t), []).append((name, t))
-    for group in shared.values():
-        source = _with_tokens(source, *group[0], token_sources, build) if len(group) == 1 else _with_tokens_once(source, group, token_sources, build)
+        source = _with_tokens(source, name, t, token_sources, build)
     if not unique_tokens:
         source = _with_totals(source, totals, build)
     build.df = source
@@ -199,40 +196,6 @@ def _with_tokens(df: DataFrame, name: str, t: Transform, token_sources, build: _
     return df.join(side, own == F.col(key) if same else own.cast("string") == F.col(key).cast("string"), "left").drop(key)
 
 
-#: A token is frequent if more than one in FREQUENT of all tokens are it, so there are fewer frequent ones than this; each is dealt out over PLACES places.
-FREQUENT, PLACES = 1000, 64
-
-
-def _with_tokens_once(df: DataFrame, group: list[tuple[str, Transform]], token_sources, build: _Builder) -> DataFrame:
-    """Several fields of one token source: the distinct combinations of their tokens as rows (combination, field, token), one join with the source, back into columns by combination.
-
-    So the wide rows are exchanged once, by combination, however many fields there are, and what meets the source
-    are only tokens that are there. Frequent tokens are dealt out by the hash of their combination, with their few rows of
-    the source repeated for each place. Values of one token stay a list until the end, where they multiply rows as a join would.
-    """
-    table, token, value = _token_source(df, group[0][1], token_sources)
-    kinds = {_path(df, n) for n, _ in group} | {table.schema[token].dataType if token in table.columns else None}
-    text = (lambda c: c) if len(kinds) == 1 else (lambda c: c.cast("string"))
-    keys = [_free(df, f"key_{i}") for i in range(len(group))]
-    cells = df.select(*(text(_column(n)).alias(k) for (n, _), k in zip(group, keys, strict=True))).distinct()
-    cells = cells.select(*keys, F.posexplode(F.array(*keys)).alias("field", "token")).where("token is not null")
-    counts = cells.groupBy("token").agg(F.count("*").alias("n"))
-    often = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).where(F.col("n") * FREQUENT > F.col("all")).select("token", F.lit(True).alias("often"))
-    place = F.when(F.col("often"), F.pmod(F.xxhash64(*keys), F.lit(PLACES))).otherwise(F.lit(0)).cast("int").alias("place")
-    dealt = cells.join(F.broadcast(often), "token", "left").select(*cells.columns, place)
-    known = table.select(text(F.col(token)).alias("token"), F.struct(F.col(value).cast("string").alias("value")).alias("value")).where("token is not null")
-    known = known.groupBy("token").agg(F.collect_list("value").alias("values")).join(F.broadcast(often), "token", "left")
-    known = known.select("token", "values", F.explode(F.sequence(F.lit(0), F.when(F.col("often"), PLACES - 1).otherwise(0))).alias("place"))
-    aliases = [_free(df, f"value_{i}") for i in range(len(group))]
-    found = dealt.join(known, ["token", "place"]).groupBy(*keys).agg(*(F.first(F.when(F.col("field") == i, F.col("values")), ignorenulls=True).alias(a) for i, a in enumerate(aliases)))
-    same = reduce(lambda a, b: a & b, (text(_column(n)).eqNullSafe(F.col(k)) for (n, _), k in zip(group, keys, strict=True)))
-    out = df.join(found, same, "left").drop(*keys)
-    for (name, t), alias in zip(group, aliases, strict=True):
-        out = out.withColumn(alias, F.explode_outer(alias)).withColumn(alias, F.col(alias)["value"])
-        build.tokens[token_key(name, t)] = alias
-    return out
-
-
 def total_key(name: str, t: Transform) -> str:
     how, by, cast_to, _ = tf.aggregation_of(t)
     return f"{name}|{how}|{cast_to}|{','.join(by)}"
