@@ -53,3 +53,18 @@ def test_all_rules_group_flat_rows(spark):
     found = checks.all_rules(policies, fields, lists, entries, conditions, tokens, spark.createDataFrame([("X",)], "group string"))
     assert "ObjectHashAggregate" not in plan(found)
     assert sorted((r.rule, r.detail) for r in found.collect()) == sorted([("bad_fixed_value", "q")] * 2 + [("last_condition_not_default", "g"), ("last_entry_not_default", "a"), ("name_part_empty", "a."), ("overlapping_principals", "x"), ("unknown_field", "a."), ("unknown_field", "gone"), ("unknown_principal", "y")])
+
+
+def test_views_are_held_and_their_tokens_go_past(spark):
+    from veilframe.operators import lineage
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        targets = spark.createDataFrame([(1, 0, "v"), (1, 1, "w"), (2, 0, "v")], "policy long, rule_set int, target string")
+        tokens = spark.createDataFrame([(1, 1, "t"), (1, 1, "t"), (2, 1, "u")], "policy long, rule_set int, token_source string")
+        sources = spark.createDataFrame([(1, "s"), (2, "r")], "policy long, source string")
+        found = lineage.access_dependencies(targets, tokens, sources)
+        assert "SortMergeJoin" not in plan(found)
+        assert sorted(map(tuple, found.collect())) == [("v", "r"), ("v", "s"), ("w", "s"), ("w", "t")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

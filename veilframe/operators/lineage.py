@@ -61,6 +61,8 @@ def grants(principals: DataFrame, targets: DataFrame) -> DataFrame:
 
 def access_dependencies(targets: DataFrame, tokens: DataFrame, sources: DataFrame) -> DataFrame:
     """Views that must be readable from other tables: ``reader, reads``; sources: ``policy, source``."""
-    base = targets.join(sources, "policy").select(F.col("target").alias("reader"), F.col("source").alias("reads"))
-    more = targets.join(tokens, ["policy", "rule_set"]).select(F.col("target").alias("reader"), F.col("token_source").alias("reads"))
+    #: A view is one row, so targets are the side that a task holds; the other rows, of which there are several a view, go past it unsorted.
+    held = targets.hint("shuffle_hash")
+    base = held.join(sources, "policy").select(F.col("target").alias("reader"), F.col("source").alias("reads"))
+    more = held.join(tokens, ["policy", "rule_set"]).select(F.col("target").alias("reader"), F.col("token_source").alias("reads"))
     return base.unionByName(more).distinct()
