@@ -68,3 +68,22 @@ def test_views_are_held_and_their_tokens_go_past(spark):
         assert sorted(map(tuple, found.collect())) == [("v", "r"), ("v", "s"), ("w", "s"), ("w", "t")]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_of_a_large_group_are_dealt_out(spark):
+    """Also a group of null, and with columns that cannot be hashed."""
+    from veilframe.model import policy_from
+    from veilframe.operators.apply import apply_rule_set
+
+    total = lambda f, by: {"field": f, "transforms": [{"aggregation": {"sum": {}, "partition_by": [{"name_parts": [b]} for b in by]}, "principals": []}]}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).select("id", F.when(F.col("id") >= 10, F.lit(1)).alias("k"), F.col("id").alias("x"), F.create_map("id", "id").alias("m"))
+        seen = apply_rule_set(df, policy_from({"source": {"ref": "s"}, "rule_sets": [{"field_transforms": [total("x", ["k"])]}]}).rule_sets[0], set())
+        per_task = seen.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert per_task < 2000
+        assert {(r.k, r.x) for r in seen.select("k", "x").distinct().collect()} == {(None, 45), (1, 7998000 - 45)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -218,10 +218,11 @@ def _with_totals(df: DataFrame, totals: list[tuple[str, Transform]], build: _Bui
     sets = list(dict.fromkeys(on for _, on in wanted.values()))
     alias = {key: _free(df, f"total_{i}") for i, key in enumerate(wanted)}
     build.totals |= {key: F.col(a) for key, a in alias.items()}
+    rows = _free(df, "rows")
     if len(sets) == 1:
         names = [_free(df, f"by_{i}") for i in range(len(sets[0]))]
-        side = df.groupBy(*(_column(c).alias(n) for c, n in zip(sets[0], names, strict=True))).agg(*(agg.alias(alias[k]) for k, (agg, _) in wanted.items()))
-        return _joined_back(df, side, sets[0], names).drop(*names)
+        side = df.groupBy(*(_column(c).alias(n) for c, n in zip(sets[0], names, strict=True))).agg(F.count("*").alias(rows), *(agg.alias(alias[k]) for k, (agg, _) in wanted.items()))
+        return _joined_back(df, side, sets[0], names, rows)
     columns = list(dict.fromkeys(c for on in sets for c in on))
     which, names = _free(df, "set"), {c: _free(df, f"by_{i}") for i, c in enumerate(columns)}
     kinds = {c: df.select(_column(c).alias("x")).schema["x"].dataType for c in columns}
@@ -231,20 +232,42 @@ def _with_totals(df: DataFrame, totals: list[tuple[str, Transform]], build: _Bui
     #: The set once more as an aggregate: a condition on it is not moved below the grouping, which would make another grouping of each join.
     mark = _free(df, "mark")
     own = {k: sets.index(on) for k, (_, on) in wanted.items()}
-    told = told.agg(F.max(F.col(inner)[which]).alias(mark), *(agg.alias(alias[k]) for k, (agg, _) in wanted.items()))
-    told = told.select(mark, *names.values(), *(F.when(F.col(mark) == own[k], F.col(a)).alias(a) for k, a in alias.items()))
+    told = told.agg(F.max(F.col(inner)[which]).alias(mark), F.count("*").alias(rows), *(agg.alias(alias[k]) for k, (agg, _) in wanted.items()))
+    told = told.select(mark, rows, *names.values(), *(F.when(F.col(mark) == own[k], F.col(a)).alias(a) for k, a in alias.items()))
     out = df
     for i, on in enumerate(sets):
         keys = [_free(df, f"key_{i}_{j}") for j in range(len(on))]
-        side = told.where(F.col(mark) == i).select(*(F.col(names[c]).alias(n) for c, n in zip(on, keys, strict=True)), *(F.col(a).alias(f"{a}_{i}") for a in alias.values()))
-        out = _joined_back(out, side, on, keys)
+        side = told.where(F.col(mark) == i).select(rows, *(F.col(names[c]).alias(n) for c, n in zip(on, keys, strict=True)), *(F.col(a).alias(f"{a}_{i}") for a in alias.values()))
+        out = _joined_back(out, side, on, keys, rows, on == next(filter(None, sets)))
     return out.select(*df.columns, *(F.coalesce(*(F.col(f"{a}_{i}") for i in range(len(sets)))).alias(a) for a in alias.values()))
 
 
-def _joined_back(df: DataFrame, side: DataFrame, on: tuple[str, ...], names: list[str]) -> DataFrame:
+#: The largest groups, of which each may have more than one in LARGEST of all rows; their rows are dealt out over PLACES places.
+LARGEST, PLACES = 1000, 64
+
+
+def _joined_back(df: DataFrame, side: DataFrame, on: tuple[str, ...], names: list[str], rows: str, deal: bool = True) -> DataFrame:
+    """``df`` with the values of ``side``, which has one row a group and in ``rows`` how many of df's rows it has.
+
+    The largest groups are broadcast, so at most LARGEST rows; whatever rows find theirs there leave their key in the other
+    join, where they would all meet in one task, and are dealt out. deal: do so; a later join of the same grouping is planned
+    by its measured size and moves no rows where groups are few.
+    """
     if not on:
-        return df.crossJoin(F.broadcast(side))
-    return df.join(side, reduce(lambda a, b: a & b, (_column(c).eqNullSafe(F.col(n)) for c, n in zip(on, names, strict=True))), "left")
+        return df.crossJoin(F.broadcast(side.drop(rows)))
+    if not deal:
+        return df.join(side.drop(rows), reduce(lambda a, b: a & b, (_column(c).eqNullSafe(F.col(n)) for c, n in zip(on, names, strict=True))), "left")
+    values = [c for c in side.columns if c not in (*names, rows)]
+    got, place, own = _free(df, "got"), _free(df, "place"), _free(df, "own_place")
+    heads = [_free(df, f"head_{j}") for j in range(len(names))]
+    same = lambda keys: reduce(lambda a, b: a & b, (_column(c).eqNullSafe(F.col(n)) for c, n in zip(on, keys, strict=True)))
+    large = side.orderBy(F.desc(rows)).limit(LARGEST).select(*(F.col(n).alias(h) for n, h in zip(names, heads, strict=True)), F.struct(*values).alias(got))
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    dealt = df.join(F.broadcast(large), same(heads), "left").withColumn(place, F.when(F.col(got).isNotNull(), F.pmod(F.xxhash64(*plain), F.lit(PLACES)) + 1).otherwise(0))
+    #: Always 0, but no constant: that would not be a key.
+    rest = side.withColumn(own, F.when(F.col(rows) < 0, 1).otherwise(0).cast("long"))
+    out = dealt.join(rest, same(names) & (F.col(place) == F.col(own)), "left")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *(F.when(F.col(got).isNotNull(), F.col(got)[v]).otherwise(F.col(v)).alias(v) for v in values))
 
 
 def principals_frame(df: DataFrame, rule_set: RuleSet, only: Collection[str] | None = None) -> DataFrame:
