@@ -47,8 +47,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 #: A key is hot if it has more than one in HOT of all rows, so there are fewer hot keys than this; each is dealt out over SALTS places.
 HOT, SALTS = 1000, 64
-#: Members of a bucket that one task compares with the whole bucket; a larger bucket is cut into as many tiles as it takes.
-TILE = 256
+#: Members of a bucket that one task compares with the bucket, about; a larger bucket is cut into as many tiles as it takes.
+TILE = 4096
 
 
 def spread_join(big: DataFrame, small: DataFrame, on: list[str], n: str = "n") -> DataFrame:
@@ -111,7 +111,7 @@ def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, C
     links join is settled: a bucket of copies costs as many comparisons as it has members. At last
     all members that are not pivots and are still in different components are compared, so each
     pair of a bucket has been compared or is known to be in one component. Here a large bucket is
-    cut into tiles of about ``TILE`` members, each of which meets the whole bucket. Pairs are made of ids
+    cut into tiles of about ``TILE`` members, and every two tiles meet once. Pairs are made of ids
     and are distinct before texts join them. A node has few of all keys, so even one
     bucket with a third of all nodes is a small share of all (key, id) rows.
     """
@@ -130,10 +130,9 @@ def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, C
         if last:
             #: Here facts go with the members, so that only pairs that can be linked leave the join.
             told = written(told.select("key", "id", "comp", F.ceil(F.col("held") / TILE).alias("tiles")).join(facts, "id"), "mixed")
-            places = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            one = told.select("key", F.col("id").alias("a"), "comp", "fact", F.pmod(F.xxhash64("id"), "tiles").alias("tile")).repartition(places, "key", "tile")
-            other = told.select("key", F.col("id").alias("b"), F.col("comp").alias("other"), F.col("fact").alias("its"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
-            pairs = one.join(other, ["key", "tile"]).where(F.expr("a < b and comp <> other") & near(F.col("fact"), F.col("its"))).select("a", "b").distinct()
+            one, other = tiled(told)
+            crossed = (F.col("own") > F.col("tile")) | (F.col("a") < F.col("b"))
+            pairs = one.join(other, ["key", "tile"]).where(F.expr("comp <> other") & crossed & near(F.col("fact"), F.col("its"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             told = written(told.select("key", "id", "comp", "high", F.min(F.when(F.col("comp") == F.col("high"), F.col("id"))).over(bucket).alias("pivot")), "mixed")
             pairs = _near(told.where("comp <> high").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), facts, near)
@@ -149,6 +148,18 @@ def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, C
     return comps if comps is not None else inside.select("id", F.col("id").alias("comp")).limit(0)
 
 
+def tiled(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``told(key, id, comp, tiles, fact)`` as ``key, a, comp, fact, tile`` and ``key, b, other, its, own, tile``: each member's tile, and each member once for its own tile and every lower one.
+
+    So two tiles meet once, and members of a bucket that is one tile are not repeated at all.
+    """
+    places = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.pmod(F.xxhash64("id"), "tiles")
+    one = told.select("key", F.col("id").alias("a"), "comp", "fact", own.alias("tile")).repartition(places, "key", "tile")
+    other = told.select("key", F.col("id").alias("b"), F.col("comp").alias("other"), F.col("fact").alias("its"), own.alias("own"))
+    return one, other.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("tile"))
+
+
 def _near(pairs: DataFrame, facts: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
     fa = facts.select(F.col("id").alias("a"), F.col("fact").alias("fa"))
     fb = facts.select(F.col("id").alias("b"), F.col("fact").alias("fb"))
