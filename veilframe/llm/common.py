@@ -97,22 +97,25 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
-def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, Column], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], rounds: int = 2, named: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, Column], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], rounds: int = 2, named: Callable[[DataFrame], DataFrame] | None = None, once: tuple[Column, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Components of all pairs that share a bucket and pass ``verify``, without listing a bucket's pairs.
 
     members: ``key, id`` (a row for each bucket a node is in; rows may repeat); facts: ``id, fact`` (fact: a
     struct that ``near`` compares, as a necessary condition); texts: ``id`` to ``id, text``, one row
     each; verify: ``a, b, ta, tb`` to the ``a, b`` of those that are linked; named: ``key, id`` to the same with the ids
-    by which facts and texts go, where those of ``members`` are others. Returns ``id, comp`` for the nodes that have a link.
+    by which facts and texts go, where those of ``members`` are others; once: for the last comparison, an expression over ``key``
+    and ``fact`` for what is compared there and a condition on two of these, which has to hold in one bucket for each pair that ``near`` takes;
+    without it, a pair that several buckets share leaves the join as often. Returns ``id, comp`` for the nodes that have a link.
 
     One exchange of (key, id) finds the buckets with more than one node; only for their nodes are
     texts fetched, once. Then, in each of ``rounds`` rounds, one node of every bucket that still
     holds several components, a pivot, is compared with the members of the others, and what the
     links join is settled: a bucket of copies costs as many comparisons as it has members. At last
     all members that are not pivots and are still in different components are compared, so each
-    pair of a bucket has been compared or is known to be in one component. Here a large bucket is
-    cut into tiles of about ``TILE`` members, and every two tiles meet once. Pairs are made of ids
-    and are distinct before texts join them. A node has few of all keys, so even one
+    pair of a bucket has been compared or is known to be in one component. Here members of a bucket's
+    largest component meet those of the others only, and go out once, while the others, few in a bucket of
+    near copies, are repeated for each tile of about ``TILE`` of them; the others are cut into such tiles too,
+    and every two of these meet once. Pairs are made of ids and are distinct before texts join them. A node has few of all keys, so even one
     bucket with a third of all nodes is a small share of all (key, id) rows.
     """
     bucket = Window.partitionBy("key")
@@ -129,10 +132,23 @@ def bucket_links(members: DataFrame, facts: DataFrame, near: Callable[[Column, C
         told = told.select("*", F.min("comp").over(bucket).alias("low"), F.max("comp").over(bucket).alias("high"), F.count("*").over(bucket).alias("held")).where("low <> high")
         if last:
             #: Here facts go with the members, so that only pairs that can be linked leave the join.
-            told = written(told.select("key", "id", "comp", F.ceil(F.col("held") / TILE).alias("tiles")).join(facts, "id"), "mixed")
-            one, other = tiled(told)
+            size = F.count("*").over(Window.partitionBy("key", "comp"))
+            told = told.select("key", "id", "comp", "held", size.alias("size"))
+            told = told.select("*", F.max(F.struct("size", "comp")).over(bucket).alias("main"))
+            tiles = lambda n: F.ceil(n / TILE).cast("long")
+            told = told.select("key", "id", "comp", (F.col("comp") == F.col("main.comp")).alias("most"), tiles(F.col("held") - F.col("main.size")).alias("tiles"), tiles(F.col("main.size")).alias("main_tiles"))
+            told = written(told.join(facts, "id"), "mixed")
+            if once is not None:
+                told = told.withColumn("fact", once[0])
+            meet = (near if once is None else once[1])(F.col("fact"), F.col("its"))
+            rest = told.where("not most")
+            one, other = tiled(rest)
             crossed = (F.col("own") > F.col("tile")) | (F.col("a") < F.col("b"))
-            pairs = one.join(other, ["key", "tile"]).where(F.expr("comp <> other") & crossed & near(F.col("fact"), F.col("its"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = one.join(other, ["key", "tile"]).where(F.expr("comp <> other") & crossed & meet).select("a", "b")
+            most, few = beside(told.where("most"), rest)
+            pairs = pairs.unionAll(most.join(few, ["key", "tile"]).where(meet).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            if once is not None:
+                pairs = _near(pairs, facts, near)
         else:
             told = written(told.select("key", "id", "comp", "high", F.min(F.when(F.col("comp") == F.col("high"), F.col("id"))).over(bucket).alias("pivot")), "mixed")
             pairs = _near(told.where("comp <> high").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), facts, near)
@@ -160,6 +176,13 @@ def tiled(told: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one, other.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("tile"))
 
 
+def beside(most: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of a bucket's largest component once, ``key, a, fact, tile``, and the others for each of its tiles, ``key, b, its, tile``."""
+    places = int(most.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = most.select("key", F.col("id").alias("a"), "fact", F.pmod(F.xxhash64("id"), "main_tiles").alias("tile")).repartition(places, "key", "tile")
+    return one, rest.select("key", F.col("id").alias("b"), F.col("fact").alias("its"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("main_tiles") - 1)).alias("tile"))
+
+
 def _near(pairs: DataFrame, facts: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
     fa = facts.select(F.col("id").alias("a"), F.col("fact").alias("fa"))
     fb = facts.select(F.col("id").alias("b"), F.col("fact").alias("fb"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,16 +71,34 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(n), *(pa.array(_signed(p)) for p in prints), *(pa.array(_signed(sig[:, c])) for c in range(CHUNKS)), *(pa.array(_signed(odd[:, c])) for c in range(PARITY))], names=["id", "hash", "n", "p0", "p1", *_PARTS])
 
 
+#: In each place of a long, its highest bit, and the bits below that.
+_TOP, _REST = (sum(bits << BITS * k for k in range(LANES)) for bits in (1 << BITS - 1, (1 << BITS - 1) - 1))
+
+
+def _places(a: Column, b: Column, c: int) -> Column:
+    """The highest bit of each place of chunk ``c`` in which two signatures differ."""
+    x = a[f"s{c}"].bitwiseXOR(b[f"s{c}"])
+    # The sum sets a place's highest bit if any of its lower ones is set, without a carry beyond it.
+    return (x.bitwiseAND(F.lit(_REST)) + F.lit(_REST)).bitwiseOR(x).bitwiseAND(F.lit(_TOP))
+
+
 def _apart(a: Column, b: Column) -> Column:
     """Number of places in which two signatures differ."""
-    top = sum(1 << BITS * k + BITS - 1 for k in range(LANES))
-    low = sum((1 << BITS - 1) - 1 << BITS * k for k in range(LANES))
-    total = F.lit(0)
-    for c in range(CHUNKS):
-        x = a[f"s{c}"].bitwiseXOR(b[f"s{c}"])
-        # The sum sets a place's highest bit if any of its lower ones is set, without a carry beyond it.
-        total = total + F.bit_count((x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top)))
-    return total
+    return sum((F.bit_count(_places(a, b, c)) for c in range(CHUNKS)), F.lit(0))
+
+
+def _first(a: Column, b: Column) -> Column:
+    """Is the key, in two signatures that share it, the first of all they share? So each pair is compared in one bucket of all that it meets in."""
+    # No earlier chunk agrees in all or all but one of its places; where all of a chunk agree, the key without its first place goes first.
+    first = (a["lane"] == 0) | (a["own"] != b["own"])
+    for c in range(CHUNKS - 1):
+        first = first & ((a["chunk"] <= c) | (F.bit_count(_places(a, b, c)) > 1))
+    return first
+
+
+def _filled(columns: dict[str, Column]) -> Column:
+    """A struct of fields that are never null. Spark knows that, so comparing two of them stays below the size of a method that the JVM compiles."""
+    return F.struct(*(F.coalesce(c, F.lit(0)).alias(name) for name, c in columns.items()))
 
 
 def _possible(a: Column, b: Column, percent: int) -> Column:
@@ -93,6 +111,22 @@ def _possible(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & ((100 + percent) * differ <= (100 - percent) * (a["n"] + b["n"]))
 
 
+def _keys() -> Column:
+    """The bucket keys of a signature, one for each chunk without one place; the lowest seven bits are the key's number."""
+    whole = (1 << BITS * LANES) - 1
+    key = lambda c, k: F.xxhash64(F.lit(c * LANES + k), F.col(f"s{c}").bitwiseAND(F.lit(whole ^ ((1 << BITS) - 1) << BITS * k)))
+    return F.array(*(key(c, k).bitwiseAND(F.lit(~127)).bitwiseOR(F.lit(c * LANES + k)) for c in range(CHUNKS) for k in range(LANES)))
+
+
+def _once(percent: int) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """What the last comparison of ``bucket_links`` needs: the facts, with the key's place in them, and whether two are to be compared in this bucket. Most pairs of a large bucket that signatures let through are ruled out by the parity sketches."""
+    part = {c: F.col(f"fact.{c}") for c in ("n", *_PARTS)}
+    number = F.col("key").bitwiseAND(F.lit(127)).cast("int")
+    chunk = F.floor(number / LANES).cast("int")
+    ready = _filled({**part, "chunk": chunk, "lane": number % LANES, "own": F.array(*(part[c] for c in _PARTS[:CHUNKS]))[chunk]})
+    return ready, lambda a, b: _possible(a, b, percent) & _first(a, b)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those whose shingle sets, words compared in full, are similar enough."""
 
@@ -140,11 +174,9 @@ def _classes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.mapInArrow(lambda it: tidy(_confirm(it, words, percent)), "a long, b long")
 
-    whole = (1 << BITS * LANES) - 1
-    keys = F.array(*(F.xxhash64(F.lit(c * LANES + k), F.col(f"s{c}").bitwiseAND(F.lit(whole ^ ((1 << BITS) - 1) << BITS * k))) for c in range(CHUNKS) for k in range(LANES)))
-    members = sets.select(F.explode(keys).alias("key"), F.col("node").alias("id"))
-    facts = sets.select(F.col("node").alias("id"), F.struct("n", *_PARTS).alias("fact"))
-    comps = bucket_links(members, facts, lambda a, b: _possible(a, b, percent) & (_apart(a, b) <= DISTANCE), texts, verify)
+    members = sets.select(F.explode(_keys()).alias("key"), F.col("node").alias("id"))
+    facts = sets.select(F.col("node").alias("id"), _filled({c: F.col(c) for c in ("n", *_PARTS)}).alias("fact"))
+    comps = bucket_links(members, facts, lambda a, b: _possible(a, b, percent) & (_apart(a, b) <= DISTANCE), texts, verify, once=_once(percent))
     linked = written(comps.join(own.select(F.col("node").alias("id"), "low"), "id").select(F.col("id").alias("node"), F.col("comp").alias("class"), "low"), "linked")
     least = linked.groupBy("class").agg(F.min("low").alias("least"))
     named = own.join(linked.join(least, "class").select("node", "least"), "node", "left").select(*_SAME, "rows", F.coalesce("least", "low").alias("least"))
