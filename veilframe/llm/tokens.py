@@ -20,17 +20,12 @@ from .common import shared_dir, slices, text_slices, tidy, written
 
 #: Unicode white space, as the tokenizers' own patterns take it, but for the plain space.
 _SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Letters, digits and white space below 256.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-#: The words of byte-level and of word-end files, for characters below 256.
-_SPACED = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_BARE = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 #: Bytes as these files write them: printable ones as themselves, the others from 256 on, in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 _BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(256)}
-#: Characters at which str.split() breaks and the tokenizers do not.
-_ODD = re.compile("[\x1c-\x1f]")
+#: White space beyond ASCII.
+_WIDE_SPACE = re.compile(f"[{_SPACES[5:]}]")
 
 
 class WordCache:
@@ -50,13 +45,9 @@ class WordCache:
     def _plain(self, texts: list[str]) -> list:
         raise NotImplementedError
 
-    def _of_words(self, words: list[str], cut: set[str]) -> list:
-        """Ids of words; those of ``cut`` come from texts that ``_cut`` has dealt with."""
-        return self._plain(words)
-
-    def _cut(self, text: str) -> list[str] | None:
-        """Words of a text that the subclass can cut exactly as its file does (None: it can't)."""
-        return None
+    def _of_words(self, words: list[str], cut: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words, and the number of each; those of ``cut`` have been cut as the file does."""
+        return _joined(self._plain(words))
 
     def _words(self, text: str) -> list[str] | None:
         raise NotImplementedError
@@ -75,31 +66,24 @@ class WordCache:
         self.start = np.cumsum(self.size) - self.size
 
     def _learn(self, words: list[str], cut: set[str]) -> None:
-        ids = self._of_words(words, cut)
+        ids, sizes = self._of_words(words, cut)
         self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum())])
+        self.flat = np.concatenate([self.flat, ids])
         self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
         self.weight = np.concatenate([self.weight, self.EACH + 2 * np.fromiter(map(len, words), np.int64, len(words)) + 4 * sizes])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of each text."""
-        listed = [self._cut(t) if t else [] for t in texts]
-        left = [i for i, w in enumerate(listed) if w is None]
-        for i in left:
-            listed[i] = []
-        cut = set(chain.from_iterable(listed)).difference(self.known)
-        for i in left:
-            listed[i] = self._words(texts[i])
-        alone = [i for i in left if listed[i] is None]
+        listed = [self._words(t) if t else [] for t in texts]
+        alone = [i for i, w in enumerate(listed) if w is None]
         for i in alone:
             listed[i] = []
         words = list(chain.from_iterable(listed))
-        new = cut | {w for i in left for w in listed[i]}.difference(self.known)
+        new = set(words).difference(self.known)
         if new:
-            self._learn([*new], cut)
+            self._learn([*new], set())
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.seen += np.bincount(at, minlength=len(self.seen))
         each = self.size[at]
@@ -109,6 +93,10 @@ class WordCache:
         counts = np.diff(sums[np.concatenate([[0], ends]).astype(np.int64)])
         if self.weight.sum() > self.most:
             self._forget()
+        return self._with_whole(texts, alone, ids, counts)
+
+    def _with_whole(self, texts: list[str], alone: list[int], ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts with those of the texts ``alone``, which have none yet, by the whole tokenizer."""
         if alone:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i, whole in zip(alone, self._plain([texts[i] for i in alone]), strict=True):
@@ -121,69 +109,179 @@ class WordEncoder(WordCache):
     """A tokenizers file whose pattern breaks texts into words before anything else.
 
     ``spaces``: words keep the one space before them (byte-level files); otherwise white space is
-    dropped and letters are folded (word-end files). Texts of characters below 256 are cut by the
-    same pattern here, and their words go to the file's model alone; others are cut at white
-    space, where every such pattern breaks, and their words go through the whole tokenizer.
+    dropped and letters are folded (word-end files). What stands between white space is cut by the
+    same pattern here if it is ASCII or letters up to U+00FF, and such words go to the file's model alone; the rest
+    stays whole between white space, where every such pattern breaks, and goes through the whole tokenizer.
     Texts in which one of the file's added tokens stands go through the whole tokenizer at once,
     which finds such a token before anything else.
     """
 
+    #: Words that go to the model in one text.
+    TOGETHER = 100
+
     def __init__(self, path: str, spaces: bool):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        vocab, end = self.tok.get_vocab(), getattr(self.tok.model, "end_of_word_suffix", None) or ""
+        #: Characters of each token, without the mark of a word's end.
+        self.length = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.length[[*vocab.values()]] = [len(t.removesuffix(end)) for t in vocab]
         self.added = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
         #: Do added tokens do without "<"? Otherwise most texts need no closer look.
         self.odd = any("<" not in t for t in self.added)
-        self.spaces, self.cut = spaces, (_SPACED if spaces else _BARE).findall
-
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.spaces = spaces
 
-    def _of_words(self, words: list[str], cut: set[str]) -> list[list[int]]:
-        """Words that are cut already go to the file's model alone, others through the whole tokenizer. ``words`` is put in that order."""
-        words.sort(key=cut.__contains__, reverse=True)
-        fast = self.model.encode_batch_fast([w.translate(_BYTES) for w in words[: len(cut)]], add_special_tokens=False)
-        return [e.ids for e in fast] + self._plain(words[len(cut) :])
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As in ``WordCache``, but all texts are cut at once (``cut_bytes``), and equal words are brought together by Arrow, so that Python sees each distinct word once."""
+        raw = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        alone = [i for i, t in enumerate(texts) if self._apart(t, len(t) != len(raw[i]))] if self.odd or any("<" in t for t in texts) or (sizes != [len(t) for t in texts]).any() else []
+        for i in alone:
+            raw[i] = b""
+            sizes[i] = 0
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        if not self.spaces:
+            data = _LOWER[data]
+            large = np.flatnonzero(data[:-1] == 0xC3) + 1
+            large = large[(data[large] < 0x9F) & (data[large] != 0x97)]
+            data[large] += 32
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        begin, end, beyond = cut_bytes(data, bounds, self.spaces)
+        #: Without white space between them words are copied together; with it they lie so already.
+        flat = data if self.spaces else data[_spans(begin, end - begin)]
+        offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
+        words, code = coded.dictionary.cast(pa.string()).to_pylist(), coded.indices.to_numpy()
+        if new := set(words).difference(self.known):
+            plain = np.ones(len(words), bool)
+            plain[code[beyond]] = False
+            self._learn([*new], new.intersection(w for w, p in zip(words, plain.tolist(), strict=True) if p))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.seen[at] += np.bincount(code, minlength=len(words))
+        at = at[code]
+        each = self.size[at]
+        ids = self.flat[_spans(self.start[at], each)]
+        sums = np.concatenate([[0], np.cumsum(each)])
+        counts = np.diff(sums[np.searchsorted(begin, bounds)])
+        if self.weight.sum() > self.most:
+            self._forget()
+        return self._with_whole(texts, alone, ids, counts)
 
-    def _cut(self, text: str) -> list[str] | None:
-        if not _low(text) or self._holds_added(text):
-            return None
-        return self.cut(text if self.spaces else text.lower())
+    def _apart(self, text: str, wide: bool) -> bool:
+        """Does the text have to go through the whole tokenizer at once? That is so with an added token, and with white space beyond ASCII, which can stand next to other white space."""
+        return self._holds_added(text) or wide and _WIDE_SPACE.search(text) is not None
 
     def _holds_added(self, text: str) -> bool:
         return any(t in text.lower() for t in self.added) if "<" in text or self.odd else False
 
-    def _words(self, text: str) -> list[str] | None:
-        if self._holds_added(text):
-            return None
-        if not self.spaces:
-            return None if _ODD.search(text) else text.split()
-        out = []
-        for i, w in enumerate(text.split(" ")):
-            if not w or w[0] in _SPACES or w[-1] in _SPACES:
-                return None
-            first = " " + w if i else w
-            parts = first.split("\n")  # a single line break between other characters is a word of its own
-            if len(parts) > 1 and not any(not p or p[0] in _SPACES or p[-1] in _SPACES for p in (w.split("\n"))):
-                out.append(parts[0])
-                for p in parts[1:]:
-                    out += ("\n", p)
-            else:
-                out.append(first)
-        return out
-
-
-def _low(text: str) -> bool:
-    """Are all characters below 256?"""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str], cut: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are cut already go to the file's model alone, some in one text with line breaks between, which stand in no word there; others go through the whole tokenizer. ``words`` is put in that order."""
+        words.sort(key=cut.__contains__, reverse=True)
+        texts = [w.translate(_BYTES) for w in words[: len(cut)]]
+        fast = self.model.encode_batch_fast(["\n".join(texts[k : k + self.TOGETHER]) for k in range(0, len(texts), self.TOGETHER)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in fast), np.int32)
+        #: A word ends where the characters of its tokens do; a file that leaves out characters gets its words one by one.
+        done, ends = np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        upto = np.searchsorted(done, ends, "right")
+        sizes = np.diff(upto, prepend=0)
+        if len(texts) and (not sizes.all() or upto[-1] != len(ids) or (done[upto - 1] != ends).any()):
+            ids, sizes = _joined([e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        rest, more = _joined(self._plain(words[len(cut) :]))
+        return np.concatenate([ids, rest]), np.concatenate([sizes, more])
+
+
+def _joined(ids: list) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and the number of each list."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum()), sizes
+
+
+#: What a byte is: white space 0, letter 1, digit 2, other 3, part of a character beyond ASCII 4.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(9, 14), 32]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[128:] = 4
+#: A-Z in lower case.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Letters that make a contraction after an apostrophe.
+_ONE, _TWO = np.frombuffer(b"stmd", np.uint8), [np.frombuffer(x, np.uint8) for x in (b"re", b"ve", b"ll")]
+
+
+def cut_bytes(data: np.ndarray, bounds: np.ndarray, spaces: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts that lie one after the other in ``data``, UTF-8, at ``bounds``: starts, ends, and whether it stays whole.
+
+    Texts are cut by the patterns of ``WordEncoder``, all at once; between white space, what holds a character beyond
+    ASCII other than a letter up to U+00FF stays whole. White space beyond ASCII, at the ends of what stays whole, is the caller's to exclude.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    #: The letters from U+00C0 to U+00FF, of two bytes each.
+    more = np.flatnonzero(data[: n - 1] == 0xC3)
+    more = more[(data[more + 1] != 0x97) & (data[more + 1] != 0xB7)]
+    kind[more] = kind[more + 1] = 1
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    blank = kind == 0
+    #: Runs between white space and ends of texts, and which of them stay whole.
+    turn = edge.copy()
+    turn[1:n] |= blank[1:] != blank[:-1]
+    first = np.flatnonzero(turn[:n])
+    if not len(first):
+        return first, first, np.zeros(0, bool)
+    wide = np.maximum.reduceat(kind, first) == 4
+    if wide.any():
+        at = first[wide]
+        kind[_spans(at, np.append(first[1:], n)[wide] - at)] = 4
+    start = edge
+    start[1:n] |= kind[1:] != kind[:-1]
+    if not spaces:  # each digit is a word
+        start[:n] |= kind == 2
+    #: An apostrophe that begins a word and the letters of a contraction after it.
+    mark = np.flatnonzero(start[: max(0, n - 1)] & (data[: max(0, n - 1)] == 39) & (kind[: max(0, n - 1)] == 3))
+    if spaces:  # unless a space goes before it
+        mark = mark[(data[mark - 1] != 32) | edge_at(bounds, mark)]
+    if len(mark):
+        ends = bounds[np.searchsorted(bounds, mark, "right")]
+        one, two = data[mark + 1], data[np.minimum(mark + 2, n - 1)]
+        short = (mark + 1 < ends) & np.isin(one, _ONE)
+        long = (mark + 2 < ends) & np.logical_or.reduce([(one == p[0]) & (two == p[1]) for p in _TWO])
+        start[mark[short | long] + 1] = False
+        start[mark[short] + 2] = True
+        start[mark[long] + 3] = True
+    if spaces:
+        #: The last of a run of white space goes with what follows if it is a space, and is a word of its own otherwise.
+        last = np.flatnonzero(blank[: n - 1] & ~blank[1:] & ~edge_mask(bounds, n)[1:n])
+        start[last] = True
+        start[last[data[last] == 32] + 1] = False
+    begin = np.flatnonzero(start[:n])
+    end = np.append(begin[1:], n)
+    beyond = kind[end - 1] == 4
+    if not spaces:
+        keep = ~blank[begin]
+        begin, end, beyond = begin[keep], end[keep], beyond[keep]
+    return begin, end, beyond
+
+
+def edge_mask(bounds: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n + 1, bool)
+    out[bounds] = True
+    return out
+
+
+def edge_at(bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places are among the bounds."""
+    found = np.searchsorted(bounds, at)
+    return bounds[np.minimum(found, len(bounds) - 1)] == at
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -194,7 +292,7 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
 #: Bytes of text that are encoded at once, but for a longer text.
-SLICE = 1 << 19
+SLICE = 1 << 21
 
 
 def encoder(path: str, spaces: bool) -> WordEncoder:
