@@ -299,3 +299,19 @@ def test_sets_that_only_look_equal_are_split(spark):
     odd = minhash_dedup._unlike(rows.selectExpr("doc_id id", "xxhash64(text) hash", "text"), able, 2)
     want = {r.hash for r in able.where("id > 2").collect()}
     assert {r.hash for r in odd.collect()} == want and len(want) == 2
+
+
+def test_index_scores_of_common_and_rare_terms():
+    """Scores by rows of common terms and lists of rare ones are those of a plain sum; the table of signs is made once."""
+    from veilframe.llm import packing
+
+    rng = np.random.default_rng(5)
+    docs = [rng.zipf(1.3, n).clip(0, 499).astype(np.uint16) for n in rng.integers(1, 300, 60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=500)
+    idf, mean = packing.idf_of(df, 60), float(np.mean([len(d) for d in docs]))
+    index = packing.Index(docs, idf, mean)
+    assert 0 < len(index.rows) < len(index.first)
+    for k in range(60):
+        plain = [sum(idf[t] * (tf := np.count_nonzero(d == t)) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[k].tolist())) for d in docs]
+        assert np.allclose(index.scores(k), plain, rtol=1e-4)
+    assert packing._signs(500) is packing._signs(500)

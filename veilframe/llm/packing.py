@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,20 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
 
 def _counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, term and count of each distinct term of each document, in that order."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    key, tf = np.unique(np.repeat(np.arange(len(docs)), sizes) << 32 | np.concatenate(docs).astype(np.int64), return_counts=True)
-    return key >> 32, key & 0xFFFFFFFF, tf.astype(np.float32)
+    sizes, flat = [len(d) for d in docs], np.concatenate(docs)
+    #: Short numbers sort faster.
+    kind, bits = (np.uint32, 16) if flat.itemsize <= 2 and len(docs) <= 1 << 16 else (np.uint64, 32)
+    key = np.repeat(np.arange(len(docs), dtype=kind) << kind(bits), sizes) | flat.astype(kind)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    tf, key = np.diff(first, append=len(key)), key[first]
+    return (key >> kind(bits)).astype(np.int64), (key & kind((1 << bits) - 1)).astype(np.int64), tf.astype(np.float32)
+
+
+@lru_cache(maxsize=1)
+def _signs(n: int) -> np.ndarray:
+    bits = mix(np.arange(1, n + 1, dtype=np.uint64)).view(np.uint8).reshape(-1, 8)
+    return np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
 
 
 def vectors(docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
@@ -39,10 +52,10 @@ def vectors(docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.
     doc, term, tf = _counted(docs)
     long = np.array([len(d) for d in docs], np.float32)[doc] / max(mean, 1e-9)
     weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * long))
-    bits = mix(np.arange(1, len(idf) + 1, dtype=np.uint64)).view(np.uint8).reshape(-1, 8)
-    signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
-    first = np.searchsorted(doc, np.arange(len(docs)))
-    out = np.add.reduceat(signs[term] * weight[:, None], first)
+    signs, bounds = _signs(len(idf)), np.searchsorted(doc, np.arange(len(docs) + 1)).tolist()
+    out = np.empty((len(docs), _WIDE), np.float32)
+    for i, (lo, hi) in enumerate(pairwise(bounds)):
+        out[i] = weight[lo:hi] @ signs[term[lo:hi]]
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float16).astype(np.float32)
 
 
@@ -106,31 +119,39 @@ class Index:
     """BM25 inverted index over the documents of one shard, under the term weights ``idf`` and the mean length of all documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
-        n = len(docs)
-        terms, tf, doc = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            tf.append(c)
-            doc.append(np.full(len(t), i, np.int32))
-        self.own = terms
-        term, tf, doc = np.concatenate(terms), np.concatenate(tf).astype(np.float32), np.concatenate(doc)
+        self.n = n = len(docs)
         size = np.array([len(d) for d in docs], np.float32)
+        parts = [(lo, *_counted(docs[lo:hi])) for lo, hi in slices(size, 1 << 18)]
+        doc, term, tf = (np.concatenate(x) for x in zip(*(((d + lo).astype(np.int32), t.astype(np.int32), c) for lo, d, t, c in parts), strict=True))
         order = np.argsort(term, kind="stable")
-        term, tf, self.doc = term[order], tf[order], doc[order]
-        self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
+        self.doc, tf = doc[order], tf[order]
+        terms, self.first, df = np.unique(term[order], return_index=True, return_counts=True)
         self.last = self.first + df
+        number = np.empty(len(term), np.int32)
+        number[order] = np.repeat(np.arange(len(terms), dtype=np.int32), df)
+        #: Each document's terms, by their number among the shard's.
+        self.own = np.split(number, np.searchsorted(doc, np.arange(1, n)))
         long = size[self.doc] / max(mean, 1e-9)
-        self.weight = np.repeat(idf[self.terms], df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * long))
-        self.n = n
+        self.weight = np.repeat(idf[terms], df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * long))
+        #: Terms that more than a quarter of the documents hold have a row with a place for each document, at most four times as long as their lists.
+        common = np.flatnonzero(df * 4 > n)
+        self.row = np.full(len(terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), np.float32)
+        for k, t in enumerate(common.tolist()):
+            self.rows[k, self.doc[self.first[t] : self.last[t]]] = self.weight[self.first[t] : self.last[t]]
 
     def scores(self, doc: int) -> np.ndarray:
         """Of all documents of the shard, for the distinct terms of one of them."""
-        at = np.searchsorted(self.terms, self.own[doc])
+        at = self.own[doc]
+        row = self.row[at]
+        asked = np.zeros(len(self.rows), np.float32)
+        asked[row[row >= 0]] = 1
+        at = at[row < 0]
         lo, size = self.first[at], self.last[at] - self.first[at]
         ends = np.cumsum(size)
         post = np.repeat(lo - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        return np.bincount(self.doc[post], self.weight[post], self.n)
+        return np.bincount(self.doc[post], self.weight[post], self.n) + asked @ self.rows
 
 
 def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -141,7 +162,7 @@ def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float
     next window. So only the shard's last window can be short; it is cut into sequences of
     descending powers of two, which need no padding.
     """
-    index, sizes = Index(docs, idf, mean), np.array([len(d) for d in docs])
+    index, sizes = Index(docs, idf, mean), [len(d) for d in docs]
     free = np.ones(len(docs), bool)
     seed, start, sequence, following = -1, 0, 0, 0
     last: list[tuple[int, int, int]] = []

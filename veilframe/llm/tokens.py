@@ -6,7 +6,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ _SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u200
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 _BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(256)}
+#: Of the characters that cut words can hold, those that look otherwise as bytes, but for the space.
+_OTHERWISE = re.compile("[^ -~\n]")
 #: White space beyond ASCII.
 _WIDE_SPACE = re.compile(f"[{_SPACES[5:]}]")
 
@@ -45,8 +47,8 @@ class WordCache:
     def _plain(self, texts: list[str]) -> list:
         raise NotImplementedError
 
-    def _of_words(self, words: list[str], cut: set[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of words, and the number of each; those of ``cut`` have been cut as the file does."""
+    def _of_words(self, words: list[str], cut: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words, and the number of each; the first ``cut`` of them have been cut as the file does."""
         return _joined(self._plain(words))
 
     def _words(self, text: str) -> list[str] | None:
@@ -65,7 +67,7 @@ class WordCache:
         self.size, self.weight, self.seen = self.size[keep], self.weight[keep], self.seen[keep] // 2
         self.start = np.cumsum(self.size) - self.size
 
-    def _learn(self, words: list[str], cut: set[str]) -> None:
+    def _learn(self, words: list[str], cut: int) -> None:
         ids, sizes = self._of_words(words, cut)
         self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
@@ -83,7 +85,7 @@ class WordCache:
         words = list(chain.from_iterable(listed))
         new = set(words).difference(self.known)
         if new:
-            self._learn([*new], set())
+            self._learn([*new], 0)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.seen += np.bincount(at, minlength=len(self.seen))
         each = self.size[at]
@@ -152,16 +154,18 @@ class WordEncoder(WordCache):
             data[large] += 32
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         begin, end, beyond = cut_bytes(data, bounds, self.spaces)
-        #: Without white space between them words are copied together; with it they lie so already.
-        flat = data if self.spaces else data[_spans(begin, end - begin)]
+        #: All but white space is in a word, as is white space where words keep it.
+        flat = data if self.spaces else data[_KIND[data] != 0]
         offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
-        words, code = coded.dictionary.cast(pa.string()).to_pylist(), coded.indices.to_numpy()
-        if new := set(words).difference(self.known):
-            plain = np.ones(len(words), bool)
-            plain[code[beyond]] = False
-            self._learn([*new], new.intersection(w for w, p in zip(words, plain.tolist(), strict=True) if p))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        words, code = coded.dictionary.cast(pa.string()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            whole = np.zeros(len(words), bool)
+            whole[code[beyond]] = True
+            new = np.concatenate([new[~whole[new]], new[whole[new]]])
+            at[new] = len(self.size) + np.arange(len(new))
+            self._learn([words[i] for i in new.tolist()], len(new) - int(whole[new].sum()))
         self.seen[at] += np.bincount(code, minlength=len(words))
         at = at[code]
         each = self.size[at]
@@ -182,22 +186,28 @@ class WordEncoder(WordCache):
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_words(self, words: list[str], cut: set[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words that are cut already go to the file's model alone, some in one text with line breaks between, which stand in no word there; others go through the whole tokenizer. ``words`` is put in that order."""
-        words.sort(key=cut.__contains__, reverse=True)
-        texts = [w.translate(_BYTES) for w in words[: len(cut)]]
-        fast = self.model.encode_batch_fast(["\n".join(texts[k : k + self.TOGETHER]) for k in range(0, len(texts), self.TOGETHER)], add_special_tokens=False)
+    def _of_words(self, words: list[str], cut: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are cut already go to the file's model alone, some in one text with line breaks between, which stand in no word there; others go through the whole tokenizer."""
+        fast = self.model.encode_batch_fast([_shown(words[k : min(k + self.TOGETHER, cut)]) for k in range(0, cut, self.TOGETHER)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in fast), np.int32)
-        #: A word ends where the characters of its tokens do; a file that leaves out characters gets its words one by one.
-        done, ends = np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        #: A word, one character for each byte, ends where the characters of its tokens do; a file that leaves out characters gets its words one by one.
+        done, ends = np.cumsum(self.length[ids]), np.cumsum(pc.binary_length(pa.array(words[:cut], pa.string())).to_numpy(), dtype=np.int64)
         upto = np.searchsorted(done, ends, "right")
         sizes = np.diff(upto, prepend=0)
-        if len(texts) and (not sizes.all() or upto[-1] != len(ids) or (done[upto - 1] != ends).any()):
-            ids, sizes = _joined([e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
-        rest, more = _joined(self._plain(words[len(cut) :]))
+        if cut and (not sizes.all() or upto[-1] != len(ids) or (done[upto - 1] != ends).any()):
+            ids, sizes = _joined([e.ids for e in self.model.encode_batch_fast([w.translate(_BYTES) for w in words[:cut]], add_special_tokens=False)])
+        rest, more = _joined(self._plain(words[cut:]))
         return np.concatenate([ids, rest]), np.concatenate([sizes, more])
 
 
+def _shown(words: list[str]) -> str:
+    """Words as the file's model takes them, with line breaks between. Only characters that look otherwise there are replaced."""
+    text = "\n".join(words)
+    if text.count("\n") >= len(words):  # a word is or holds a line break itself
+        return "\n".join([w.translate(_BYTES) for w in words])
+    return _OTHERWISE.sub(lambda m: _BYTES[ord(m[0])], text).replace(" ", _BYTE[32])
+
+
 def _joined(ids: list) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after the other, and the number of each list."""
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
