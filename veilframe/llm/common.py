@@ -33,15 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark removes the shuffle files of a query when it ends, instead of when the driver next collects its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor repeats at most the stage it was in. A job reads the
-    table as often as it likes; the folder may be cleared once the result has been consumed.
+    table as often as it likes; the folder may be cleared once the result has been consumed. Once the
+    table is there its shuffle files are of no more use and go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
