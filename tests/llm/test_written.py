@@ -26,3 +26,19 @@ def test_no_shuffle_files_stay(spark):
         time.sleep(0.5)
     assert not _shuffled(spark) - there
     assert table.count() == 1000 and spark.conf.get(key, None) == told
+
+
+def test_workers_drop_an_encoder_that_others_left():
+    import pyarrow as pa
+
+    from veilframe.llm import line_dedup, minhash_dedup, tokens
+    from veilframe.llm.queries import tokenizer
+
+    texts = pa.array(["one line of a text\nand another line of it"])
+    for run in (
+        lambda: line_dedup._cut_lines(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), texts], names=["id", "row", "text"])]), 24, 1),
+        lambda: minhash_dedup._signatures(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), texts], names=["id", "hash", "text"])]), 2),
+    ):
+        tokens.encoder(tokenizer("word_bpe_49k.json"), False)
+        assert sum(b.num_rows for b in run())
+        assert not tokens._ENCODERS

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import OTHER, Hashed, bucket_links, mix, spread_join, text_slices, tidy, written
+from .tokens import drop_encoder
 
 _WORD = (1 << 64) - 1
 #: Which of the first code points are letters or digits; those above count as such.
@@ -115,6 +116,7 @@ def _line_keys(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.Re
 
 def _cut_lines(batches: Iterator[pa.RecordBatch], least: int, exact: int) -> Iterator[pa.RecordBatch]:
     """A row for each line; the first row of a line in a slice of texts has its text, if it is long enough."""
+    drop_encoder()
     for batch in batches:
         for lo, _, texts in text_slices(batch.column("text"), 1 << 18):
             points, text, number, (start, end), place = _lines(texts, least, exact)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Digests, bucket_links, mix, spread_join, text_slices, tidy, with_texts, written
+from .tokens import drop_encoder
 
 #: A signature has CHUNKS longs of LANES minhashes of BITS bits each.
 CHUNKS, LANES, BITS = 16, 5, 12
@@ -52,6 +53,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    drop_encoder()
     for batch in batches:
         for lo, hi, texts in text_slices(batch.column(2).cast(pa.binary()), 1 << 19):
             sets = _shingles(texts, words)

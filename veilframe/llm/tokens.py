@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -313,6 +314,14 @@ def encoder(path: str, spaces: bool) -> WordEncoder:
     return _ENCODERS[path, spaces]
 
 
+def drop_encoder() -> None:
+    """Tasks of operators that encode nothing call this first: Python workers outlive their tasks, and an encoder would stay beside what they need themselves."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.system_memory_pool().release_unused()
+
+
 def encoded(batch: pa.RecordBatch, words: WordCache, end_id: int | None, column: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For parts of a batch: its range of rows, all ids with ``end_id`` (if there is one) after each text, and their offsets. Null counts as empty."""
     for lo, hi, texts in text_slices(batch.column(column), SLICE):

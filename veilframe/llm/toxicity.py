@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .tokens import drop_encoder
 
 _QUOTES = "\"“”„«»‹›‘’`"
 #: Opening marks with the marks that close them.
@@ -236,6 +237,7 @@ def _contexts(rows: DataFrame, lex: Lexicon, window: int = 6, support: int = 5,
     """Reporting and addressing words, from how many documents of either label have them near a hit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_encoder()
         matcher = Matcher(lex)
         for b in batches:
             out = []
@@ -280,6 +282,7 @@ def _exceptions(lex: Lexicon, count: DataFrame, toxic: int, clean: int, most: in
     usual = count.where((F.col("c") > 0) & (F.col("t") * clean < 5 * F.col("c") * toxic)).select("w")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_encoder()
         matcher = Matcher(lex)
         for b in batches:
             yield b[[bool((m := matcher.match(w)) and m[1]) for w in b["w"]]]
@@ -289,6 +292,7 @@ def _exceptions(lex: Lexicon, count: DataFrame, toxic: int, clean: int, most: in
 
 def _sampled(rows: DataFrame, lex: Lexicon) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_encoder()
         matcher = Matcher(lex)
         for b in batches:
             x = np.array([features(t, matcher) for t in b["_text"]]).reshape(len(b), -1)
@@ -320,6 +324,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        drop_encoder()
         matcher, w = Matcher(model.lexicon), np.array(model.weights)
         for texts in parts:
             x = np.array([features(t or "", matcher) for t in texts]).reshape(len(texts), -1)
