@@ -28,6 +28,38 @@ def test_no_shuffle_files_stay(spark):
     assert table.count() == 1000 and spark.conf.get(key, None) == told
 
 
+def test_no_broadcasts_stay(spark):
+    from pyspark.sql import functions as F
+
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().memoryStore().memoryUsed()
+    before, some = held(), spark.range(1000).selectExpr("id AS a", "id AS b")
+    table = written(some.join(F.broadcast(some.limit(5)), ["a", "b"]))  # on two keys: at least a page of memory
+    written(spark.range(1))  # Spark's listeners may have seen the first one late
+    for _ in range(20):  # it goes in the background
+        if held() - before < 1e6:
+            break
+        time.sleep(0.5)
+    assert held() - before < 1e6
+    assert table.count() == 5
+
+
+def test_a_worker_gives_back_what_it_freed():
+    import re
+
+    from veilframe.llm.common import tidy
+
+    rss = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def batches():
+        held = [bytes(1000) for _ in range(100_000)]
+        yield len(held), held.pop()
+
+    before = rss()
+    ((n, last),) = tidy(batches())  # the last one keeps the heap's end
+    assert n == 100_000 and len(last) == 1000
+    assert rss() - before < 50
+
+
 def test_workers_drop_an_encoder_that_others_left():
     import pyarrow as pa
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,7 +44,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
     This cuts the lineage: a lost executor repeats at most the stage it was in. A job reads the
     table as often as it likes; the folder may be cleared once the result has been consumed. Once the
-    table is there its shuffle files are of no more use and go at once.
+    table is there its shuffle files and broadcasts are of no more use and go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -55,9 +57,19 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
             spark.conf.unset(_TIDY)
         else:
             spark.conf.set(_TIDY, before)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Free what broadcasts of finished queries hold on executors.
+
+    Spark takes them back when the driver collects its garbage, and a driver with free memory may not do so for
+    half an hour. A broadcast side of a join on several keys is 16 MB on each executor, be it one row.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A key is hot if it has more than one in HOT of all rows, so there are fewer hot keys than this; each is dealt out over SALTS places.
 HOT, SALTS = 1000, 64
 #: Members of a bucket that one task compares with the bucket, about; a larger bucket is cut into as many tiles as it takes.
@@ -290,11 +302,23 @@ def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, list]]:
 
 
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``batches``; when they end, the worker's unused Arrow memory goes back, as workers outlive their tasks."""
+    """``batches``; when they end, the worker's unused memory goes back, as workers outlive their tasks."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+#: The C library's own heap keeps what Python and numpy have freed; only some of them can be told to give it back.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def give_back() -> None:
+    """Return unused memory of this process, Arrow's and the C library's, to the system."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def ordered(df: DataFrame, by: list[str], sums: tuple[str, ...] = ()) -> DataFrame:

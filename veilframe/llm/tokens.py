@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, text_slices, tidy, written
+from .common import give_back, shared_dir, slices, text_slices, tidy, written
 
 #: Unicode white space, as the tokenizers' own patterns take it, but for the plain space.
 _SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -319,7 +319,7 @@ def drop_encoder() -> None:
     if _ENCODERS:
         _ENCODERS.clear()
         gc.collect()
-        pa.system_memory_pool().release_unused()
+        give_back()
 
 
 def encoded(batch: pa.RecordBatch, words: WordCache, end_id: int | None, column: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
